@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from paperloom.llm.common import Scratch, id_crc, rows_of
 MAX_LABELLED = 40_000
 #: A term is in at least this share of the toxic labelled documents; at least PRECISE of its labelled documents are toxic; and that is no chance.
 LEAST_SHARE, PRECISE, CHANCE = 0.002, 0.5, 20
+#: A toxic document with so many words of kept terms supports no further term.
+EXPLAINED = 3
 #: Voters made of single terms, and of shared ones.
 OWN_VOTERS, SHARED_VOTERS = 32, 8
 PREFIXES = (4, 5, 6)
@@ -61,8 +64,39 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> D
     return once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def mine(sample: DataFrame, scratch: Scratch) -> tuple[list[str], list[float]]:
-    """Terms by falling frequency in toxic documents, and each one's precision. sample: text, toxic."""
+def first_shingle(text: str, width: int = 5) -> int:
+    """The least hash of a text's word shingles: near copies mostly share it, other texts don't."""
+    words = text.lower().split()
+    if len(words) <= width:
+        return xxhash.xxh3_64_intdigest(" ".join(words)) >> 1
+    return min(xxhash.xxh3_64_intdigest(" ".join(words[i : i + width])) for i in range(len(words) - width + 1)) >> 1
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """text, toxic: of documents that share their least shingle, the one of the least id, so that copies don't make their words look telling."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([first_shingle(t or "") for t in texts], pa.int64())], names=["doc_id", "text", "toxic", "first"])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(run, f"doc_id {kind}, text string, toxic int, first long")
+    return rows.groupBy("first").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("r")).select("r.text", "r.toxic")
+
+
+def surprise(bad: float, good: float, rate: float) -> float:
+    """Information (nats) that a term's documents give against the base rate."""
+    share = bad / (bad + good) if bad else 0.0
+    return bad * math.log(share / rate) + (good * math.log((1 - share) / (1 - rate)) if good else 0.0) if share > rate else 0.0
+
+
+def mine(sample: DataFrame, scratch: Scratch) -> list[str]:
+    """Terms by falling frequency in toxic documents. sample: text, toxic.
+
+    Candidates pass a test of significance over all terms. In order of significance, one is then kept
+    only if it still passes on the toxic documents that hold fewer than EXPLAINED kept terms.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: tuple[Counter, Counter] = Counter(), Counter()
@@ -84,18 +118,34 @@ def mine(sample: DataFrame, scratch: Scratch) -> tuple[list[str], list[float]]:
 
     n_docs, bad_docs = sample.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
     counted = scratch.save(sample.select("text", "toxic").mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
-    rate, n_terms = min(max(bad_docs / max(1, n_docs), 1e-3), 0.999), counted.count()
-    seen = F.col("bad") + F.col("good")
-    share = F.col("bad") / seen
-    # information that the term's documents give against the base rate; chance alone reaches this for one term of CHANCE corpora
-    surprise = F.col("bad") * F.log(share / rate) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - share) / (1 - rate))).otherwise(0)
-    strong = counted.filter((F.col("bad") >= max(1, LEAST_SHARE * bad_docs)) & (F.col("bad") >= PRECISE * seen)).filter(surprise >= math.log(max(1, n_terms) * CHANCE))
-    found = {r["term"]: (r["bad"], r["good"]) for r in strong.collect()}
-    # a longer term says nothing new if a beginning of it is as precise and at least as frequent
-    precision = lambda t: found[t][0] / (found[t][0] + found[t][1] + 1)
-    keep = [t for t in found if not any(t[:n] in found and t[:n] != t and precision(t[:n]) >= precision(t) - 0.02 for n in PREFIXES)]
-    keep.sort(key=lambda t: (-found[t][0], t))
-    return keep, [precision(t) for t in keep]
+    rate = min(max(bad_docs / max(1, n_docs), 1e-3), 0.999)
+    least = math.log(max(1, counted.count()) * CHANCE)
+    # a share of the toxic documents at least, so the number of candidates is bounded by words a document
+    likely = counted.filter((F.col("bad") >= max(2, LEAST_SHARE * bad_docs)) & (F.col("bad") >= PRECISE * (F.col("bad") + F.col("good"))))
+    found = {r["term"]: (r["bad"], r["good"]) for r in likely.collect()}
+    found = {t: v for t, v in found.items() if surprise(*v, rate) >= least}
+    roots = {t.strip()[: PREFIXES[0]] for t in found}
+
+    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [[w for w in words_of(t or "") if w[: PREFIXES[0]] in roots] for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string()))], names=["words"])
+
+    held = [sorted(r["words"]) for r in sample.filter("toxic > 0").select("text").mapInArrow(holding, "words array<string>").collect()]  # at most `bound` rows
+    having: dict[str, list[tuple[int, str]]] = {}
+    for d, words in enumerate(held):
+        for w in words:
+            for t in terms_of({w}) & found.keys():
+                having.setdefault(t, []).append((d, w))
+    hits: list[set[str]] = [set() for _ in held]
+    kept = []
+    for t in sorted(found, key=lambda t: (-surprise(*found[t], rate), len(t), t)):
+        new = {d for d, w in having.get(t, ()) if len(hits[d] - {w}) < EXPLAINED and w not in hits[d]}
+        if len(new) >= PRECISE * (len(new) + found[t][1]) and surprise(len(new), found[t][1], rate) >= least:
+            kept.append(t)
+            for d, w in having[t]:
+                hits[d].add(w)
+    return sorted(kept, key=lambda t: (-found[t][0], t))
 
 
 @dataclass
@@ -237,8 +287,8 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, bound: int = MAX
     docs = rows_of(docs, "doc_id", "text")
     known = scratch.save(labelled(docs, labels, bound))
     # at most `bound` rows of two numbers
-    sample = docs.join(F.broadcast(known), "doc_id")
-    voters = Voters(mine(sample, scratch)[0])
+    sample = scratch.save(without_copies(docs.join(F.broadcast(known), "doc_id")))
+    voters = Voters(mine(sample, scratch))
     voted = scratch.save(votes(docs, voters))
     n_docs, both = pair_counts(voted, voters.n)
     rows = voted.join(F.broadcast(known), "doc_id").select("fired", "hits", "words", "toxic").toPandas()  # at most `bound` ids
