@@ -1,21 +1,38 @@
-"""A corpus pipeline in stages. Each takes (spark, docs, sf_dir); its result is the next one's docs."""
+"""A corpus pipeline in stages: toxic documents go, then copies, then near copies; the rest is mixed and encoded.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps with the columns of documents; the
+last returns the encoded documents. ORACLE_SQL is None: SQL can't express these stages; the tests hold
+each stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bpe, exact_dedup
+from paperloom.llm import bpe, exact_dedup, mixing, neardup, toxicity
+
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept_documents(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_ids(docs, neardup.near_duplicates(docs).filter("kept").select("doc_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs)
 
 
-STAGES = [("exact_dedup", exact), ("bpe", encode)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
 ORACLE_SQL = None
 
 
