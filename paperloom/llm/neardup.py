@@ -11,8 +11,12 @@ its sketch. Equal sets are one node from the start. Then:
 2. Each list links its members to its first and its last node: rows in proportion to the lists.
    Candidates pass if the sizes allow the similarity and the sketch of the union, which the two
    sketches give exactly, estimates at least LEAST_ESTIMATE; those left are verified on full sets.
-3. Members of a list that are still in different components meet within it: all that are outside
-   of the list's largest component against every block of the list; what passes is verified.
+3. Lists that are not in one component yet take a second center, the medoid: the member whose values
+   are the most common in the list, found in blocks and then among the blocks' medoids. It is what
+   many copies of one text, each edited in its own way, have in common.
+4. Members of a list that are still in different components meet within it: all that are outside of
+   the list's largest component against every block of the list. A pair is looked at under the first
+   run it shares only; what passes the estimate is verified.
 
 Nothing is capped: lists of any length are treated alike, pairs are never listed, links found in a
 component need no others. Full sets are made again from the text for the nodes of candidates only.
@@ -23,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -34,8 +37,8 @@ from paperloom.llm.components import components
 
 SHINGLE, PERCENT = 3, 85
 K, RUN = 64, 4
-#: At a true similarity of 0.85, 64 values give an estimate under this with a chance of about 1e-10.
-LEAST_ESTIMATE = 0.5
+#: At a true similarity of 0.85, 64 values give an estimate under this with a chance of about 2e-7.
+LEAST_ESTIMATE = 0.6
 BLOCK = 400
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -96,9 +99,9 @@ def full_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def run_keys(sketch: Column, n: Column) -> Column:
-    """Keys of a node: hashes of runs. Sets of 6 have runs of 3, of 7 both, larger ones of RUN; smaller ones link by equality only."""
-    run = lambda k: F.transform(F.sequence(F.lit(1), F.size(sketch) - (k - 1)), lambda i: F.xxhash64(F.lit(k), *[F.element_at(sketch, i + j) for j in range(k)]))
-    return F.when(n >= 8, run(RUN)).when(n == 7, F.concat(run(RUN), run(3))).when(n == 6, run(3)).otherwise(F.array().cast("array<long>"))
+    """struct<key,at> for each run of a node: its hash, and where it starts in the sketch. Sets of 6 have runs of 3, of 7 both, larger ones of RUN; smaller ones link by equality only."""
+    run = lambda k: F.transform(F.sequence(F.lit(1), F.size(sketch) - (k - 1)), lambda i: F.struct(F.xxhash64(F.lit(k), *[F.element_at(sketch, i + j) for j in range(k)]).alias("key"), (i - 1).alias("at")))
+    return F.when(n >= 8, run(RUN)).when(n == 7, F.concat(run(RUN), run(3))).when(n == 6, run(3)).otherwise(F.array().cast("array<struct<key:long,at:int>>"))
 
 
 def _linked(common: Column, n_a: Column, n_b: Column, percent: int) -> Column:
@@ -135,17 +138,136 @@ def _repeated(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
 
 
-def _crosswise(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-    """Within one block of a list: the outsiders against all members of other components, by shared retained values."""
-    size = block.sketch.map(len).to_numpy()
-    flat, owner = np.concatenate(block.sketch.to_numpy()), np.repeat(np.arange(len(block)), size)
-    node, label, home = block.node.to_numpy(), block.label.to_numpy(), block.home.to_numpy()
+GROUP = "key long, block int, node long, label long, n long, at int, outside boolean, home boolean, seen boolean, sketch array<long>"
+
+
+class _Block:
+    """One group of rows as arrays; the sketches as a matrix of unsigned values, padded with the largest."""
+
+    def __init__(self, b: pa.RecordBatch):
+        for i, name in enumerate(b.schema.names[:-1]):
+            setattr(self, name, b.column(i).to_numpy(zero_copy_only=False))
+        col = b.column(len(b.schema.names) - 1)
+        offsets = col.offsets.to_numpy()
+        values = col.values.to_numpy().view(np.uint64)
+        self.size = np.diff(offsets)
+        self.matrix = np.full((b.num_rows, K), np.iinfo(np.uint64).max, dtype=np.uint64)
+        self.matrix[np.arange(K) < self.size[:, None]] = values[offsets[0] : offsets[-1]]
+
+    def __len__(self) -> int:
+        return len(self.node)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    """The groups (key, block) of sorted rows, over the ends of batches."""
+    rest: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        if not t.num_rows:
+            continue
+        t = t.combine_chunks()
+        key, block = t.column(0).to_numpy(), t.column(1).to_numpy()
+        ends = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+        whole, start = t.to_batches()[0], 0
+        for end in ends:
+            yield _Block(whole.slice(start, end - start))
+            start = end
+        rest = t.slice(start)
+    if rest is not None and rest.num_rows:
+        yield _Block(rest.combine_chunks().to_batches()[0])
+
+
+def _medoid(g: _Block) -> int:
+    """The row whose values are the most common in the group; ties: the least node."""
+    inside = np.arange(K) < g.size[:, None]
+    _, inverse, counts = np.unique(g.matrix[inside], return_inverse=True, return_counts=True)
+    common = np.zeros(g.matrix.shape)
+    common[inside] = counts[inverse]
+    mean = common.sum(axis=1) / np.maximum(g.size, 1)
+    return int(min(np.flatnonzero(mean >= mean.max() - 1e-9), key=lambda i: g.node[i]))
+
+
+def _crosswise(g: _Block, percent: int) -> list[tuple[int, int]]:
+    """Pairs of an outsider and a member of another component that may be links, each under the first run it shares."""
     found = []
-    for i in np.flatnonzero(block.outside.to_numpy()):
-        common = np.bincount(owner[np.isin(flat, block.sketch.iloc[i])], minlength=len(block))
-        near = home & (label != label[i]) & (common >= LEAST_ESTIMATE * np.minimum(size, size[i]))
-        found += [(node[i], node[j]) for j in np.flatnonzero(near)]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    filled = np.arange(K) < g.size[:, None]
+    whole = g.n <= K
+    for i in np.flatnonzero(g.outside & ~g.seen):
+        others = g.home & ~g.seen & (g.label != g.label[i]) & (100 * np.minimum(g.n, g.n[i]) >= percent * np.maximum(g.n, g.n[i]))
+        others &= ~g.outside | (g.node > g.node[i])
+        near = np.flatnonzero(others)
+        if not len(near):
+            continue
+        mine = g.matrix[i, : g.size[i]]
+        m = g.matrix[near]
+        place = np.minimum(np.searchsorted(mine, m), len(mine) - 1)
+        has = (mine[place] == m) & filled[near]
+        common = has.sum(axis=1)
+        step = has[:, 1:] & has[:, :-1] & (place[:, 1:] - place[:, :-1] == 1)
+        run = step[:, : K - RUN + 1].copy()
+        for k in range(1, RUN - 1):
+            run &= step[:, k : K - RUN + 1 + k]
+        first = np.where(run.any(axis=1), run.argmax(axis=1), -1)
+        ok = ((first == g.at[near]) | (g.n[near] <= 8) | (g.n[i] <= 8)) & (common >= LEAST_ESTIMATE * np.minimum(g.size[near], g.size[i]) * 0.8)
+        for j, c in zip(near[ok], common[ok], strict=True):
+            if whole[i] and whole[j]:
+                good = 100 * c >= percent * (g.n[i] + g.n[j] - c)
+            else:
+                union = np.union1d(mine, g.matrix[j, : g.size[j]])[:K]
+                both = np.isin(union, mine, assume_unique=True) & np.isin(union, g.matrix[j, : g.size[j]], assume_unique=True)
+                good = both.sum() >= LEAST_ESTIMATE * len(union)
+            if good:
+                found.append((int(g.node[i]), int(g.node[j])))
+    return found
+
+
+def medoids(dealt: DataFrame) -> DataFrame:
+    """key, node, sketch: the medoid of each group (key, block)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _blocks(batches):
+            i = _medoid(g)
+            yield pa.RecordBatch.from_arrays([pa.array(g.key[i : i + 1]), pa.array(g.node[i : i + 1]), _lists([g.matrix[i, : g.size[i]].view(np.int64)])], names=["key", "node", "sketch"])
+
+    return _grouped(dealt).mapInArrow(run, "key long, node long, sketch array<long>")
+
+
+def candidates(dealt: DataFrame, percent: int) -> DataFrame:
+    """a, b of _crosswise over all groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _blocks(batches):
+            if pairs := _crosswise(g, percent):
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+    return _grouped(dealt).mapInArrow(run, "a long, b long")
+
+
+def _grouped(dealt: DataFrame) -> DataFrame:
+    names = [c.split()[0] for c in GROUP.split(", ")]
+    return dealt.select(*names).repartition("key", "block").sortWithinPartitions("key", "block", "node")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(scratch: Scratch, members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of lists with several components: with label, outside (of the largest component), seen (already met all), blocks, own, n and sketch."""
+    tagged = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tagged = scratch.save(tagged)
+    by_label = tagged.groupBy("key", "label").agg(F.count("*").alias("k"))
+    split = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("main")).filter("labels > 1").select("key", F.col("main.label").alias("main"))
+    apart = tagged.join(split, "key").withColumn("outside", F.col("label") != F.col("main")).withColumn("seen", (F.col("node") == F.col("low")) | (F.col("node") == F.col("high")))
+    apart = apart.join(nodes.select("node", "n", "sketch"), "node").withColumn("blocks", F.ceil(F.col("length") / BLOCK).cast("int"))
+    return scratch.save(apart.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+
+
+def _joined(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links."""
+    if links.isEmpty():
+        return labels
+    return components(scratch, labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,29 +284,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     some = rows.filter("n > 0")
     groups = some.groupBy("print", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
     nodes = scratch.save(groups.withColumn("node", F.monotonically_increasing_id()))
-    postings = nodes.select("node", F.explode(run_keys(F.col("sketch"), F.col("n"))).alias("key"))
+    postings = nodes.select("node", F.explode(run_keys(F.col("sketch"), F.col("n"))).alias("r")).select("node", "r.key", "r.at")
     lists = postings.groupBy("key").agg(F.count("*").alias("length"), F.min("node").alias("low"), F.max("node").alias("high"))
     lists = lists.filter("length > 1")
     members = scratch.save(postings.join(lists, "key"))  # only of lists with several members
-    stars = members.select("node", F.explode(F.array("low", "high")).alias("b")).filter("node != b")
-    links = verified(scratch, stars.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), nodes, docs, percent, width)
-    labels = components(scratch, links)
-    # lists whose members are not in one component yet
-    tagged = members.filter("length > 2").select("key", "node", "length").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    tagged = scratch.save(tagged)
-    by_label = tagged.groupBy("key", "label").agg(F.count("*").alias("n"))
-    split = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("main")).filter("labels > 1").select("key", F.col("main.label").alias("main"))
-    apart = scratch.save(tagged.join(split, "key").withColumn("outside", F.col("label") != F.col("main")))
+    stars = members.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    labels = components(scratch, verified(scratch, _ordered(stars), nodes, docs, percent, width))
+    # a list of two has met; of longer ones, those that aren't one component yet take their medoid
+    longer = members.filter("length > 2")
+    apart = _apart(scratch, longer, labels, nodes)
+    if not apart.isEmpty():
+        one = medoids(apart.withColumn("block", F.col("own")).withColumn("home", F.lit(True)))
+        blank = {"block": F.lit(0), "label": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "at": F.lit(0), "outside": F.lit(False), "home": F.lit(True), "seen": F.lit(False)}
+        center = scratch.save(medoids(scratch.save(one).withColumns(blank)).select("key", F.col("node").alias("b")))
+        stars = apart.join(center, "key").select(F.col("node").alias("a"), "b")
+        labels = _joined(scratch, labels, verified(scratch, _ordered(stars), nodes, docs, percent, width))
+        scratch.drop(apart)
+        apart = _apart(scratch, longer, labels, nodes)
     if not apart.isEmpty():
-        apart = apart.join(nodes.select("node", "sketch"), "node").withColumn("blocks", F.ceil(F.col("length") / BLOCK).cast("int"))
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        every = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-        dealt = apart.select("key", "node", "label", "outside", "sketch", own.alias("own"), F.explode(every).alias("block")).withColumn("home", F.col("own") == F.col("block"))
-        more = dealt.groupBy("key", "block").applyInPandas(_crosswise, "a long, b long")
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        late = verified(scratch, more, nodes, docs, percent, width)
-        if not late.isEmpty():
-            labels = components(scratch, labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(late))
+        every = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+        dealt = apart.withColumn("block", F.explode(every)).withColumn("home", F.col("own") == F.col("block"))
+        labels = _joined(scratch, labels, verified(scratch, _ordered(candidates(dealt, percent)), nodes, docs, percent, width))
     found = nodes.select("print", "n", "node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     known = found.join(least, "label").select("print", "n", "component_id")
