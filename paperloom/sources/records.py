@@ -38,7 +38,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Typed lines: file, line text, record (null if it isn't one), defect (null, `malformed` or `duplicate_key`)."""
     raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
     rec = raw.withColumn("record", F.from_json("line", RECORD, {"mode": "PERMISSIVE"})).withColumn("ok", F.try_parse_json("line").isNotNull())
-    return rec.withColumn("defect", F.when(~F.col("ok") | F.col("record.kind").isNull(), "malformed").when(has_duplicate_keys(F.col("line")), "duplicate_key")).drop("ok")
+    return rec.withColumn("defect", F.when(has_duplicate_keys(F.col("line")), "duplicate_key").when(~F.col("ok") | F.col("record.kind").isNull(), "malformed")).drop("ok")
 
 
 def record_violations(records: DataFrame, doc: str) -> DataFrame:
@@ -75,7 +75,7 @@ def byte_range(header: Column, total: Column) -> Column:
     a, b = F.regexp_extract(header, r"^bytes=([0-9]*)-([0-9]*)$", 1), F.regexp_extract(header, r"^bytes=([0-9]*)-([0-9]*)$", 2)
     valid = header.rlike(r"^bytes=([0-9]{1,20}-[0-9]{0,20}|-[0-9]{1,20})$") & (F.octet_length(header) <= 256)
     x, y = a.try_cast("decimal(38,0)"), b.try_cast("decimal(38,0)")
-    top = F.lit(2**64 - 1).cast("decimal(38,0)")
+    top = F.lit(str(2**64 - 1)).cast("decimal(38,0)")
     small = (F.coalesce(x, F.lit(0)) <= top) & (F.coalesce(y, F.lit(0)) <= top)
     last = total - 1
     suffix = F.struct(F.lit(206).alias("status"), F.greatest(F.lit(0), total - y).cast("long").alias("start"), F.least(total, y).cast("long").alias("length"))
