@@ -79,3 +79,19 @@ def incomplete_runs(runs: DataFrame, sources: DataFrame, ideas: DataFrame, citat
     j = runs.join(s, "run", "left").join(i, "run", "left").join(c, "run", "left").na.fill(0, ["s", "i", "c", "c_d"])
     good = (F.col("s") > 0) & (F.col("s_max") == F.col("s") - 1) & (F.col("s_d") == F.col("s")) & F.col("i").between(1, 3) & (F.col("i_max") == F.col("i") - 1) & (F.col("i_d") == F.col("i")) & F.col("c").between(1, 24) & (F.col("c_d") == F.col("i"))
     return j.filter(~F.coalesce(good, F.lit(False))).select("run")
+
+
+def citation_rules(citations: DataFrame, messages: DataFrame) -> DataFrame:
+    """citation, rule of citations (citation, message, page, page_index) that break: the page is the index plus 1; the message (message, state) is completed."""
+    j = citations.join(messages, "message", "left")
+    rule = F.when(~F.coalesce(F.col("page") == F.col("page_index") + 1, F.lit(False)), "page").when(~F.coalesce(F.col("state") == "completed", F.lit(False)), "message")
+    return j.select("citation", rule.alias("rule")).filter("rule IS NOT NULL")
+
+
+def publication_receipt(expected: DataFrame, observed: DataFrame, key: str, payload: str) -> DataFrame:
+    """One row: expected, observed, missing, unexpected, changed, publishable. Points may be published only if all three differences are 0."""
+    e, o = expected.select(key, F.col(payload).alias("e__")), observed.select(key, F.col(payload).alias("o__"))
+    j = e.withColumn("in_e", F.lit(1)).join(o.withColumn("in_o", F.lit(1)), key, "full_outer")
+    both = F.col("in_e").isNotNull() & F.col("in_o").isNotNull()
+    r = j.agg(F.count("in_e").alias("expected"), F.count("in_o").alias("observed"), F.count_if(F.col("in_o").isNull()).alias("missing"), F.count_if(F.col("in_e").isNull()).alias("unexpected"), F.count_if(both & ~F.col("e__").eqNullSafe(F.col("o__"))).alias("changed"))
+    return r.withColumn("publishable", (F.col("missing") == 0) & (F.col("unexpected") == 0) & (F.col("changed") == 0) & (F.col("expected") > 0))

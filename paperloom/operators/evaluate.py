@@ -75,3 +75,10 @@ def token_lcs_recall(reference: DataFrame) -> DataFrame:
 def latency_summary(samples: DataFrame) -> DataFrame:
     """One row: n, p50, p95 (exact) of seconds."""
     return samples.agg(F.count("*").alias("n"), F.round(F.percentile("seconds", 0.5), 9).alias("p50"), F.round(F.percentile("seconds", 0.95), 9).alias("p95"))
+
+
+def citations_exact(fragments: DataFrame, regions: DataFrame) -> DataFrame:
+    """citation, exact: every fragment (citation, source, page, quote) equals a region's quote (source, page, quote) or stands in exactly one of its page's regions."""
+    j = fragments.join(regions.select("source", "page", F.col("quote").alias("region")), ["source", "page"], "left")
+    g = j.groupBy("citation", "source", "page", "quote").agg(F.count_if(F.col("region") == F.col("quote")).alias("equal"), F.count_if(F.contains("region", "quote")).alias("within"))
+    return g.groupBy("citation").agg(F.every((F.col("equal") > 0) | (F.col("within") == 1)).alias("exact"))

@@ -200,3 +200,52 @@ def ranking_metrics(expected: DataFrame, ranked: DataFrame) -> DataFrame:
     first = expected.join(ranked, ["case_id", "id"], "left").groupBy("case_id").agg(F.min("rank").alias("rank"))
     within = lambda k: F.count_if(F.coalesce(F.col("rank") <= k, F.lit(False)))
     return first.agg(F.count("*").alias("n"), within(2).alias("hits_at_2"), within(5).alias("hits_at_5"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 9).alias("mrr"))
+
+
+def readiness(requests: DataFrame, documents: DataFrame, owner: str, doc: str) -> DataFrame:
+    """doc, status of requests (owner, doc) for documents (doc, owner, ready, expected, found): the first rule that applies.
+
+    not_found for what the owner doesn't own, whether it exists or not; then not_ready; then
+    inconsistent if the counts of expected and found parts differ; else ready.
+    """
+    d = documents.select(F.col(doc).alias("d__"), F.col(owner).alias("o__"), "ready", "expected", "found")
+    j = requests.join(d, (F.col(doc) == F.col("d__")) & F.col(owner).eqNullSafe(F.col("o__")), "left")
+    status = F.when(F.col("d__").isNull(), "not_found").when(~F.coalesce("ready", F.lit(False)), "not_ready").when(~F.col("expected").eqNullSafe(F.col("found")), "inconsistent").otherwise("ready")
+    return j.select(owner, doc, status.alias("status"))
+
+
+def hit_defects(hits: DataFrame, chunks: DataFrame, tolerance: float = 1e-5) -> DataFrame:
+    """query, id, defect of index hits (query, id, score, scope) that can't be trusted: bad_score, repeated, unknown (no such chunk) or foreign (of another scope)."""
+    from pyspark.sql import Window
+
+    times = F.count("*").over(Window.partitionBy("query", "id"))
+    c = chunks.select(F.col("id").alias("c__"), F.col("scope").alias("s__"))
+    j = hits.withColumn("times__", times).join(c, F.col("id") == F.col("c__"), "left")
+    bad = F.col("score").isNull() | F.isnan("score") | (F.abs("score") > 1 + tolerance)
+    defect = F.when(bad, "bad_score").when(F.col("times__") > 1, "repeated").when(F.col("c__").isNull(), "unknown").when(~F.col("scope").eqNullSafe(F.col("s__")), "foreign")
+    return j.select("query", "id", defect.alias("defect")).filter("defect IS NOT NULL").distinct()
+
+
+def hydrate(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked hits (query, rank, id) with their texts, from the table and not from the index; complete is false for queries that miss one."""
+    from pyspark.sql import Window
+
+    j = ranked.join(chunks.select("id", "text"), "id", "left")
+    return j.withColumn("complete", F.every(F.col("text").isNotNull()).over(Window.partitionBy("query"))).select("query", "rank", "id", "text", "complete")
+
+
+def select_candidates(entries: DataFrame, active: DataFrame, n: int = 3) -> DataFrame:
+    """source, position, id, title: of each source's feed entries (source, position, id, title) the first n that aren't the source itself.
+
+    It is recognised by its id, or, if active (source, id, title) has none, by its title without regard to case and spacing.
+    """
+    from pyspark.sql import Window
+
+    from paperloom.functions.text import collapse
+
+    fold = lambda c: F.lower(collapse(c))
+    a = active.select("source", F.col("id").alias("a_id"), F.col("title").alias("a_title"))
+    j = entries.join(a, "source")
+    same = F.when(F.col("a_id").isNotNull(), F.col("id") == F.col("a_id")).otherwise(fold(F.col("title")) == fold(F.col("a_title")))
+    rest = j.filter(~F.coalesce(same, F.lit(False)))
+    return rest.withColumn("n__", F.row_number().over(Window.partitionBy("source").orderBy("position"))).filter(F.col("n__") <= n).select("source", "position", "id", "title")

@@ -118,3 +118,26 @@ def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours within a key with a null-safe comparison."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.lag("o_orderkey").over(w).alias("before"), (~F.col("o_orderdate").eqNullSafe(F.lag("o_orderdate").over(w))).alias("moved"))
+
+
+@query("""WITH r AS (SELECT c_custkey AS doc, c_nationkey % 5 AS owner FROM customer WHERE c_custkey % 3 = 0),
+d AS (SELECT c_custkey AS doc, CASE WHEN c_custkey % 4 = 0 THEN 9 ELSE c_nationkey % 5 END AS owner, c_acctbal > 0 AS ready, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS expected, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 2000) AS found FROM customer WHERE c_custkey % 5 <> 0)
+SELECT r.owner, r.doc, CASE WHEN d.doc IS NULL THEN 'not_found' WHEN NOT ready THEN 'not_ready' WHEN expected <> found THEN 'inconsistent' ELSE 'ready' END AS status FROM r LEFT JOIN d ON r.doc = d.doc AND r.owner = d.owner""")
+def readiness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as documents of their nation's owner, orders as parts; a fifth don't exist, a quarter are another owner's."""
+    from paperloom.operators.retrieval import readiness
+
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "doc")
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc")).agg(F.count("*").alias("expected"), F.count_if(F.col("o_totalprice") > 2000).alias("found"))
+    requests = c.filter("doc % 3 = 0").select("doc", (F.col("c_nationkey") % 5).alias("owner"))
+    docs = c.filter("doc % 5 != 0").join(o, "doc", "left").select("doc", F.when(F.col("doc") % 4 == 0, 9).otherwise(F.col("c_nationkey") % 5).alias("owner"), (F.col("c_acctbal") > 0).alias("ready"), F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found"))
+    return readiness(requests, docs, "owner", "doc")
+
+
+@query("""WITH e AS (SELECT o_orderkey AS k, o_orderpriority AS p FROM orders), o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 50 = 3 THEN 'x' ELSE o_orderpriority END AS p FROM orders WHERE o_orderkey % 40 <> 1)
+SELECT count(e.k) AS expected, count(o.k) AS observed, count(*) FILTER (o.k IS NULL) AS missing, count(*) FILTER (e.k IS NULL) AS unexpected, count(*) FILTER (e.k IS NOT NULL AND o.k IS NOT NULL AND e.p IS DISTINCT FROM o.p) AS changed,
+count(*) FILTER (o.k IS NULL OR e.k IS NULL OR e.p IS DISTINCT FROM o.p) = 0 AS publishable FROM e FULL OUTER JOIN o ON e.k = o.k""")
+def publication_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"))
+    o = e.filter("k % 40 != 1").select("k", F.when(F.col("k") % 50 == 3, "x").otherwise(F.col("p")).alias("p"))
+    return checks.publication_receipt(e, o, "k", "p")

@@ -350,3 +350,27 @@ def test_lease_stream(spark, tmp_path):
     for r in spark.table("leases").collect():
         got.setdefault(r.job, []).append((r.status, r.generation))
     assert got["a"] == [("succeeded", 1)] and got["b"][0][0] == "running" and got["d"][0] == ("running", 1)
+
+
+def test_hits(spark):
+    hits = spark.createDataFrame([(1, 10, 0.9, "a"), (1, 11, 1.5, "a"), (1, 12, 0.2, "a"), (1, 12, 0.2, "a"), (1, 13, 0.1, "a"), (1, 14, 0.1, "a")], "query int, id int, score double, scope string")
+    chunks = spark.createDataFrame([(10, "a", "t"), (11, "a", "t"), (12, "a", "t"), (14, "b", "t")], "id int, scope string, text string")
+    assert {r.id: r.defect for r in retrieval.hit_defects(hits, chunks).collect()} == {11: "bad_score", 12: "repeated", 13: "unknown", 14: "foreign"}
+    ranked = spark.createDataFrame([(1, 1, 10), (1, 2, 99), (2, 1, 12)], "query int, rank int, id int")
+    assert {(r.query, r.id, r.complete) for r in retrieval.hydrate(ranked, chunks).collect()} == {(1, 10, False), (1, 99, False), (2, 12, True)}
+
+
+def test_candidates(spark):
+    entries = spark.createDataFrame([(s, i, f"id{i}", t) for s in (1, 2) for i, t in enumerate(["A  title", "Two", "Three", "Four", "Five"])], "source int, position int, id string, title string")
+    active = spark.createDataFrame([(1, "id1", "x"), (2, None, "a TITLE")], "source int, id string, title string")
+    got = {(r.source, r.id) for r in retrieval.select_candidates(entries, active).collect()}
+    assert got == {(1, "id0"), (1, "id2"), (1, "id3"), (2, "id1"), (2, "id2"), (2, "id3")}
+
+
+def test_citation_scores(spark):
+    regions = spark.createDataFrame([("s", 1, "one line"), ("s", 1, "two lines"), ("s", 1, "one line more")], "source string, page int, quote string")
+    f = spark.createDataFrame([(1, "s", 1, "two lines"), (2, "s", 1, "line m"), (3, "s", 1, "one"), (4, "s", 2, "two lines")], "citation int, source string, page int, quote string")
+    assert {r.citation: r.exact for r in evaluate.citations_exact(f, regions).collect()} == {1: True, 2: True, 3: False, 4: False}
+    cites = spark.createDataFrame([(1, 1, 4, 3), (2, 1, 3, 3), (3, 2, 4, 3), (4, 9, 4, 3)], "citation int, message int, page int, page_index int")
+    rules = {r.citation: r.rule for r in checks.citation_rules(cites, spark.createDataFrame([(1, "completed"), (2, "running")], "message int, state string")).collect()}
+    assert rules == {2: "page", 3: "message", 4: "message"}
