@@ -40,6 +40,11 @@ K, RUN = 64, 4
 #: At a true similarity of 0.85, 64 values give an estimate under this with a chance of about 2e-7.
 LEAST_ESTIMATE = 0.6
 BLOCK = 400
+#: Within lists that stay apart, nodes are compared by the upper halves of up to WIDE values: whole sets mostly. At a true
+#: similarity of 0.85, WIDE values give an estimate under LEAST_WIDE with a chance of about 1e-7.
+WIDE, LEAST_WIDE = 512, 0.76
+#: So many ids at most (some 40 bytes each) are sent to the texts; beyond, texts and ids are joined by a shuffle.
+FEW_IDS = 100_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -69,9 +74,9 @@ def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarr
     return out
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
+def _lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, kind)])))
 
 
 def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -123,36 +128,58 @@ def verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFra
     p = scratch.save(p.select("a", "b", "n_a", "n_b", "whole"))
     large = p.filter(~F.col("whole"))
     needed = large.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = nodes.select("node", "print", "doc_id").join(needed, "node").withColumnRenamed("doc_id", "first_id")
-    texts = docs.select("doc_id", "text").join(chosen, docs["doc_id"].eqNullSafe(F.col("first_id")))
-    sets = scratch.save(full_sets(texts, width))
-    # a doc_id may be repeated with other texts: only the set with the node's print is the node's
-    sets = sets.join(chosen.select("node", "print"), ["node", "print"]).dropDuplicates(["node"]) if _repeated(docs) else sets
+    sets = scratch.save(_of_nodes(scratch, full_sets, needed, nodes, docs, width))
     items = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"i_{x}"))
     exact = large.join(items("b"), "b").join(items("a"), "a")
     exact = exact.filter(_linked(F.size(F.array_intersect("i_a", "i_b")).cast("long"), F.col("n_a"), F.col("n_b"), percent))
     return scratch.save(p.filter("whole").select("a", "b").union(exact.select("a", "b")))
 
 
+def _of_nodes(scratch: Scratch, make, needed: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """make(texts, width) for the texts of the needed nodes."""
+    chosen = scratch.save(nodes.select("node", "print", "doc_id").join(needed, "node").withColumnRenamed("doc_id", "first_id"))
+    ids = F.broadcast(chosen) if chosen.count() <= FEW_IDS else chosen
+    made = make(docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(F.col("first_id"))), width)
+    # a doc_id may be repeated with other texts: only the set with the node's print is the node's
+    return made.join(chosen.select("node", "print"), ["node", "print"]).dropDuplicates(["node"]) if _repeated(docs) else made
+
+
+def wide_sketches(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """node, print, wide: the upper 32 bits of the WIDE least values of (node, print, text), in unsigned order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 128) for i in range(0, whole.num_rows, 128)):
+                halves = [(s[:WIDE].view(np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in shingle_sets(b.column(2).to_pylist(), width)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(halves, np.int32)], names=["node", "print", "wide"])
+
+    return texts.select("node", "print", "text").mapInArrow(run, "node long, print binary, wide array<int>")
+
+
 def _repeated(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
 
 
-GROUP = "key long, block int, node long, label long, n long, at int, outside boolean, home boolean, seen boolean, sketch array<long>"
+GROUP = ["key", "block", "node", "label", "n", "at", "outside", "home", "seen", "sketch"]
 
 
 class _Block:
     """One group of rows as arrays; the sketches as a matrix of unsigned values, padded with the largest."""
 
     def __init__(self, b: pa.RecordBatch):
-        for i, name in enumerate(b.schema.names[:-1]):
-            setattr(self, name, b.column(i).to_numpy(zero_copy_only=False))
-        col = b.column(len(b.schema.names) - 1)
+        for i, name in enumerate(b.schema.names):
+            if not pa.types.is_list(b.schema.types[i]):
+                setattr(self, name, b.column(i).to_numpy(zero_copy_only=False))
+        col = b.column(b.schema.get_field_index("sketch"))
         offsets = col.offsets.to_numpy()
         values = col.values.to_numpy().view(np.uint64)
         self.size = np.diff(offsets)
         self.matrix = np.full((b.num_rows, K), np.iinfo(np.uint64).max, dtype=np.uint64)
         self.matrix[np.arange(K) < self.size[:, None]] = values[offsets[0] : offsets[-1]]
+        if (at := b.schema.get_field_index("wide")) >= 0:
+            offsets = b.column(at).offsets.to_numpy()
+            values = b.column(at).values.to_numpy().view(np.uint32)
+            self.wide = [values[a:z] for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
 
     def __len__(self) -> int:
         return len(self.node)
@@ -187,11 +214,16 @@ def _medoid(g: _Block) -> int:
     return int(min(np.flatnonzero(mean >= mean.max() - 1e-9), key=lambda i: g.node[i]))
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted arrays have in common."""
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
 def _crosswise(g: _Block, percent: int) -> list[tuple[int, int]]:
     """Pairs of an outsider and a member of another component that may be links, each under the first run it shares."""
     found = []
     filled = np.arange(K) < g.size[:, None]
-    whole = g.n <= K
     for i in np.flatnonzero(g.outside & ~g.seen):
         others = g.home & ~g.seen & (g.label != g.label[i]) & (100 * np.minimum(g.n, g.n[i]) >= percent * np.maximum(g.n, g.n[i]))
         others &= ~g.outside | (g.node > g.node[i])
@@ -209,13 +241,14 @@ def _crosswise(g: _Block, percent: int) -> list[tuple[int, int]]:
             run &= step[:, k : K - RUN + 1 + k]
         first = np.where(run.any(axis=1), run.argmax(axis=1), -1)
         ok = ((first == g.at[near]) | (g.n[near] <= 8) | (g.n[i] <= 8)) & (common >= LEAST_ESTIMATE * np.minimum(g.size[near], g.size[i]) * 0.8)
-        for j, c in zip(near[ok], common[ok], strict=True):
-            if whole[i] and whole[j]:
-                good = 100 * c >= percent * (g.n[i] + g.n[j] - c)
+        for j in near[ok]:
+            x, y = g.wide[i], g.wide[j]
+            if g.n[i] <= WIDE and g.n[j] <= WIDE:  # halves that are equal by chance only make the similarity larger
+                good = _shared(x, y) * 100 >= percent * (g.n[i] + g.n[j] - _shared(x, y))
             else:
-                union = np.union1d(mine, g.matrix[j, : g.size[j]])[:K]
-                both = np.isin(union, mine, assume_unique=True) & np.isin(union, g.matrix[j, : g.size[j]], assume_unique=True)
-                good = both.sum() >= LEAST_ESTIMATE * len(union)
+                union = np.union1d(x, y)[:WIDE]
+                both = np.isin(union, x) & np.isin(union, y)
+                good = both.sum() >= LEAST_WIDE * len(union)
             if good:
                 found.append((int(g.node[i]), int(g.node[j])))
     return found
@@ -240,12 +273,11 @@ def candidates(dealt: DataFrame, percent: int) -> DataFrame:
             if pairs := _crosswise(g, percent):
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
-    return _grouped(dealt).mapInArrow(run, "a long, b long")
+    return _grouped(dealt, "wide").mapInArrow(run, "a long, b long")
 
 
-def _grouped(dealt: DataFrame) -> DataFrame:
-    names = [c.split()[0] for c in GROUP.split(", ")]
-    return dealt.select(*names).repartition("key", "block").sortWithinPartitions("key", "block", "node")
+def _grouped(dealt: DataFrame, *more: str) -> DataFrame:
+    return dealt.select(*GROUP, *more).repartition("key", "block").sortWithinPartitions("key", "block", "node")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -302,6 +334,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
         scratch.drop(apart)
         apart = _apart(scratch, longer, labels, nodes)
     if not apart.isEmpty():
+        wide = scratch.save(_of_nodes(scratch, wide_sketches, apart.select("node").distinct(), nodes, docs, width).select("node", "wide"))
+        apart = apart.join(wide, "node")
         every = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
         dealt = apart.withColumn("block", F.explode(every)).withColumn("home", F.col("own") == F.col("block"))
         labels = _joined(scratch, labels, verified(scratch, _ordered(candidates(dealt, percent)), nodes, docs, percent, width))
