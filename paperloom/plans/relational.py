@@ -14,13 +14,12 @@ from paperloom.plans.registry import query
 CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'waiting' ELSE 'delayed' END AS state
 FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 50""")
 def library_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest fifty orders as papers. The top is cut before the semi join looks at their items."""
+    """All orders as papers, the newest first. The SQL twin still stops at fifty rows (REPLY_r01.md)."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    newest = o.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50)
     returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     status = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "waiting").otherwise("delayed")
-    flagged = relational.flag_existing(newest, returned, "o_orderkey", "published")
-    return flagged.select("o_orderkey", "c_name", "o_orderpriority", "o_totalprice", "published", status.alias("state"))
+    flagged = relational.flag_existing(o, returned, "o_orderkey", "published")
+    return flagged.orderBy(F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "c_name", "o_orderpriority", "o_totalprice", "published", status.alias("state"))
 
 
 @query("""SELECT c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
@@ -59,12 +58,12 @@ def conversation_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER w AS n, sum(size) OVER w AS total FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC))
 SELECT conv_id, turn, size FROM r WHERE n <= 6 AND total <= 1200""")
 def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a user's and the next assistant's message, newest first, at most six and 1200 characters: the first that doesn't fit ends it."""
+    """Pairs of a user's and the next assistant's message, newest first, at most six and 8000 characters: the first that doesn't fit ends it. The SQL twin still has 1200 (REPLY_r01.md)."""
     c = table(spark, sf_dir, "conversations")
     u = c.filter("role = 'user'").select("conv_id", "turn", F.char_length("text").alias("nu"))
     a = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.char_length("text").alias("na"))
     pairs = u.join(a, ["conv_id", "turn"]).select("conv_id", "turn", (F.col("nu") + F.col("na")).cast("long").alias("size"))
-    return state.running_within(pairs, "conv_id", F.desc("turn"), F.col("size"), 1200, 6)
+    return state.running_within(pairs, "conv_id", F.desc("turn"), F.col("size"), 8000, 6)
 
 
 @query("SELECT conv_id, coalesce(max(turn), 0) + 1 AS next FROM conversations GROUP BY conv_id")

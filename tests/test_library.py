@@ -374,3 +374,30 @@ def test_citation_scores(spark):
     cites = spark.createDataFrame([(1, 1, 4, 3), (2, 1, 3, 3), (3, 2, 4, 3), (4, 9, 4, 3)], "citation int, message int, page int, page_index int")
     rules = {r.citation: r.rule for r in checks.citation_rules(cites, spark.createDataFrame([(1, "completed"), (2, "running")], "message int, state string")).collect()}
     assert rules == {2: "page", 3: "message", 4: "message"}
+
+
+# whole jobs of queries whose SQL twin still does a part, against plain Python
+
+
+def rows_of(data, sql):
+    con = duckdb.connect()
+    for f in glob.glob(f"{data}/*.parquet"):
+        con.execute(f"create view {f.split('/')[-1][:-8]} as select * from '{f}'")
+    return con.execute(sql).fetchall()
+
+
+def test_library_listing_whole(spark, data):
+    returned = {k for (k,) in rows_of(data, "SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")}
+    orders = rows_of(data, "SELECT o_orderdate, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey")
+    want = [(k, k in returned) for _, k in sorted(orders, key=lambda r: (-r[0].toordinal(), r[1]))]
+    assert len(want) > 50
+    assert [(r.o_orderkey, r.published) for r in registry.QUERIES["library_listing"](spark, data).collect()] == want
+
+
+def test_history_window_whole(spark, tmp_path):
+    """Pairs of 3000 characters: two fit into 8000, none into 1200; one of 8001 ends the window; six pairs at most."""
+    sizes = {1: [3000, 3000, 3000], 2: [10, 8001, 10], 3: [10] * 8, 4: [8000]}
+    turns = [(c, 2 * i + j, ("user", "assistant")[j], "x" * (n - 1 if j else 1)) for c, s in sizes.items() for i, n in enumerate(s) for j in (0, 1)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r.conv_id, r.turn, r["size"]) for r in registry.QUERIES["history_window"](spark, str(tmp_path)).collect())
+    assert got == [(1, 2, 3000), (1, 4, 3000), (2, 4, 10), *[(3, 2 * i, 10) for i in range(2, 8)], (4, 0, 8000)]
