@@ -401,3 +401,11 @@ def test_history_window_whole(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted((r.conv_id, r.turn, r["size"]) for r in registry.QUERIES["history_window"](spark, str(tmp_path)).collect())
     assert got == [(1, 2, 3000), (1, 4, 3000), (2, 4, 10), *[(3, 2 * i, 10) for i in range(2, 8)], (4, 0, 8000)]
+
+
+def test_unknown_aware_totals_whole(spark, data):
+    seen = {}
+    for source, quality in rows_of(data, "SELECT d.source, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)"):
+        seen.setdefault(source, []).append(quality)
+    want = {s: (len(q), len([x for x in q if x is not None]), None if None in q else sum(q)) for s, q in seen.items()}
+    assert {r.source: (r.n, r.known, r.total) for r in registry.QUERIES["unknown_aware_totals"](spark, data).collect()} == want
