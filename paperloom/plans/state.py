@@ -131,7 +131,8 @@ def monotone_usage_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH h AS (SELECT user_id, event_type, ts, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE event_id % 10 = 0) SELECT user_id, event_id FROM h WHERE before IS NOT NULL AND before IS DISTINCT FROM event_type""")
 def immutable_fact_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.changed_facts(table(spark, sf_dir, "events").filter("event_id % 10 = 0"), "user_id", "event_id", "event_type")
+    """Every event against the user's event before it. The SQL twin still takes every tenth event (REPLY_r01.md)."""
+    return checks.changed_facts(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
 @query("""SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(value) AS n FROM events""")

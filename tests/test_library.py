@@ -409,3 +409,20 @@ def test_unknown_aware_totals_whole(spark, data):
         seen.setdefault(source, []).append(quality)
     want = {s: (len(q), len([x for x in q if x is not None]), None if None in q else sum(q)) for s, q in seen.items()}
     assert {r.source: (r.n, r.known, r.total) for r in registry.QUERIES["unknown_aware_totals"](spark, data).collect()} == want
+
+
+def test_immutable_fact_changes_whole(spark, data):
+    last, want = {}, []
+    for user, event, kind in sorted(rows_of(data, "SELECT user_id, event_id, event_type FROM events"), key=lambda r: r[:2]):
+        if user in last and last[user] != kind:
+            want.append((user, event))
+        last[user] = kind
+    assert sorted(map(tuple, registry.QUERIES["immutable_fact_changes"](spark, data).collect())) == sorted(want)
+
+
+def test_array_overlap_violations_whole(spark, data):
+    n = {}
+    for supplier, part, _ in set(rows_of(data, "SELECT l_suppkey, l_partkey, l_orderkey FROM lineitem")):
+        n[supplier, part] = n.get((supplier, part), 0) + 1
+    want = {(*k, v) for k, v in n.items() if v > 1}
+    assert {(r.scope, r.element, r.n) for r in registry.QUERIES["array_overlap_violations"](spark, data).collect()} == want
