@@ -69,6 +69,16 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def text_tag(text: Column) -> Column:
+    """Tells texts apart; null is the empty text."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def repeated_ids(docs: DataFrame) -> bool:
+    """Is there a doc_id, null included, that several rows have?"""
+    return docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

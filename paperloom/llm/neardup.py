@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, rows_of
+from paperloom.llm.common import Scratch, repeated_ids, rows_of, text_tag
 from paperloom.llm.components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -80,16 +80,17 @@ def _lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.Array:
 
 
 def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, n (size of the set), print (128-bit digest of the set), sketch (its K least values, in unsigned order)."""
+    """doc_id, n (size of the set), print (128-bit digest of the set), sketch (its K least values, in unsigned order); tag if docs has it."""
+    tagged = ["tag"] if "tag" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 sets = shingle_sets(b.column(1).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _lists([s[:K] for s in sets])], names=["doc_id", "n", "print", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _lists([s[:K] for s in sets]), *b.columns[2:]], names=["doc_id", "n", "print", "sketch", *tagged])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows_of(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, print binary, sketch array<long>")
+    return rows_of(docs, "doc_id", "text", *tagged).mapInArrow(run, f"doc_id {kind}, n long, print binary, sketch array<long>" + ", tag string" * len(tagged))
 
 
 def full_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -137,11 +138,16 @@ def verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFra
 
 def _of_nodes(scratch: Scratch, make, needed: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """make(texts, width) for the texts of the needed nodes."""
-    chosen = scratch.save(nodes.select("node", "print", "doc_id").join(needed, "node").withColumnRenamed("doc_id", "first_id"))
+    # a doc_id may be repeated with other texts: then only the text with the node's tag is the node's
+    tagged = ["tag"] if "tag" in docs.columns else []
+    first = [F.col(c).alias(f"first_{c}") for c in ["doc_id", *tagged]]
+    chosen = scratch.save(nodes.join(needed, "node").select("node", "print", *first))
     ids = F.broadcast(chosen) if chosen.count() <= FEW_IDS else chosen
-    made = make(docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(F.col("first_id"))), width)
-    # a doc_id may be repeated with other texts: only the set with the node's print is the node's
-    return made.join(chosen.select("node", "print"), ["node", "print"]).dropDuplicates(["node"]) if _repeated(docs) else made
+    same = docs["doc_id"].eqNullSafe(F.col("first_doc_id"))
+    for c in tagged:
+        same &= docs[c] == F.col(f"first_{c}")
+    made = make(docs.join(ids, same), width)
+    return made.dropDuplicates(["node"]) if tagged else made
 
 
 def wide_sketches(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -156,10 +162,6 @@ def wide_sketches(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
     return texts.select("node", "print", "text").mapInArrow(run, "node long, print binary, wide array<int>")
 
 
-def _repeated(docs: DataFrame) -> bool:
-    return docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-
-
 GROUP = ["key", "block", "node", "label", "n", "at", "outside", "home", "seen", "sketch"]
 
 
@@ -309,12 +311,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     texts without words are linked with nothing. Null texts have no words. Null ids are reachable but
     never the smallest unless alone. Repeated rows are equal sets. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
     docs = rows_of(docs, id_col, text_col).toDF("doc_id", "text")
+    if repeated_ids(docs):
+        docs = docs.withColumn("tag", text_tag(F.col("text")))
+    out = _verdicts(docs, percent, width)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _verdicts(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """doc_id, n, component_id, label (of the component; null without words) of rows (doc_id, text); with tag, which they must have if ids are repeated."""
+    scratch = Scratch(docs.sparkSession, "neardup")
+    tagged = ["tag"] if "tag" in docs.columns else []
     rows = scratch.save(sketches(docs, width))
     some = rows.filter("n > 0")
-    groups = some.groupBy("print", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")) if tagged else F.struct(F.min("doc_id").alias("doc_id"))
+    groups = some.groupBy("print", "n").agg(least.alias("least"), F.first("sketch").alias("sketch"))
+    groups = groups.select("print", "n", *[F.col(f"least.{c}").alias(c) for c in ["doc_id", *tagged]], "sketch")
     nodes = scratch.save(groups.withColumn("node", F.monotonically_increasing_id()))
     postings = nodes.select("node", F.explode(run_keys(F.col("sketch"), F.col("n"))).alias("r")).select("node", "r.key", "r.at")
     lists = postings.groupBy("key").agg(F.count("*").alias("length"), F.min("node").alias("low"), F.max("node").alias("high"))
@@ -341,7 +353,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
         labels = _joined(scratch, labels, verified(scratch, _ordered(candidates(dealt, percent)), nodes, docs, percent, width))
     found = nodes.select("print", "n", "node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    known = found.join(least, "label").select("print", "n", "component_id")
-    out = some.select("doc_id", "n", "print").join(known, ["print", "n"]).select("doc_id", "n", "component_id")
-    out = out.unionByName(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    known = found.join(least, "label").select("print", "n", "component_id", "label")
+    out = some.select("doc_id", "n", "print", *tagged).join(known, ["print", "n"]).select("doc_id", "n", "component_id", "label", *tagged)
+    return out.unionByName(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"), *tagged))

@@ -200,6 +200,28 @@ def test_neardup_chain_and_crowd(spark):
     assert got == set(brute_components(rows))
 
 
+@pytest.mark.parametrize("ids", [lambda i: i // 5, lambda i: None if i % 3 else i, lambda i: None])
+def test_neardup_repeated_ids(spark, ids):
+    """Long near copies under ids that other texts have too, or under none; some are linked by a medoid or within their list only."""
+    import random
+
+    rnd = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    made = []
+    for _ in range(6):
+        base = [rnd.choice(vocabulary) for _ in range(200)]
+        for i in range(12):
+            w = list(base)
+            for _ in range(rnd.choice([1, 3, 5, 7, 9])):
+                w[rnd.randrange(200)] = f"own{i}x{rnd.randrange(99)}"
+            made.append(" ".join(w))
+    rnd.shuffle(made)
+    rows = [(ids(i), t) for i, t in enumerate(made)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(d).collect())
+    assert got == collections.Counter(brute_components(rows))
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 9), (9, 8), (20, 21), (21, 22), (22, 20), (4, 30), (5, 5)]
     got = {(r.node, r.label) for r in components.components(common.Scratch(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect()}
