@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, ascii_lower, rows_of
+from paperloom.llm.common import Scratch, ascii_lower, repeated_ids, rows_of, text_tag
 
 BLOCK_BYTES = 4096
 KEY = ["doc_id", "tag", "n_bytes"]
@@ -99,12 +99,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; rows repeating an id and a text are reduced to one."""
-    return keep_ids(docs, exact_dedup(docs).filter("kept").select("doc_id"))
+    kept = exact_dedup(docs).filter("kept")
+    if not repeated_ids(docs):
+        return keep_ids(docs, kept)
+    return keep_texts(docs, kept.withColumnRenamed("text_sha256", "tag"), text_tag(ascii_lower(F.coalesce(F.col("text"), F.lit("")))))
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids, one row for each id."""
+    """Rows of docs, whose ids are unique, with a doc_id in ids."""
     once = ids.select(F.col("doc_id").alias("keep_id__")).distinct()
-    out = docs.join(once, docs["doc_id"].eqNullSafe(once["keep_id__"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    return docs.join(once, docs["doc_id"].eqNullSafe(once["keep_id__"]), "left_semi")
+
+
+def keep_texts(docs: DataFrame, kept: DataFrame, tag: Column) -> DataFrame:
+    """Rows of docs whose doc_id and tag of the text are in kept (doc_id, tag), one row for each."""
+    once = kept.select(F.col("doc_id").alias("keep_id__"), F.col("tag").alias("keep_tag__")).distinct()
+    tagged = docs.withColumn("tag__", tag)
+    out = tagged.join(once, tagged["doc_id"].eqNullSafe(once["keep_id__"]) & (tagged["tag__"] == once["keep_tag__"]), "left_semi")
+    return out.dropDuplicates(["doc_id", "tag__"]).drop("tag__")

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import Scratch, repeated_ids, rows_of, text_tag
 from paperloom.llm.components import components
+from paperloom.llm.exact_dedup import keep_ids, keep_texts
 
 SHINGLE, PERCENT = 3, 85
 K, RUN = 64, 4
@@ -356,3 +357,15 @@ def _verdicts(docs: DataFrame, percent: int, width: int) -> DataFrame:
     known = found.join(least, "label").select("print", "n", "component_id", "label")
     out = some.select("doc_id", "n", "print", *tagged).join(known, ["print", "n"]).select("doc_id", "n", "component_id", "label", *tagged)
     return out.unionByName(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"), *tagged))
+
+
+def kept_documents(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
+    """The rows of docs that stay, with all their columns: one for each component; of those without words, one for each id and text."""
+    if not repeated_ids(docs):
+        return keep_ids(docs, near_duplicates(docs, percent, width).filter("kept"))
+    tag = text_tag(F.col("text"))
+    found = _verdicts(rows_of(docs, "doc_id", "text").withColumn("tag", tag), percent, width)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # rows of one component that share its id, or have none, are near copies too
+    once = stay.filter("label IS NOT NULL").groupBy("label").agg(F.first("doc_id").alias("doc_id"), F.min("tag").alias("tag"))
+    return keep_texts(docs, once.select("doc_id", "tag").union(stay.filter("label IS NULL").select("doc_id", "tag")), tag)

@@ -448,6 +448,24 @@ def test_toxicity(spark, docs, none):
 # pipeline
 
 
+def test_stages_keep_texts_of_repeated_ids(spark, data):
+    """Two texts under one id, several null ids, and a dropped copy under the id of a text that stays."""
+    import corpus_pipeline
+
+    words = lambda w, n: " ".join(f"{w}{i}" for i in range(n))
+    a, b, c, d, e, f = (words(x, 120) for x in "abcdef")
+    rows = [(1, a), (1, b), (1, b.upper()), (2, a), (None, c), (None, d), (None, d), (3, e), (3, e + " end"), (None, f), (None, f + " end"), (4, c + " end"), (5, ""), (6, None), (None, " ")]
+    t = spark.createDataFrame([(i, x, "s", k) for k, (i, x) in enumerate(rows)], "doc_id long, text string, source string, k int").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    exact = stages["exact_dedup"](spark, t, data)
+    got = sorted((repr(r.doc_id), lower(r.text)) for r in exact.collect())
+    assert exact.columns == t.columns
+    # a goes to id 2, the empty text to 6; each other text stays once under its id
+    assert got == sorted((repr(i), x) for i, x in [(1, b), (2, a), (None, c), (None, d), (3, e), (3, e + " end"), (None, f), (None, f + " end"), (4, c + " end"), (6, ""), (None, " ")])
+    near = stages["near_dedup"](spark, exact, data).collect()
+    assert collections.Counter((r.doc_id, lower(r.text)[:2]) for r in near) == {(1, "b0"): 1, (2, "a0"): 1, (4, "c0"): 1, (None, "d0"): 1, (3, "e0"): 1, (None, "f0"): 1, (6, ""): 1, (None, " "): 1}
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
