@@ -36,11 +36,13 @@ i AS (SELECT *, CASE WHEN lag(span) OVER w = span AND lag(source_stop) OVER w =
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS island FROM i)
 SELECT doc_id, span, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop, CAST(min(source_start) AS BIGINT) AS source_start, CAST(max(source_stop) AS BIGINT) AS source_stop FROM g GROUP BY doc_id, span, island""")
 def fragment_overlap_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as fragments (three to a span; sources of two successive lines touch or leave a gap), requested [100, 700)."""
+    """Lines as fragments (three to a span; sources of two successive lines leave a gap), requested in two halves of each text: the line that is cut is one again. The SQL twin still has [100, 700) (REPLY_r01.md)."""
     lines = _lines(table(spark, sf_dir, "documents"))
     src = 1000 + F.col("start") + F.floor(F.col("n") / 2)
     intervals = lines.select("doc_id", F.floor(F.col("n") / 3).alias("span"), "start", "stop", src.alias("source_start"))
-    requests = table(spark, sf_dir, "documents").select("doc_id", F.lit(100).alias("lo"), F.lit(700).alias("hi")).distinct()
+    length, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
+    halves = F.array(F.struct(F.lit(0).alias("lo"), half.alias("hi")), F.struct(half.alias("lo"), length.alias("hi")))
+    requests = table(spark, sf_dir, "documents").select("doc_id", F.inline(halves)).distinct()
     return provenance.merge_adjacent(provenance.clip(intervals, requests, "doc_id"), "doc_id")
 
 
@@ -86,8 +88,8 @@ v AS (SELECT doc_id, list_slice(list_filter(a, lambda x, i: list_position(a, x)
 w AS (SELECT doc_id, a, list_slice(list_filter(b, lambda x, i: list_position(b, x) = i AND NOT list_contains(a, x)), 1, 8) AS b FROM v)
 SELECT doc_id, '(' || array_to_string(list_transform(a, lambda x: 'all:"' || x || '"'), ' OR ') || ')' || CASE WHEN len(b) = 0 THEN '' ELSE ' AND (' || array_to_string(list_transform(b, lambda x: 'abs:"' || x || '"'), ' OR ') || ')' END AS query FROM w WHERE len(a) > 0""")
 def related_terms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 90 characters as title, the next 400 as abstract."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.left(T.collapse(F.col("text")), F.lit(90)).alias("title"), F.substring("text", 91, 400).alias("abstract"))
+    """The first 90 characters as title, all the others as abstract. The SQL twin still reads 400 of them (REPLY_r01.md)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.left(T.collapse(F.col("text")), F.lit(90)).alias("title"), F.substring(F.col("text"), F.lit(91), F.char_length("text")).alias("abstract"))
     a = d.filter(T.usable_title(F.col("title"))).withColumn("a", T.distinct_terms(F.col("title"), 12)).filter(F.size("a") > 0)
     b = a.withColumn("b", T.distinct_terms(F.col("abstract"), 8, F.col("a")))
     ored = lambda c, field: F.concat(F.lit("("), F.array_join(F.transform(c, lambda x: F.concat(F.lit(f'{field}:"'), x, F.lit('"'))), " OR "), F.lit(")"))

@@ -426,3 +426,21 @@ def test_array_overlap_violations_whole(spark, data):
         n[supplier, part] = n.get((supplier, part), 0) + 1
     want = {(*k, v) for k, v in n.items() if v > 1}
     assert {(r.scope, r.element, r.n) for r in registry.QUERIES["array_overlap_violations"](spark, data).collect()} == want
+
+
+def test_fragment_overlap_clip_whole(spark, data):
+    want = []
+    for doc, text in rows_of(data, "SELECT doc_id, text FROM documents WHERE text IS NOT NULL"):
+        start = 0
+        for n, line in enumerate(text.split("\n")):
+            stop, src = start + len(line), 1000 + start + n // 2
+            if line:
+                want.append((doc, n // 3, start, stop, src, src + len(line)))
+            start = stop + 1
+    got = registry.QUERIES["fragment_overlap_clip"](spark, data).select("doc_id", "span", "start", "stop", "source_start", "source_stop").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_related_terms_query_whole(spark, tmp_path):
+    spark.createDataFrame([(1, "alpha " * 100 + "zebra")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.QUERIES["related_terms_query"](spark, str(tmp_path)).first().query == '(all:"alpha") AND (abs:"zebra")'
