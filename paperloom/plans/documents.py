@@ -169,4 +169,5 @@ def feed_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT id, n FROM (SELECT id, count(*) AS n FROM (SELECT page_id AS id FROM pages UNION ALL SELECT doc_id FROM documents WHERE doc_id % 3 = 0) GROUP BY id) WHERE n <> 1""")
 def union_identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.one_owner(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id")), table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id")), "id")
+    """Ids of all pages and documents. The SQL twin still takes a third of the documents (REPLY_r01.md)."""
+    return checks.one_owner(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id")), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id")

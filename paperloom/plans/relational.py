@@ -123,12 +123,12 @@ def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT c_custkey AS doc, CASE WHEN c_custkey % 4 = 0 THEN 9 ELSE c_nationkey % 5 END AS owner, c_acctbal > 0 AS ready, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS expected, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 2000) AS found FROM customer WHERE c_custkey % 5 <> 0)
 SELECT r.owner, r.doc, CASE WHEN d.doc IS NULL THEN 'not_found' WHEN NOT ready THEN 'not_ready' WHEN expected <> found THEN 'inconsistent' ELSE 'ready' END AS status FROM r LEFT JOIN d ON r.doc = d.doc AND r.owner = d.owner""")
 def readiness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as documents of their nation's owner, orders as parts; a fifth don't exist, a quarter are another owner's."""
+    """Customers as documents of their nation's owner, orders as parts; all are asked for, a fifth don't exist, a quarter are another owner's. The SQL twin still asks for a third (REPLY_r01.md)."""
     from paperloom.operators.retrieval import readiness
 
     c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "doc")
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc")).agg(F.count("*").alias("expected"), F.count_if(F.col("o_totalprice") > 2000).alias("found"))
-    requests = c.filter("doc % 3 = 0").select("doc", (F.col("c_nationkey") % 5).alias("owner"))
+    requests = c.select("doc", (F.col("c_nationkey") % 5).alias("owner"))
     docs = c.filter("doc % 5 != 0").join(o, "doc", "left").select("doc", F.when(F.col("doc") % 4 == 0, 9).otherwise(F.col("c_nationkey") % 5).alias("owner"), (F.col("c_acctbal") > 0).alias("ready"), F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found"))
     return readiness(requests, docs, "owner", "doc")
 

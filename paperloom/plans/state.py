@@ -83,8 +83,10 @@ s AS (SELECT unnest({_STAGE_SQL}) AS stage, unnest(range(6)) AS n), u AS (SELECT
 f AS (SELECT user_id, min(n) AS n FROM u, s WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.user_id = u.user_id AND m.stage = s.stage) GROUP BY user_id)
 SELECT u.user_id, coalesce({_STAGE_SQL}[f.n + 1], 'indexing') AS stage FROM u LEFT JOIN f USING (user_id)""")
 def resume_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a manifest of a stage; users differ in how far they can get. The SQL twin still leaves events out (REPLY_r01.md)."""
     e = _events(spark, sf_dir)
-    m = e.filter("k % 13 < 9 AND event_id % 5 = 0").select("user_id", F.element_at(F.array(*map(F.lit, state.STAGES)), F.col("k") % 6 + 1).alias("stage"))
+    at = F.least(F.col("k") % 6, F.col("user_id") % 7).cast("int")
+    m = e.select("user_id", F.element_at(F.array(*map(F.lit, state.STAGES)), at + 1).alias("stage"))
     return state.resume_stage(m, e.select("user_id").distinct(), "user_id")
 
 

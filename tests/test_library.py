@@ -444,3 +444,26 @@ def test_fragment_overlap_clip_whole(spark, data):
 def test_related_terms_query_whole(spark, tmp_path):
     spark.createDataFrame([(1, "alpha " * 100 + "zebra")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert registry.QUERIES["related_terms_query"](spark, str(tmp_path)).first().query == '(all:"alpha") AND (abs:"zebra")'
+
+
+def test_union_identity_check_whole(spark, data):
+    n = {}
+    for (i,) in rows_of(data, "SELECT page_id FROM pages") + rows_of(data, "SELECT doc_id FROM documents"):
+        n[i] = n.get(i, 0) + 1
+    got = registry.QUERIES["union_identity_check"](spark, data).collect()
+    assert {tuple(r) for r in got} == {(i, k) for i, k in n.items() if k != 1}
+
+
+def test_resume_stage_whole(spark, data):
+    done = {}
+    for user, k in rows_of(data, "SELECT user_id, CAST(json_extract(props, '$.k') AS INTEGER) FROM events"):
+        done.setdefault(user, set()).add(min(k % 6, user % 7))
+    want = {u: state.STAGES[min((i for i in range(6) if i not in d), default=5)] for u, d in done.items()}
+    assert {r.user_id: r.stage for r in registry.QUERIES["resume_stage"](spark, data).collect()} == want
+    assert len(set(want.values())) > 2
+
+
+def test_readiness_gate_whole(spark, data):
+    got = registry.QUERIES["readiness_gate"](spark, data).collect()
+    assert sorted(r.doc for r in got) == sorted(i for (i,) in rows_of(data, "SELECT c_custkey FROM customer"))
+    assert len({r.status for r in got}) > 2
