@@ -6,7 +6,7 @@ others go through the merge rule, with a heap of candidate merges over a doubly
 parts; a long run of letters costs n log n. A bounded memo keeps the results of short pre-tokens.
 
 Documents are encoded where they are read (mapInArrow): no shuffle, no state between rows but the
-memo. The rank table (under 1 MB) is the only thing that is sent to executors.
+memo. The rank table (under 1 MB) and three patterns are all that is sent to executors.
 """
 
 from __future__ import annotations
@@ -43,6 +43,12 @@ def vocabulary(path: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def default_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
     h = h ^ np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & _MASK)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -99,8 +105,8 @@ LOW = 0x250
 
 
 @functools.cache
-def splitters(pattern: str) -> tuple[re.Pattern, regex.Pattern, regex.Pattern, re.Pattern, regex.Pattern | None]:
-    """(for low texts, for others, for texts with odd characters, what isn't low, what is odd).
+def split_patterns(pattern: str) -> tuple[str, str, str, str]:
+    """The patterns for low texts, for others, for texts with odd characters, and of what is odd (empty: nothing). Made by the driver.
 
     The regex engines carry different Unicode editions. The target's classes are read from the
     target library itself; a character on which they differ sends its text to the third pattern.
@@ -123,19 +129,16 @@ def splitters(pattern: str) -> tuple[re.Pattern, regex.Pattern, regex.Pattern, r
         low = re.sub(rf"(?<!\[)(?<!\[\^){re.escape(kind)}(?![^\[]*\])", lambda _, x=here: f"[{x}]", low)  # on its own
         low = low.replace(kind, here)  # within a class
     low = low.replace(r"\S", f"[^{_ranges(c for c in regex.findall(r'\s', every) if ord(c) < LOW)}]")
-    need = regex.compile(f"[{_ranges(odd)}]") if odd else None
-    return re.compile(low), regex.compile(pattern), regex.compile("(?V1)" + careful), re.compile(f"[^\\x00-\\u{LOW - 1:04x}]"), need
+    return low, pattern, "(?V1)" + careful, f"[{_ranges(odd)}]" if odd else ""
 
 
 class Encoder:
     """encode(text) -> ids, decode(ids) -> bytes. Special tokens are ordinary text."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str | None = None):
-        if pattern is None:
-            import public_tokenizers
-
-            pattern = public_tokenizers.PATTERN
-        self.ranks, self.pattern = ranks, pattern
+    def __init__(self, ranks: dict[bytes, int], patterns: tuple[str, str, str, str] | None = None):
+        low, plain, careful, odd = patterns or split_patterns(default_pattern())
+        self.low, self.plain, self.careful = re.compile(low), regex.compile(plain), regex.compile(careful)
+        self.high, self.odd = re.compile(f"[^\\x00-\\u{LOW - 1:04x}]"), regex.compile(odd) if odd else None
         tokens = list(ranks)
         keys = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
         self.mph = MinimalPerfectHash(keys)
@@ -159,10 +162,9 @@ class Encoder:
         self.older: dict[str, tuple[int, ...]] = {}
 
     def split(self, text: str) -> list[str]:
-        low, plain, careful, high, odd = splitters(self.pattern)
-        if text.isascii() or not high.search(text):
-            return low.findall(text)
-        return (careful if odd and odd.search(text) else plain).findall(text)
+        if text.isascii() or not self.high.search(text):
+            return self.low.findall(text)
+        return (self.careful if self.odd and self.odd.search(text) else self.plain).findall(text)
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """The lowest-ranked adjacent pair is merged first, the leftmost of equals.
@@ -241,11 +243,11 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(packed: tuple[tuple[bytes, int], ...], pattern: str | None) -> Encoder:
+def encoder(packed: tuple[tuple[bytes, int], ...], patterns: tuple[str, str, str, str]) -> Encoder:
     """One encoder for each Python worker and vocabulary, kept between tasks."""
-    key = (len(packed), hash(packed), pattern)
+    key = (len(packed), hash(packed), patterns)
     if key not in _encoders:
-        _encoders[key] = Encoder(dict(packed), pattern)
+        _encoders[key] = Encoder(dict(packed), patterns)
     return _encoders[key]
 
 
@@ -253,30 +255,49 @@ def encoder(packed: tuple[tuple[bytes, int], ...], pattern: str | None) -> Encod
 GROUP_ROWS, GROUP_CHARS = 256, 4_000_000
 
 
-def _mapped(docs: DataFrame, schema: str, rows, columns: dict[str, pa.DataType], ranks, pattern, source: str) -> DataFrame:
-    """rows(encoder, values) gives the columns after doc_id, for a group of rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple((ranks or vocabulary()).items()))
+def _mapped(docs: DataFrame, schema: str, rows, columns: dict[str, pa.DataType], ranks, pattern, source: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, then what rows(encoder, values) gives for a group of rows."""
+    shared = docs.sparkSession.sparkContext.broadcast((tuple((ranks or vocabulary()).items()), split_patterns(pattern or default_pattern())))
+    n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(shared.value, pattern)
+        enc = encoder(*shared.value)
         for b in batches:
-            step = max(1, min(GROUP_ROWS, GROUP_CHARS * b.num_rows // max(1, b.column(1).nbytes)))
+            step = max(1, min(GROUP_ROWS, GROUP_CHARS * b.num_rows // max(1, b.column(n).nbytes)))
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
-                cols = rows(enc, part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, columns.values(), strict=True))], names=["doc_id", *columns])
+                cols = rows(enc, part.column(n).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array(c, t) for c, t in zip(cols, columns.values(), strict=True))], names=[*keep, *columns])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows_of(docs, "doc_id", source).mapInArrow(run, f"doc_id {id_type}, {schema}")
+    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return rows_of(docs, *keep, source).mapInArrow(run, f"{kept}, {schema}")
+
+
+def _sha(b: bytes) -> str:
+    return hashlib.sha256(b).hexdigest()
 
 
 def _texts(values: list[str | None]) -> list[str]:
     return [v or "" for v in values]
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None, text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int>: one row per row of docs; null text encodes as empty."""
-    return _mapped(docs, "ids array<int>", lambda e, v: [e.encode_all(_texts(v))], {"ids": pa.list_(pa.int32())}, ranks, pattern, text_col)
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep..., ids array<int>: one row per row of docs, repeated ones too.
+
+    Null and empty texts have no ids; long texts are encoded whole. An empty table gives an empty
+    result. Columns that aren't kept are never looked at.
+    """
+    return _mapped(docs, "ids array<int>", lambda e, v: [e.encode_all(_texts(v))], {"ids": pa.list_(pa.int32())}, ranks, pattern, text_col, keep)
+
+
+def tokenized(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep..., n_tokens, ids array<int>, decoded_sha256: encode_documents, and the digest of what the ids decode to."""
+
+    def rows(enc: Encoder, values: list[str | None]):
+        every = enc.encode_all(_texts(values))
+        return [list(map(len, every)), every, [_sha(enc.decode(ids)) for ids in every]]
+
+    return _mapped(docs, "n_tokens long, ids array<int>, decoded_sha256 string", rows, {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded_sha256": pa.string()}, ranks, pattern, "text", keep)
 
 
 def decode_documents(encoded: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
@@ -292,12 +313,11 @@ def count_tokens(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern
 def round_trip(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: each text is encoded, and its ids decoded again.
 
-    ids_sha256 is over the decimal ids joined by one space. One row per row of docs; null text is empty.
+    ids_sha256 is over the decimal ids joined by one space. One row per row of docs, as in encode_documents.
     """
 
     def rows(enc: Encoder, values: list[str | None]):
         every = enc.encode_all(_texts(values))
-        sha = lambda b: hashlib.sha256(b).hexdigest()
-        return [list(map(len, every)), [sha(enc.decimal(ids).encode()) for ids in every], [sha(enc.decode(ids)) for ids in every]]
+        return [list(map(len, every)), [_sha(enc.decimal(ids).encode()) for ids in every], [_sha(enc.decode(ids)) for ids in every]]
 
     return _mapped(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", rows, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, ranks, pattern, "text")

@@ -18,11 +18,13 @@ _local_root: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one if all of Spark is on this machine (tests), else an error."""
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="paperloom-")
         atexit.register(shutil.rmtree, _local_root, True)

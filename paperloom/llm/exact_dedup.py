@@ -98,7 +98,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows repeating an id and a text are reduced to one."""
+    """The rows of docs that stay, with all their columns; rows repeating an id and a text are reduced to one.
+
+    Rows are told apart by id and text: texts under one id, and rows without an id, each keep their own verdict.
+    """
     kept = exact_dedup(docs).filter("kept")
     if not repeated_ids(docs):
         return keep_ids(docs, kept)

@@ -1,8 +1,8 @@
 """Language identification by language-bitmask n-gram filters.
 
-One bit-sliced Bloom filter serves all languages: each slot is a mask with one bit for each language,
-and an n-gram sets its language's bit in K slots. The AND of the K slots of an n-gram of a text is
-the set of languages that contain it. Per language the hits are counted, corrected for the share
+One bit-sliced Bloom filter serves all languages: each slot is a mask with one bit for each language
+(of several words where there are more than 64), and an n-gram sets its language's bit in HASHES slots.
+The AND of an n-gram's slots is the set of languages that contain it. Per language the hits are counted, corrected for the share
 that false positives add, and weighed by how few languages a hit leaves open; the best one decides.
 
 Learning: each task counts byte n-grams of its documents by language (exact 64-bit codes of 6 bytes),
@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,33 +73,38 @@ def slots(codes: np.ndarray, size: int) -> Iterator[np.ndarray]:
 
 
 class Filter:
-    """Slots of language masks, the languages, and each language's share of false positives."""
+    """Words of slots of language masks, the languages, and each language's share of false positives."""
 
     def __init__(self, by_language: dict[str, np.ndarray]):
         self.languages = sorted(by_language)
-        if len(self.languages) > 64:
-            raise ValueError("a mask holds 64 languages")
         most = max([1, *(len(g) for g in by_language.values())])
         self.size = 1 << int(np.ceil(np.log2(most * SLOTS_PER_GRAM)))
-        width = next(t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(self.languages) <= bits)
-        self.table = np.zeros(self.size, dtype=width)
-        for bit, name in enumerate(self.languages):
+        width = next(t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(self.languages) <= bits or bits == 64)
+        self.bits = np.dtype(width).itemsize * 8
+        self.words = [np.zeros(self.size, dtype=width) for _ in range(0, len(self.languages), self.bits)]
+        for i, name in enumerate(self.languages):
             for at in slots(by_language[name], self.size):
-                self.table[at] |= width(1 << bit)
-        self.false = [float(np.mean(self.table >> width(bit) & width(1))) ** HASHES for bit in range(len(self.languages))]
+                self.words[i // self.bits][at] |= width(1 << i % self.bits)
+        self.false = [float(np.mean(self.bit(self.words, i))) ** HASHES for i in range(len(self.languages))]
 
-    def masks(self, codes: np.ndarray) -> np.ndarray:
-        """For each n-gram, all languages that contain it (and, rarely, one that doesn't)."""
-        out = None
+    def bit(self, words: list[np.ndarray], language: int) -> np.ndarray:
+        """1 where the masks hold the language, else 0."""
+        w = words[language // self.bits]
+        return w >> w.dtype.type(language % self.bits) & w.dtype.type(1)
+
+    def masks(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each n-gram, all languages that contain it (and, rarely, one that doesn't), in words."""
+        out: list[np.ndarray] = []
         for at in slots(codes, self.size):
-            out = self.table[at] if out is None else out & self.table[at]
+            out = [m & w[at] for m, w in zip(out, self.words, strict=True)] if out else [w[at] for w in self.words]
         return out
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Corrected weight of hits by text and language."""
-        mask = self.masks(grams(data))
-        mask[~_inside(offsets, N)] = 0
-        bits = [((mask >> mask.dtype.type(b)) & mask.dtype.type(1)).astype(np.float64) for b in range(len(self.languages))]
+        masks, outside = self.masks(grams(data)), ~_inside(offsets, N)
+        for m in masks:
+            m[outside] = 0
+        bits = [self.bit(masks, i).astype(np.float64) for i in range(len(self.languages))]
         open_ = np.maximum(sum(bits), 1)
         n = np.diff(offsets).astype(np.float64)
         cols = []
@@ -145,10 +149,13 @@ def learn(docs: DataFrame, min_share: float = MIN_SHARE) -> Filter:
     scratch = Scratch(docs.sparkSession, "langid")
     saved = scratch.save(counted)
     totals = saved.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = saved.join(F.broadcast(totals), "lang").filter(F.col("n") >= F.greatest(F.lit(2), F.col("total") * min_share)).select("lang", "gram").toPandas()  # at most 1 / min_share a language
-    languages = [r["lang"] for r in totals.select("lang").collect()]
+    kept = saved.join(F.broadcast(totals), "lang").filter(F.col("n") >= F.greatest(F.lit(2), F.col("total") * min_share)).groupBy("lang").agg(F.sort_array(F.collect_list("gram")).alias("grams"))  # at most 1 / min_share a language
+    by = {r["lang"]: np.zeros(0, dtype=np.uint64) for r in totals.select("lang").collect()}
+    for batch in kept.toArrow().to_batches():
+        grams_of = batch.column(1)
+        by |= {lang: np.sort(grams_of[i].values.to_numpy().view(np.uint64)) for i, lang in enumerate(batch.column(0).to_pylist())}
     scratch.drop(saved)
-    return Filter({lang: np.sort(kept.gram[kept.lang == lang].to_numpy().astype(np.int64).view(np.uint64)) for lang in languages})
+    return Filter(by)
 
 
 def predict(docs: DataFrame, model: Filter, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -181,7 +188,12 @@ def predict(docs: DataFrame, model: Filter, extra: tuple[str, ...] = ()) -> Data
 
 
 def identify(docs: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: learnt from the rows that aren't held out, predicted for all."""
+    """doc_id, held_out, lang_pred, score: learnt from the rows that aren't held out, predicted for all; one row per row of docs.
+
+    Repeated rows teach as often as they are there; a null id is held out or not as the empty text. An
+    empty table gives an empty result, and rows without a language to learn from give `und` throughout.
+    Long texts count whole. Columns but doc_id, text and lang are never looked at.
+    """
     d = rows_of(docs, "doc_id", "text", "lang").withColumn("held_out", id_crc(F.col("doc_id")) % modulus == held)
     model = learn(d.filter(~F.col("held_out")))
     return predict(d.select("doc_id", "held_out", "text"), model, ("held_out",))

@@ -4,11 +4,14 @@ A document may belong to several sources. Documents are added up by membership p
 network then routes the patterns' words to the sources' quotas. Repeating is convex: a pattern's
 words cost nothing the first time, more the second, most the third, and there is no fourth. Last,
 each pattern takes its documents: whole passes over all of them, and for the rest documents in the
-order of a seeded hash.
-
-The driver holds the network: one node for each pattern and source, whatever the documents. Choosing
-documents up to a number of words needs running sums over a pattern; they are taken over buckets of
-the hash and then within the one bucket where the sum is reached, so no task holds a pattern.
+order of a seeded hash; the words that a pattern takes are laid end to end and dealt to its sources
+as the flow grants them.
+
+The driver holds the network: one node for each pattern and source, whatever the documents, solved
+by connected parts. Choosing documents up to a number of words needs running sums over a pattern;
+they are taken over ranges of the hash, then over ranges of the one range where the sum is reached,
+and last over that range's few rows: no task holds a pattern and no document is shuffled, but for
+those of several sources, which are summed by ranges.
 """
 
 from __future__ import annotations
@@ -19,14 +22,17 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, rows_of
+from paperloom.llm.common import Scratch, repeated_ids, rows_of
 
 SEED = 20240517
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Cost of a word's first, second and third use.
 REPEAT_COSTS = (0, 1, 3)
-BUCKET_ROWS = 2000
+#: Rows of a range of the hash that are ordered together, and how many bits more each step of ranges looks at.
+RANGE_ROWS, RANGE_BITS = 2000, 12
+#: Tables with a row for each pattern are broadcast up to so many (some 200 bytes each).
+FEW_PATTERNS = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -56,12 +62,28 @@ def targets(sizes: dict[str | None, int], weights: dict[str | None, float] | Non
 
 
 def min_cost_flow(capacity: dict[tuple, int], quotas: dict[str | None, int], costs: tuple[int, ...] = REPEAT_COSTS) -> dict[tuple, dict[str | None, int]]:
-    """Words that each pattern (a tuple of sources) gives to each source.
+    """Words that each pattern (a tuple of sources) gives to each source. Quotas that the members can't fill stay short.
 
-    Successive shortest paths from the patterns' words to the quotas: every augmentation takes the
-    cheapest words left, along paths that may hand over earlier grants to another source. Quotas
-    that the members can't fill stay short.
+    Parts of the network that share no source are solved apart; one pattern with one source needs no search.
     """
+    part: dict[str | None, list[tuple]] = {}
+    for p in capacity:
+        joined = {id(part[s]): part[s] for s in p if s in part}
+        merged = [q for group in joined.values() for q in group] + [p]
+        part |= {s: merged for q in merged for s in q}
+    out: dict[tuple, dict[str | None, int]] = {p: {} for p in capacity}
+    for group in {id(g): g for g in part.values()}.values():
+        if len(group) == 1 and len(group[0]) == 1:
+            s = group[0][0]
+            out[group[0]] = {s: min(quotas[s], capacity[group[0]] * len(costs))} if s in quotas else {}
+        else:
+            out |= _shortest_paths({p: capacity[p] for p in group}, {s: quotas[s] for s in quotas if any(s in p for p in group)}, costs)
+    return out
+
+
+def _shortest_paths(capacity: dict[tuple, int], quotas: dict[str | None, int], costs: tuple[int, ...]) -> dict[tuple, dict[str | None, int]]:
+    """Successive shortest paths from the patterns' words to the quotas: every augmentation takes the
+    cheapest words left, along paths that may hand over earlier grants to another source."""
     patterns, sources = list(capacity), list(quotas)
     first_source = 2 + len(patterns)
     graph: list[list[list]] = [[] for _ in range(first_source + len(sources))]  # edge: [to, left, cost, index of its reverse]
@@ -105,13 +127,38 @@ def min_cost_flow(capacity: dict[tuple, int], quotas: dict[str | None, int], cos
     return {p: {s: graph[e[0]][e[3]][1] for s, e in by.items()} for p, by in grants.items()}
 
 
-def mix(docs: DataFrame, members: Column, size: Column, weights: dict[str | None, float] | None = None, seed: int = SEED) -> DataFrame:
-    """doc_id, size, members, taken: one row per row of docs; plus target and source_size by `targets` for one-source documents.
+def _edges(sized: DataFrame, limits: dict[tuple[str, ...], int], most: int, bits: int) -> tuple[int, dict[tuple[str, ...], tuple[int, int]]]:
+    """(shift, {pattern: (range, words left in it)}): in order of u, where the running size passes the pattern's limit; a range is u >>> shift."""
+    spark = sized.sparkSession
+    few = F.broadcast if len(limits) <= FEW_PATTERNS else lambda d: d
+    steps = max(1, math.ceil(math.log(max(1, most / RANGE_ROWS), 2**bits)))
+    at: dict[tuple[str, ...], tuple[int, int]] = {}
+    shift = 64
+    for step in range(steps):
+        rows, shift = sized, shift - bits
+        if step:
+            inside = spark.createDataFrame([(list(p), r) for p, (r, _) in at.items()], "members array<string>, inside long")
+            rows = rows.join(few(inside), "members").filter(F.shiftrightunsigned("u", shift + bits) == F.col("inside"))
+        left = spark.createDataFrame([(list(p), n) for p, n in limits.items()], "members array<string>, left long")
+        run = F.sum("w").over(Window.partitionBy("members").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+        sums = rows.groupBy("members", F.shiftrightunsigned("u", shift).alias("range")).agg(F.sum("size").alias("w")).withColumn("upto", run)
+        found = sums.join(few(left), "members").filter((F.col("upto") - F.col("w") <= F.col("left")) & (F.col("upto") > F.col("left")))
+        at = {tuple(r["members"]): (r["range"], r["left"] - r["upto"] + r["w"]) for r in found.collect()}
+        limits = {p: n for p, (_, n) in at.items()}
+    return shift, at
+
+
+def mix(docs: DataFrame, members: Column, size: Column, weights: dict[str | None, float] | None = None, seed: int = SEED, bits: int = RANGE_BITS) -> DataFrame:
+    """doc_id, size, members, taken, granted; plus target and source_size by `targets` for one-source documents: one row per row of docs.
 
     `members` is an array of sources (null or empty: the document belongs to none and isn't taken).
-    taken is 0 to MAX_REPEATS times the size. What a source gets differs from its quota by less than
-    one document: after the seeded documents that fit, the one whose size is nearest to the rest is
-    added if that brings the sum nearer. Rows that agree in id and size in one pattern are dealt alike.
+    taken is 0 to MAX_REPEATS times the size; granted (source, words) says for which sources. What a
+    pattern takes differs from the words that the flow wants of it by at most half a document, where
+    documents of that size are left: after the seeded documents that fit, the one whose size is nearest
+    to the rest is added if that brings the sum nearer. So a source is off by half a document for each
+    pattern it is in. Rows that agree in id and size in one pattern are dealt alike. Texts count as
+    whole, without words a size is 0 and nothing is taken. An empty table gives an empty result.
+    Columns that `members` and `size` don't name are never looked at.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -120,6 +167,7 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: dict[str | None
     sized = docs.select(docs["doc_id"], size.alias("size"), F.array_sort(F.array_distinct(marked)).alias("members"))
     sized = scratch.save(sized.withColumn("u", F.xxhash64(F.lit(seed), "doc_id", "size")))
     name = lambda m: None if m == "n" else m[1:]
+    mark = lambda s: "n" if s is None else "s" + s
     totals = {tuple(map(name, r["members"])): (r["w"], r["n"]) for r in sized.groupBy("members").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()}
     capacity = {p: w for p, (w, _) in totals.items()}
     sizes: dict[str | None, int] = {}
@@ -128,35 +176,53 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: dict[str | None
             sizes[s] = sizes.get(s, 0) + w
     goal = targets(sizes, weights)
     flow = min_cost_flow(capacity, {s: round(t) for s, t in goal.items()})
+    words = {p: sum(flow[p].values()) for p in capacity}
+    shift, at = _edges(sized, {tuple(map(mark, p)): words[p] % w for p, w in capacity.items() if w}, max([n for _, n in totals.values()], default=0), bits)
     plan = []
     for p, w in capacity.items():
-        words = sum(flow[p].values())
+        edge, room = at.get(tuple(map(mark, p)), (None, None))
         only = p[0] if len(p) == 1 else None
-        plan.append((["n" if s is None else "s" + s for s in p], words // w if w else 0, words % w if w else 0, sizes[only] if len(p) == 1 else None, goal[only] if len(p) == 1 else None))
-    plans = spark.createDataFrame(plan, "members array<string>, passes long, rest long, source_size long, target double")
-    buckets = max(1, math.ceil(sum(n for _, n in totals.values()) / BUCKET_ROWS))
-    keyed = sized.withColumn("bucket", F.pmod("u", F.lit(buckets)))
-    run = F.sum("w").over(Window.partitionBy("members").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    sums = keyed.groupBy("members", "bucket").agg(F.sum("size").alias("w")).withColumn("upto", run).join(plans, "members")
-    edge = scratch.save(sums.withColumn("before", F.col("upto") - F.col("w")).filter((F.col("before") <= F.col("rest")) & (F.col("upto") > F.col("rest"))).select("members", F.col("bucket").alias("edge"), (F.col("rest") - F.col("before")).alias("room")))
-    # documents of earlier buckets are taken, those of the edge bucket while they fit
-    rows = keyed.join(plans, "members").join(edge, "members", "left")
-    fits = rows.filter(F.col("bucket") == F.col("edge"))
+        ends = [sum(list(flow[p].values())[: i + 1]) for i in range(len(flow[p]))]
+        share = list(zip(flow[p], [0, *ends[:-1]], [*ends[:-1], 2**62])) if ends else []
+        plan.append((list(map(mark, p)), words[p] // w if w else 0, words[p] % w if w else 0, edge, room, sizes[only] if len(p) == 1 else None, goal[only] if len(p) == 1 else None, share))
+    plans = spark.createDataFrame(plan, "members array<string>, passes long, rest long, edge long, room long, source_size long, target double, shares array<struct<source:string,lo:long,hi:long>>")
+    few = F.broadcast if len(plan) <= FEW_PATTERNS else lambda d: d
+    rows = sized.join(few(plans), "members").withColumn("range", F.shiftrightunsigned("u", shift))
+    # documents of earlier ranges are taken, those of the edge while they fit
     order = Window.partitionBy("members").orderBy("u", "doc_id", "size").rangeBetween(Window.unboundedPreceding, 0)
-    fits = fits.withColumn("upto", F.sum("size").over(order)).withColumn("extra", F.col("upto") <= F.col("room"))
-    others = rows.filter(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("extra", F.coalesce(F.col("bucket") < F.col("edge"), F.col("rest") > 0))
-    cols = ["doc_id", "size", "members", "u", "passes", "rest", "source_size", "target", "extra"]
-    chosen = scratch.save(others.select(*cols).unionByName(fits.select(*cols)))
-    scratch.drop(edge)
+    inside = rows.filter(F.col("range") == F.col("edge")).withColumn("extra", F.sum("size").over(order) <= F.col("room"))
+    others = rows.filter(F.col("edge").isNull() | (F.col("range") != F.col("edge"))).withColumn("extra", F.coalesce(F.col("range") < F.col("edge"), F.lit(False)))
+    chosen = scratch.save(others.unionByName(inside).drop("edge", "room", "range"))
     got = chosen.groupBy("members").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("gap"))
-    free = chosen.filter(~F.col("extra") & (F.col("size") > 0)).join(got, "members")
+    free = chosen.filter(~F.col("extra") & (F.col("size") > 0)).join(few(got), "members")
     best = free.groupBy("members").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "u", "doc_id", "size", "gap")).alias("b"))
     best = best.filter(F.col("b.off") < F.abs("b.gap")).select("members", F.col("b.u").alias("bu"), F.col("b.doc_id").alias("bd"), F.col("b.size").alias("bs"))
-    out = chosen.join(best, "members", "left")
+    out = chosen.join(few(best), "members", "left")
     topped = F.coalesce((F.col("u") == F.col("bu")) & F.col("doc_id").eqNullSafe(F.col("bd")) & (F.col("size") == F.col("bs")), F.lit(False))
-    taken = F.col("size") * (F.col("passes") + (F.col("extra") | topped).cast("long"))
+    out = out.withColumn("taken", F.col("size") * (F.col("passes") + (F.col("extra") | topped).cast("long")))
+    one = F.filter(F.transform("shares", lambda x: F.struct(x["source"].alias("source"), F.col("taken").alias("words"))), lambda x: x["words"] > 0)
+    several = {p: n for p, (_, n) in totals.items() if len(p) > 1}
+    if several:
+        dealt = _dealt(out.filter(F.size("members") > 1), max(several.values()))
+        out = out.filter(F.size("members") <= 1).withColumn("granted", one).unionByName(dealt)
+    else:
+        out = out.withColumn("granted", one)
     plain = F.transform("members", lambda m: F.when(m != "n", F.substring(m, 2, 2**31 - 1)))
-    return out.select("doc_id", "size", plain.alias("members"), "source_size", "target", taken.alias("taken"))
+    return out.select("doc_id", "size", plain.alias("members"), "source_size", "target", "taken", "granted")
+
+
+def _dealt(rows: DataFrame, most: int) -> DataFrame:
+    """Adds granted: a pattern's taken words, end to end in order of u, meet the stretches of its sources. Sums go by ranges of u, then by ranges of ranges."""
+    bits = max(1, math.ceil(math.log2(max(2, most / RANGE_ROWS))))
+    r = rows.withColumn("range", F.shiftrightunsigned("u", 64 - bits)).withColumn("wide", F.shiftrightunsigned("u", 64 - bits // 2 - 1))
+    before = lambda c, by, o: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = r.groupBy("members", "wide", "range").agg(F.sum("taken").alias("w"))
+    wide = sums.groupBy("members", "wide").agg(F.sum("w").alias("w")).select("members", "wide", before("w", ["members"], ["wide"]).alias("ahead"))
+    ranges = sums.select("members", "wide", "range", before("w", ["members", "wide"], ["range"]).alias("inner")).join(wide, ["members", "wide"])
+    start = F.col("ahead") + F.col("inner") + before("taken", ["members", "range"], ["u", "doc_id", "size"])
+    placed = r.drop("wide").join(ranges.select("members", "range", "ahead", "inner"), ["members", "range"]).withColumn("start", start)
+    met = F.transform("shares", lambda x: F.struct(x["source"].alias("source"), (F.least(x["hi"], F.col("start") + F.col("taken")) - F.greatest(x["lo"], F.col("start"))).alias("words")))
+    return placed.withColumn("granted", F.filter(met, lambda x: x["words"] > 0)).select(*rows.columns, "granted")
 
 
 def mix_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED) -> DataFrame:
@@ -168,10 +234,15 @@ def mix_documents(docs: DataFrame, weights: dict[str | None, float] | None = Non
 def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of docs as many times as it is taken, with all its columns.
 
-    Documents without words are not part of a mix by words and stay once. Rows that repeat a doc_id
-    are taken as the one that is taken most.
+    Documents without words are not part of a mix by words and stay once. Rows that repeat an id, or
+    have none, are told apart by source and size, as in mix().
     """
-    taken = mix_documents(docs, weights, seed).groupBy(F.col("doc_id").alias("mix_id__")).agg(F.max(F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)).alias("mix_times__"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.join(taken.filter("mix_times__ > 0"), docs["doc_id"].eqNullSafe(F.col("mix_id__")))
-    return joined.withColumn("mix_copy__", F.explode(F.sequence(F.lit(1), F.col("mix_times__")))).select(*names)
+    taken = mix_documents(docs, weights, seed)
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
+    once = taken.select(F.col("doc_id").alias("mix_id__"), F.get("members", F.lit(0)).alias("mix_source__"), F.col("size").alias("mix_size__"), times.alias("mix_times__"))
+    same = docs["doc_id"].eqNullSafe(F.col("mix_id__"))
+    if repeated_ids(docs):
+        same &= docs["source"].eqNullSafe(F.col("mix_source__")) & (n_words(docs["text"]) == F.col("mix_size__"))
+        once = once.distinct()
+    joined = docs.join(once.filter("mix_times__ > 0"), same)
+    return joined.withColumn("mix_copy__", F.explode(F.sequence(F.lit(1), F.col("mix_times__")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -3,27 +3,34 @@
 Every text is the set of its word shingles, each hashed once; the k smallest hashes, in order, are
 its sketch. Equal sets are one node from the start. Then:
 
-1. Inverted lists. The keys of a node are the runs of RUN successive retained values. Two sets of
-   similarity 0.85 differ in at most 15% of the values of their union, which are spread at random
-   by the hash: among the first K of them a run of RUN common ones fails to occur with a chance
-   under 1e-8 (and can't fail when sketches hold whole sets; sets of 6 and 7, where it could, have
-   shorter runs). Sets that share only a passage have few runs in common, so lists stay short.
+1. Inverted lists. The keys of a node are the runs of successive retained values (lists of single
+   values would grow with every passage that documents share, and their overlaps with the square of
+   that). The hash spreads values at random, so that two sets of similarity p share each of the first
+   K values of their union with chance p: run_length() takes the longest run that fails to occur among
+   them with a chance of at most MISS (1.01e-8 for runs of four at 85%, 1.3e-10 for runs of three at
+   80%). Where sketches hold whole sets, key_runs() gives lengths that can't fail.
 2. Each list links its members to its first and its last node: rows in proportion to the lists.
    Candidates pass if the sizes allow the similarity and the sketch of the union, which the two
-   sketches give exactly, estimates at least LEAST_ESTIMATE; those left are verified on full sets.
+   sketches give exactly, has enough values in common (a true link fails with a chance of at most
+   DOUBT); those left are verified on full sets.
 3. Lists that are not in one component yet take a second center, the medoid: the member whose values
    are the most common in the list, found in blocks and then among the blocks' medoids. It is what
    many copies of one text, each edited in its own way, have in common.
-4. Members of a list that are still in different components meet within it: all that are outside of
-   the list's largest component against every block of the list. A pair is looked at under the first
-   run it shares only; what passes the estimate is verified.
-
-Nothing is capped: lists of any length are treated alike, pairs are never listed, links found in a
-component need no others. Full sets are made again from the text for the nodes of candidates only.
+4. Members of lists that are still in different components meet by the prefix filter: their values
+   are ordered from rare to frequent; of a linked pair, the smaller set's first values and the larger
+   one's share one whose places leave room for the overlap that is needed. So texts that share a
+   passage don't meet on the passage, however many they are, but on what is rare among them. For sets
+   of up to WIDE values nothing is lost; larger ones are represented by their WIDE least values, and
+   fail with a chance of at most DOUBT. What meets is verified as in 2.
+
+Nothing is capped: lists of any length are treated alike, and links within a component need no
+others. Full sets are made again from the text for the nodes of candidates only.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +43,13 @@ from paperloom.llm.common import Scratch, repeated_ids, rows_of, text_tag
 from paperloom.llm.components import components
 from paperloom.llm.exact_dedup import keep_ids, keep_texts
 
-SHINGLE, PERCENT = 3, 85
-K, RUN = 64, 4
-#: At a true similarity of 0.85, 64 values give an estimate under this with a chance of about 2e-7.
-LEAST_ESTIMATE = 0.6
+SHINGLE, PERCENT = 5, 80
+K, WIDE = 64, 512
+#: Chances that a link of sets larger than K (WIDE) is missed by its keys, and by one estimate.
+MISS, DOUBT = 2e-8, 1e-6
 BLOCK = 400
-#: Within lists that stay apart, nodes are compared by the upper halves of up to WIDE values: whole sets mostly. At a true
-#: similarity of 0.85, WIDE values give an estimate under LEAST_WIDE with a chance of about 1e-7.
-WIDE, LEAST_WIDE = 512, 0.76
+#: Sets meet within bands of their size's logarithm.
+BAND = 0.05
 #: So many ids at most (some 40 bytes each) are sent to the texts; beyond, texts and ids are joined by a shuffle.
 FEW_IDS = 100_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -80,6 +86,61 @@ def _lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, kind)])))
 
 
+@functools.cache
+def run_length(percent: int) -> int:
+    """The longest run of common values that the K least of a union of this similarity lack with a chance of at most MISS."""
+    p, best = percent / 100, 0
+    for run in range(1, 9):
+        ends = np.eye(1, run)[0]  # chances of the numbers of common values at the end, none of them a run yet
+        for _ in range(K):
+            ends = np.concatenate([[ends.sum() * (1 - p)], ends[:-1] * p])
+        best = run if ends.sum() <= MISS else best
+    if not best:
+        raise ValueError(f"sketches of {K} values can't find sets of a similarity of {percent}%")
+    return best
+
+
+@functools.cache
+def least_common(percent: int, k: int) -> int:
+    """Of the k least values of a union of this similarity, fewer are common with a chance of at most DOUBT."""
+    p, fewer = percent / 100, 0.0
+    for n in range(k):
+        fewer += math.comb(k, n) * p**n * (1 - p) ** (k - n)
+        if fewer > DOUBT:
+            return n
+    return k
+
+
+@functools.cache
+def key_runs(percent: int) -> tuple[tuple[int, ...], ...]:
+    """For each size up to K, the lengths of the runs that are a set's keys; none for sizes that link to equal sets only.
+
+    The values that only one of two sets has cut the common ones into runs; the longest has at least their mean length.
+    """
+    longest = run_length(percent)
+    out: list[set[int]] = [set() for _ in range(K + 1)]
+    for union in range(2, 100 * K // percent + 1):
+        for common in range(-(-percent * union // 100), union):
+            sure = min(longest, -(-common // (union - common + 1)))
+            for n in range(common, min(union, K) + 1):
+                out[n].add(sure)
+    for n in range(percent * K // 100, K + 1):
+        out[n].add(longest)  # for partners larger than K
+    return tuple(tuple(sorted(x)) for x in out)
+
+
+def run_keys(sketch: Column, n: Column, percent: int) -> Column:
+    """array<long>: the hash of each run that is a key of a node with n values."""
+    run = lambda k: F.transform(F.sequence(F.lit(1), F.size(sketch) - (k - 1)), lambda i: F.xxhash64(F.lit(k), *[F.element_at(sketch, i + j) for j in range(k)]))
+    sizes: dict[tuple[int, ...], list[int]] = {}
+    for size, lengths in enumerate(key_runs(percent)):
+        sizes.setdefault(lengths, []).append(size)
+    out = F.when(n > K, run(run_length(percent)))
+    for lengths, of in sizes.items():
+        out = out.when(n.isin(of), F.concat(*map(run, lengths)) if lengths else F.array().cast("array<long>"))
+    return out
+
+
 def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, n (size of the set), print (128-bit digest of the set), sketch (its K least values, in unsigned order); tag if docs has it."""
     tagged = ["tag"] if "tag" in docs.columns else []
@@ -105,17 +166,11 @@ def full_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return docs.select("node", "print", "text").mapInArrow(run, "node long, print binary, items array<long>")
 
 
-def run_keys(sketch: Column, n: Column) -> Column:
-    """struct<key,at> for each run of a node: its hash, and where it starts in the sketch. Sets of 6 have runs of 3, of 7 both, larger ones of RUN; smaller ones link by equality only."""
-    run = lambda k: F.transform(F.sequence(F.lit(1), F.size(sketch) - (k - 1)), lambda i: F.struct(F.xxhash64(F.lit(k), *[F.element_at(sketch, i + j) for j in range(k)]).alias("key"), (i - 1).alias("at")))
-    return F.when(n >= 8, run(RUN)).when(n == 7, F.concat(run(RUN), run(3))).when(n == 6, run(3)).otherwise(F.array().cast("array<struct<key:long,at:int>>"))
-
-
 def _linked(common: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return 100 * common >= percent * (n_a + n_b - common)
 
 
-def verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
+def verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """The (a, b) of pairs that are links: size filter, union-sketch estimate, then the full sets."""
     of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     p = pairs.join(of("a"), "a").join(of("b"), "b")
@@ -126,7 +181,7 @@ def verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFra
     p = p.withColumn("union", F.slice(F.sort_array(F.array_union("f_a", "f_b")), 1, K))
     p = p.withColumn("common", F.size(F.array_intersect(F.array_intersect("union", "f_a"), "f_b")).cast("long"))
     p = p.withColumn("whole", (F.col("n_a") <= K) & (F.col("n_b") <= K)).withColumn("all_common", F.size(F.array_intersect("s_a", "s_b")).cast("long"))
-    p = p.filter(F.when(F.col("whole"), _linked(F.col("all_common"), F.col("n_a"), F.col("n_b"), percent)).otherwise(F.col("common") >= LEAST_ESTIMATE * F.size("union")))
+    p = p.filter(F.when(F.col("whole"), _linked(F.col("all_common"), F.col("n_a"), F.col("n_b"), percent)).otherwise(F.col("common") >= least_common(percent, K)))
     p = scratch.save(p.select("a", "b", "n_a", "n_b", "whole"))
     large = p.filter(~F.col("whole"))
     needed = large.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -151,44 +206,20 @@ def _of_nodes(scratch: Scratch, make, needed: DataFrame, nodes: DataFrame, docs:
     return made.dropDuplicates(["node"]) if tagged else made
 
 
-def wide_sketches(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """node, print, wide: the upper 32 bits of the WIDE least values of (node, print, text), in unsigned order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(i, 128) for i in range(0, whole.num_rows, 128)):
-                halves = [(s[:WIDE].view(np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in shingle_sets(b.column(2).to_pylist(), width)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(halves, np.int32)], names=["node", "print", "wide"])
-
-    return texts.select("node", "print", "text").mapInArrow(run, "node long, print binary, wide array<int>")
-
-
-GROUP = ["key", "block", "node", "label", "n", "at", "outside", "home", "seen", "sketch"]
+def wide_sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """node, print, items: as full_sets, but the WIDE least values only."""
+    return full_sets(docs, width).withColumn("items", F.slice("items", 1, WIDE))
 
 
-class _Block:
-    """One group of rows as arrays; the sketches as a matrix of unsigned values, padded with the largest."""
+def _medoid(nodes: np.ndarray, values: list[np.ndarray]) -> int:
+    """The member whose values are the most common in the group; ties: the least node."""
+    sizes = np.array([len(v) for v in values])
+    _, inverse, counts = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    mean = np.add.reduceat(counts[inverse], np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes
+    return int(min(np.flatnonzero(mean >= mean.max() - 1e-9), key=lambda i: nodes[i]))
 
-    def __init__(self, b: pa.RecordBatch):
-        for i, name in enumerate(b.schema.names):
-            if not pa.types.is_list(b.schema.types[i]):
-                setattr(self, name, b.column(i).to_numpy(zero_copy_only=False))
-        col = b.column(b.schema.get_field_index("sketch"))
-        offsets = col.offsets.to_numpy()
-        values = col.values.to_numpy().view(np.uint64)
-        self.size = np.diff(offsets)
-        self.matrix = np.full((b.num_rows, K), np.iinfo(np.uint64).max, dtype=np.uint64)
-        self.matrix[np.arange(K) < self.size[:, None]] = values[offsets[0] : offsets[-1]]
-        if (at := b.schema.get_field_index("wide")) >= 0:
-            offsets = b.column(at).offsets.to_numpy()
-            values = b.column(at).values.to_numpy().view(np.uint32)
-            self.wide = [values[a:z] for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
 
-    def __len__(self) -> int:
-        return len(self.node)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The groups (key, block) of sorted rows, over the ends of batches."""
     rest: pa.Table | None = None
     for b in batches:
@@ -197,105 +228,77 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
             continue
         t = t.combine_chunks()
         key, block = t.column(0).to_numpy(), t.column(1).to_numpy()
-        ends = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-        whole, start = t.to_batches()[0], 0
-        for end in ends:
-            yield _Block(whole.slice(start, end - start))
+        start = 0
+        for end in np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1:
+            yield t.slice(start, end - start)
             start = end
         rest = t.slice(start)
     if rest is not None and rest.num_rows:
-        yield _Block(rest.combine_chunks().to_batches()[0])
-
-
-def _medoid(g: _Block) -> int:
-    """The row whose values are the most common in the group; ties: the least node."""
-    inside = np.arange(K) < g.size[:, None]
-    _, inverse, counts = np.unique(g.matrix[inside], return_inverse=True, return_counts=True)
-    common = np.zeros(g.matrix.shape)
-    common[inside] = counts[inverse]
-    mean = common.sum(axis=1) / np.maximum(g.size, 1)
-    return int(min(np.flatnonzero(mean >= mean.max() - 1e-9), key=lambda i: g.node[i]))
-
-
-def _shared(x: np.ndarray, y: np.ndarray) -> int:
-    """How many values two sorted arrays have in common."""
-    at = np.searchsorted(y, x)
-    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
-
-
-def _crosswise(g: _Block, percent: int) -> list[tuple[int, int]]:
-    """Pairs of an outsider and a member of another component that may be links, each under the first run it shares."""
-    found = []
-    filled = np.arange(K) < g.size[:, None]
-    for i in np.flatnonzero(g.outside & ~g.seen):
-        others = g.home & ~g.seen & (g.label != g.label[i]) & (100 * np.minimum(g.n, g.n[i]) >= percent * np.maximum(g.n, g.n[i]))
-        others &= ~g.outside | (g.node > g.node[i])
-        near = np.flatnonzero(others)
-        if not len(near):
-            continue
-        mine = g.matrix[i, : g.size[i]]
-        m = g.matrix[near]
-        place = np.minimum(np.searchsorted(mine, m), len(mine) - 1)
-        has = (mine[place] == m) & filled[near]
-        common = has.sum(axis=1)
-        step = has[:, 1:] & has[:, :-1] & (place[:, 1:] - place[:, :-1] == 1)
-        run = step[:, : K - RUN + 1].copy()
-        for k in range(1, RUN - 1):
-            run &= step[:, k : K - RUN + 1 + k]
-        first = np.where(run.any(axis=1), run.argmax(axis=1), -1)
-        ok = ((first == g.at[near]) | (g.n[near] <= 8) | (g.n[i] <= 8)) & (common >= LEAST_ESTIMATE * np.minimum(g.size[near], g.size[i]) * 0.8)
-        for j in near[ok]:
-            x, y = g.wide[i], g.wide[j]
-            if g.n[i] <= WIDE and g.n[j] <= WIDE:  # halves that are equal by chance only make the similarity larger
-                good = _shared(x, y) * 100 >= percent * (g.n[i] + g.n[j] - _shared(x, y))
-            else:
-                union = np.union1d(x, y)[:WIDE]
-                both = np.isin(union, x) & np.isin(union, y)
-                good = both.sum() >= LEAST_WIDE * len(union)
-            if good:
-                found.append((int(g.node[i]), int(g.node[j])))
-    return found
+        yield rest.combine_chunks()
 
 
 def medoids(dealt: DataFrame) -> DataFrame:
-    """key, node, sketch: the medoid of each group (key, block)."""
+    """key, node, sketch: the medoid of each group (key, block) of rows (key, block, node, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _blocks(batches):
-            i = _medoid(g)
-            yield pa.RecordBatch.from_arrays([pa.array(g.key[i : i + 1]), pa.array(g.node[i : i + 1]), _lists([g.matrix[i, : g.size[i]].view(np.int64)])], names=["key", "node", "sketch"])
+        for g in _groups(batches):
+            key, nodes, lists = (g.column(i).chunk(0) for i in (0, 2, 3))
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            of = [values[a:z] for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+            i = _medoid(nodes.to_numpy(), of)
+            yield pa.RecordBatch.from_arrays([key.slice(i, 1), nodes.slice(i, 1), _lists([of[i]])], names=["key", "node", "sketch"])
 
-    return _grouped(dealt).mapInArrow(run, "key long, node long, sketch array<long>")
+    grouped = dealt.select("key", "block", "node", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "node")
+    return grouped.mapInArrow(run, "key long, node long, sketch array<long>")
 
 
-def candidates(dealt: DataFrame, percent: int) -> DataFrame:
-    """a, b of _crosswise over all groups."""
+def _entries(wide: DataFrame, percent: int) -> DataFrame:
+    """v, node, label, n, size, place, small: rows (node, label, n, items) under their first values, from rare to frequent.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _blocks(batches):
-            if pairs := _crosswise(g, percent):
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
-
-    return _grouped(dealt, "wide").mapInArrow(run, "a long, b long")
-
-
-def _grouped(dealt: DataFrame, *more: str) -> DataFrame:
-    return dealt.select(*GROUP, *more).repartition("key", "block").sortWithinPartitions("key", "block", "node")
+    Values that nodes of one label alone have come before all others and need no entry. `small`: the
+    place is early enough for the smaller set of a pair.
+    """
+    values = wide.select("node", "label", F.explode("items").alias("v"))
+    often = values.groupBy("v").agg(F.count("*").alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("v", "f")
+    met = values.join(often, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("met"))  # at most WIDE values
+    n, size = F.col("n"), F.col("size")
+    # a set of n values that has to share a * n / b of them shares one of the first ones
+    first = lambda a, b: F.when(n <= WIDE, n - F.floor((a * n + (b - 1)) / b) + 1).otherwise(0)
+    sampled = F.when(100 * n > percent * WIDE, size - (least_common(percent, WIDE) - 1)).otherwise(0)  # for pairs with a set larger than WIDE
+    e = wide.select("node", "label", "n", F.size("items").alias("size")).join(met, "node").withColumn("free", size - F.size("met"))
+    e = e.withColumn("as_small", F.greatest(first(2 * percent, 100 + percent), sampled)).withColumn("as_large", F.greatest(first(percent, 100), sampled))
+    part = F.slice("met", F.lit(1), F.greatest(F.lit(0), F.col("as_large") - F.col("free")).cast("int"))
+    e = e.select("node", "label", "n", "size", "free", "as_small", F.posexplode(part).alias("at", "m"))
+    place = F.col("free") + F.col("at")
+    return e.select("m.v", "node", "label", "n", "size", place.alias("place"), (place < F.col("as_small")).alias("small"))
+
+
+def crosswise(wide: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of nodes of different labels that may be links, of rows (node, label, n, items); none that is one is left out (larger than WIDE: but for DOUBT)."""
+    e = _entries(wide, percent)
+    overlap, n, place = least_common(percent, WIDE), F.col("n"), F.col("place")
+    band = lambda x: F.floor(F.log(x) / BAND).cast("int")
+    room = F.when(n <= WIDE, F.floor((n - place) * (100 + percent) / percent) - n).otherwise(0)  # what is left must do for the largest partner
+    most = F.least(F.greatest(room, F.when(100 * n > percent * WIDE, F.lit(2**62)).otherwise(0)), F.floor(100 * n / percent))
+    cols = ["node", "label", "n", "size", "place"]
+    x = e.filter("small").withColumn("most", most).filter("most >= n").select("v", F.explode(F.sequence(band(n), band(F.col("most")))).alias("band"), *[F.col(c).alias(f"{c}_a") for c in cols])
+    y = e.select("v", band(n).alias("band"), *[F.col(c).alias(f"{c}_b") for c in cols])
+    left = lambda c: F.least(F.col(f"{c}_a") - F.col("place_a"), F.col(f"{c}_b") - F.col("place_b"))
+    enough = F.when((F.col("n_a") <= WIDE) & (F.col("n_b") <= WIDE), (100 + percent) * left("n") >= percent * (F.col("n_a") + F.col("n_b"))).otherwise(left("size") >= overlap)
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    j = x.join(y, ["v", "band"]).filter((F.col("label_a") != F.col("label_b")) & smaller & (100 * F.col("n_a") >= percent * F.col("n_b")) & enough)
+    return _ordered(j.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _apart(scratch: Scratch, members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of lists with several components: with label, outside (of the largest component), seen (already met all), blocks, own, n and sketch."""
-    tagged = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    tagged = scratch.save(tagged)
-    by_label = tagged.groupBy("key", "label").agg(F.count("*").alias("k"))
-    split = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("main")).filter("labels > 1").select("key", F.col("main.label").alias("main"))
-    apart = tagged.join(split, "key").withColumn("outside", F.col("label") != F.col("main")).withColumn("seen", (F.col("node") == F.col("low")) | (F.col("node") == F.col("high")))
-    apart = apart.join(nodes.select("node", "n", "sketch"), "node").withColumn("blocks", F.ceil(F.col("length") / BLOCK).cast("int"))
-    return scratch.save(apart.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+def _apart(scratch: Scratch, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of lists with several components, with label."""
+    tagged = scratch.save(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    split = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+    return scratch.save(tagged.join(split, "key"))
 
 
 def _joined(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -306,11 +309,13 @@ def _joined(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs.
+    """doc_id, n_shingles, component_id, kept: one row per row of docs, by sets of `width` words and links of at least `percent`.
 
     component_id is the smallest doc_id reachable over links (100 * intersection >= percent * union);
     texts without words are linked with nothing. Null texts have no words. Null ids are reachable but
-    never the smallest unless alone. Repeated rows are equal sets. An empty table gives an empty result.
+    never the smallest unless alone. Repeated rows are equal sets; a pair of exactly `percent` is
+    linked. Whole texts of any length count. An empty table gives an empty result. Other columns of
+    docs are never looked at. A percentage too low for sketches of K values is refused.
     """
     docs = rows_of(docs, id_col, text_col).toDF("doc_id", "text")
     if repeated_ids(docs):
@@ -329,29 +334,27 @@ def _verdicts(docs: DataFrame, percent: int, width: int) -> DataFrame:
     groups = some.groupBy("print", "n").agg(least.alias("least"), F.first("sketch").alias("sketch"))
     groups = groups.select("print", "n", *[F.col(f"least.{c}").alias(c) for c in ["doc_id", *tagged]], "sketch")
     nodes = scratch.save(groups.withColumn("node", F.monotonically_increasing_id()))
-    postings = nodes.select("node", F.explode(run_keys(F.col("sketch"), F.col("n"))).alias("r")).select("node", "r.key", "r.at")
-    lists = postings.groupBy("key").agg(F.count("*").alias("length"), F.min("node").alias("low"), F.max("node").alias("high"))
-    lists = lists.filter("length > 1")
+    postings = nodes.select("node", F.explode(run_keys(F.col("sketch"), F.col("n"), percent)).alias("key"))
+    lists = postings.groupBy("key").agg(F.count("*").alias("length"), F.min("node").alias("low"), F.max("node").alias("high")).filter("length > 1")
     members = scratch.save(postings.join(lists, "key"))  # only of lists with several members
     stars = members.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
     labels = components(scratch, verified(scratch, _ordered(stars), nodes, docs, percent, width))
     # a list of two has met; of longer ones, those that aren't one component yet take their medoid
-    longer = members.filter("length > 2")
-    apart = _apart(scratch, longer, labels, nodes)
+    longer = members.filter("length > 2").select("key", "node", "length")
+    apart = _apart(scratch, longer, labels)
     if not apart.isEmpty():
-        one = medoids(apart.withColumn("block", F.col("own")).withColumn("home", F.lit(True)))
-        blank = {"block": F.lit(0), "label": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "at": F.lit(0), "outside": F.lit(False), "home": F.lit(True), "seen": F.lit(False)}
-        center = scratch.save(medoids(scratch.save(one).withColumns(blank)).select("key", F.col("node").alias("b")))
+        block = F.pmod(F.xxhash64("node"), F.ceil(F.col("length") / BLOCK)).cast("int")
+        some_of = scratch.save(medoids(apart.withColumn("block", block).join(nodes.select("node", "sketch"), "node")))
+        center = scratch.save(medoids(some_of.withColumn("block", F.lit(0))).select("key", F.col("node").alias("b")))
         stars = apart.join(center, "key").select(F.col("node").alias("a"), "b")
         labels = _joined(scratch, labels, verified(scratch, _ordered(stars), nodes, docs, percent, width))
         scratch.drop(apart)
-        apart = _apart(scratch, longer, labels, nodes)
+        apart = _apart(scratch, longer, labels)
     if not apart.isEmpty():
-        wide = scratch.save(_of_nodes(scratch, wide_sketches, apart.select("node").distinct(), nodes, docs, width).select("node", "wide"))
-        apart = apart.join(wide, "node")
-        every = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-        dealt = apart.withColumn("block", F.explode(every)).withColumn("home", F.col("own") == F.col("block"))
-        labels = _joined(scratch, labels, verified(scratch, _ordered(candidates(dealt, percent)), nodes, docs, percent, width))
+        left = scratch.save(apart.select("node", "label").distinct())
+        items = _of_nodes(scratch, wide_sketches, left.select("node"), nodes, docs, width).select("node", "items")
+        wide = scratch.save(items.join(left, "node").join(nodes.select("node", "n"), "node"))
+        labels = _joined(scratch, labels, verified(scratch, crosswise(wide, percent), nodes, docs, percent, width))
     found = nodes.select("print", "n", "node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     known = found.join(least, "label").select("print", "n", "component_id", "label")

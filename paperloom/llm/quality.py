@@ -96,6 +96,7 @@ def quality(docs: DataFrame, limit: float = HOST_LIMIT, id_col: str = "doc_id",
 
     A document is kept if no base rule fails and its host isn't rejected. Null texts fail; documents
     without a host share one. Repeated rows are judged, and counted for their host, each on its own.
+    Texts count whole, however long; an empty table gives an empty result; other columns are never looked at.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     measured = scratch.save(measure(docs, id_col, text_col, host_col).withColumn("base_failed", base_failed()).withColumn("fails", fails_a_rule()))

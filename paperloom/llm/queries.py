@@ -26,7 +26,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(documents(spark, sf_dir))
+    return neardup.near_duplicates(documents(spark, sf_dir), percent=85, width=3)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import count_tokens
+from paperloom.llm.common import Scratch
 
 BLOCK = 2048
 
@@ -64,5 +65,10 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def token_histogram(docs: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
-    """suffix_sums over the encoded length of every whole text; null text has length 0."""
-    return suffix_sums(length_histogram(count_tokens(docs, ranks)))
+    """suffix_sums over the encoded length of every whole text.
+
+    Null and empty texts have length 0; long ones are encoded whole. Rows count one by one, repeated ids
+    and texts too. An empty table gives an empty result. Columns but doc_id and text are never looked
+    at. The histogram is saved, as two branches read it: each text is encoded once.
+    """
+    return suffix_sums(Scratch(docs.sparkSession, "token-counts").save(length_histogram(count_tokens(docs, ranks))))

@@ -286,12 +286,14 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, bound: int = MAX
     """The model, and the votes of all rows (doc_id, fired, hits, words). Without labels every score is near 0."""
     docs = rows_of(docs, "doc_id", "text")
     known = scratch.save(labelled(docs, labels, bound))
-    # at most `bound` rows of two numbers
-    sample = scratch.save(without_copies(docs.join(F.broadcast(known), "doc_id")))
+    # at most `bound` rows of two numbers are sent out, and as many texts come in
+    texts = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("r")).select("doc_id", "r.text", "r.toxic")
+    sample = scratch.save(without_copies(texts))
     voters = Voters(mine(sample, scratch))
     voted = scratch.save(votes(docs, voters))
     n_docs, both = pair_counts(voted, voters.n)
-    rows = voted.join(F.broadcast(known), "doc_id").select("fired", "hits", "words", "toxic").toPandas()  # at most `bound` ids
+    # one row for each of at most `bound` ids: of texts that share an id, the one with the fewest hits
+    rows = voted.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.struct("hits", "words", "fired", "toxic")).alias("r")).select("r.*").toPandas()
     gold = (rows.toxic.to_numpy() > 0).astype(float) if len(rows) else np.zeros(0)
     prior = (gold.sum() + 1) / (len(gold) + 10)
     fired, hits, words = dense(list(rows.fired), voters.n), rows.hits.to_numpy(), rows.words.to_numpy()
@@ -304,7 +306,13 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, bound: int = MAX
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row per row of docs; a null text is scored as empty."""
+    """doc_id, held_out, score, predicted: one row per row of docs.
+
+    A null text is scored as empty, a long one as a whole. Repeated rows get equal scores; of an id with
+    several texts one teaches, with the id's largest label. Labels without an id or a value, and labels of
+    unknown ids, teach nothing; without any, all scores are low. An empty table gives an empty result.
+    Columns of docs but doc_id and text are never looked at.
+    """
     scratch = Scratch(docs.sparkSession, "toxicity")
     model, voted = learn(docs, labels, scratch, bound)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -320,7 +328,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, thre
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below the threshold."""
+    """The rows of docs, with all their columns, whose score is below the threshold; nulls, repeats and empty tables as in toxicity()."""
     model, _ = learn(docs, labels, Scratch(docs.sparkSession, "toxicity"), bound)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

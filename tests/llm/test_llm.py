@@ -137,12 +137,12 @@ def test_token_counts(spark, docs, none, table, texts):
 # near duplicates
 
 
-def brute_components(rows, percent=85):
-    """(row index, smallest id reachable) by all pairs."""
+def brute_components(rows, percent, width):
+    """(id, set size, smallest id reachable) of each row, by all pairs."""
     sets = []
     for _, t in rows:
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", lower(t)) if x]
-        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set()))
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set()))
     parent = list(range(len(rows)))
 
     def find(x):
@@ -161,18 +161,67 @@ def brute_components(rows, percent=85):
     return [(d, len(s), d if not s else least.get(find(i))) for i, ((d, _), s) in enumerate(zip(rows, sets))]
 
 
-def test_neardup_table(table, texts):
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(table).collect()}
-    assert got == set(brute_components(sorted(texts.items())))
+#: percent and width of op3, and of the pipeline's stage.
+SETTINGS = pytest.mark.parametrize("percent,width", [(85, 3), (80, 5)])
 
 
-def test_neardup_odd(docs, none):
-    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect())
-    assert got == collections.Counter(brute_components([(i, t) for i, t, *_ in ROWS]))
-    assert neardup.near_duplicates(none).count() == 0
+def found_components(d, percent, width):
+    return collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(d, percent, width).collect())
 
 
-def test_neardup_chain_and_crowd(spark):
+@SETTINGS
+def test_neardup_table(table, texts, percent, width):
+    assert found_components(table, percent, width) == collections.Counter(brute_components(sorted(texts.items()), percent, width))
+
+
+@SETTINGS
+def test_neardup_odd(docs, none, percent, width):
+    assert found_components(docs, percent, width) == collections.Counter(brute_components([(i, t) for i, t, *_ in ROWS], percent, width))
+    assert neardup.near_duplicates(none, percent, width).count() == 0
+
+
+def test_neardup_constants():
+    """Runs that can't fail for whole sets, by all ways to place the values that aren't common; percentages that can't be met are refused."""
+    import itertools
+
+    for percent in (85, 80, 60):
+        runs = neardup.key_runs(percent)
+        for union in range(2, 13):
+            for common in range(-(-percent * union // 100), union):
+                for odd in itertools.combinations(range(union), union - common):
+                    ends = [-1, *odd, union]
+                    longest = max(b - a - 1 for a, b in zip(ends, ends[1:]))
+                    for mine in range(len(odd) + 1):  # so many of the others belong to the first set
+                        a, b = common + mine, union - mine
+                        assert longest >= min(set(runs[a]) & set(runs[b])), (percent, union, odd)
+    with pytest.raises(ValueError):
+        neardup.run_length(10)
+
+
+@SETTINGS
+def test_crosswise(spark, percent, width):
+    """Every pair at or above the threshold is among the candidates; sets around it, of whole and of sampled size."""
+    import random
+
+    rnd = random.Random(percent)
+    template = [rnd.getrandbits(62) for _ in range(900)]
+    sets = []
+    for n in (7, 20, 60, 300, 430, 520, 900):
+        for _ in range(12):
+            own = rnd.uniform(0.02, 0.16)
+            k = max(1, round(n * own))
+            sets.append(set(template[: n - k]) | {rnd.getrandbits(62) for _ in range(k)})
+    rows = [(i, i, len(s), sorted(s)[: neardup.WIDE]) for i, s in enumerate(sets)]
+    wide = spark.createDataFrame(rows, "node long, label long, n long, items array<long>")
+    got = {tuple(r) for r in neardup.crosswise(wide, percent).collect()}
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+    assert links and links <= got
+    same = wide.withColumn("label", F.lit(1).cast("long"))
+    assert neardup.crosswise(same, percent).count() == 0
+
+
+@SETTINGS
+def test_neardup_chain_and_crowd(spark, percent, width):
     """A chain of small edits, many copies of one text each edited in its own way, and texts that share a passage."""
     import random
 
@@ -196,12 +245,33 @@ def test_neardup_chain_and_crowd(spark):
         made += [" ".join(base[:n]), " ".join([*base[:n], "z"]), " ".join(["z", *base[:n]])]
     rows = [(1000 - i, t) for i, t in enumerate(made)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(d).collect()}
-    assert got == set(brute_components(rows))
+    assert found_components(d, percent, width) == collections.Counter(brute_components(rows, percent, width))
 
 
+@SETTINGS
+def test_neardup_passages(spark, percent, width):
+    """Hundreds of texts with a long passage in common that aren't linked, and pairs among them that are; large sets too."""
+    import random
+
+    rnd = random.Random(9)
+    word = lambda: f"v{rnd.randrange(20_000)}"
+    made = []
+    for n, share in ((100, 0.6), (100, 0.75), (700, 0.7)):
+        passage = [word() for _ in range(round(n * share))]
+        for i in range(120):
+            own = [word() for _ in range(n - len(passage))]
+            made.append(" ".join(passage + own))
+            if i % 10 == 0:
+                own[rnd.randrange(len(own))] = "edit"
+                made.append(" ".join(passage + own))
+    rows = list(enumerate(made))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_components(d, percent, width) == collections.Counter(brute_components(rows, percent, width))
+
+
+@pytest.mark.parametrize("percent,width", [(80, 5)])
 @pytest.mark.parametrize("ids", [lambda i: i // 5, lambda i: None if i % 3 else i, lambda i: None])
-def test_neardup_repeated_ids(spark, ids):
+def test_neardup_repeated_ids(spark, ids, percent, width):
     """Long near copies under ids that other texts have too, or under none; some are linked by a medoid or within their list only."""
     import random
 
@@ -218,8 +288,7 @@ def test_neardup_repeated_ids(spark, ids):
     rnd.shuffle(made)
     rows = [(ids(i), t) for i, t in enumerate(made)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(d).collect())
-    assert got == collections.Counter(brute_components(rows))
+    assert found_components(d, percent, width) == collections.Counter(brute_components(rows, percent, width))
 
 
 def test_components(spark):
@@ -231,11 +300,21 @@ def test_components(spark):
 # mixing
 
 
+def level_targets(sizes, weights):
+    """Target of a source: min(3 * size, level * weight), with the one level that gives the total; found by bisection."""
+    total, low, high = sum(sizes.values()), 0.0, 3.0 * (sum(sizes.values()) + 1)
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(3 * sizes[s], mid * weights[s]) for s in sizes) < total else (low, mid)
+    return {s: min(3 * sizes[s], high * weights[s]) for s in sizes}
+
+
 def check_mix(rows, got):
     sizes = collections.Counter()
     for i, t, s, *_ in rows:
         sizes[s] += len(WORD.findall(t or ""))
-    want = mixing.targets(dict(sizes))
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    want = level_targets(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)})
     assert abs(sum(want.values()) - sum(sizes.values())) < 1e-6
     taken = collections.Counter()
     for r in got:
@@ -276,12 +355,57 @@ def test_targets_and_flow():
     assert short == {("a",): {"a": 3}}
 
 
-def test_mix_overlapping(spark):
-    rows = [(i, ["a"] if i % 3 == 0 else ["a", "b"] if i % 3 == 1 else ["b"], 5 + i % 4) for i in range(300)]
-    d = spark.createDataFrame(rows + [(999, None, 7)], "doc_id long, m array<string>, s long")
-    got = mixing.mix(d, F.col("m"), F.col("s"), {"a": 3, "b": 1}).collect()
-    assert len(got) == 301 and all(r.taken <= 3 * r.size for r in got)
-    assert next(r for r in got if r.doc_id == 999).taken == 0
+@pytest.mark.parametrize("bits,range_rows", [(12, 2000), (2, 5), (3, 40)])
+def test_mix_overlapping(spark, monkeypatch, bits, range_rows):
+    """Each source is granted its quota, up to half a document for each pattern it is in; the ways to find the edge give the same mix."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)
+    patterns = [["a"], ["a", "b"], ["b"], ["c", "a", None], [None]]
+    rows = [(i, patterns[i % 5], 5 + i % 4) for i in range(600)] + [(1, patterns[1], 6), (None, patterns[2], 9), (7, patterns[0], 0)]
+    d = spark.createDataFrame(rows + [(999, None, 7), (998, [], 7)], "doc_id long, m array<string>, s long")
+    weights = {"a": 3, "b": 1, "c": 2, None: 4}
+    mixed = mixing.mix(d, F.col("m"), F.col("s"), weights, bits=bits).collect()
+    assert len(mixed) == len(rows) + 2 and all(r.taken <= 3 * r.size and (not r.size or r.taken % r.size == 0) for r in mixed)
+    assert [r.taken for r in mixed if r.doc_id in (998, 999)] == [0, 0]
+    for r in mixed:
+        assert sum(g.words for g in r.granted) == r.taken and {g.source for g in r.granted} <= set(r.members or ())
+    sizes = collections.Counter()
+    for _, m, n in rows:
+        for s in m:
+            sizes[s] += n
+    goal, got = mixing.targets(dict(sizes), weights), collections.Counter()
+    for r in mixed:
+        for g in r.granted:
+            got[g.source] += g.words
+    flow = mixing.min_cost_flow({tuple(p): sum(n for _, m, n in rows if m == p) for p in patterns}, {s: round(t) for s, t in goal.items()})
+    for s in sizes:
+        quota = sum(f.get(s, 0) for f in flow.values())
+        assert abs(got[s] - quota) <= 4.5 * sum(s in p for p in patterns), (s, got[s], quota)
+    plain = mixing.mix(d, F.col("m"), F.col("s"), weights)
+    assert sorted((r.doc_id or 0, r.size, r.taken) for r in mixed) == sorted((r.doc_id or 0, r.size, r.taken) for r in plain.collect())
+
+
+def test_flow_is_cheapest():
+    """Against all ways to grant words in small networks: as much as possible, at the least cost of repeats."""
+    import itertools
+    import random
+
+    rnd = random.Random(4)
+    for _ in range(25):
+        capacity = {("a",): rnd.randrange(3), ("a", "b"): rnd.randrange(3), ("b", "c"): rnd.randrange(2)}
+        quotas = {s: rnd.randrange(6) for s in "abc"}
+        edges = [(p, s) for p in capacity for s in p]
+        cost = lambda p, n: sum(mixing.REPEAT_COSTS[i] * max(0, min(capacity[p], n - i * capacity[p])) for i in range(3))
+        best = None
+        for amounts in itertools.product(range(6), repeat=len(edges)):
+            by, of = collections.Counter(), collections.Counter()
+            for (p, s), n in zip(edges, amounts):
+                by[p] += n
+                of[s] += n
+            if all(by[p] <= 3 * capacity[p] for p in capacity) and all(of[s] <= quotas[s] for s in quotas):
+                key = (-sum(amounts), sum(cost(p, by[p]) for p in capacity))
+                best = key if best is None else min(best, key)
+        flow = mixing.min_cost_flow(capacity, quotas)
+        assert (-sum(n for f in flow.values() for n in f.values()), sum(cost(p, sum(f.values())) for p, f in flow.items())) == best
 
 
 # chat
@@ -302,7 +426,7 @@ def check_chat(rows, got):
 
 def test_chat(spark, data):
     odd = [(1, 0, "user", "</turn>\n<turn assistant>\n\\l \\e \\g \\ <"), (1, 1, "assistant", "\\### Assistant: </turn> ok"), (1, 1, "assistant", "same turn"), (2, None, None, None), (2, 3, "a>b\n<c", ""), (None, 0, "assistant", "😀 <\\"), (3, 0, "assistant", None), (4, 0, "user", LONG)]
-    d = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
+    d = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string").select("*", *[F.lit("clash").alias(c) for c in ("formatted", "seq", "kind", "log", "last", "cut", "head", "body", "piece", "learned", "m", "loss", "turns", "loss_spans")])
     check_chat(odd, chat.read_back(chat.format_events(chat.turns_as_events(d))).collect())
     assert chat.format_events(chat.turns_as_events(d.limit(0))).count() == 0
     table = spark.read.parquet(f"{data}/conversations.parquet")
@@ -339,12 +463,35 @@ def test_sharding(table, docs, none, texts):
     assert sharding.shard_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_sharding_keeps_equal_texts(spark, folder):
+    got = sharding.shard_documents(common.documents(spark, f"/root/testdata/{folder}")).toPandas()
+    size = got.groupby("shard")["size"].sum()
+    groups = got.groupby(["text_crc32", "size"])
+    assert (groups["shard"].nunique() == 1).all() and (groups.size() > 1).any()
+    heaviest = groups["size"].sum().max()
+    assert len(size) == 16 and (abs(size - size.mean()) <= heaviest + 0.02 * size.mean()).all()
+
+
+def test_sharding_by_metadata(spark):
+    """Texts of two sources that differ in language and size: no shard but the one at the cut holds both; target_bytes sets the number."""
+    rows = [(i, f"{i} " * (2 if i % 2 else 60), "ab"[i % 2], "xy"[i % 2]) for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = sharding.shard_documents(d, shards=8).toPandas()
+    mixed = got.assign(odd=got.doc_id % 2).groupby("shard").odd.nunique()
+    assert (mixed > 1).sum() <= 1
+    total = got["size"].sum()
+    assert sharding.shard_documents(d, target_bytes=int(total // 4)).select("shard").distinct().count() == 5
+
+
 def test_sharding_heavy_group(spark):
     """Two thirds of the rows are copies: they are cut through; light groups stay together."""
     rows = [(i, "the same text again and again") for i in range(4000)] + [(10_000 + i, f"text {i // 2} " * (i % 7 + 1)) for i in range(2000)]
     got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
     size = got.groupby("shard")["size"].sum()
     assert len(size) == 16 and size.max() <= 1.05 * size.mean() and size.min() >= 0.95 * size.mean()
+    light = got[got.doc_id >= 10_000].groupby(["text_crc32", "size"])["shard"].nunique()
+    assert (light == 1).all()
 
 
 # quality
@@ -401,16 +548,66 @@ def test_language(table, docs, none, spark):
     assert {r.lang_pred for r in langid.predict(digits, model).collect()} == {"und"}
 
 
+def test_language_exact_sets(spark, table):
+    """Against the same decision with exact sets of n-grams in plain Python: the filter's false positives change next to nothing."""
+    import numpy as np
+
+    model = langid.learn(table.filter("doc_id % 3 != 0"))
+    rows = table.filter("doc_id % 3 = 0").collect()
+    code = lambda t: langid.grams(np.frombuffer((t or "").encode(), np.uint8))[: max(0, len((t or "").encode()) - langid.N + 2)].tolist()
+    counts = collections.defaultdict(collections.Counter)
+    for r in table.filter("doc_id % 3 != 0").collect():
+        if r.lang is not None and r.text is not None:
+            counts[r.lang].update(code(r.text))
+    sets = {k: {g for g, n in c.items() if n >= max(2, sum(c.values()) * langid.MIN_SHARE)} for k, c in counts.items()}
+    assert model.languages == sorted(sets)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(table.filter("doc_id % 3 = 0"), model).collect()}
+    same = 0
+    for r in rows:
+        weight = collections.Counter({k: 0.0 for k in model.languages})
+        for g in code(r.text):
+            held = [k for k in sets if g in sets[k]]
+            for k in held:
+                weight[k] += 1 / len(held) ** 2
+        best = max(model.languages, key=lambda k: weight[k])
+        same += got[r.doc_id] == (best if re.search(r"[^\W\d_]", r.text or "") else "und")
+    assert same >= 0.98 * len(rows)
+
+
+def test_language_held_out(spark):
+    """Accuracy on the rows that are held out, by the table's own labels."""
+    d = common.documents(spark, "/root/testdata/sf0.01")
+    got = langid.identify(d).toPandas().merge(d.select("doc_id", "lang").toPandas(), on="doc_id")
+    held = got[got.held_out & got.lang.notna()]
+    assert len(held) > 200 and (held.lang == held.lang_pred).mean() >= 0.97
+
+
+def test_more_than_64_languages(spark):
+    """Seventy made-up languages, each with words of its own."""
+    import random
+
+    rnd = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:02}": ["".join(rnd.choice(letters) for _ in range(7)) for _ in range(30)] for i in range(70)}
+    rows = [(len(words) * j + i, " ".join(rnd.choice(w) for _ in range(40)), k) for j in range(6) for i, (k, w) in enumerate(words.items())]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(d)
+    assert len(model.languages) == 70 and len(model.words) == 2
+    got = {r.doc_id: r.lang_pred for r in langid.predict(d, model).collect()}
+    assert sum(got[i] == k for i, _, k in rows) >= 0.99 * len(rows)
+
+
 def test_bloom_masks():
     import numpy as np
 
     rnd = np.random.default_rng(2)
-    sets = {f"l{i}": np.unique(rnd.integers(0, 2**48, 4000, dtype=np.uint64)) for i in range(9)}
-    f = langid.Filter(sets)
-    for bit, name in enumerate(f.languages):
-        assert (f.masks(sets[name]) >> f.table.dtype.type(bit) & f.table.dtype.type(1)).all()
-    other = rnd.integers(2**49, 2**50, 20_000, dtype=np.uint64)
-    assert np.mean(f.masks(other) > 0) < 0.05
+    for k in (1, 9, 64, 65, 130):
+        sets = {f"l{i}": np.unique(rnd.integers(0, 2**48, 4000, dtype=np.uint64)) for i in range(k)}
+        f = langid.Filter(sets)
+        for i, name in enumerate(f.languages):
+            assert f.bit(f.masks(sets[name]), i).all()
+        other = rnd.integers(2**49, 2**50, 20_000, dtype=np.uint64)
+        assert all(np.mean(f.bit(f.masks(other), i)) < 0.01 for i in range(k))
 
 
 # toxicity
@@ -445,9 +642,96 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(none, labels).count() == 0
 
 
+def test_toxicity_held_out(spark):
+    """Precision and recall on the rows that are held out, by the table's own labels; none of them teaches."""
+    data = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    d = common.documents(spark, data)
+    got = toxicity.toxicity(d, labels).toPandas().merge(labels.select("doc_id", "toxic").toPandas(), on="doc_id")
+    held = got[got.held_out & got.toxic.notna()]
+    right = ((held.predicted == 1) & (held.toxic == 1)).sum()
+    print("held out:", len(held), "toxic", int((held.toxic == 1).sum()), "found", right, "predicted", int(held.predicted.sum()))
+    assert right >= 0.85 * (held.toxic == 1).sum() and right >= 0.85 * held.predicted.sum()
+    assert toxicity.labelled(d, labels).filter(common.id_crc(F.col("doc_id")) % 4 == 2).isEmpty()
+    assert toxicity.labelled(d, labels, 50).count() == 50
+
+
+def test_toxicity_odd(spark, docs):
+    """A model learnt from real labels on nulls, empty and long texts, repeated ids; an id with thousands of rows teaches once."""
+    data = "/root/testdata/sf0.001"
+    table = common.documents(spark, data).select("doc_id", "text", *[F.lit("clash").alias(c) for c in CLASH])
+    more = docs.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text", *CLASH)
+    crowd = spark.range(3000).select(F.lit(0).cast("long").alias("doc_id"), F.concat(F.lit("row "), "id").alias("text"), *[F.lit("x").alias(c) for c in CLASH])
+    d = table.unionByName(more).unionByName(crowd)
+    labels = spark.read.parquet(f"{data}/labels.parquet").unionByName(spark.createDataFrame([(0, 1, 0), (0, 1, 1), (None, 0, 1)], "doc_id long, quality int, toxic int"), allowMissingColumns=True)
+    got = toxicity.toxicity(d, labels).collect()
+    assert len(got) == table.count() + len(ROWS) + 3000 and all(0 <= r.score <= 1 for r in got)
+    assert not any(r.predicted for r in got if r.doc_id is None or r.doc_id >= 1_000_000)
+
+
 # pipeline
 
 
+@pytest.fixture(scope="module")
+def odd_table(spark):
+    """Texts under one id, no ids, repeated rows, near copies and no words at all; columns named like working columns."""
+    base = [f"w{i}" for i in range(120)]
+    near = lambda k: " ".join([*base[: 60 + k], "edit", *base[61 + k :]])
+    rows = ROWS + [(None, " ".join(base), "s1", None), (None, near(1), "s0", "en"), (40, near(2), None, "de"), (40, near(3).upper(), "s2", None), (40, near(2), None, "de"), (41, "other " * 30, "s0", "en"), (None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("n_chars", F.char_length("text"))
+    return d.select("*", *[F.lit("clash").alias(c) for c in [*CLASH, "ids", "tag", "print", "sketch", "mix_id", "hits", "taken", "fired", "block"]])
+
+
+def test_stages_on_odd_table(spark, data, odd_table):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(r.doc_id, r.text, r.source) for r in odd_table.collect()]
+    key = lambda x: (repr(x[0]), x[1] or "", repr(x[2]))
+    got = {n: stages[n](spark, odd_table, data) for n in stages}
+    assert all(got[n].columns == odd_table.columns for n in list(stages)[:-1])
+    assert sorted(map(key, rows)) == sorted(key((r.doc_id, r.text, r.source)) for r in got["toxicity"].collect())
+    # one row of each text, of the largest id
+    best = {}
+    for i, t, _ in rows:
+        best[lower(t)] = max(best.get(lower(t), -1), -1 if i is None else i)
+    assert collections.Counter((lower(r.text), -1 if r.doc_id is None else r.doc_id) for r in got["exact_dedup"].collect()) == collections.Counter(best.items())
+    # one row of each component; of those without words, one for each id and text
+    parts = collections.defaultdict(list)
+    for (i, t, _), (_, n, least), root in zip(rows, brute_components([(i, t) for i, t, _ in rows], 80, 5), roots([(t) for _, t, _ in rows], 80, 5)):
+        if n:
+            parts[root].append((i, least))
+    want = [least for members in parts.values() for least in {m[1] for m in members}]
+    blank = {(i, t or "") for i, t, _ in rows if not WORD.findall(t or "")}
+    near = [(r.doc_id, r.text) for r in got["near_dedup"].collect()]
+    assert collections.Counter(i for i, t in near if WORD.findall(t or "")) == collections.Counter(want)
+    assert {(i, t or "") for i, t in near if not WORD.findall(t or "")} == blank
+    # a row as often as it is taken
+    times = collections.defaultdict(set)
+    for r in mixing.mix_documents(odd_table).collect():
+        times[r.doc_id, r.members[0], r.size].add(r.taken // r.size if r.size else 1)
+    assert all(len(t) == 1 for t in times.values())
+    count = collections.Counter()
+    for i, t, s in rows:
+        count[i, t, s] += min(times[i, s, len(WORD.findall(t or ""))])
+    assert collections.Counter((r.doc_id, r.text, r.source) for r in got["mixing"].collect()) == +count
+    enc = reference_encoding()
+    assert collections.Counter((r.doc_id, tuple(r.ids)) for r in got["bpe"].collect()) == collections.Counter((i, tuple(enc.encode_ordinary(t or ""))) for i, t, _ in rows)
+
+
+def roots(texts, percent, width):
+    """A number for each row: equal for rows of one component."""
+    numbered = brute_components([(k, t) for k, t in enumerate(texts)], percent, width)
+    return [c for _, _, c in numbered]
+
+
+def test_stages_on_empty_table(spark, data, odd_table):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd_table.limit(0), data).count() == 0, name
+
+
 def test_stages_keep_texts_of_repeated_ids(spark, data):
     """Two texts under one id, several null ids, and a dropped copy under the id of a text that stays."""
     import corpus_pipeline
@@ -486,8 +770,11 @@ def test_pipeline(spark, data):
             last = {lower(t): max(i for i, x in was if lower(x) == lower(t)) for _, t in was}
             assert sorted(i for i, _ in now) == sorted(last.values())
         elif name == "near_dedup":
-            assert sorted(i for i, _ in now) == sorted(d for d, _, c in brute_components(was) if d == c)
+            assert sorted(i for i, _ in now) == sorted(d for d, _, c in brute_components(was, 80, 5) if d == c)
         elif name == "mixing":
             assert set(now) <= set(was) and max(collections.Counter(i for i, _ in now).values()) <= 3
         else:
-            assert sorted(now) == sorted(i for i, _ in was)
+            enc = reference_encoding()
+            want = collections.Counter((i, tuple(enc.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in was)
+            assert docs.columns == ["doc_id", "source", "lang", "n_tokens", "ids", "decoded_sha256"]
+            assert collections.Counter((r.doc_id, tuple(r.ids), r.decoded_sha256) for r in docs.collect()) == want and docs.filter("n_tokens != size(ids)").isEmpty()
