@@ -30,13 +30,14 @@ o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER B
 lines AS (SELECT *, start + length(line) AS stop FROM o)"""
 
 
-@query(f"""WITH {LINES_SQL}, c AS (SELECT doc_id, n // 3 AS span, greatest(start, 100) AS start, least(stop, 700) AS stop, 1000 + start + (n // 2) AS src, start AS s FROM lines WHERE greatest(start, 100) < least(stop, 700)),
+@query(f"""WITH {LINES_SQL}, r AS (SELECT doc_id, 0 AS lo, length(text) // 2 AS hi FROM documents WHERE text IS NOT NULL UNION SELECT doc_id, length(text) // 2, length(text) FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, n // 3 AS span, greatest(start, lo) AS start, least(stop, hi) AS stop, 1000 + start + (n // 2) AS src, start AS s FROM lines JOIN r USING (doc_id) WHERE greatest(start, lo) < least(stop, hi)),
 f AS (SELECT doc_id, span, start, stop, src + start - s AS source_start, src + stop - s AS source_stop FROM c),
 i AS (SELECT *, CASE WHEN lag(span) OVER w = span AND lag(source_stop) OVER w = source_start THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY start)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS island FROM i)
 SELECT doc_id, span, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop, CAST(min(source_start) AS BIGINT) AS source_start, CAST(max(source_stop) AS BIGINT) AS source_stop FROM g GROUP BY doc_id, span, island""")
 def fragment_overlap_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as fragments (three to a span; sources of two successive lines leave a gap), requested in two halves of each text: the line that is cut is one again. The SQL twin still has [100, 700) (REPLY_r01.md)."""
+    """Lines as fragments (three to a span; sources of two successive lines leave a gap), requested in two halves of each text: the line that is cut is one again."""
     lines = _lines(table(spark, sf_dir, "documents"))
     src = 1000 + F.col("start") + F.floor(F.col("n") / 2)
     intervals = lines.select("doc_id", F.floor(F.col("n") / 3).alias("span"), "start", "stop", src.alias("source_start"))
@@ -82,13 +83,13 @@ def _terms_sql(text: str) -> str:
     return rf"list_filter(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) <= 80 AND x NOT IN {_STOP})"
 
 
-@query(f"""WITH d AS (SELECT doc_id, left({PLAIN_SQL}, 90) AS title, substr(text, 91, 400) AS abstract FROM documents),
+@query(f"""WITH d AS (SELECT doc_id, left({PLAIN_SQL}, 90) AS title, substr(text, 91) AS abstract FROM documents),
 u AS (SELECT doc_id, title, {_terms_sql('title')} AS a, {_terms_sql('abstract')} AS b FROM d WHERE length(title) BETWEEN 1 AND 1000 AND lower(title) NOT IN ('untitled', 'untitled document', 'unknown', 'unknown title', 'error') AND regexp_matches(title, '[\\p{{L}}\\p{{N}}]')),
 v AS (SELECT doc_id, list_slice(list_filter(a, lambda x, i: list_position(a, x) = i), 1, 12) AS a, b FROM u),
 w AS (SELECT doc_id, a, list_slice(list_filter(b, lambda x, i: list_position(b, x) = i AND NOT list_contains(a, x)), 1, 8) AS b FROM v)
 SELECT doc_id, '(' || array_to_string(list_transform(a, lambda x: 'all:"' || x || '"'), ' OR ') || ')' || CASE WHEN len(b) = 0 THEN '' ELSE ' AND (' || array_to_string(list_transform(b, lambda x: 'abs:"' || x || '"'), ' OR ') || ')' END AS query FROM w WHERE len(a) > 0""")
 def related_terms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 90 characters as title, all the others as abstract. The SQL twin still reads 400 of them (REPLY_r01.md)."""
+    """The first 90 characters as title, all the others as abstract."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.left(T.collapse(F.col("text")), F.lit(90)).alias("title"), F.substring(F.col("text"), F.lit(91), F.char_length("text")).alias("abstract"))
     a = d.filter(T.usable_title(F.col("title"))).withColumn("a", T.distinct_terms(F.col("title"), 12)).filter(F.size("a") > 0)
     b = a.withColumn("b", T.distinct_terms(F.col("abstract"), 8, F.col("a")))
@@ -167,7 +168,7 @@ def feed_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.dedupe_feed(e.filter("id != ''"), "id", "page_id", "host")
 
 
-@query("""SELECT id, n FROM (SELECT id, count(*) AS n FROM (SELECT page_id AS id FROM pages UNION ALL SELECT doc_id FROM documents WHERE doc_id % 3 = 0) GROUP BY id) WHERE n <> 1""")
+@query("""SELECT id, n FROM (SELECT id, count(*) AS n FROM (SELECT page_id AS id FROM pages UNION ALL SELECT doc_id FROM documents) GROUP BY id) WHERE n <> 1""")
 def union_identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of all pages and documents. The SQL twin still takes a third of the documents (REPLY_r01.md)."""
+    """Ids of all pages and documents."""
     return checks.one_owner(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id")), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id")

@@ -12,9 +12,9 @@ from paperloom.plans.registry import query
 
 @query("""SELECT o_orderkey, c_name, o_orderpriority, o_totalprice, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS published,
 CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'waiting' ELSE 'delayed' END AS state
-FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 50""")
+FROM orders JOIN customer ON o_custkey = c_custkey""")
 def library_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders as papers, the newest first. The SQL twin still stops at fifty rows (REPLY_r01.md)."""
+    """All orders as papers, the newest first."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     status = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "waiting").otherwise("delayed")
@@ -56,9 +56,9 @@ def conversation_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT u.conv_id, u.turn, length(u.text) + length(a.text) AS size FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
 r AS (SELECT *, row_number() OVER w AS n, sum(size) OVER w AS total FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC))
-SELECT conv_id, turn, size FROM r WHERE n <= 6 AND total <= 1200""")
+SELECT conv_id, turn, size FROM r WHERE n <= 6 AND total <= 8000""")
 def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a user's and the next assistant's message, newest first, at most six and 8000 characters: the first that doesn't fit ends it. The SQL twin still has 1200 (REPLY_r01.md)."""
+    """Pairs of a user's and the next assistant's message, newest first, at most six and 8000 characters: the first that doesn't fit ends it."""
     c = table(spark, sf_dir, "conversations")
     u = c.filter("role = 'user'").select("conv_id", "turn", F.char_length("text").alias("nu"))
     a = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.char_length("text").alias("na"))
@@ -91,10 +91,10 @@ def set_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.set_difference(expected, observed, "key")
 
 
-@query("""WITH b AS (SELECT l_suppkey AS scope, l_orderkey, unnest(list_distinct(list(l_partkey))) AS element FROM lineitem WHERE l_suppkey % 5 = 0 GROUP BY l_suppkey, l_orderkey)
+@query("""WITH b AS (SELECT l_suppkey AS scope, l_orderkey, unnest(list_distinct(list(l_partkey))) AS element FROM lineitem GROUP BY l_suppkey, l_orderkey)
 SELECT scope, element, count(*) AS n FROM b GROUP BY scope, element HAVING count(*) > 1""")
 def array_overlap_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches (a supplier's parts in one order): parts that two batches of a supplier hold. The SQL twin still takes a fifth of the suppliers (REPLY_r01.md)."""
+    """Batches (a supplier's parts in one order): parts that two batches of a supplier hold."""
     batches = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("scope"), "l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
     return checks.shared_elements(batches, "scope", "parts")
 
@@ -119,11 +119,11 @@ def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.lag("o_orderkey").over(w).alias("before"), (~F.col("o_orderdate").eqNullSafe(F.lag("o_orderdate").over(w))).alias("moved"))
 
 
-@query("""WITH r AS (SELECT c_custkey AS doc, c_nationkey % 5 AS owner FROM customer WHERE c_custkey % 3 = 0),
+@query("""WITH r AS (SELECT c_custkey AS doc, c_nationkey % 5 AS owner FROM customer),
 d AS (SELECT c_custkey AS doc, CASE WHEN c_custkey % 4 = 0 THEN 9 ELSE c_nationkey % 5 END AS owner, c_acctbal > 0 AS ready, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS expected, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 2000) AS found FROM customer WHERE c_custkey % 5 <> 0)
 SELECT r.owner, r.doc, CASE WHEN d.doc IS NULL THEN 'not_found' WHEN NOT ready THEN 'not_ready' WHEN expected <> found THEN 'inconsistent' ELSE 'ready' END AS status FROM r LEFT JOIN d ON r.doc = d.doc AND r.owner = d.owner""")
 def readiness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as documents of their nation's owner, orders as parts; all are asked for, a fifth don't exist, a quarter are another owner's. The SQL twin still asks for a third (REPLY_r01.md)."""
+    """Customers as documents of their nation's owner, orders as parts; all are asked for, a fifth don't exist, a quarter are another owner's."""
     from paperloom.operators.retrieval import readiness
 
     c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "doc")
