@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def decorative(citations: DataFrame, claims: DataFrame) -> DataFrame:
 
 def cost(usage: DataFrame, tariff: DataFrame) -> DataFrame:
     """run, cost from usage (run, class, tokens) by tariff (class, price per million); null unless every class is priced and counted."""
-    j = usage.join(F.broadcast(tariff), "class", "left")  # one row for each class of tokens
+    j = usage.join(tariff, "class", "left")
     part = F.col("tokens") * F.col("price") / 1_000_000
     return j.groupBy("run").agg(F.round(known_total(part), 9).alias("cost"))
 
@@ -57,19 +58,27 @@ def allocation_use(spent: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def token_lcs_recall(reference: DataFrame) -> DataFrame:
-    """id, recall from (id, expected array, got array): longest common subsequence over the number of expected tokens; null for none.
-
-    A fold over the got tokens with one row of the table as accumulator.
-    """
-
-    def row(prev: Column, token: Column) -> Column:
-        # new[i] = max(new[i-1], prev[i], prev[i-1] + match)
-        start = F.array(F.lit(0))
-        return F.aggregate(F.sequence(F.lit(1), F.size("expected")), start, lambda acc, i: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), F.element_at(prev, i + 1), F.element_at(prev, i) + (F.element_at("expected", i) == token).cast("int")))))
-
-    first = F.transform(F.sequence(F.lit(0), F.size("expected")), lambda i: F.lit(0))
-    lcs = F.element_at(F.aggregate("got", first, row), -1)
-    return reference.select("id", F.when(F.size("expected") > 0, F.round(lcs / F.size("expected"), 9)).alias("recall"))
+    """id, recall from (id, expected array, got array): longest common subsequence over the number of expected tokens; null for none."""
+
+    @F.pandas_udf("int")
+    def lcs(expected: pd.Series, got: pd.Series) -> pd.Series:
+        return pd.Series([_lcs(list(e), list(g)) for e, g in zip(expected, got, strict=True)], dtype="int32")
+
+    n = F.size("expected")
+    return reference.select("id", F.when(n > 0, F.round(lcs("expected", F.coalesce("got", F.array().cast(reference.schema["got"].dataType))) / n, 9)).alias("recall"))
+
+
+def _lcs(expected: list, got: list) -> int:
+    """Length of the longest common subsequence: one row of the table as bits of a number, a step for each token got."""
+    places: dict = {}
+    for i, token in enumerate(expected):
+        places[token] = places.get(token, 0) | 1 << i
+    every = (1 << len(expected)) - 1
+    row = every
+    for token in got:
+        met = row & places.get(token, 0)
+        row = (row + met | row - met) & every
+    return len(expected) - row.bit_count()
 
 
 def latency_summary(samples: DataFrame) -> DataFrame:

@@ -5,11 +5,25 @@ Interval joins go by an equal key (chunk or document) first; overlap is a filter
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from paperloom.functions.text import LIGATURES, SPACE_CLASS, collapse
-from paperloom.operators.retrieval import MAX_STATED
+from paperloom.operators.documents import spread
+
+#: Characters of quotes that are looked for in one reading of the texts (some 100 bytes each while they are); more quotes take more readings.
+QUOTE_CHARS = 1_000_000
+_SPACES = re.compile(r"\s+")
 
 
 def clip(intervals: DataFrame, requests: DataFrame, key: str) -> DataFrame:
@@ -55,53 +69,178 @@ def mapping_valid(kind: Column, start: Column, stop: Column, source_start: Colum
     return F.coalesce((start >= 0) & (start <= stop) & (stop <= F.char_length(text)) & law, F.lit(False))
 
 
-def resolve_ranges(mappings: DataFrame, requests: DataFrame) -> DataFrame:
-    """chunk, status, fragments for requests (chunk, lo, hi) over mappings (chunk, ordinal, start, stop, span, source_start, source_stop, kind).
+def resolve_ranges(mappings: DataFrame, requests: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """chunk, lo, hi, status, fragments for requests (chunk, lo, hi) over mappings (chunk, ordinal, start, stop, span, source_start, source_stop, kind).
 
     Identity may be cut; any other kind only whole, else the request is unresolved. A deletion counts
-    only strictly inside. Touching fragments of a span are merged by the source, in order.
+    only strictly inside. Touching fragments of a span are one, in order. A fragment is (span, a, b), and with
+    spans (span, page_index, raw_text, boxes) also its page_index, quote and boxes, one for each character; a
+    span that isn't there leaves the request unresolved. Requests are a set: repeated ones are answered once.
     """
-    j = requests.join(mappings.filter("kind != 'separator'"), "chunk", "left")
-    left, right = F.greatest("start", "lo"), F.least("stop", "hi")
-    deleted = (F.col("start") == F.col("stop")) & (F.col("lo") < F.col("start")) & (F.col("start") < F.col("hi"))
-    j = j.withColumn("left", left).withColumn("right", right).withColumn("deleted", F.coalesce(deleted, F.lit(False)))
-    j = j.withColumn("hit", F.coalesce(F.col("deleted") | (F.col("left") < F.col("right")), F.lit(False)))
-    whole = (F.col("left") == F.col("start")) & (F.col("right") == F.col("stop"))
-    j = j.withColumn("bad", F.col("hit") & (F.col("kind") != "identity") & ~F.col("deleted") & ~whole)
-    ident = F.col("kind") == "identity"
-    a = F.when(ident, F.col("source_start") + F.col("left") - F.col("start")).otherwise(F.col("source_start"))
-    b = F.when(ident, F.col("source_start") + F.col("right") - F.col("start")).otherwise(F.col("source_stop"))
-    j = j.withColumn("a", a).withColumn("b", b)
-    hits = F.sort_array(F.collect_list(F.when(F.col("hit"), F.struct("ordinal", "span", "a", "b"))))
-    g = j.groupBy("chunk", "lo", "hi").agg(F.max("bad").alias("bad"), hits.alias("hits"))
-    kind = mappings.schema["span"].dataType.simpleString()
-    none = F.array().cast(f"array<struct<span:{kind},a:int,b:int>>")
-
-    def step(acc: Column, h: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        one = F.struct(h["span"].alias("span"), h["a"].cast("int").alias("a"), h["b"].cast("int").alias("b"))
-        joined = F.struct(last["span"].alias("span"), last["a"].alias("a"), h["b"].cast("int").alias("b"))
-        touches = (last["span"] == h["span"]) & (last["b"] == h["a"])
-        return F.when(F.coalesce(touches, F.lit(False)), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(one)))
-
-    ok = ~F.coalesce("bad", F.lit(False)) & (F.size("hits") > 0) & (F.col("lo") >= 0) & (F.col("lo") < F.col("hi"))
-    return g.select("chunk", "lo", "hi", F.when(ok, "resolved").otherwise("unresolved").alias("status"), F.when(ok, F.aggregate("hits", none, step)).otherwise(none).alias("fragments"))
+    key = ["chunk", "lo", "hi"]
+    asked = requests.select(*key).distinct()
+    hit = ((F.col("start") == F.col("stop")) & (F.col("lo") < F.col("start")) & (F.col("start") < F.col("hi"))) | (F.greatest("start", "lo") < F.least("stop", "hi"))
+    j = asked.join(mappings.filter("kind != 'separator'"), "chunk").filter(hit)
+    same, empty = F.col("kind") == "identity", F.col("start") == F.col("stop")
+    cut = ~empty & ((F.col("lo") > F.col("start")) | (F.col("hi") < F.col("stop")))
+    a = F.when(same, F.col("source_start") + F.greatest("start", "lo") - F.col("start")).otherwise(F.col("source_start")).cast("int")
+    b = F.when(same, F.col("source_start") + F.least("stop", "hi") - F.col("start")).otherwise(F.col("source_stop")).cast("int")
+    j = j.select(*key, "ordinal", "span", a.alias("a"), b.alias("b"), (cut & ~same).alias("bad"))
+    order = Window.partitionBy(*key).orderBy("ordinal")
+    touches = (F.lag("span").over(order) == F.col("span")) & (F.lag("b").over(order) == F.col("a"))
+    j = j.withColumn("new", F.when(F.coalesce(touches, F.lit(False)), 0).otherwise(1)).withColumn("at", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    f = j.groupBy(*key, "at", "span").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max("bad").alias("bad"))
+    part = ["span", "a", "b"]
+    if spans is not None:
+        f = f.join(spans.select("span", "page_index", "raw_text", "boxes"), "span", "left")
+        n = F.col("b") - F.col("a")
+        f = f.withColumn("quote", F.substr("raw_text", F.col("a") + 1, n)).withColumn("boxes", F.slice("boxes", F.col("a") + 1, n)).withColumn("bad", F.col("bad") | F.col("raw_text").isNull())
+        part += ["page_index", "quote", "boxes"]
+    parts = F.sort_array(F.collect_list(F.struct("at", F.struct(*part).alias("f"))))
+    g = f.groupBy(*key).agg(F.max("bad").alias("bad"), F.transform(parts, lambda x: x["f"]).alias("fragments"))
+    out = asked.join(g, key, "left")
+    ok = F.coalesce(~F.col("bad") & (F.col("lo") >= 0) & (F.col("lo") < F.col("hi")), F.lit(False))
+    none = F.array().cast(g.schema["fragments"].dataType)
+    return out.select(*key, F.when(ok, "resolved").otherwise("unresolved").alias("status"), F.when(ok, F.col("fragments")).otherwise(none).alias("fragments"))
+
+
+def collapsed(raw: str) -> tuple[str, list[int], list[int]]:
+    """The text with each run of white space as one space, where the runs of several characters are in it, and what they and those before are longer than that."""
+    at, more, extra = [], [], 0
+    for m in _SPACES.finditer(raw):
+        if (n := m.end() - m.start()) > 1:
+            at.append(m.start() - extra)
+            extra += n - 1
+            more.append(extra)
+    return _SPACES.sub(" ", raw), at, more
+
+
+def raw_place(place: int, at: list[int], more: list[int]) -> int:
+    """The place in the raw text of a place in its collapsed text."""
+    i = bisect_left(at, place)
+    return place + (more[i - 1] if i else 0)
 
 
 def quote_matches(texts: DataFrame, quotes: DataFrame) -> DataFrame:
-    """item_id, doc_id, start, status of every text that holds a quote: `unique`, or `ambiguous` if it occurs again.
+    """item_id, doc_id, start, status, raw_start, raw_stop of every text that holds a quote: `unique`, or `ambiguous` if it occurs again.
 
-    White space runs are equal, case is not. A second occurrence may overlap the first. Quotes are a
-    stated set of bounded number, sent to the texts; each text is read once.
+    White space runs are equal, case is not; start is in the trimmed text with runs as one space, raw_start
+    and raw_stop are in the text itself. A second occurrence may overlap the first. Quotes are a stated set:
+    an automaton of up to QUOTE_CHARS characters of them reads each text once, whatever their number.
     """
     q = quotes.select("item_id", collapse(F.col("text")).alias("quote")).filter("quote != ''")
-    if q.limit(MAX_STATED + 1).count() > MAX_STATED:
-        raise ValueError(f"more than {MAX_STATED} quotes")
-    t = texts.select("doc_id", collapse(F.col("text")).alias("plain"))
-    first = F.instr(F.col("plain"), F.col("quote"))
-    j = t.join(F.broadcast(q), F.contains("plain", "quote")).withColumn("start", first)
-    again = F.instr(F.substr("plain", F.col("start") + 1), F.col("quote")) > 0
-    return j.select("item_id", "doc_id", (F.col("start") - 1).alias("start"), F.when(again, "ambiguous").otherwise("unique").alias("status"))
+    sums = Window.orderBy("item_id", "quote").rowsBetween(Window.unboundedPreceding, 0)  # the stated set only
+    stated = q.withColumn("block", F.floor((F.sum(F.char_length("quote")).over(sums) - 1) / QUOTE_CHARS)).collect()
+    blocks: dict[int, dict[str, list]] = {}
+    for row in stated:
+        blocks.setdefault(row["block"], {}).setdefault(row["quote"], []).append(row["item_id"])
+    rows = spread(texts.select("doc_id", "text").filter("text IS NOT NULL"))
+    item, doc = quotes.schema["item_id"].dataType.simpleString(), texts.schema["doc_id"].dataType.simpleString()
+    schema = f"item_id {item}, doc_id {doc}, start int, status string, raw_start int, raw_stop int"
+    return reduce(DataFrame.union, [_found(rows, block, schema) for block in blocks.values()] or [rows.select(F.lit(None).cast(item), "doc_id", *[F.lit(None)] * 4).limit(0).mapInArrow(lambda b: b, schema)])
+
+
+def _found(rows: DataFrame, quotes: dict[str, list], schema: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(quotes)
+    target = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = ahocorasick.Automaton()
+        for quote, items in shared.value.items():
+            finder.add_word(quote, (len(quote), items))
+        finder.make_automaton()
+        for b in batches:
+            out = []
+            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                plain, at, more = collapsed(raw)
+                lead = len(plain) - len(plain.lstrip())
+                found: dict[int, tuple[int, int, list, bool]] = {}
+                for end, (n, items) in finder.iter(plain):
+                    start = end - n + 1
+                    found[id(items)] = (start, n, items, False) if id(items) not in found else (*found[id(items)][:3], True)
+                for start, n, items, again in found.values():
+                    raw_at = raw_place(start, at, more), raw_place(start + n, at, more)
+                    out += [(item, doc, start - lead, "ambiguous" if again else "unique", *raw_at) for item in items]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(target)], names=["item_id", "doc_id", "start", "status", "raw_start", "raw_stop"])
+
+    return rows.mapInArrow(run, schema)
+
+
+@F.pandas_udf(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))
+def unique_place(raw: pd.Series, quote: pd.Series) -> pd.DataFrame:
+    """Where a quote stands in a raw text if it does exactly once, white space runs being equal; else nulls. For single excerpts, not for scans."""
+
+    def place(r: str | None, q: str | None) -> tuple[int | None, int | None]:
+        if not r or not q:
+            return None, None
+        (plain, at, more), wanted = collapsed(r), _SPACES.sub(" ", q)
+        first = plain.find(wanted)
+        if first < 0 or plain.find(wanted, first + 1) >= 0:
+            return None, None
+        return raw_place(first, at, more), raw_place(first + len(wanted), at, more)
+
+    return pd.DataFrame([place(r, q) for r, q in zip(raw, quote, strict=True)], columns=["start", "stop"], dtype="Int32")
+
+
+def evidence_labels(hits: DataFrame, key: str, at_most: int = 5, budget: int = 12_000) -> DataFrame:
+    """key, ref (S1, S2, ... in order of rank), chunk, ok: whether the key's hits (rank, chunk, n_text, n_raw) are a catalog: few enough, none without source, within both budgets."""
+    w = Window.partitionBy(key)
+    ok = (F.count("*").over(w) <= at_most) & (F.sum("n_text").over(w) <= budget) & (F.sum("n_raw").over(w) <= budget) & (F.min("n_raw").over(w) > 0)
+    return hits.select(key, F.concat(F.lit("S"), F.row_number().over(w.orderBy("rank")).cast("string")).alias("ref"), "chunk", ok.alias("ok"))
+
+
+def resolve_citations(proposals: DataFrame, chunks: DataFrame, mappings: DataFrame, spans: DataFrame, limit: int = 2000) -> DataFrame:
+    """citation, status, part, page, quote, boxes, fragments: proposals (citation, chunk, quote) traced to their pages.
+
+    The chunk (chunk, length) is resolved as a whole to its sources' raw text; the quote must stand in that
+    exactly once. Its characters lead back to fragments of spans, which must not cut through a ligature or a
+    white space run of the mappings. There is one part for each run of fragments on a page, with page
+    number, quote and a box for each character; a part above the limit leaves the citation unresolved.
+    Unresolved ones have one row without a part, unknown chunks too.
+    """
+    asked = proposals.join(chunks.select("chunk", "length"), "chunk", "left")
+    whole = asked.filter("length > 0").select("chunk", F.lit(0).alias("lo"), F.col("length").cast("int").alias("hi")).distinct()
+    source = resolve_ranges(mappings, whole, spans).select("chunk", "fragments").withColumn("raw", F.array_join(F.transform("fragments", lambda f: f["quote"]), ""))
+    placed = asked.join(source, "chunk", "left").withColumn("p", unique_place("raw", "quote")).select("citation", "chunk", F.col("p.start").alias("lo"), F.col("p.stop").alias("hi"), "fragments")
+    f = placed.filter("lo IS NOT NULL").select("citation", "chunk", "lo", "hi", F.posexplode("fragments").alias("at", "f"))
+    ahead = F.coalesce(F.sum(F.char_length("f.quote")).over(Window.partitionBy("citation").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    f = f.withColumn("x", F.greatest(F.lit(0), F.col("lo") - ahead).cast("int")).withColumn("y", F.least(F.char_length("f.quote"), F.col("hi") - ahead).cast("int")).filter("x < y")
+    n = F.col("y") - F.col("x")
+    f = f.select("citation", "chunk", "at", "f.span", "f.page_index", (F.col("f.a") + F.col("x")).alias("a"), (F.col("f.a") + F.col("y")).alias("b"), F.substr("f.quote", F.col("x") + 1, n).alias("quote"), F.slice("f.boxes", F.col("x") + 1, n).alias("boxes"))
+    # every character comes from a mapping, and a mapping that isn't the identity is taken whole
+    m = mappings.filter("span IS NOT NULL").select("chunk", "span", "source_start", "source_stop", "kind")
+    met = f.join(m, ["chunk", "span"]).filter(F.greatest("a", "source_start") < F.least("b", "source_stop"))
+    cut = (F.col("kind") != "identity") & ((F.col("source_start") < F.col("a")) | (F.col("source_stop") > F.col("b")))
+    held = met.groupBy("citation", "at").agg(F.sum(F.least("b", "source_stop") - F.greatest("a", "source_start")).alias("held"), F.max(cut).alias("cut"))
+    f = f.join(held, ["citation", "at"], "left").withColumn("good", F.coalesce((F.col("held") == F.col("b") - F.col("a")) & ~F.col("cut"), F.lit(False)))
+    order = Window.partitionBy("citation").orderBy("at")
+    f = f.withColumn("new", F.when(F.lag("page_index").over(order).eqNullSafe(F.col("page_index")), 0).otherwise(1)).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = F.sort_array(F.collect_list(F.struct("at", "span", "a", "b", "quote", "boxes")))
+    g = f.groupBy("citation", "part").agg((F.first("page_index") + 1).alias("page"), F.every("good").alias("good"), rows.alias("rows"))
+    g = g.select("citation", "part", "page", "good", F.array_join(F.transform("rows", lambda x: x["quote"]), "").alias("quote"), F.flatten(F.transform("rows", lambda x: x["boxes"])).alias("boxes"), F.transform("rows", lambda x: F.struct(x["span"].alias("span"), x["a"].alias("a"), x["b"].alias("b"))).alias("fragments"))
+    fits = F.every(F.col("good") & F.col("quote").isNotNull() & (F.char_length("quote") <= limit) & (F.size("boxes") == F.char_length("quote"))).over(Window.partitionBy("citation"))
+    good = g.withColumn("fits", fits).filter("fits").drop("fits", "good")
+    out = proposals.select("citation").join(good, "citation", "left")
+    return out.select("citation", F.when(F.col("part").isNull(), "unresolved").otherwise("resolved").alias("status"), "part", "page", "quote", "boxes", "fragments")
+
+
+def spans_on_pages(spans: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """span, raw_text, boxes, page_index, block_box, page_box of the spans (doc, span, block, raw_text, boxes) whose block (doc, block, page, box, excluded) is not excluded and whose page (doc, page, page_index, page_box) is known."""
+    b = blocks.filter(~F.coalesce("excluded", F.lit(False))).select("doc", "block", "page", F.col("box").alias("block_box"))
+    return spans.join(b, ["doc", "block"]).join(pages.select("doc", "page", "page_index", "page_box"), ["doc", "page"]).select("doc", "span", "raw_text", "boxes", "page_index", "block_box", "page_box")
+
+
+def stored_citations(citations: DataFrame, runs: DataFrame, ideas: DataFrame, sources: DataFrame, pages: DataFrame, publications: DataFrame) -> DataFrame:
+    """The citations whose whole origin holds: a completed run, an idea and a source of that run, the very page, and a publication under the source's profile.
+
+    citations (owner, citation, run, idea, doc, page_id, page), runs (owner, run, state), ideas (owner, run, idea), sources (owner, run, doc,
+    profile), pages (owner, doc, page_id, page_index), publications (owner, doc, profile). Equi-joins that Catalyst orders.
+    """
+    done = runs.filter("state = 'completed'").select("owner", "run")
+    at = pages.select("owner", "doc", "page_id", (F.col("page_index") + 1).alias("page"))
+    j = citations.join(done, ["owner", "run"]).join(ideas.select("owner", "run", "idea"), ["owner", "run", "idea"]).join(sources.select("owner", "run", "doc", "profile"), ["owner", "run", "doc"])
+    return j.join(at, ["owner", "doc", "page_id", "page"]).join(publications.select("owner", "doc", "profile"), ["owner", "doc", "profile"]).select(*citations.columns, "profile")
 
 
 def citations_by_page(fragments: DataFrame, limit: int = 2000) -> DataFrame:
@@ -114,7 +253,11 @@ def citations_by_page(fragments: DataFrame, limit: int = 2000) -> DataFrame:
 
 
 def revalidate_citations(stored: DataFrame, spans: DataFrame) -> DataFrame:
-    """citation, ok: the quote stored with (citation, span, source_start, source_stop, quote) is still what its span holds."""
-    j = stored.join(spans.select("span", "raw_text"), "span", "left")
-    now = F.substr("raw_text", F.col("source_start") + 1, F.col("source_stop") - F.col("source_start"))
-    return j.select("citation", F.coalesce(now == F.col("quote"), F.lit(False)).alias("ok"))
+    """citation, ok: quote (and boxes, if both tables have them) of (citation, span, source_start, source_stop, quote, boxes) are still what the span holds."""
+    boxed = "boxes" in stored.columns and "boxes" in spans.columns
+    j = stored.join(spans.select("span", "raw_text", *([F.col("boxes").alias("now_boxes")] if boxed else [])), "span", "left")
+    a, n = F.col("source_start"), F.col("source_stop") - F.col("source_start")
+    ok = (F.substr("raw_text", a + 1, n) == F.col("quote")) & (a >= 0) & (n > 0) & (F.col("source_stop") <= F.char_length("raw_text"))
+    if boxed:
+        ok &= F.slice("now_boxes", F.greatest(a, F.lit(0)) + 1, F.greatest(n, F.lit(0))).eqNullSafe(F.col("boxes"))
+    return j.groupBy("citation").agg(F.every(F.coalesce(ok, F.lit(False))).alias("ok"))

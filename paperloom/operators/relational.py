@@ -34,3 +34,24 @@ def outline(sections: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFra
     """section, title, ordinal, first_page of sections (section, title, ordinal) with blocks (section, page) on pages (page, page_index)."""
     j = sections.join(blocks, "section").join(pages, "page")
     return j.groupBy("section", "title", "ordinal").agg(F.min("page_index").alias("first_page"))
+
+
+def updated_from(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of changes (one row for each key) where there is one: columns of both take the change, others of changes are added, null without one."""
+    shared = [c for c in changes.columns if c != key and c in rows.columns]
+    c = changes.select(F.col(key), F.lit(True).alias("changed__"), *[F.col(x).alias(f"{x}__") for x in shared], *[x for x in changes.columns if x != key and x not in shared])
+    j = rows.join(c, key, "left")
+    return j.withColumns({x: F.when(F.col("changed__"), F.col(f"{x}__")).otherwise(F.col(x)) for x in shared}).drop("changed__", *[f"{x}__" for x in shared])
+
+
+def stated_order(value: Column, order: tuple[str, ...]) -> Column:
+    """The place of a value in a stated order; all others come last."""
+    out = F.lit(len(order))
+    for i, name in reversed(list(enumerate(order))):
+        out = F.when(value == name, i).otherwise(out)
+    return out
+
+
+def ordinal_batch(rows: DataFrame, ordinal: str, batch: int, size: int) -> DataFrame:
+    """The rows of one batch by their ordinal."""
+    return rows.filter(F.col(ordinal).between(batch * size, (batch + 1) * size - 1))

@@ -31,10 +31,10 @@ def backoff(attempts: Column, asked: Column | None = None) -> Column:
 
 
 def after_failure(jobs: DataFrame) -> DataFrame:
-    """Adds kind, status, delay to rows (code, attempts, retry_after): temporary failures wait for another try until five attempts or 300 s."""
+    """Adds kind, status, delay to rows (code, attempts, retry_after): temporary failures wait for another try until five attempts or 300 s. Without a retry_after, the table of delays decides."""
     kind = failure_kind(F.col("code"))
     temporary = kind == "temporary"
-    again = temporary & (F.col("attempts") < MAX_ATTEMPTS) & (F.col("retry_after") <= 300)
+    again = temporary & (F.col("attempts") < MAX_ATTEMPTS) & (F.coalesce("retry_after", F.lit(0)) <= 300)
     return jobs.withColumn("kind", kind).withColumn("status", F.when(again, "pending").otherwise("failed")).withColumn("delay", F.when(temporary, backoff(F.col("attempts"), F.col("retry_after"))).otherwise(0))
 
 
@@ -116,3 +116,9 @@ def sequence_violations(log: DataFrame, key: str, sequence: str, first: int = 1)
     """key, n of keys whose sequence numbers aren't first, first + 1, ... without gap or repeat."""
     g = log.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct(sequence).alias("d"), F.min(sequence).alias("a"), F.max(sequence).alias("b"))
     return g.filter((F.col("d") != F.col("n")) | (F.col("a") != first) | (F.col("b") != first + F.col("n") - 1)).select(key, "n")
+
+
+def quota_use(windows: DataFrame, key: str, now: Column, seconds: int = 3600) -> DataFrame:
+    """key, used, resets: requests of all windows kept (key, window_start, n), and the seconds from now until the oldest one ends."""
+    start = F.unix_micros(F.min("window_start").cast("timestamp")) + seconds * 1_000_000 - F.unix_micros(now.cast("timestamp"))
+    return windows.groupBy(key).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("used"), F.ceil(start / 1_000_000).alias("resets"))

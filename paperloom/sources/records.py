@@ -92,15 +92,15 @@ def retry_after(value: Column, now: Column) -> Column:
     return F.greatest(F.lit(0), F.coalesce(value.try_cast("int"), (F.unix_timestamp(until) - F.unix_timestamp(now)).cast("int"))) + F.when(value.try_cast("int").isNull() & until.isNull(), F.lit(None).cast("int")).otherwise(0)
 
 
-# A fixed format: identifiers as YYMM.NNNN(N) or archive(.XX)/YYMMNNN, with or without a version.
-CURRENT_ID, LEGACY_ID = r"\d{4}\.\d{4,5}", r"[a-z-]+(?:\.[A-Z]{2})?/\d{7}"
+# A fixed format: YYMM.NNNN(N), or archive/YYMMNNN where the archive may have a subject class; months 01 to 12; with or without a version.
+_MONTH = r"\d{2}(?:0[1-9]|1[0-2])"
+CURRENT_ID, LEGACY_ID = _MONTH + r"\.\d{4,5}", r"[a-zA-Z-]+(?:\.[a-zA-Z-]+)?/" + _MONTH + r"\d{3}"
 
 
-def paper_reference(value: Column, hosts: tuple[str, ...] = ("arxiv.org", "www.arxiv.org", "export.arxiv.org")) -> Column:
+def paper_reference(value: Column, hosts: tuple[str, ...] = ("arxiv.org", "www.arxiv.org")) -> Column:
     """struct<id,version> of an identifier, bare, with an `arxiv:` prefix, or in an https abs or pdf URL of the hosts; null if it is none."""
     v = F.btrim(value)
-    host = "|".join(h.replace(".", r"\.") for h in hosts)
-    url = rf"^https://(?:{host})/(?:abs/(.+)|pdf/(.+?)(?:\.pdf)?)$"
+    url = rf"^https://(?:{'|'.join(h.replace('.', '[.]') for h in hosts)})/(?:abs/(.+)|pdf/(.+?)(?:\.pdf)?)$"
     from_url = F.coalesce(F.nullif(F.regexp_extract(v, url, 1), F.lit("")), F.regexp_extract(v, url, 2))
     raw = F.when(v.contains("://"), from_url).otherwise(F.btrim(F.regexp_replace(v, r"^(?i:arxiv:)", "")))
     form = rf"^({CURRENT_ID}|{LEGACY_ID})(?:v([1-9]\d*))?$"
