@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Characters between words: space and U+0009 to U+000D. Everything else belongs to a word.
 GAPS = "\t\n\x0b\x0c\r"
+#: Rows of an Arrow batch while a table is saved: texts may be long, and both sides of the pipe to Python hold whole batches.
+ARROW_ROWS = 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _local_root: str | None = None
@@ -48,7 +50,13 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/t{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        conf, name = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        rows = conf.get(name)
+        conf.set(name, str(min(int(rows), ARROW_ROWS) if int(rows) > 0 else ARROW_ROWS))
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(name, rows)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._paperloom_path = path  # keeps the id from being used again
