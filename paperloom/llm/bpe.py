@@ -25,7 +25,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from paperloom.llm.common import rows_of
+from paperloom.llm.common import Scratch, rows_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries of each of the memo's two generations in a Python worker (about 250 bytes each), and the longest pre-token kept.
@@ -291,13 +291,17 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int] | None = None, pat
 
 
 def tokenized(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep..., n_tokens, ids array<int>, decoded_sha256: encode_documents, and the digest of what the ids decode to."""
+    """keep..., n_tokens, ids array<int>, decoded_sha256: encode_documents, and the digest of what the ids decode to.
+
+    The table is saved, in small batches: what reads it, however often, encodes nothing again.
+    """
 
     def rows(enc: Encoder, values: list[str | None]):
         every = enc.encode_all(_texts(values))
         return [list(map(len, every)), every, [_sha(enc.decode(ids)) for ids in every]]
 
-    return _mapped(docs, "n_tokens long, ids array<int>, decoded_sha256 string", rows, {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded_sha256": pa.string()}, ranks, pattern, "text", keep)
+    columns = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded_sha256": pa.string()}
+    return Scratch(docs.sparkSession, "bpe").save(_mapped(docs, "n_tokens long, ids array<int>, decoded_sha256 string", rows, columns, ranks, pattern, "text", keep))
 
 
 def decode_documents(encoded: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:

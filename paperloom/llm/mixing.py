@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, repeated_ids, rows_of
+from paperloom.llm.common import Scratch, rows_of
 
 SEED = 20240517
 WEIGHTS = (5, 2, 1)
@@ -148,24 +150,35 @@ def _edges(sized: DataFrame, limits: dict[tuple[str, ...], int], most: int, bits
     return shift, at
 
 
-def mix(docs: DataFrame, members: Column, size: Column, weights: dict[str | None, float] | None = None, seed: int = SEED, bits: int = RANGE_BITS) -> DataFrame:
-    """doc_id, size, members, taken, granted; plus target and source_size by `targets` for one-source documents: one row per row of docs.
+@dataclass
+class Plan:
+    """What a row is taken for: by its pattern, by its range of the hash, and, in one range of each pattern, by itself."""
 
-    `members` is an array of sources (null or empty: the document belongs to none and isn't taken).
-    taken is 0 to MAX_REPEATS times the size; granted (source, words) says for which sources. What a
-    pattern takes differs from the words that the flow wants of it by at most half a document, where
-    documents of that size are left: after the seeded documents that fit, the one whose size is nearest
-    to the rest is added if that brings the sum nearer. So a source is off by half a document for each
-    pattern it is in. Rows that agree in id and size in one pattern are dealt alike. Texts count as
-    whole, without words a size is 0 and nothing is taken. An empty table gives an empty result.
-    Columns that `members` and `size` don't name are never looked at.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    # a pattern is the sorted set of sources; nulls are kept, as a marked value at the end
+    patterns: DataFrame  # members, passes, edge, source_size, target, shares
+    few: Callable[[DataFrame], DataFrame]  # broadcast, if there are few patterns
+    special: DataFrame  # members, doc_id, size: rows of the edge and single ones that are taken once more; some thousands a pattern
+    shift: int
+    longest: int  # rows of the largest pattern of several sources
+
+    def taken(self, sized: DataFrame) -> DataFrame:
+        """Adds passes, source_size, target, shares and times to rows (doc_id, size, members, u, ...): no row is shuffled."""
+        s = self.special.select(F.col("members").alias("s_members"), F.col("doc_id").alias("s_id"), F.col("size").alias("s_size"), F.lit(1).alias("once_more"))
+        rows = sized.join(self.few(self.patterns), "members")
+        rows = rows.join(self.few(s), (F.col("members") == F.col("s_members")) & F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("size") == F.col("s_size")), "left")
+        early = F.coalesce(F.shiftrightunsigned("u", self.shift) < F.col("edge"), F.lit(False))
+        times = F.when(F.col("size") > 0, F.col("passes") + F.greatest(early.cast("long"), F.coalesce("once_more", F.lit(0)))).otherwise(0)
+        return rows.withColumn("times", times).drop("s_members", "s_id", "s_size", "once_more", "edge", "passes")
+
+
+def _sized(docs: DataFrame, members: Column, size: Column, seed: int, *more: Column) -> DataFrame:
+    """doc_id, size, members (the sorted set of sources; a null is kept, as a marked value), u, more."""
     marked = F.transform(F.coalesce(members, F.array().cast("array<string>")), lambda s: F.when(s.isNull(), "n").otherwise(F.concat(F.lit("s"), s)))
-    sized = docs.select(docs["doc_id"], size.alias("size"), F.array_sort(F.array_distinct(marked)).alias("members"))
-    sized = scratch.save(sized.withColumn("u", F.xxhash64(F.lit(seed), "doc_id", "size")))
+    sized = docs.select(docs["doc_id"], size.alias("size"), F.array_sort(F.array_distinct(marked)).alias("members"), *more)
+    return sized.withColumn("u", F.xxhash64(F.lit(seed), "doc_id", "size"))
+
+
+def _planned(scratch: Scratch, sized: DataFrame, weights: dict[str | None, float] | None, bits: int) -> Plan:
+    spark = sized.sparkSession
     name = lambda m: None if m == "n" else m[1:]
     mark = lambda s: "n" if s is None else "s" + s
     totals = {tuple(map(name, r["members"])): (r["w"], r["n"]) for r in sized.groupBy("members").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()}
@@ -187,23 +200,39 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: dict[str | None
         plan.append((list(map(mark, p)), words[p] // w if w else 0, words[p] % w if w else 0, edge, room, sizes[only] if len(p) == 1 else None, goal[only] if len(p) == 1 else None, share))
     plans = spark.createDataFrame(plan, "members array<string>, passes long, rest long, edge long, room long, source_size long, target double, shares array<struct<source:string,lo:long,hi:long>>")
     few = F.broadcast if len(plan) <= FEW_PATTERNS else lambda d: d
-    rows = sized.join(few(plans), "members").withColumn("range", F.shiftrightunsigned("u", shift))
+    rows = sized.join(few(plans.select("members", "rest", "edge", "room")), "members").withColumn("range", F.shiftrightunsigned("u", shift))
     # documents of earlier ranges are taken, those of the edge while they fit
     order = Window.partitionBy("members").orderBy("u", "doc_id", "size").rangeBetween(Window.unboundedPreceding, 0)
-    inside = rows.filter(F.col("range") == F.col("edge")).withColumn("extra", F.sum("size").over(order) <= F.col("room"))
-    others = rows.filter(F.col("edge").isNull() | (F.col("range") != F.col("edge"))).withColumn("extra", F.coalesce(F.col("range") < F.col("edge"), F.lit(False)))
-    chosen = scratch.save(others.unionByName(inside).drop("edge", "room", "range"))
-    got = chosen.groupBy("members").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("gap"))
-    free = chosen.filter(~F.col("extra") & (F.col("size") > 0)).join(few(got), "members")
-    best = free.groupBy("members").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "u", "doc_id", "size", "gap")).alias("b"))
-    best = best.filter(F.col("b.off") < F.abs("b.gap")).select("members", F.col("b.u").alias("bu"), F.col("b.doc_id").alias("bd"), F.col("b.size").alias("bs"))
-    out = chosen.join(few(best), "members", "left")
-    topped = F.coalesce((F.col("u") == F.col("bu")) & F.col("doc_id").eqNullSafe(F.col("bd")) & (F.col("size") == F.col("bs")), F.lit(False))
-    out = out.withColumn("taken", F.col("size") * (F.col("passes") + (F.col("extra") | topped).cast("long")))
+    inside = scratch.save(rows.filter(F.col("range") == F.col("edge")).withColumn("extra", F.sum("size").over(order) <= F.col("room")))
+    fitting = inside.filter("extra AND size > 0")
+    # of all that aren't taken, the one whose size is nearest to what is still missing
+    got = inside.groupBy("members").agg((F.max("room") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("gap"))
+    free = rows.filter((F.col("range") > F.col("edge")) & (F.col("size") > 0)).select("members", "u", "doc_id", "size").unionByName(inside.filter("NOT extra AND size > 0").select("members", "u", "doc_id", "size"))
+    best = free.join(few(got), "members").groupBy("members").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "u", "doc_id", "size", "gap")).alias("b"))
+    best = best.filter(F.col("b.off") < F.abs("b.gap")).select("members", "b.doc_id", "b.size")
+    special = scratch.save(fitting.select("members", "doc_id", "size").unionByName(best).distinct())
+    return Plan(plans.drop("rest", "room"), few, special, shift, max([n for p, (_, n) in totals.items() if len(p) > 1], default=0))
+
+
+def mix(docs: DataFrame, members: Column, size: Column, weights: dict[str | None, float] | None = None, seed: int = SEED, bits: int = RANGE_BITS) -> DataFrame:
+    """doc_id, size, members, taken, granted; plus target and source_size by `targets` for one-source documents: one row per row of docs.
+
+    `members` is an array of sources (null or empty: the document belongs to none and isn't taken).
+    taken is 0 to MAX_REPEATS times the size; granted (source, words) says for which sources. What a
+    pattern takes differs from the words that the flow wants of it by at most half a document, where
+    documents of that size are left: after the seeded documents that fit, the one whose size is nearest
+    to the rest is added if that brings the sum nearer. So a source is off by half a document for each
+    pattern it is in. Rows that agree in id and size in one pattern are dealt alike. Texts count as
+    whole, without words a size is 0 and nothing is taken. An empty table gives an empty result.
+    Columns that `members` and `size` don't name are never looked at.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sized = scratch.save(_sized(docs, members, size, seed))
+    plan = _planned(scratch, sized, weights, bits)
+    out = plan.taken(sized).withColumn("taken", F.col("size") * F.col("times"))
     one = F.filter(F.transform("shares", lambda x: F.struct(x["source"].alias("source"), F.col("taken").alias("words"))), lambda x: x["words"] > 0)
-    several = {p: n for p, (_, n) in totals.items() if len(p) > 1}
-    if several:
-        dealt = _dealt(out.filter(F.size("members") > 1), max(several.values()))
+    if plan.longest:
+        dealt = _dealt(out.filter(F.size("members") > 1), plan.longest)
         out = out.filter(F.size("members") <= 1).withColumn("granted", one).unionByName(dealt)
     else:
         out = out.withColumn("granted", one)
@@ -235,14 +264,15 @@ def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = N
     """The mix itself: each row of docs as many times as it is taken, with all its columns.
 
     Documents without words are not part of a mix by words and stay once. Rows that repeat an id, or
-    have none, are told apart by source and size, as in mix().
+    have none, are told apart by source and size, as in mix(). Texts stay where they are read: what is
+    taken is decided by the plan, which is broadcast.
     """
-    taken = mix_documents(docs, weights, seed)
-    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
-    once = taken.select(F.col("doc_id").alias("mix_id__"), F.get("members", F.lit(0)).alias("mix_source__"), F.col("size").alias("mix_size__"), times.alias("mix_times__"))
-    same = docs["doc_id"].eqNullSafe(F.col("mix_id__"))
-    if repeated_ids(docs):
-        same &= docs["source"].eqNullSafe(F.col("mix_source__")) & (n_words(docs["text"]) == F.col("mix_size__"))
-        once = once.distinct()
-    joined = docs.join(once.filter("mix_times__ > 0"), same)
-    return joined.withColumn("mix_copy__", F.explode(F.sequence(F.lit(1), F.col("mix_times__")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scratch = Scratch(docs.sparkSession, "mixing")
+    size = lambda d: n_words(d["text"])
+    sized = scratch.save(_sized(docs, F.array(docs["source"]), size(docs), seed))
+    plan = _planned(scratch, sized, weights, RANGE_BITS)
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    taken = plan.taken(_sized(docs, F.array(docs["source"]), size(docs), seed, whole))
+    times = F.when(F.col("size") > 0, F.col("times")).otherwise(1).cast("int")
+    copies = taken.withColumn("times", times).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return copies.select("row.*")
