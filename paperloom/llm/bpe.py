@@ -29,7 +29,7 @@ from paperloom.llm.common import Scratch, rows_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries of each of the memo's two generations in a Python worker (about 250 bytes each), and the longest pre-token kept.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 100_000, 48
 _MASK = (1 << 64) - 1
 
 
