@@ -112,7 +112,7 @@ def mine(sample: DataFrame, scratch: Scratch) -> list[str]:
             for b in (whole.slice(i, 128) for i in range(0, whole.num_rows, 128)):
                 for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     sums[int(toxic > 0)].update(terms_of(words_of(text or "")))
-                if len(sums[0]) + len(sums[1]) > 300_000:
+                if len(sums[0]) + len(sums[1]) > 50_000:
                     yield flushed()
         yield flushed()
 
