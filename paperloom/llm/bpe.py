@@ -25,10 +25,10 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from paperloom.llm.common import Scratch, rows_of
+from paperloom.llm.common import Scratch, map_batches, rows_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Entries of each of the memo's two generations in a Python worker (about 250 bytes each), and the longest pre-token kept.
+#: Entries of each of the memo's two generations in a task (about 250 bytes each), and the longest pre-token kept.
 MEMO_ENTRIES, MEMO_CHARS = 100_000, 48
 _MASK = (1 << 64) - 1
 
@@ -240,17 +240,6 @@ class Encoder:
         return " ".join(map(self.text_of.__getitem__, ids))
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
-def encoder(packed: tuple[tuple[bytes, int], ...], patterns: tuple[str, str, str, str]) -> Encoder:
-    """One encoder for each Python worker and vocabulary, kept between tasks."""
-    key = (len(packed), hash(packed), patterns)
-    if key not in _encoders:
-        _encoders[key] = Encoder(dict(packed), patterns)
-    return _encoders[key]
-
-
 #: Rows encoded together; fewer if their texts exceed so many characters.
 GROUP_ROWS, GROUP_CHARS = 256, 4_000_000
 
@@ -261,7 +250,8 @@ def _mapped(docs: DataFrame, schema: str, rows, columns: dict[str, pa.DataType],
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(*shared.value)
+        packed, patterns = shared.value
+        enc = Encoder(dict(packed), patterns)  # a quarter of a second; kept by the worker, it would take memory from all later tasks
         for b in batches:
             step = max(1, min(GROUP_ROWS, GROUP_CHARS * b.num_rows // max(1, b.column(n).nbytes)))
             for at in range(0, b.num_rows, step):
@@ -270,7 +260,7 @@ def _mapped(docs: DataFrame, schema: str, rows, columns: dict[str, pa.DataType],
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array(c, t) for c, t in zip(cols, columns.values(), strict=True))], names=[*keep, *columns])
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows_of(docs, *keep, source).mapInArrow(run, f"{kept}, {schema}")
+    return map_batches(rows_of(docs, *keep, source), run, f"{kept}, {schema}")
 
 
 def _sha(b: bytes) -> str:

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters between words: space and U+0009 to U+000D. Everything else belongs to a word.
 GAPS = "\t\n\x0b\x0c\r"
-#: Rows of an Arrow batch while a table is saved: texts may be long, and both sides of the pipe to Python hold whole batches.
-ARROW_ROWS = 1000
+#: An Arrow batch is closed at so many rows or bytes while a table is saved: texts may be long, and both sides of the pipe to Python hold whole batches.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _local_root: str | None = None
@@ -50,13 +54,15 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/t{self.n}"
         self.n += 1
-        conf, name = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        rows = conf.get(name)
-        conf.set(name, str(min(int(rows), ARROW_ROWS) if int(rows) > 0 else ARROW_ROWS))
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in ARROW_BATCH}
+        for k, v in ARROW_BATCH.items():
+            conf.set(k, str(v))
         try:
             df.write.parquet(path)
         finally:
-            conf.set(name, rows)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._paperloom_path = path  # keeps the id from being used again
@@ -69,6 +75,25 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema); at a task's end its worker, which Spark keeps for other tasks, gives unused memory back to the system."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Pure ASCII text takes the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

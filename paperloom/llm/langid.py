@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, id_crc, rows_of
+from paperloom.llm.common import Scratch, id_crc, map_batches, rows_of
 
 N = 6
 HASHES = 4
@@ -145,7 +145,7 @@ def learn(docs: DataFrame, min_share: float = MIN_SHARE) -> Filter:
         yield from flushed(-1)
 
     rows = rows_of(docs, "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = map_batches(rows, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     scratch = Scratch(docs.sparkSession, "langid")
     saved = scratch.save(counted)
     totals = saved.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: Filter, extra: tuple[str, ...] = ()) -> Data
 
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     lettered = F.col("text").rlike(r"\p{L}").alias("lettered__")
-    return docs.select(*keep, "text", lettered).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return map_batches(docs.select(*keep, "text", lettered), run, f"{schema}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:

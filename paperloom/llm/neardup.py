@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, repeated_ids, rows_of, text_tag
+from paperloom.llm.common import Scratch, map_batches, repeated_ids, rows_of, text_tag
 from paperloom.llm.components import components
 from paperloom.llm.exact_dedup import keep_ids, keep_texts
 
@@ -152,7 +152,7 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _lists([s[:K] for s in sets]), *b.columns[2:]], names=["doc_id", "n", "print", "sketch", *tagged])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows_of(docs, "doc_id", "text", *tagged).mapInArrow(run, f"doc_id {kind}, n long, print binary, sketch array<long>" + ", tag string" * len(tagged))
+    return map_batches(rows_of(docs, "doc_id", "text", *tagged), run, f"doc_id {kind}, n long, print binary, sketch array<long>" + ", tag string" * len(tagged))
 
 
 def full_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -163,7 +163,7 @@ def full_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             for b in (whole.slice(i, 128) for i in range(0, whole.num_rows, 128)):
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(shingle_sets(b.column(2).to_pylist(), width))], names=["node", "print", "items"])
 
-    return docs.select("node", "print", "text").mapInArrow(run, "node long, print binary, items array<long>")
+    return map_batches(docs.select("node", "print", "text"), run, "node long, print binary, items array<long>")
 
 
 def _linked(common: Column, n_a: Column, n_b: Column, percent: int) -> Column:
@@ -249,7 +249,7 @@ def medoids(dealt: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([key.slice(i, 1), nodes.slice(i, 1), _lists([of[i]])], names=["key", "node", "sketch"])
 
     grouped = dealt.select("key", "block", "node", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "node")
-    return grouped.mapInArrow(run, "key long, node long, sketch array<long>")
+    return map_batches(grouped, run, "key long, node long, sketch array<long>")
 
 
 def _entries(wide: DataFrame, percent: int) -> DataFrame:

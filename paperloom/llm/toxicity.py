@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, id_crc, rows_of
+from paperloom.llm.common import Scratch, id_crc, map_batches, rows_of
 
 #: Labelled documents that terms and weights are learnt from.
 MAX_LABELLED = 40_000
@@ -81,7 +81,7 @@ def without_copies(sample: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([first_shingle(t or "") for t in texts], pa.int64())], names=["doc_id", "text", "toxic", "first"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(run, f"doc_id {kind}, text string, toxic int, first long")
+    rows = map_batches(sample.select("doc_id", "text", "toxic"), run, f"doc_id {kind}, text string, toxic int, first long")
     return rows.groupBy("first").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("r")).select("r.text", "r.toxic")
 
 
@@ -117,7 +117,7 @@ def mine(sample: DataFrame, scratch: Scratch) -> list[str]:
         yield flushed()
 
     n_docs, bad_docs = sample.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
-    counted = scratch.save(sample.select("text", "toxic").mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    counted = scratch.save(map_batches(sample.select("text", "toxic"), count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     rate = min(max(bad_docs / max(1, n_docs), 1e-3), 0.999)
     least = math.log(max(1, counted.count()) * CHANCE)
     # a share of the toxic documents at least, so the number of candidates is bounded by words a document
@@ -195,7 +195,7 @@ def votes(docs: DataFrame, voters: Voters) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array([s[0] for s in seen], pa.list_(pa.int32())), pa.array([s[1] for s in seen], pa.int32()), pa.array([s[2] for s in seen], pa.int32())], names=[*keep, "fired", "hits", "words"])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, schema + "fired array<int>, hits int, words int")
+    return map_batches(docs.select(*keep, "text"), run, schema + "fired array<int>, hits int, words int")
 
 
 def pair_counts(voted: DataFrame, n: int) -> tuple[int, np.ndarray]:
@@ -323,13 +323,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, thre
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = voted.select("doc_id", "fired", "hits", "words").mapInArrow(run, f"doc_id {kind}, score double")
+    out = map_batches(voted.select("doc_id", "fired", "hits", "words"), run, f"doc_id {kind}, score double")
     return out.select("doc_id", (id_crc(F.col("doc_id")) % 4 == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below the threshold; nulls, repeats and empty tables as in toxicity()."""
-    model, _ = learn(docs, labels, Scratch(docs.sparkSession, "toxicity"), bound)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    model, _ = learn(docs, labels, scratch, bound)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -341,4 +342,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLE
                 s = m.score([x[0] for x in seen], np.array([x[1] for x in seen], dtype=float), np.array([x[2] for x in seen], dtype=float))
                 yield b.filter(pa.array(s < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return scratch.save(map_batches(docs, run, docs.schema))  # saved, so that batches of whole rows stay small
