@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, chat, exact_dedup, langid, mixing, neardup, quality, sharding, token_counts, toxicity
+from paperloom.llm import bpe, chat, exact_dedup, langid, mixing, neardup, quality, sharding, token_counts, toxicity, whitening
 from paperloom.llm.common import documents
 
 
@@ -57,7 +57,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_chat, op3_neardup, op4_sharding, op5_token_counts, op6_bpe, op7_quality, op8_exact_dedup, op9_language, op10_toxicity)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_chat, op3_neardup, op4_sharding, op5_token_counts, op6_bpe, op7_quality, op8_exact_dedup, op9_language, op10_toxicity, op11_whitening)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": r"""
