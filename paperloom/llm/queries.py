@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, chat, exact_dedup, langid, mixing, neardup, periodic, quality, sharding, token_counts, toxicity, whitening
+from paperloom.llm import bpe, chat, exact_dedup, langid, mixing, neardup, ngram_join, periodic, quality, sharding, token_counts, toxicity, whitening
 from paperloom.llm.common import documents
 
 
@@ -61,11 +61,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.periodic_runs(periodic.with_planted_runs(documents(spark, sf_dir))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_chat, op3_neardup, op4_sharding, op5_token_counts, op6_bpe, op7_quality, op8_exact_dedup, op9_language, op10_toxicity, op11_whitening, op13_periodic_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_chat, op3_neardup, op4_sharding, op5_token_counts, op6_bpe, op7_quality, op8_exact_dedup, op9_language, op10_toxicity, op11_whitening, op12_ngram_join, op13_periodic_runs)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": r"""
