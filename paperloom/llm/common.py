@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 GAPS = "\t\n\x0b\x0c\r"
 #: An Arrow batch is closed at so many rows or bytes while a table is saved: texts may be long, and both sides of the pipe to Python hold whole batches.
 ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _local_root: str | None = None
@@ -42,11 +43,13 @@ class Scratch:
 
     save() writes a table and returns it as read back, which also cuts its lineage; drop() removes
     tables that nothing lazy still reads. What the returned DataFrame of an operator reads stays
-    until the folder of the run is cleaned.
+    until the folder of the run is cleaned. With free_shuffles the shuffle files of a table go as soon as it is written, not when
+    the driver happens to collect its garbage.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, free_shuffles: bool = False):
         self.spark = spark
+        self.settings = ARROW_BATCH | ({FREE_SHUFFLES: "true"} if free_shuffles else {})
         self.base = f"{shared_root(spark)}/paperloom/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
         self.paths: dict[int, str] = {}
@@ -55,8 +58,8 @@ class Scratch:
         path = f"{self.base}/t{self.n}"
         self.n += 1
         conf = self.spark.conf
-        before = {k: conf.get(k, None) for k in ARROW_BATCH}
-        for k, v in ARROW_BATCH.items():
+        before = {k: conf.get(k, None) for k in self.settings}
+        for k, v in self.settings.items():
             conf.set(k, str(v))
         try:
             df.write.parquet(path)

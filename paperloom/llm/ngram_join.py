@@ -185,7 +185,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     """
     if not 50 < percent <= 100:
         raise ValueError("links are of more than 50%")
-    scratch = Scratch(docs.sparkSession, "ngram-join")
+    scratch = Scratch(docs.sparkSession, "ngram-join", free_shuffles=True)
     docs = rows_of(docs, id_col, text_col).toDF("doc_id", "text")
     if repeated_ids(docs):
         docs = docs.withColumn("tag", text_tag(F.col("text")))
