@@ -2,7 +2,7 @@
 
 A document is the set of its hashed word n-grams (tokens); equal sets are one node. Two sets of n
 tokens with a similarity of at least p have at least ceil(p * n) tokens in common, so of the first
-tokens of either in any common order, all but n - ceil(p * n) are shared. signatures() makes an index of that:
+tokens of either in any common order, all but n - ceil(p * n) are shared. Index.signatures() makes an index of that:
 
 * Tokens are classed by how many sets hold them. A rare token is a key by itself. Frequent tokens are
   dealt to classes by their hash, about sixteen tokens of a set for one class, and two tokens of a class are one key.
@@ -29,7 +29,9 @@ compared as whole sets. Nothing is capped, and no set of pairs within a componen
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -37,77 +39,84 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import Scratch, map_batches, repeated_ids, rows_of, text_tag
 from paperloom.llm.components import components
-from paperloom.llm.neardup import _lists, _of_nodes, full_sets, shingle_sets
+from paperloom.llm.neardup import FEW_IDS, _lists, _of_nodes, full_sets, shingle_sets
 
 WIDTH, PERCENT = 5, 80
 #: A token of more sets than this is frequent.
 RARE = 32
 #: Tokens of a set for each class of frequent ones.
 PER_CLASS = 16
+#: So many members are compared with one copy of their hub's set.
+HUB_BLOCK = 256
 _MASK = 2**64 - 1
 _C1, _C2, _C3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
-def needed(n: int, percent: int) -> int:
-    """One more than the tokens of a set of n that a partner may lack."""
-    return n - -(-percent * n // 100) + 1
-
-
-def bands(n: int, percent: int) -> range:
-    """The powers of two that hold the size of a partner that is at least as large."""
-    return range(n.bit_length() - 1, (100 * n // percent).bit_length())
-
-
-def classes(band: int) -> int:
-    return max(1, (1 << band) // PER_CLASS)
-
-
-def head_length(n: int, percent: int) -> int:
-    """So many tokens are enough for the prefix of any band: each class costs one, and there are fewer classes than tokens that are shared (PER_CLASS of 4 or more)."""
-    return min(n, needed(n, percent) + classes(bands(n, percent)[-1]))
-
-
-def least_shared(n: int, percent: int) -> int:
-    """The heads of a set of n and any partner have so many tokens in common at least."""
-    least = max(1, -(-percent * n // 100))
-    return head_length(least, percent) - needed(least, percent) + 1
-
-
-def least_shared_column(n: str, percent: int) -> Column:
-    """least_shared() of a column."""
-    least = f"greatest(1, ({percent} * {n} + 99) div 100)"
-    need = f"({least} - ({percent} * {least} + 99) div 100 + 1)"
-    kinds = f"greatest(1, shiftleft(1L, length(bin(100 * {least} div {percent})) - 1) div {PER_CLASS})"
-    return F.expr(f"least({least}, {need} + {kinds}) - {need} + 1")
-
-
-def signatures(n: int, met: list[tuple[int, int, int]], percent: int, every: bool) -> list[int]:
-    """The keys of a set of n tokens, of which `met` (place from 1, number of sets, token), in order, may be in other sets; `every`: all pairs of a class, else neighbours."""
-    out: set[int] = set()
-    need = needed(n, percent)
-    for band in bands(n, percent):
-        salt, kinds, got, place = (band + 1) * _C3, classes(band), 0, 0
-        of: dict[int, list[int]] = {}
-        for at, often, token in met:
-            got += at - place - 1  # tokens that no other set has
-            place = at
-            if got >= need:
-                break
-            h = ((token & _MASK) ^ salt) * _C1 & _MASK
-            if often <= RARE:
-                out.add(h)
-                got += 1
-            else:
-                mates = of.setdefault((h >> 20) % kinds, [])
-                got += bool(mates)
-                out.update((m * _C2 ^ h) & _MASK for m in (mates if every else mates[-1:]))
-                mates.append(h)
-            if got >= need:
-                break
-    return [k - 2**64 if k >> 63 else k for k in out]
-
-
-def keys(grouped: DataFrame, percent: int, every: bool) -> DataFrame:
+class Index(NamedTuple):
+    """The rules of the index; PER_CLASS of 4 or more leaves fewer classes than tokens that are shared."""
+
+    percent: int = PERCENT
+    rare: int = RARE
+    per_class: int = PER_CLASS
+
+    def shared(self, n: int) -> int:
+        """A set of n tokens and a partner have so many in common at least."""
+        return -(-self.percent * n // 100)
+
+    def needed(self, n: int) -> int:
+        """One more than the tokens of a set of n that a partner may lack."""
+        return n - self.shared(n) + 1
+
+    def bands(self, n: int) -> range:
+        """The powers of two that hold the size of a partner that is at least as large."""
+        return range(n.bit_length() - 1, (100 * n // self.percent).bit_length())
+
+    def classes(self, band: int) -> int:
+        return max(1, (1 << band) // self.per_class)
+
+    def head_length(self, n: int) -> int:
+        """So many tokens are enough for the prefix of any band: each class costs one."""
+        return min(n, self.needed(n) + self.classes(self.bands(n)[-1]))
+
+    def least_common(self, n: int) -> int:
+        """The heads of a set of n and any partner have so many tokens in common at least."""
+        least = max(1, self.shared(n))
+        return self.head_length(least) - self.needed(least) + 1
+
+    def least_common_column(self, n: str) -> Column:
+        """least_common() of a column."""
+        least = f"greatest(1, ({self.percent} * {n} + 99) div 100)"
+        need = f"({least} - ({self.percent} * {least} + 99) div 100 + 1)"
+        kinds = f"greatest(1, shiftleft(1L, length(bin(100 * {least} div {self.percent})) - 1) div {self.per_class})"
+        return F.expr(f"least({least}, {need} + {kinds}) - {need} + 1")
+
+    def signatures(self, n: int, met: list[tuple[int, int, int]], every: bool) -> list[int]:
+        """The keys of a set of n tokens, of which `met` (place from 1, number of sets, token), in order, may be in other sets; `every`: all pairs of a class, else neighbours."""
+        out: set[int] = set()
+        need = self.needed(n)
+        for band in self.bands(n):
+            salt, kinds, got, place = (band + 1) * _C3, self.classes(band), 0, 0
+            of: dict[int, list[int]] = {}
+            for at, often, token in met:
+                got += at - place - 1  # tokens that no other set has
+                place = at
+                if got >= need:
+                    break
+                h = ((token & _MASK) ^ salt) * _C1 & _MASK
+                if often <= self.rare:
+                    out.add(h)
+                    got += 1
+                else:
+                    mates = of.setdefault((h >> 20) % kinds, [])
+                    got += bool(mates)
+                    out.update((m * _C2 ^ h) & _MASK for m in (mates if every else mates[-1:]))
+                    mates.append(h)
+                if got >= need:
+                    break
+        return [k - 2**64 if k >> 63 else k for k in out]
+
+
+def keys(grouped: DataFrame, index: Index, every: bool) -> DataFrame:
     """key and all columns of grouped but met: a row for each key of each row (..., n, met array<struct<at,often,v>>)."""
     others = [f for f in grouped.schema.fields if f.name != "met"]
 
@@ -117,15 +126,15 @@ def keys(grouped: DataFrame, percent: int, every: bool) -> DataFrame:
                 found = []
                 for n, met in zip(b.column("n").to_pylist(), b.column("met")):
                     at, often, v = (met.values.field(k).to_pylist() for k in range(3))
-                    found.append(signatures(n, list(zip(at, often, v)), percent, every))
-                index = pa.array([i for i, f in enumerate(found) for _ in f], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([k for f in found for k in f], pa.int64()), *[b.column(f.name).take(index) for f in others]], names=["key", *[f.name for f in others]])
+                    found.append(index.signatures(n, list(zip(at, often, v)), every))
+                rows = pa.array([i for i, f in enumerate(found) for _ in f], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([k for f in found for k in f], pa.int64()), *[b.column(f.name).take(rows) for f in others]], names=["key", *[f.name for f in others]])
 
     schema = ", ".join(["key long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in others]])
     return map_batches(grouped.select(*[f.name for f in others], "met"), run, schema)
 
 
-def heads(docs: DataFrame, percent: int, width: int) -> DataFrame:
+def heads(docs: DataFrame, index: Index, width: int) -> DataFrame:
     """doc_id, n, print (128-bit digest of the set), head (its first tokens by hash), tag if docs has it."""
     tagged = ["tag"] if "tag" in docs.columns else []
 
@@ -133,22 +142,64 @@ def heads(docs: DataFrame, percent: int, width: int) -> DataFrame:
         for whole in batches:
             for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 sets = shingle_sets(b.column(1).to_pylist(), width)
-                head = [s[: head_length(len(s), percent)] if len(s) > 1 else s[:0] for s in sets]  # one token: linked with equal sets only
+                head = [s[: index.head_length(len(s))] if len(s) > 1 else s[:0] for s in sets]  # one token: linked with equal sets only
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _lists(head), *b.columns[2:]], names=["doc_id", "n", "print", "head", *tagged])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(rows_of(docs, "doc_id", "text", *tagged), run, f"doc_id {kind}, n long, print binary, head array<long>" + ", tag string" * len(tagged))
 
 
+def _sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """hub, block, role, node, items (in unsigned order) of rows with text."""
+    names = ["hub", "block", "role", "node"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 128) for i in range(0, whole.num_rows, 128)):
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], _lists(shingle_sets(b.column(4).to_pylist(), width))], names=[*names, "items"])
+
+    return map_batches(texts.select(*names, "text"), run, "hub long, block int, role int, node long, items array<long>")
+
+
+def _hub_links(dealt: DataFrame, percent: int) -> DataFrame:
+    """a, b: the members that are linked with their hub, of rows sorted by (hub, block, role); a hub's own set, role 0, comes first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, hub_set = None, np.zeros(0, np.uint64)
+        for b in batches:
+            links = []
+            items, offsets = b.column(4).values.to_numpy().view(np.uint64), b.column(4).offsets.to_numpy()
+            for i, (h, role, node) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 2, 3)))):
+                own = items[offsets[i] : offsets[i + 1]]
+                if role == 0:
+                    hub, hub_set = h, own.copy()
+                    continue
+                assert hub == h
+                common = len(np.intersect1d(own, hub_set, assume_unique=True))
+                if 100 * common >= percent * (len(own) + len(hub_set) - common):
+                    links.append((node, h))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    return map_batches(dealt, run, "a long, b long")
+
+
 def verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The (a, b) of pairs that are links, by their whole sets."""
+    """The (a, b) of pairs that are links, by their whole sets: those with one b, HUB_BLOCK at a time, meet the set of b."""
+    tagged = ["tag"] if "tag" in docs.columns else []
     pairs = scratch.save(pairs)
-    sets = scratch.save(_of_nodes(scratch, full_sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, width).select("node", "items"))
-    of = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"i_{x}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    common = F.size(F.array_intersect("i_a", "i_b")).cast("long")
-    out = scratch.save(both.filter(100 * common >= percent * (F.size("i_a") + F.size("i_b") - common)).select("a", "b"))
-    scratch.drop(pairs, sets)
+    hubs = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / HUB_BLOCK).cast("int").alias("blocks"))
+    members = pairs.join(hubs, F.col("b") == F.col("hub")).select("hub", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("a").alias("node"))
+    wanted = members.union(hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.lit(0), "hub"))
+    chosen = scratch.save(wanted.join(nodes.select("node", *[F.col(c).alias(f"first_{c}") for c in ["doc_id", *tagged]]), "node"))
+    ids = F.broadcast(chosen) if chosen.count() <= FEW_IDS else chosen
+    same = docs["doc_id"].eqNullSafe(F.col("first_doc_id"))
+    for c in tagged:
+        same &= docs[c] == F.col(f"first_{c}")
+    texts = docs.join(ids, same)
+    texts = texts.dropDuplicates(["hub", "block", "role", "node"]) if tagged else texts
+    dealt = _sets_of(texts, width).repartition("hub", "block").sortWithinPartitions("hub", "block", "role")
+    out = scratch.save(_hub_links(dealt, percent))
+    scratch.drop(pairs, chosen)
     return out
 
 
@@ -157,13 +208,14 @@ def _compatible(a: Column, b: Column, percent: int) -> Column:
 
 
 def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b: for each node of rows (key, node, n) the first or last node of its lists with which it has most keys in common, of those of a fitting size."""
+    """a, b: for each node a of rows (key, node, n) the first or last node of its lists with which it has most keys in common, of those of a fitting size."""
     ends = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).filter("low.node != high.node")
     j = lists.join(ends, "key").select("node", "n", F.explode(F.array("low", "high")).alias("end")).filter(F.col("node") != F.col("end.node"))
     fit = j.filter(_compatible(F.col("n"), F.col("end.n"), percent))
     times = fit.groupBy("node", F.col("end.node").alias("end")).count()
     best = times.groupBy("node").agg(F.max(F.struct("count", (-F.col("end")).alias("end"))).alias("best"))
-    return best.select(F.least("node", -F.col("best.end")).alias("a"), F.greatest("node", -F.col("best.end")).alias("b")).distinct()
+    low, high = F.least("node", -F.col("best.end")), F.greatest("node", -F.col("best.end"))
+    return best.groupBy(low.alias("low"), high.alias("high")).agg(F.max("node").alias("a")).select("a", (F.col("low") + F.col("high") - F.col("a")).alias("b"))
 
 
 def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -173,7 +225,7 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return j.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs; sets of `width` words, links of at least `percent`.
 
     component_id is the smallest doc_id reachable over links (100 * intersection >= percent * union;
@@ -181,26 +233,30 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     nothing, and their own component. Null ids are reachable but never the smallest unless alone.
     Repeated rows are equal sets. Whole texts of any length count. An empty table gives an empty
     result. Other columns are never looked at. Percentages of 50 and less are refused: two tokens
-    of a class would not have to be shared.
+    of a class would not have to be shared. rare and per_class change the index, not the result.
     """
-    if not 50 < percent <= 100:
-        raise ValueError("links are of more than 50%")
+    if not 50 < percent <= 100 or per_class < 4:
+        raise ValueError("links are of more than 50%, classes of four tokens at least")
+    index = Index(percent, rare, per_class)
     scratch = Scratch(docs.sparkSession, "ngram-join", free_shuffles=True)
     docs = rows_of(docs, id_col, text_col).toDF("doc_id", "text")
     if repeated_ids(docs):
         docs = docs.withColumn("tag", text_tag(F.col("text")))
     tagged = ["tag"] if "tag" in docs.columns else []
-    rows = scratch.save(heads(docs, percent, width))
+    first = scratch.save(heads(docs, index, width))
+    rows = scratch.save(first.drop("head"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *tagged))
-    groups = rows.filter("n > 0").groupBy("print", "n").agg(least.alias("least"), F.first("head").alias("head"))
-    nodes = scratch.save(groups.select("print", "n", *[F.col(f"least.{c}").alias(c) for c in ["doc_id", *tagged]], "head").withColumn("node", F.monotonically_increasing_id()))
+    groups = first.filter("n > 0").groupBy("print", "n").agg(least.alias("least"), F.first("head").alias("head"))
+    headed = scratch.save(groups.select("print", "n", *[F.col(f"least.{c}").alias(c) for c in ["doc_id", *tagged]], "head").withColumn("node", F.monotonically_increasing_id()))
+    nodes = scratch.save(headed.drop("head"))
 
     # 1. heads by hash order
-    tokens = nodes.select("node", "n", F.posexplode("head").alias("at", "v"))
+    tokens = headed.select("node", "n", F.posexplode("head").alias("at", "v"))
     often = tokens.groupBy("v").agg(F.count("*").alias("often")).filter("often > 1")
     met = scratch.save(tokens.join(often, "v").select("node", "n", "v", (F.col("at") + 1).alias("at"), F.col("often").cast("int").alias("often")))
+    scratch.drop(first, headed)
     grouped = met.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("at", "often", "v"))).alias("met"))  # a set's own head
-    lists = scratch.save(keys(grouped, percent, every=False))
+    lists = scratch.save(keys(grouped, index, every=False))
     labels = components(scratch, verified(scratch, star_pairs(lists, percent), nodes, docs, percent, width))
     scratch.drop(lists)
 
@@ -209,7 +265,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     scratch.drop(met)
     mixed = known.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("v")
     shared = known.join(mixed, "v").groupBy("node", "n", "label").agg(F.count("*").alias("shared"))
-    left = scratch.save(shared.filter(F.col("shared") >= least_shared_column("n", percent)).select("node", "n", "label"))
+    left = scratch.save(shared.filter(F.col("shared") >= index.least_common_column("n")).select("node", "n", "label"))
     scratch.drop(known)
     if not left.isEmpty():
         whole = scratch.save(_of_nodes(scratch, full_sets, left.select("node"), nodes, docs, width).select("node", "items").join(left, "node"))
@@ -218,7 +274,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
         own = tokens.join(often, "v").groupBy("node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("own"))
         free = (F.col("n") - F.size("own")).cast("int")
         placed = own.select("node", "n", "label", F.transform("own", lambda x, i: F.struct((free + i + 1).alias("at"), x["often"].alias("often"), x["v"].alias("v"))).alias("met"))
-        lists = scratch.save(keys(placed, percent, every=True))
+        lists = scratch.save(keys(placed, index, every=True))
         found = verified(scratch, cross_pairs(lists, percent), nodes, docs, percent, width)
         scratch.drop(whole, lists)
         if not found.isEmpty():

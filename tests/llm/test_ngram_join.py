@@ -37,8 +37,8 @@ def brute(rows, percent, width):
     return collections.Counter((d, len(s), d if not s else least.get(find(i))) for i, ((d, _), s) in enumerate(zip(rows, sets)))
 
 
-def found(d, percent=80, width=5):
-    return collections.Counter(map(tuple, ngram_join.jaccard_components(d, percent, width).collect()))
+def found(d, percent=80, width=5, **rules):
+    return collections.Counter(map(tuple, ngram_join.jaccard_components(d, percent, width, **rules).collect()))
 
 
 def test_table(spark, data):
@@ -87,18 +87,16 @@ def crowds(seed):
 
 @pytest.mark.parametrize("rare,per_class", [(2, 16), (1, 4)])
 def test_crowds(spark, monkeypatch, rare, per_class):
-    monkeypatch.setattr(ngram_join, "RARE", rare)
-    monkeypatch.setattr(ngram_join, "PER_CLASS", per_class)
+    monkeypatch.setattr(ngram_join, "HUB_BLOCK", 7)
     rows = crowds(rare)
-    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows, 80, 5)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rare=rare, per_class=per_class) == brute(rows, 80, 5)
 
 
 @pytest.mark.parametrize("percent", [80, 85, 60])
 @pytest.mark.parametrize("rare,per_class", [(2, 16), (0, 4)])
-def test_guarantee(monkeypatch, percent, rare, per_class):
+def test_guarantee(percent, rare, per_class):
     """Any two sets at or above the threshold have a key in common, whatever the order and the classes; and enough of their heads."""
-    monkeypatch.setattr(ngram_join, "RARE", rare)
-    monkeypatch.setattr(ngram_join, "PER_CLASS", per_class)
+    index = ngram_join.Index(percent, rare, per_class)
     rnd = random.Random(percent + rare)
     linked = 0
     for _ in range(3000):
@@ -111,15 +109,15 @@ def test_guarantee(monkeypatch, percent, rare, per_class):
         linked += 1
         order = {t: (rnd.choice([1, 2, 3, 9]), t) for t in sets[0] | sets[1]}
         ordered = [sorted(s, key=order.get) for s in sets]
-        own = [ngram_join.signatures(len(s), [(i + 1, order[t][0], t) for i, t in enumerate(s)], percent, True) for s in ordered]
+        own = [index.signatures(len(s), [(i + 1, order[t][0], t) for i, t in enumerate(s)], True) for s in ordered]
         assert sets[0] == sets[1] or set(own[0]) & set(own[1])
-        head = [set(sorted(s)[: ngram_join.head_length(len(s), percent)]) for s in sets]
-        assert all(len(head[0] & head[1]) >= ngram_join.least_shared(len(s), percent) for s in sets)
+        head = [set(sorted(s)[: index.head_length(len(s))]) for s in sets]
+        assert all(len(head[0] & head[1]) >= index.least_common(len(s)) for s in sets)
     assert linked > 100
 
 
-def test_least_shared_column(spark):
+def test_least_common_column(spark):
     sizes = spark.range(1, 3000).withColumnRenamed("id", "n")
     for percent in (80, 85, 60):
-        got = sizes.select("n", ngram_join.least_shared_column("n", percent).alias("t")).collect()
-        assert all(r.t == ngram_join.least_shared(r.n, percent) for r in got)
+        got = sizes.select("n", ngram_join.Index(percent).least_common_column("n").alias("t")).collect()
+        assert all(r.t == ngram_join.Index(percent).least_common(r.n) for r in got)
