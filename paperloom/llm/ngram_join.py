@@ -20,7 +20,8 @@ The index is used twice:
 2. Sets that may have partners in another component, by the number of their head's tokens that several
    components hold, are looked at in whole. Tokens of one component alone come first and need no key, the others
    from rare to frequent, so that a passage shared by many texts is in no prefix that can do without it.
-   Sets of different components that have a key in common are verified.
+   Of each list the members outside its most frequent component first verify a drawn member of that one, some rounds long;
+   then all sets of components that are still different and have a key in common are verified.
 
 All links between components are found, at any size of sets, lists or components; what is verified is
 compared as whole sets. Nothing is capped, and no set of pairs within a component is listed.
@@ -28,6 +29,7 @@ compared as whole sets. Nothing is capped, and no set of pairs within a componen
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -48,6 +50,8 @@ RARE = 32
 PER_CLASS = 16
 #: So many members are compared with one copy of their hub's set.
 HUB_BLOCK = 256
+#: Members of a list that are looked for together, and rounds of drawn hubs before all pairs that are left.
+CHUNK, DRAWS = 256, 3
 _MASK = 2**64 - 1
 _C1, _C2, _C3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
@@ -218,11 +222,52 @@ def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return best.groupBy(low.alias("low"), high.alias("high")).agg(F.max("node").alias("a")).select("a", (F.col("low") + F.col("high") - F.col("a")).alias("b"))
 
 
-def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of nodes of different labels with a key in common and fitting sizes, of rows (key, node, n, label)."""
-    x, y = (lists.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label")]) for s in "ab")
-    j = x.join(y, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _compatible(F.col("n_a"), F.col("n_b"), percent))
-    return j.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+def _split_lists(lists: DataFrame) -> DataFrame:
+    """key, node, n, label, top, others: the rows of lists of several labels, with the label of most members and the number of all others."""
+    counts = lists.groupBy("key", "label").agg(F.count("*").alias("c"))
+    tops = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("s")).filter("s > m.c")
+    return lists.join(tops.select("key", F.col("m.label").alias("top"), (F.col("s") - F.col("m.c")).alias("others")), "key")
+
+
+def hub_pairs(split: DataFrame, percent: int, salt: int) -> DataFrame:
+    """a, b: for each node a that isn't of its lists' most frequent label, of the members of that label that a list draws by a salted hash the one with which it has most keys in common."""
+    drawn = split.filter("label = top").groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "node").alias("draw"), "node", "n")).alias("hub"))
+    j = split.filter("label != top").join(drawn, "key").filter(_compatible(F.col("n"), F.col("hub.n"), percent))
+    times = j.groupBy("node", F.col("hub.node").alias("hub")).count()
+    return times.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("count", "hub")).alias("best")).select("a", F.col("best.hub").alias("b"))
+
+
+def cross_pairs(split: DataFrame, percent: int) -> DataFrame:
+    """a, b: all pairs of nodes of different labels with a key in common and fitting sizes, once each.
+
+    The members that aren't of a list's most frequent label come in chunks, and every member takes the chunks of its
+    lists; the partners of a member are united where its rows lie, so a pair's many common keys are never listed.
+    """
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("others") / CHUNK)).alias("chunk")
+    chunks = split.filter("label != top").groupBy("key", chunk).agg(F.collect_list(F.struct("node", "n", "label")).alias("rest"))
+    own = F.col("label") != F.col("top")
+    met = split.join(chunks, "key")
+    fits = lambda x: (x["label"] != F.col("label")) & _compatible(F.col("n"), x["n"], percent) & (~own | (F.col("node") < x["node"]))
+    rows = met.select("node", F.transform(F.filter("rest", fits), lambda x: x["node"]).alias("rest")).filter(F.size("rest") > 0)
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, partners = None, np.zeros(0, np.int64)
+        pair = lambda: pa.RecordBatch.from_arrays([pa.array(np.full(len(partners), node, np.int64)), pa.array(partners)], names=["a", "b"])
+        for b in batches:
+            lists = b.column(1)
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            nodes = b.column(0).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else []
+            for i, z in zip(starts, [*starts[1:], len(nodes)]):
+                if nodes[i] != node:
+                    if len(partners):
+                        yield pair()
+                    node, partners = nodes[i], np.zeros(0, np.int64)
+                partners = np.union1d(partners, values[offsets[i] : offsets[z]])
+        if len(partners):
+            yield pair()
+
+    return map_batches(rows.repartition("node").sortWithinPartitions("node"), unite, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, per_class: int = PER_CLASS) -> DataFrame:
@@ -275,10 +320,22 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
         free = (F.col("n") - F.size("own")).cast("int")
         placed = own.select("node", "n", "label", F.transform("own", lambda x, i: F.struct((free + i + 1).alias("at"), x["often"].alias("often"), x["v"].alias("v"))).alias("met"))
         lists = scratch.save(keys(placed, index, every=True))
-        found = verified(scratch, cross_pairs(lists, percent), nodes, docs, percent, width)
+        found = []
+        for salt in range(DRAWS):
+            links = verified(scratch, hub_pairs(_split_lists(lists), percent, salt), nodes, docs, percent, width)
+            if links.isEmpty():
+                break
+            found.append(links)
+            of = lambda x: left.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+            merged = components(scratch, links.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+            now = lambda t: t.join(merged.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+            before, lists, left = lists, scratch.save(now(lists)), scratch.save(now(left))
+            scratch.drop(before)
+        found.append(verified(scratch, cross_pairs(_split_lists(lists), percent), nodes, docs, percent, width))
         scratch.drop(whole, lists)
-        if not found.isEmpty():
-            labels = components(scratch, labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
+        links = functools.reduce(DataFrame.union, found)
+        if not links.isEmpty():
+            labels = components(scratch, labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
     placed = nodes.select("print", "n", "node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     known = placed.join(smallest, "label").select("print", "n", "component_id")
