@@ -19,7 +19,8 @@ The index is used twice:
    neighbours of a class are a key, which is enough to join most copies, and rows stay in proportion to the heads.
 2. Sets that may have partners in another component, by the number of their head's tokens that several
    components hold, are looked at in whole. Tokens of one component alone come first and need no key, the others
-   from rare to frequent, so that a passage shared by many texts is in no prefix that can do without it.
+   from rare to frequent; how many there are of each bounds what two sets can share. So a passage shared by many texts is in no prefix that can do without it,
+   and texts that differ in more than it leaves room for don't meet.
    Of each list the members outside its most frequent component first verify a drawn member of that one, some rounds long;
    then all sets of components that are still different and have a key in common are verified.
 
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import Scratch, map_batches, repeated_ids, rows_of, text_tag
 from paperloom.llm.components import components
-from paperloom.llm.neardup import FEW_IDS, _lists, _of_nodes, full_sets, shingle_sets
+from paperloom.llm.neardup import _lists, full_sets, shingle_sets
 
 WIDTH, PERCENT = 5, 80
 #: A token of more sets than this is frequent.
@@ -187,6 +188,14 @@ def _hub_links(dealt: DataFrame, percent: int) -> DataFrame:
     return map_batches(dealt, run, "a long, b long")
 
 
+def _texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The texts of rows (..., first_doc_id, first_tag if ids are repeated), with all columns of both."""
+    same = docs["doc_id"].eqNullSafe(F.col("first_doc_id"))
+    if "tag" in docs.columns:
+        same &= docs["tag"] == F.col("first_tag")
+    return docs.join(chosen, same)
+
+
 def verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """The (a, b) of pairs that are links, by their whole sets: those with one b, HUB_BLOCK at a time, meet the set of b."""
     tagged = ["tag"] if "tag" in docs.columns else []
@@ -195,11 +204,7 @@ def verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFra
     members = pairs.join(hubs, F.col("b") == F.col("hub")).select("hub", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("a").alias("node"))
     wanted = members.union(hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.lit(0), "hub"))
     chosen = scratch.save(wanted.join(nodes.select("node", *[F.col(c).alias(f"first_{c}") for c in ["doc_id", *tagged]]), "node"))
-    ids = F.broadcast(chosen) if chosen.count() <= FEW_IDS else chosen
-    same = docs["doc_id"].eqNullSafe(F.col("first_doc_id"))
-    for c in tagged:
-        same &= docs[c] == F.col(f"first_{c}")
-    texts = docs.join(ids, same)
+    texts = _texts_of(docs, chosen)
     texts = texts.dropDuplicates(["hub", "block", "role", "node"]) if tagged else texts
     dealt = _sets_of(texts, width).repartition("hub", "block").sortWithinPartitions("hub", "block", "role")
     out = scratch.save(_hub_links(dealt, percent))
@@ -211,6 +216,12 @@ def _compatible(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _may_link(n_a: Column, most_a: Column, n_b: Column, most_b: Column, percent: int) -> Column:
+    """Can sets of these sizes be linked, of which at most so many tokens are in sets of other components?"""
+    common = F.least(most_a, most_b)
+    return 100 * common >= percent * (n_a + n_b - common)
+
+
 def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """a, b: for each node a of rows (key, node, n) the first or last node of its lists with which it has most keys in common, of those of a fitting size."""
     ends = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).filter("low.node != high.node")
@@ -223,7 +234,7 @@ def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _split_lists(lists: DataFrame) -> DataFrame:
-    """key, node, n, label, top, others: the rows of lists of several labels, with the label of most members and the number of all others."""
+    """key, node, n, most, label, top, others: the rows of lists of several labels, with the label of most members and the number of all others."""
     counts = lists.groupBy("key", "label").agg(F.count("*").alias("c"))
     tops = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("s")).filter("s > m.c")
     return lists.join(tops.select("key", F.col("m.label").alias("top"), (F.col("s") - F.col("m.c")).alias("others")), "key")
@@ -231,8 +242,8 @@ def _split_lists(lists: DataFrame) -> DataFrame:
 
 def hub_pairs(split: DataFrame, percent: int, salt: int) -> DataFrame:
     """a, b: for each node a that isn't of its lists' most frequent label, of the members of that label that a list draws by a salted hash the one with which it has most keys in common."""
-    drawn = split.filter("label = top").groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "node").alias("draw"), "node", "n")).alias("hub"))
-    j = split.filter("label != top").join(drawn, "key").filter(_compatible(F.col("n"), F.col("hub.n"), percent))
+    drawn = split.filter("label = top").groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "node").alias("draw"), "node", "n", "most")).alias("hub"))
+    j = split.filter("label != top").join(drawn, "key").filter(_may_link(F.col("n"), F.col("most"), F.col("hub.n"), F.col("hub.most"), percent))
     times = j.groupBy("node", F.col("hub.node").alias("hub")).count()
     return times.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("count", "hub")).alias("best")).select("a", F.col("best.hub").alias("b"))
 
@@ -244,10 +255,10 @@ def cross_pairs(split: DataFrame, percent: int) -> DataFrame:
     lists; the partners of a member are united where its rows lie, so a pair's many common keys are never listed.
     """
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("others") / CHUNK)).alias("chunk")
-    chunks = split.filter("label != top").groupBy("key", chunk).agg(F.collect_list(F.struct("node", "n", "label")).alias("rest"))
+    chunks = split.filter("label != top").groupBy("key", chunk).agg(F.collect_list(F.struct("node", "n", "most", "label")).alias("rest"))
     own = F.col("label") != F.col("top")
     met = split.join(chunks, "key")
-    fits = lambda x: (x["label"] != F.col("label")) & _compatible(F.col("n"), x["n"], percent) & (~own | (F.col("node") < x["node"]))
+    fits = lambda x: (x["label"] != F.col("label")) & _may_link(F.col("n"), F.col("most"), x["n"], x["most"], percent) & (~own | (F.col("node") < x["node"]))
     rows = met.select("node", F.transform(F.filter("rest", fits), lambda x: x["node"]).alias("rest")).filter(F.size("rest") > 0)
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,12 +324,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     left = scratch.save(shared.filter(F.col("shared") >= index.least_common_column("n")).select("node", "n", "label"))
     scratch.drop(known)
     if not left.isEmpty():
-        whole = scratch.save(_of_nodes(scratch, full_sets, left.select("node"), nodes, docs, width).select("node", "items").join(left, "node"))
+        texts = _texts_of(docs, nodes.join(left.select("node"), "node").select("node", "print", *[F.col(c).alias(f"first_{c}") for c in ["doc_id", *tagged]]))
+        texts = texts.dropDuplicates(["node"]) if tagged else texts
+        whole = scratch.save(full_sets(texts, width).select("node", "items").join(left, "node"))
         tokens = whole.select("node", "n", "label", F.explode("items").alias("v"))
         often = tokens.groupBy("v").agg(F.count("*").alias("often"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("v", F.col("often").cast("int").alias("often"))
         own = tokens.join(often, "v").groupBy("node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("own"))
         free = (F.col("n") - F.size("own")).cast("int")
-        placed = own.select("node", "n", "label", F.transform("own", lambda x, i: F.struct((free + i + 1).alias("at"), x["often"].alias("often"), x["v"].alias("v"))).alias("met"))
+        placed = own.select("node", "n", "label", F.size("own").cast("long").alias("most"), F.transform("own", lambda x, i: F.struct((free + i + 1).alias("at"), x["often"].alias("often"), x["v"].alias("v"))).alias("met"))
         lists = scratch.save(keys(placed, index, every=True))
         found = []
         for salt in range(DRAWS):
