@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -11,3 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share. Where that is unset, a temporary one if all of Spark is on this machine (tests), else an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="paperloom-"))
+            atexit.register(shutil.rmtree, _local[0], True)
+        root = f"file://{_local[0]}"
+    return f"{root.rstrip('/')}/paperloom/{name}-{uuid.uuid4().hex[:12]}"

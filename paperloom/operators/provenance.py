@@ -126,7 +126,7 @@ def quote_matches(texts: DataFrame, quotes: DataFrame) -> DataFrame:
 
     White space runs are equal, case is not; start is in the trimmed text with runs as one space, raw_start
     and raw_stop are in the text itself. A second occurrence may overlap the first. Quotes are a stated set:
-    an automaton of up to QUOTE_CHARS characters of them reads each text once, whatever their number.
+    an automaton of up to QUOTE_CHARS characters of them reads each text once, whatever their number. Without quotes there are no matches.
     """
     q = quotes.select("item_id", collapse(F.col("text")).alias("quote")).filter("quote != ''")
     sums = Window.orderBy("item_id", "quote").rowsBetween(Window.unboundedPreceding, 0)  # the stated set only
@@ -137,7 +137,9 @@ def quote_matches(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     rows = spread(texts.select("doc_id", "text").filter("text IS NOT NULL"))
     item, doc = quotes.schema["item_id"].dataType.simpleString(), texts.schema["doc_id"].dataType.simpleString()
     schema = f"item_id {item}, doc_id {doc}, start int, status string, raw_start int, raw_stop int"
-    return reduce(DataFrame.union, [_found(rows, block, schema) for block in blocks.values()] or [rows.select(F.lit(None).cast(item), "doc_id", *[F.lit(None)] * 4).limit(0).mapInArrow(lambda b: b, schema)])
+    if not blocks:
+        return rows.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.union, [_found(rows, block, schema) for block in blocks.values()])
 
 
 def _found(rows: DataFrame, quotes: dict[str, list], schema: str) -> DataFrame:

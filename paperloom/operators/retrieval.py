@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from paperloom.functions.text import terms
 
 RRF_K = 60
-#: More stated queries or quotes than this are refused: they are sent to every executor.
-MAX_STATED = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,18 +28,22 @@ def valid_vectors(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.withColumn("norm2", norm2).withColumn("ok", F.coalesce((F.size("embedding") == dim) & finite & (F.abs(norm2 - 1) <= 1e-5), F.lit(False)))
 
 
+def scored_vectors(joined: DataFrame, *keep: str) -> DataFrame:
+    """keep..., vec_id, score of rows (embedding, q); vectors without a finite score, such as null ones or those with NaN, aren't ranked."""
+    score = F.round(dot(F.col("embedding"), F.col("q")), 9)
+    return joined.select(*keep, "vec_id", score.alias("score")).filter(F.abs("score") < float("inf"))  # null and NaN fail
+
+
 def dense_topk(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """rank, vec_id, score of the k nearest to the single vector of `query` (column q); ties by id."""
+    """rank, vec_id, score of the k nearest to the single vector of `query` (column q); ties by id. Nothing if there is none, which a caller that needs evidence must refuse."""
     one = F.broadcast(query.select("q").limit(1))
-    score = F.round(dot(F.col("embedding"), F.col("q")), 9)
-    top = vectors.join(one).select("vec_id", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+    top = scored_vectors(vectors.join(one)).orderBy(F.desc("score"), "vec_id").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
 
 
 def dense_topk_in_scope(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id: for each row of queries (query_id, scope, q) the k nearest among vectors of its scope."""
-    score = F.round(dot(F.col("embedding"), F.col("q")), 9)
-    scored = vectors.join(queries, "scope").select("query_id", "vec_id", score.alias("score"))
+    scored = scored_vectors(vectors.join(queries, "scope"), "query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id")
 
@@ -144,13 +146,36 @@ def fused_top(fused: DataFrame, n: int, by_channel: bool = False) -> DataFrame:
     return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "id")
 
 
+def fused_top_of_each(ranked: DataFrame, key: str, n: int, k: int = RRF_K) -> DataFrame:
+    """key, rank, id: fuse() and the n best of rows (key, channel, id, rank) for each key by itself; ties by id."""
+    first = ranked.groupBy(key, "channel", "id").agg(F.min("rank").alias("rank"))
+    fused = first.groupBy(key, "id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("score"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))
+    return fused.withColumn("rank", place).filter(F.col("rank") <= n).select(key, "rank", "id")
+
+
+def hybrid_rounds(hits: DataFrame, asked: DataFrame, per_source: int = 2) -> DataFrame:
+    """set_id, status, kept of pack_round_robin() for sets of sources (set_id, source, question) and hits (question, rank, id, n_text, n_raw) of each question.
+
+    What a question may use is packed under its own budget first; of that the per_source first go into the rounds.
+    """
+    kept = pack(hits, "question").join(hits.select("question", "id", "n_text", "n_raw"), ["question", "id"])
+    rows = kept.filter(F.col("position") <= per_source).join(asked, "question")
+    return pack_round_robin(rows.select("set_id", "source", F.col("position").alias("rank"), "id", "n_text", "n_raw"), per_source, wanted=asked)
+
+
 def pack(hits: DataFrame, group: str | None = None, considered: int = 5, budget: int = 12_000) -> DataFrame:
     """Rows (group..., rank, id, n_text, n_raw) that are kept: in order of rank, one that would pass either budget is skipped, later ones may fit.
 
-    A fold over the at most `considered` first rows of each group.
+    A fold over the at most `considered` first rows of each group, which are ranked before they are gathered.
     """
-    keys = [group] if group else []
-    rows = F.slice(F.sort_array(F.collect_list(F.struct("rank", "id", "n_text", "n_raw"))), 1, considered)
+    keys, order = [group] if group else [], ["rank", "id", "n_text", "n_raw"]
+    if group:
+        place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+        hits = hits.select(group, *order, place.alias("place__")).filter(F.col("place__") <= considered)
+    else:
+        hits = hits.orderBy(*order).limit(considered)
+    rows = F.sort_array(F.collect_list(F.struct(*order)))
     start = F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("r"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -162,11 +187,13 @@ def pack(hits: DataFrame, group: str | None = None, considered: int = 5, budget:
     return packed.select(*keys, F.posexplode("kept").alias("at", "id")).select(*keys, (F.col("at") + 1).alias("position"), "id")
 
 
-def pack_round_robin(hits: DataFrame, per_source: int = 2, budget: int = 24_000) -> DataFrame:
+def pack_round_robin(hits: DataFrame, per_source: int = 2, budget: int = 24_000, wanted: DataFrame | None = None) -> DataFrame:
     """Rows (set_id, source, rank, id, n_text, n_raw) of several sources: first every source's best, then every second.
 
     One row per set: set_id, status, kept (array of refs P<source>:S<n> with ids). A missing or
-    overflowing best hit fails the whole set ('insufficient'); a later one is only left out.
+    overflowing best hit fails the whole set ('insufficient'); a later one is only left out. The sources
+    that a set needs are the rows of `wanted` (set_id, source), so that one without any hit is missed
+    wherever it stands; without `wanted` they are all numbers up to the largest that has a hit.
     """
     order = F.sort_array(F.collect_list(F.struct("rank", "source", "id", "n_text", "n_raw")))
     kept_type = "array<struct<source:int,n:int,id:bigint>>"
@@ -180,9 +207,15 @@ def pack_round_robin(hits: DataFrame, per_source: int = 2, budget: int = 24_000)
         failed = F.struct(acc["t"].alias("t"), acc["r"].alias("r"), (acc["failed"] | (x["rank"] == 1)).alias("failed"), acc["kept"].alias("kept"))
         return F.when(fits, grown).otherwise(failed)
 
+    if wanted is not None:
+        hits = hits.join(wanted.select("set_id", "source").distinct(), ["set_id", "source"], "left_semi")
     rows = hits.filter(F.col("rank") <= per_source).select("set_id", F.col("source").cast("int").alias("source"), F.col("rank").cast("int").alias("rank"), "id", F.col("n_text").cast("long").alias("n_text"), F.col("n_raw").cast("long").alias("n_raw"))
     folded = rows.groupBy("set_id").agg(F.aggregate(order, start, step).alias("f"), F.count_if(F.col("rank") == 1).alias("first"), F.max("source").alias("last"))
-    ok = ~F.col("f.failed") & (F.col("first") == F.col("last") + 1)
+    if wanted is None:
+        folded = folded.withColumn("needed", F.col("last") + 1)
+    else:
+        folded = wanted.groupBy("set_id").agg(F.countDistinct("source").alias("needed")).join(folded, "set_id", "left")
+    ok = F.coalesce(~F.col("f.failed") & (F.col("first") == F.col("needed")), F.lit(False))
     refs = F.transform("f.kept", lambda k: F.struct(F.concat(F.lit("P"), k["source"].cast("string"), F.lit(":S"), k["n"].cast("string")).alias("ref"), k["id"].alias("id")))
     return folded.select("set_id", F.when(ok, "ok").otherwise("insufficient").alias("status"), F.when(ok, refs).otherwise(F.array().cast("array<struct<ref:string,id:bigint>>")).alias("kept"))
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import SPACE_CLASS
-from paperloom.io import table
-from paperloom.operators import evaluate, provenance
+from paperloom.functions.text import SPACE_CLASS, terms
+from paperloom.io import shared_folder, table
+from paperloom.operators import evaluate, indexing, provenance
 from paperloom.operators import retrieval as R
 from paperloom.plans.registry import query
 
@@ -143,7 +143,7 @@ def multi_source_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = v.filter(F.col("scope").isin(*SOURCES)).groupBy("scope").agg(F.min_by("embedding", "vec_id").alias("q")).withColumn("query_id", F.col("scope"))
     top = R.dense_topk_in_scope(v, first, 2)
     hits = top.join(_sizes(table(spark, sf_dir, "documents")), F.col("vec_id") == F.col("id"))
-    packed = R.pack_round_robin(hits.select(F.lit(1).alias("set_id"), F.col("query_id").alias("source"), "rank", "id", "n_text", "n_raw"))
+    packed = R.pack_round_robin(hits.select(F.lit(1).alias("set_id"), F.col("query_id").alias("source"), "rank", "id", "n_text", "n_raw"), wanted=spark.createDataFrame([(1, s) for s in SOURCES], "set_id int, source int"))
     return packed.select("status", F.array_join(F.transform("kept", lambda k: F.concat(k["ref"], F.lit("="), k["id"].cast("string"))), ",").alias("kept"))
 
 
@@ -172,8 +172,6 @@ e AS (SELECT b.item_id, min(r.rank) FILTER (r.doc_id % 2 = 0) AS rank FROM bench
 SELECT count(*) AS n, count(*) FILTER (rank <= 2) AS hits_at_2, count(*) FILTER (rank <= 5) AS hits_at_5, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM e""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages ranked by where the quote stands; relevant are those with an even id. Items without any stay in the denominator."""
-    from pyspark.sql import Window
-
     bench = table(spark, sf_dir, "benchmark")
     m = provenance.quote_matches(table(spark, sf_dir, "documents"), bench)
     ranked = m.select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("id"), F.row_number().over(Window.partitionBy("item_id").orderBy("start", "doc_id")).alias("rank"))
@@ -197,3 +195,66 @@ def unknown_aware_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     j = d.join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return j.groupBy("source").agg(F.count("*").alias("n"), F.count("quality").alias("known"), evaluate.known_total(F.col("quality")).alias("total"), evaluate.ratio(F.count("quality"), F.count("*")).alias("share"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {TERMS_SQL} AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM d),
+q AS (SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS term FROM benchmark),
+w AS (SELECT DISTINCT term FROM q),
+tf AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM d) JOIN w USING (term) GROUP BY doc_id, l, term),
+f AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / avg_len))), 6) AS score FROM q JOIN tf USING (term) JOIN f USING (term), n GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id FROM s QUALIFY rank <= 5""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a question to an index of all documents: the five best by BM25."""
+    index = indexing.build_index(table(spark, sf_dir, "documents"), shared_folder(spark, "index"))
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), "text")
+    return indexing.search(index, questions, 5).select(F.col("question").alias("item_id"), "rank", "doc_id")
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, source, text, {TERMS_SQL} AS t FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+v AS (SELECT d.source, d.doc_id AS id, e.embedding FROM embeddings e JOIN d ON d.doc_id = e.vec_id),
+p AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, list_slice(list_transform(list_filter(range(1, len(t) + 1), lambda k: list_position(t, t[k]) = k), lambda k: t[k]), 1, 2) AS w FROM (SELECT source, arg_min(t, doc_id) AS t FROM d GROUP BY source)),
+q AS (SELECT p.source, i // 4 AS set_id, i % 4 AS ordinal, w, embedding AS q FROM p LEFT JOIN (SELECT source, arg_min(embedding, id) AS embedding FROM v GROUP BY source) USING (source)),
+dense AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS rank FROM (SELECT v.source, id, round({DOT.format(a='v.embedding', b='q.q')}, 9) AS score FROM v JOIN q USING (source)) QUALIFY rank <= 5),
+h AS (SELECT source, doc_id, w, pos, term FROM (SELECT source, doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM d) JOIN q USING (source) WHERE list_contains(w, term)),
+l AS (SELECT source, doc_id, pos, len(w) AS m, max(CASE WHEN term = w[1] THEN pos END) OVER x AS a, max(CASE WHEN term = w[2] THEN pos END) OVER x AS b FROM h WINDOW x AS (PARTITION BY source, doc_id ORDER BY pos)),
+s AS (SELECT source, doc_id, pos, CASE WHEN m = 1 THEN a WHEN a IS NOT NULL AND b IS NOT NULL THEN least(a, b) END AS start FROM l),
+k AS (SELECT *, max(start) OVER (PARTITION BY source, doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+g AS (SELECT source, doc_id AS id, round(sum(least(1.0, 16.0 / (pos - start + 1))), 6) AS score FROM k WHERE start IS NOT NULL AND (before IS NULL OR start > before) GROUP BY source, doc_id),
+lexical AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS rank FROM g QUALIFY rank <= 5),
+fused AS (SELECT source, id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT * FROM dense UNION ALL SELECT * FROM lexical) GROUP BY source, id),
+top AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS i FROM fused QUALIFY i <= 5),
+sized AS (SELECT top.source, i, id, length({PLAIN_SQL}) AS n_text, length(text) AS n_raw FROM top JOIN documents ON doc_id = id),
+pack AS (
+    SELECT source, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS r, false AS taken, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS n_text, CAST(NULL AS BIGINT) AS n_raw FROM q
+    UNION ALL SELECT z.source, z.i, t + CASE WHEN t + z.n_text <= 12000 AND r + z.n_raw <= 12000 THEN z.n_text ELSE 0 END, r + CASE WHEN t + z.n_text <= 12000 AND r + z.n_raw <= 12000 THEN z.n_raw ELSE 0 END, t + z.n_text <= 12000 AND r + z.n_raw <= 12000, z.id, z.n_text, z.n_raw
+    FROM pack JOIN sized z ON z.source = pack.source AND z.i = pack.i + 1
+),
+best AS (SELECT source, id, n_text, n_raw, row_number() OVER (PARTITION BY source ORDER BY i) AS rank FROM pack WHERE taken QUALIFY rank <= 2),
+o AS (SELECT set_id, ordinal, rank, id, n_text, n_raw, row_number() OVER (PARTITION BY set_id ORDER BY rank, ordinal) AS i FROM best JOIN q USING (source)),
+walk AS (
+    SELECT set_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS r, count(*) <> (SELECT count(*) FROM best b JOIN q y USING (source) WHERE y.set_id = q.set_id AND b.rank = 1) AS failed, CAST([] AS VARCHAR[]) AS kept FROM q GROUP BY set_id
+    UNION ALL SELECT o.set_id, o.i, t + CASE WHEN n_raw > 0 AND t + n_text <= 24000 AND r + n_raw <= 24000 THEN n_text ELSE 0 END, r + CASE WHEN n_raw > 0 AND t + n_text <= 24000 AND r + n_raw <= 24000 THEN n_raw ELSE 0 END,
+        failed OR (rank = 1 AND NOT (n_raw > 0 AND t + n_text <= 24000 AND r + n_raw <= 24000)),
+        CASE WHEN n_raw > 0 AND t + n_text <= 24000 AND r + n_raw <= 24000 THEN list_append(kept, concat('P', ordinal, ':S', len(list_filter(kept, lambda x: starts_with(x, concat('P', ordinal, ':')))) + 1, '=', id)) ELSE kept END
+    FROM walk JOIN o ON o.set_id = walk.set_id AND o.i = walk.i + 1
+), last AS (SELECT set_id, arg_max(failed, i) AS failed, arg_max(kept, i) AS kept FROM walk GROUP BY set_id)
+SELECT set_id, CASE WHEN failed THEN 'insufficient' ELSE 'ok' END AS status, CASE WHEN failed THEN '' ELSE array_to_string(kept, ',') END AS kept FROM last""")
+def hybrid_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources in sets of four: of each source the two best passages of both channels, packed in rounds.
+
+    A source asks with the first two words and the vector of its first documents that have them; vec_id is the doc_id of a vector.
+    """
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL AND source IS NOT NULL")
+    vectors = table(spark, sf_dir, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id"), F.col("source").alias("scope")), "vec_id")
+    number = F.row_number().over(Window.orderBy("source")) - 1  # a row for each source
+    words = docs.groupBy("source").agg(F.min_by("text", "doc_id").alias("text")).select("source", F.array_join(F.slice(F.array_distinct(terms(F.col("text"))), 1, 2), " ").alias("text"))
+    asked = words.withColumn("i", number).select(F.floor(F.col("i") / 4).alias("set_id"), (F.col("i") % 4).alias("source"), F.col("source").alias("scope"), F.col("source").alias("question"), "text")
+    q = vectors.groupBy("scope").agg(F.min_by("embedding", "vec_id").alias("q")).select("scope", F.col("scope").alias("query_id"), "q")
+    index = indexing.build_index(docs, shared_folder(spark, "index"), scope="source")
+    dense = R.dense_topk_in_scope(vectors, q, 5).select(F.col("query_id").alias("question"), F.lit("dense").alias("channel"), F.col("vec_id").alias("id"), "rank")
+    lexical = indexing.covered(index, asked.select("question", "scope", "text"), 5).select("question", F.lit("lexical").alias("channel"), F.col("doc_id").alias("id"), "rank")
+    top = R.fused_top_of_each(dense.union(lexical), "question", 5)
+    packed = R.hybrid_rounds(top.join(_sizes(docs), "id"), asked.select("set_id", "source", "question"))
+    return packed.select("set_id", "status", F.array_join(F.transform("kept", lambda k: F.concat(k["ref"], F.lit("="), k["id"].cast("string"))), ",").alias("kept"))

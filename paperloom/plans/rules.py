@@ -92,7 +92,7 @@ def named_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT doc_id, regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]|[\x{202a}-\x{202e}\x{2066}-\x{2069}]') AS unsafe FROM (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN concat(text, chr(8238)) WHEN 2 THEN concat(text, chr(7)) ELSE text END AS text FROM documents WHERE text IS NOT NULL)""")
 def unsafe_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth text ends with an override, every fifth with a control character."""
-    end = F.when(F.col("doc_id") % 5 == 1, F.chr(F.lit(7)) if False else F.lit("‮")).when(F.col("doc_id") % 5 == 2, F.lit("\x07")).otherwise("")
+    end = F.when(F.col("doc_id") % 5 == 1, F.lit("\u202e")).when(F.col("doc_id") % 5 == 2, F.lit("\x07")).otherwise("")
     d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     return d.select("doc_id", T.has_unsafe_unicode(F.concat("text", end)).alias("unsafe"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import geometry, text
 from paperloom.functions.identity import uuid5
-from paperloom.operators import checks, documents, evaluate, provenance, retrieval, state
+from paperloom.operators import checks, documents, evaluate, indexing, provenance, retrieval, state
 from paperloom.plans import registry
 from paperloom.sources import records
 from paperloom.streaming import jobs
@@ -107,6 +107,88 @@ def test_round_robin(spark):
     assert got == {1: ("ok", [("P0:S1", 10), ("P1:S1", 20), ("P1:S2", 21)]), 2: ("insufficient", []), 3: ("insufficient", [])}
 
 
+def test_round_robin_wanted(spark):
+    """A last source without hits, a set without hits, and a hit of a source that nobody asked for."""
+    hits = [(1, 0, 1, 10, 5, 5), (2, 0, 1, 10, 5, 5), (2, 1, 1, 11, 5, 5), (2, 9, 1, 12, 30_000, 5)]
+    wanted = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 1), (3, 0)], "set_id int, source int")
+    got = {r.set_id: (r.status, [k.id for k in r.kept]) for r in retrieval.pack_round_robin(spark.createDataFrame(hits, "set_id int, source int, rank int, id long, n_text int, n_raw int"), wanted=wanted).collect()}
+    assert got == {1: ("insufficient", []), 2: ("ok", [10, 11]), 3: ("insufficient", [])}
+
+
+def test_bad_vectors_are_not_ranked(spark):
+    nan = float("nan")
+    v = spark.createDataFrame([(1, 0, [nan, 1.0]), (2, 0, None), (3, 0, [1.0, 0.0]), (4, 0, [0.0, 1.0]), (5, 0, [1.0, None]), (6, 0, [float("inf"), 0.0])], "vec_id long, scope int, embedding array<float>")
+    q = spark.createDataFrame([(7, 0, [1.0, 0.5])], "query_id int, scope int, q array<float>")
+    assert [(r.rank, r.vec_id) for r in retrieval.dense_topk(v, q, 9).orderBy("rank").collect()] == [(1, 3), (2, 4)]
+    assert sorted((r.rank, r.vec_id) for r in retrieval.dense_topk_in_scope(v, q, 9).collect()) == [(1, 3), (2, 4)]
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, tmp_path_factory):
+    """400 documents of three scopes over few words, with their index; small blocks."""
+    import random
+
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rnd.choices(words, [1 / (1 + j) for j in range(30)], k=rnd.randrange(1, 60))), f"s{i % 3}") for i in range(400)] + [(900, None, "s0"), (901, "", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return docs, indexing.build_index(docs, f"file://{tmp_path_factory.mktemp('index')}", scope="source")
+
+
+def test_index_equals_scan(spark, indexed):
+    docs, index = indexed
+    asked = ["w0 w9 w25", "w3", "w28 W28 w28", "w0 w1 w2 w3", "nowhere", "", "w29 nowhere", None]
+    questions = spark.createDataFrame(list(enumerate(asked)), "question int, text string")
+    got = {(r.question, r.rank, r.doc_id, round(r.score, 5)) for r in indexing.search(index, questions, 6).collect()}
+    want = set()
+    for i, t in enumerate(asked):
+        words = sorted(set((t or "").lower().split()))
+        if words:
+            want |= {(i, r["rank"], r.doc_id, round(r.score, 5)) for r in retrieval.topk(retrieval.bm25(docs.filter("text IS NOT NULL"), words), 6).collect()}
+    assert got == want and len(got) > 20
+
+
+def test_index_prunes_blocks(spark, indexed, monkeypatch):
+    docs, index = indexed
+    monkeypatch.setattr(indexing, "BLOCK", 8)
+    small = indexing.build_index(docs, "file:///tmp/" + uuid.uuid4().hex)
+    questions = spark.createDataFrame([(0, "w0 w1")], "question int, text string")
+    asked = indexing.question_terms(small, questions)
+    kept = indexing.blocks_to_read(small, asked, 3).count()
+    assert 0 < kept < small.postings.filter("term IN ('w0', 'w1')").count()
+    assert [(r["rank"], r.doc_id) for r in indexing.search(small, questions, 3).orderBy("rank").collect()] == [(r["rank"], r.doc_id) for r in indexing.search(index, questions, 3).orderBy("rank").collect()]
+    # a stated question opens the folders of its own terms only
+    plan = small.postings.filter("bucket = 5 AND term = 'w1'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,w1)]" in plan
+
+
+def test_index_covers(spark, indexed):
+    docs, index = indexed
+    questions = spark.createDataFrame([(0, "w0 w4 w7", None), (1, "w0 w1", "s1"), (2, "w5", "s2"), (3, "w0 nowhere", None)], "question int, text string, scope string")
+    got = sorted((r.question, r["rank"], r.doc_id) for r in indexing.covered(index, questions, 5).collect())
+    want = []
+    for q, words, scope in ((0, ["w0", "w4", "w7"], None), (1, ["w0", "w1"], "s1"), (2, ["w5"], "s2")):
+        part = docs.filter(F.col("source") == scope) if scope else docs
+        want += [(q, r["rank"], r.doc_id) for r in retrieval.topk(retrieval.cover_density(part, words), 5).collect()]
+    assert got == sorted(want)
+    none = indexing.build_index(docs.limit(0), "file:///tmp/" + uuid.uuid4().hex, scope="source")
+    assert indexing.search(none, questions, 5).count() == 0 and indexing.covered(none, questions, 5).count() == 0
+
+
+def test_hybrid_rounds(spark):
+    asked = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "c"), (1, 1, "d")], "set_id int, source int, question string")
+    hits = [("a", 1, 1, 9000, 9000), ("a", 2, 2, 9000, 9000), ("a", 3, 3, 100, 100), ("b", 1, 4, 500, 500), ("c", 1, 5, 10, 10)]
+    got = {r.set_id: (r.status, [(k.ref, k.id) for k in r.kept]) for r in retrieval.hybrid_rounds(spark.createDataFrame(hits, "question string, rank int, id long, n_text int, n_raw int"), asked).collect()}
+    # the second of a passes its own budget and is skipped; d has no hit
+    assert got == {0: ("ok", [("P0:S1", 1), ("P1:S1", 4), ("P0:S2", 3)]), 1: ("insufficient", [])}
+
+
+def test_no_quotes(spark):
+    texts = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    none = provenance.quote_matches(texts, spark.createDataFrame([(1, " "), (2, None)], "item_id long, text string"))
+    assert none.count() == 0 and none.columns == ["item_id", "doc_id", "start", "status", "raw_start", "raw_stop"]
+
+
 def test_web_query(spark):
     d = spark.createDataFrame([(1, "deep learning for graphs"), (2, "learning deep"), (3, "shallow trees"), (4, None)], "doc_id int, text string")
     match = lambda q: sorted(r.doc_id for r in retrieval.lexical_match(d, q).collect())
