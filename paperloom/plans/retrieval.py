@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import SPACE_CLASS, terms
 from paperloom.io import shared_folder, table
-from paperloom.operators import evaluate, indexing, provenance
+from paperloom.operators import evaluate, indexing, provenance, vector_index
 from paperloom.operators import retrieval as R
 from paperloom.plans.registry import query
 
@@ -258,3 +258,27 @@ def hybrid_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = R.fused_top_of_each(dense.union(lexical), "question", 5)
     packed = R.hybrid_rounds(top.join(_sizes(docs), "id"), asked.select("set_id", "source", "question"))
     return packed.select("set_id", "status", F.array_join(F.transform("kept", lambda k: F.concat(k["ref"], F.lit("="), k["id"].cast("string"))), ",").alias("kept"))
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round({DOT.format(a='v.embedding', b='q.embedding')}, 9) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id FROM s QUALIFY rank <= 5""")
+def indexed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with an id divisible by 50 as queries to an index of all vectors."""
+    v = table(spark, sf_dir, "embeddings")
+    index = vector_index.create(v, shared_folder(spark, "vectors"), 64)
+    return vector_index.search(spark, index, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 5).select("query_id", "rank", "vec_id")
+
+
+@query("""SELECT label AS scope, count(*) FILTER (vec_id % 7 <> 3) AS n, count(*) AS before FROM embeddings GROUP BY label""")
+def vector_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts by label, before and after a batch that is played twice (every fifth vector again) and the removal of the ids of remainder 3 by 7."""
+    v = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "scope")
+    index = vector_index.create(v, shared_folder(spark, "vectors"), 64)
+    before = vector_index.exact_count(spark, index).withColumnRenamed("n", "before")
+    before.write.parquet(f"{index.path}/before")  # the log changes now
+    kept = spark.read.schema(before.schema).parquet(f"{index.path}/before")
+    for _ in range(2):
+        vector_index.upsert(index, v.filter("vec_id % 5 = 0"), 1)
+    vector_index.upsert(index, v.filter("vec_id % 7 = 3"), 2, removed=True)
+    after = vector_index.exact_count(spark, index)
+    return kept.join(after, "scope", "left").select(F.col("scope").cast("int").alias("scope"), F.coalesce("n", F.lit(0)).alias("n"), "before")

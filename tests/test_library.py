@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import geometry, text
 from paperloom.functions.identity import uuid5
-from paperloom.operators import checks, documents, evaluate, indexing, provenance, retrieval, state
+from paperloom.operators import checks, documents, evaluate, indexing, provenance, retrieval, state, vector_index
 from paperloom.plans import registry
 from paperloom.sources import records
 from paperloom.streaming import jobs
@@ -183,6 +183,50 @@ def test_hybrid_rounds(spark):
     assert got == {0: ("ok", [("P0:S1", 1), ("P1:S1", 4), ("P0:S2", 3)]), 1: ("insufficient", [])}
 
 
+def unit(rnd, center, spread):
+    import math
+
+    v = [c + rnd.gauss(0, spread) for c in center]
+    return [x / math.sqrt(sum(y * y for y in v)) for x in v]
+
+
+def test_vector_index(spark):
+    """Clustered vectors: the result of a scan, most cells unread, upserts that replace, replay and remove."""
+    import random
+
+    rnd = random.Random(6)
+    middles = [unit(rnd, [0] * 8, 1) for _ in range(12)]
+    rows = [(i, f"s{i % 2}", unit(rnd, middles[i % 12], 0.03)) for i in range(300)] + [(1000, "s0", [2.0] * 8), (1001, "s0", None), (1002, "s0", [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, scope string, embedding array<float>")
+    index = vector_index.create(v, f"file:///tmp/{uuid.uuid4().hex}", 8)
+    queries = v.filter("vec_id % 25 = 0 AND vec_id < 300").select(F.col("vec_id").alias("query_id"), F.lit("x").alias("scope"), F.col("embedding").alias("q"))
+
+    def check(table):
+        got = vector_index.search(spark, index, queries.select("query_id", "q"), 4).collect()
+        valid = retrieval.valid_vectors(table, 8).filter("ok").withColumn("scope", F.lit("x"))
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted((r.query_id, r["rank"], r.vec_id) for r in retrieval.dense_topk_in_scope(valid, queries, 4).collect())
+        return got
+
+    assert all(2 * r.cells_read < r.cells for r in check(v))
+    reopened = vector_index.open_index(spark, index.path, 8)
+    assert (reopened.centers == index.centers).all() and len(index.centers) == 18
+    assert {(r.scope, r.n) for r in vector_index.exact_count(spark, index).collect()} == {("s0", 150), ("s1", 150)}
+    moved = spark.createDataFrame([(i, "s1", unit(rnd, middles[0], 0.5)) for i in range(0, 40)] + [(500, "s1", unit(rnd, middles[3], 0.01))], "vec_id long, scope string, embedding array<float>")
+    for _ in range(2):
+        vector_index.upsert(index, moved, 1)
+    assert {(r.scope, r.n) for r in vector_index.exact_count(spark, index).collect()} == {("s0", 130), ("s1", 171)}
+    now = v.filter("vec_id >= 40").unionByName(moved)
+    check(now)
+    vector_index.upsert(index, spark.createDataFrame([(2,), (77,), (9999,)], "vec_id long"), 2, removed=True)
+    check(now.filter("vec_id NOT IN (2, 77)"))
+    pages, after = [], None
+    while page := [r.vec_id for r in vector_index.scroll(spark, index, after, 90).collect()]:
+        pages, after = [*pages, *page], page[-1]
+    assert pages == sorted(r.vec_id for r in retrieval.valid_vectors(now, 8).filter("ok AND vec_id NOT IN (2, 77)").collect())
+    none = vector_index.create(v.limit(0), f"file:///tmp/{uuid.uuid4().hex}", 8)
+    assert vector_index.search(spark, none, queries, 4).count() == 0 and vector_index.exact_count(spark, none).count() == 0
+
+
 def test_no_quotes(spark):
     texts = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = provenance.quote_matches(texts, spark.createDataFrame([(1, " "), (2, None)], "item_id long, text string"))
