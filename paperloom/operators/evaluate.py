@@ -91,3 +91,42 @@ def citations_exact(fragments: DataFrame, regions: DataFrame) -> DataFrame:
     j = fragments.join(regions.select("source", "page", F.col("quote").alias("region")), ["source", "page"], "left")
     g = j.groupBy("citation", "source", "page", "quote").agg(F.count_if(F.col("region") == F.col("quote")).alias("equal"), F.count_if(F.contains("region", "quote")).alias("within"))
     return g.groupBy("citation").agg(F.every((F.col("equal") > 0) | (F.col("within") == 1)).alias("exact"))
+
+
+STATES = ("completed", "refused", "failed", "interrupted", "running")
+
+
+def campaign_defects(cases: DataFrame, observations: DataFrame) -> DataFrame:
+    """case_id, defect of observations (case_id, state) that can't be scored: unknown_case, invalid_state (null too), or repeated; a campaign with any must be refused."""
+    seen = observations.groupBy("case_id").agg(F.count("*").alias("n"), F.every(F.coalesce(F.col("state").isin(*STATES), F.lit(False))).alias("ok"))
+    j = seen.join(cases.select("case_id", F.lit(True).alias("known")), "case_id", "left")
+    found = F.array_compact(F.array(F.when(F.col("known").isNull(), "unknown_case"), F.when(~F.col("ok"), "invalid_state"), F.when(F.col("n") > 1, "repeated")))
+    return j.select("case_id", F.explode(found).alias("defect"))
+
+
+def score_campaign(cases: DataFrame, observations: DataFrame, expected: DataFrame, measures: DataFrame, required: list[str] | None = None) -> DataFrame:
+    """layer, metric, num, den, unknown, value, accepted: every metric of a campaign, every layer, and the campaign, over frozen denominators.
+
+    cases (case_id, allocation) and expected (case_id, layer, metric, den, gate) are frozen; measures (case_id, layer,
+    metric, num) and observations (case_id, state) are what a run made. A case without a measure, or with one that is null, negative or above its
+    denominator, adds its denominator, nothing to num and 1 to unknown. `value` is num / den, null where there is
+    nothing to count. A metric is accepted if it has cases and all of them are full, or if it is no gate; a layer (metric
+    null) if all its metrics are and it has a gate; the campaign (layer and metric null; num and den count
+    observed cases, unknown the missing ones) if no case is missing and all required layers, without a list all that are expected, are accepted.
+    Diagnostic cases count in no denominator. Measures of cases or metrics that nobody expects are ignored.
+    """
+    frozen = cases.filter(~F.col("allocation").eqNullSafe("diagnostic")).select("case_id")
+    m = measures.groupBy("case_id", "layer", "metric").agg(F.min("num").alias("num"))
+    j = expected.join(frozen, "case_id", "left_semi").join(m, ["case_id", "layer", "metric"], "left")
+    good = F.coalesce(F.col("num").between(0, F.col("den")), F.lit(False))
+    metrics = j.groupBy("layer", "metric").agg(F.sum(F.when(good, F.col("num")).otherwise(0)).cast("long").alias("num"), F.sum("den").cast("long").alias("den"), F.count_if(~good).alias("unknown"), F.max("gate").alias("gate"))
+    metrics = metrics.withColumn("accepted", ~F.col("gate") | ((F.col("den") > 0) & (F.col("num") == F.col("den")) & (F.col("unknown") == 0)))
+    layers = metrics.groupBy("layer").agg(F.sum("unknown").alias("unknown"), (F.every("accepted") & F.max("gate")).alias("accepted"))
+    wanted = cases.sparkSession.createDataFrame([(x,) for x in required], "layer string") if required is not None else layers.select("layer")
+    gates = wanted.join(layers, "layer", "left").agg(F.count("*").alias("n"), F.count_if(F.coalesce("accepted", F.lit(False))).alias("passed"))
+    seen = frozen.join(observations.select("case_id").distinct().withColumn("seen", F.lit(True)), "case_id", "left").agg(F.count("seen").alias("num"), F.count("*").alias("den"))
+    none = F.lit(None)
+    whole = seen.join(F.broadcast(gates)).select(none.cast("string").alias("layer"), none.cast("string").alias("metric"), "num", "den", (F.col("den") - F.col("num")).alias("unknown"), ((F.col("num") == F.col("den")) & (F.col("n") > 0) & (F.col("passed") == F.col("n"))).alias("accepted"))  # one row each
+    parts = metrics.select("layer", "metric", "num", "den", "unknown", "accepted")
+    out = parts.unionByName(layers.select("layer", none.cast("string").alias("metric"), none.cast("long").alias("num"), none.cast("long").alias("den"), "unknown", "accepted")).unionByName(whole)
+    return out.select("layer", "metric", "num", "den", "unknown", ratio(F.col("num"), F.col("den")).alias("value"), "accepted")

@@ -282,3 +282,28 @@ def vector_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector_index.upsert(index, v.filter("vec_id % 7 = 3"), 2, removed=True)
     after = vector_index.exact_count(spark, index)
     return kept.join(after, "scope", "left").select(F.col("scope").cast("int").alias("scope"), F.coalesce("n", F.lit(0)).alias("n"), "before")
+
+
+@query("""WITH f AS (SELECT doc_id, n_chars, length(text) AS l, doc_id % 7 <> 0 AS seen FROM documents WHERE doc_id % 10 <> 0),
+e AS (
+    SELECT 'parser' AS layer, 'text_coverage' AS metric, n_chars AS den, CASE WHEN seen AND l <= n_chars THEN l END AS num, true AS gate FROM f
+    UNION ALL SELECT 'parser', 'resolvable', 1, CASE WHEN seen THEN CAST(l = n_chars AS INTEGER) END, false FROM f
+    UNION ALL SELECT 'route', 'refusals', 1, CASE WHEN seen THEN CAST((n_chars < 400) = (toxic = 1) AS INTEGER) END, true FROM f JOIN labels USING (doc_id)
+), m AS (SELECT layer, metric, CAST(sum(coalesce(num, 0)) AS BIGINT) AS num, CAST(sum(den) AS BIGINT) AS den, count(*) FILTER (num IS NULL) AS unknown, bool_or(gate) AS gate FROM e GROUP BY layer, metric),
+a AS (SELECT layer, metric, num, den, unknown, NOT gate OR (den > 0 AND num = den AND unknown = 0) AS accepted FROM m),
+l AS (SELECT layer, CAST(sum(unknown) AS BIGINT) AS unknown, bool_and(accepted) AS accepted FROM a GROUP BY layer)
+SELECT layer, metric, num, den, unknown, round(num / den, 9) AS value, accepted FROM a
+UNION ALL SELECT layer, NULL, NULL, NULL, unknown, NULL, accepted FROM l
+UNION ALL SELECT NULL, NULL, count(*) FILTER (seen), count(*), count(*) FILTER (NOT seen), round(count(*) FILTER (seen) / count(*), 9), count(*) FILTER (NOT seen) = 0 AND (SELECT bool_and(accepted) FROM l) FROM f""")
+def campaign_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as cases, a tenth of them diagnostic, a seventh never observed: text coverage and lengths, and whether toxic texts are refused by their length."""
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "case_id")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case_id"), "toxic")
+    cases = docs.select("case_id", F.when(F.col("case_id") % 10 == 0, "diagnostic").otherwise("primary").alias("allocation"))
+    seen = docs.filter("case_id % 7 != 0")
+    row = lambda d, layer, metric, **c: d.select("case_id", F.lit(layer).alias("layer"), F.lit(metric).alias("metric"), *[v.alias(k) for k, v in c.items()])
+    one, size = F.lit(1).cast("long"), F.char_length("text").cast("long")
+    expected = row(docs, "parser", "text_coverage", den=F.col("n_chars").cast("long"), gate=F.lit(True)).union(row(docs, "parser", "resolvable", den=one, gate=F.lit(False))).union(row(docs.join(labels, "case_id", "left_semi"), "route", "refusals", den=one, gate=F.lit(True)))
+    refused = (F.col("n_chars") < 400) == (F.col("toxic") == 1)
+    measures = row(seen, "parser", "text_coverage", num=size).union(row(seen, "parser", "resolvable", num=(size == F.col("n_chars")).cast("long"))).union(row(seen.join(labels, "case_id"), "route", "refusals", num=refused.cast("long")))
+    return evaluate.score_campaign(cases, seen.select("case_id", F.lit("completed").alias("state")), expected, measures)

@@ -227,6 +227,23 @@ def test_vector_index(spark):
     assert vector_index.search(spark, none, queries, 4).count() == 0 and vector_index.exact_count(spark, none).count() == 0
 
 
+def test_score_campaign(spark):
+    """A missing case, an unmeasured one and one above its denominator stay in the denominators; diagnostic cases never make up for them."""
+    cases = spark.createDataFrame([(1, "primary"), (2, "primary"), (3, "diagnostic"), (4, None)], "case_id int, allocation string")
+    expected = spark.createDataFrame([(i, "parser", "coverage", 10, True) for i in (1, 2, 3, 4)] + [(1, "cost", "known", 1, True), (2, "cost", "known", 1, True), (1, "cost", "note", 1, False)], "case_id int, layer string, metric string, den long, gate boolean")
+    measured = lambda rows: spark.createDataFrame(rows, "case_id int, layer string, metric string, num long")
+    seen = lambda *ids: spark.createDataFrame([(i, "completed") for i in ids], "case_id int, state string")
+    score = lambda *a, **b: {(r.layer, r.metric): (r.num, r.den, r.unknown, r.value, r.accepted) for r in evaluate.score_campaign(cases, *a, **b).collect()}
+    full = [(i, "parser", "coverage", 10) for i in (1, 2, 4)] + [(1, "cost", "known", 1), (2, "cost", "known", 1)]
+    got = score(seen(1, 2, 4), expected, measured(full))
+    assert got == {("parser", "coverage"): (30, 30, 0, 1.0, True), ("cost", "known"): (2, 2, 0, 1.0, True), ("cost", "note"): (0, 1, 1, 0.0, True), ("parser", None): (None, None, 0, None, True), ("cost", None): (None, None, 1, None, True), (None, None): (3, 3, 0, 1.0, True)}
+    got = score(seen(1, 2, 3), expected, measured([(1, "parser", "coverage", 11), (2, "parser", "coverage", 10), (3, "parser", "coverage", 10), (9, "parser", "coverage", 10), (1, "cost", "known", None), (2, "cost", "known", 1)]))
+    assert got["parser", "coverage"] == (10, 30, 2, 0.333333333, False) and got["cost", "known"] == (1, 2, 1, 0.5, False) and got[None, None] == (2, 3, 1, 0.666666667, False)
+    assert score(seen(1, 2, 4), expected, measured(full[:3]), required=["parser"])[None, None][4] and not score(seen(1, 2, 4), expected, measured(full), required=["parser", "reader"])[None, None][4]
+    bad = evaluate.campaign_defects(cases, spark.createDataFrame([(1, "completed"), (1, "failed"), (2, "odd"), (4, None), (8, "running")], "case_id int, state string"))
+    assert sorted(map(tuple, bad.collect())) == [(1, "repeated"), (2, "invalid_state"), (4, "invalid_state"), (8, "unknown_case")]
+
+
 def test_no_quotes(spark):
     texts = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = provenance.quote_matches(texts, spark.createDataFrame([(1, " "), (2, None)], "item_id long, text string"))
