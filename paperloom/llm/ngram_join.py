@@ -15,14 +15,15 @@ tokens of either in any common order, all but n - ceil(p * n) are shared. Index.
 The index is used twice:
 
 1. Tokens in the order of their hashes, of which only the head of each set is kept. Each list of a key links its
-   members to its first and last one; each set verifies the link with most keys in common. Here two
+   members to its first one and to the one whose tokens are the most common; each set verifies the link with most keys in common. Here two
    neighbours of a class are a key, which is enough to join most copies, and rows stay in proportion to the heads.
 2. Sets that may have partners in another component, by the number of their head's tokens that several
    components hold, are looked at in whole. Tokens of one component alone come first and need no key, the others
    from rare to frequent; how many there are of each bounds what two sets can share. So a passage shared by many texts is in no prefix that can do without it,
    and texts that differ in more than it leaves room for don't meet.
    Of each list the members outside its most frequent component first verify a drawn member of that one, some rounds long;
-   then all sets of components that are still different and have a key in common are verified.
+   then all sets of components that are still different and have a key in common are verified, but for
+   those that a bitmap of each set, in which every token flips a bit, shows to differ in too many tokens.
 
 All links between components are found, at any size of sets, lists or components; what is verified is
 compared as whole sets. Nothing is capped, and no set of pairs within a component is listed.
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import Scratch, map_batches, repeated_ids, rows_of, text_tag
 from paperloom.llm.components import components
-from paperloom.llm.neardup import _lists, full_sets, shingle_sets
+from paperloom.llm.neardup import _lists, shingle_sets
 
 WIDTH, PERCENT = 5, 80
 #: A token of more sets than this is frequent.
@@ -166,6 +167,22 @@ def _sets_of(texts: DataFrame, width: int) -> DataFrame:
     return map_batches(texts.select(*names, "text"), run, "hub long, block int, role int, node long, items array<long>")
 
 
+def _whole_sets(texts: DataFrame, width: int) -> DataFrame:
+    """node, items, bits: whole sets, and four words in which each token flips the bit that its hash names."""
+
+    def flipped(items: np.ndarray) -> np.ndarray:
+        odd = np.bincount((items.view(np.uint64) >> np.uint64(24) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 128) for i in range(0, whole.num_rows, 128)):
+                sets = shingle_sets(b.column(1).to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets), _lists([flipped(s) for s in sets])], names=["node", "items", "bits"])
+
+    return map_batches(texts.select("node", "text"), run, "node long, items array<long>, bits array<long>")
+
+
 def _hub_links(dealt: DataFrame, percent: int) -> DataFrame:
     """a, b: the members that are linked with their hub, of rows sorted by (hub, block, role); a hub's own set, role 0, comes first."""
 
@@ -216,16 +233,26 @@ def _compatible(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _may_link(n_a: Column, most_a: Column, n_b: Column, most_b: Column, percent: int) -> Column:
-    """Can sets of these sizes be linked, of which at most so many tokens are in sets of other components?"""
-    common = F.least(most_a, most_b)
-    return 100 * common >= percent * (n_a + n_b - common)
+def _may_link(a: Column, b: Column, percent: int) -> Column:
+    """Can sets a and b, structs of n, most and bits, be linked? `most` tokens at most are in sets of other components; bits that differ are tokens that only one set has."""
+    apart = sum((F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(4)), F.lit(0))
+    common = F.least(a["most"], b["most"], F.floor((a["n"] + b["n"] - apart) / 2))
+    return 100 * common >= percent * (a["n"] + b["n"] - common)
+
+
+_SET = ("n", "most", "bits")
+
+
+def _weight(met: str, often: str) -> Column:
+    """How common a set's tokens are on average; tokens that no other set has count nothing. The text that many edited copies come from has the largest weight of them."""
+    return (F.aggregate(met, F.lit(0).cast("long"), lambda s, x: s + x[often]) / F.col("n")).alias("weight")
 
 
 def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b: for each node a of rows (key, node, n) the first or last node of its lists with which it has most keys in common, of those of a fitting size."""
-    ends = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).filter("low.node != high.node")
-    j = lists.join(ends, "key").select("node", "n", F.explode(F.array("low", "high")).alias("end")).filter(F.col("node") != F.col("end.node"))
+    """a, b: for each node a of rows (key, node, n, weight) the first node, or the one of the largest weight, of its lists with which it has most keys in common, of those of a fitting size."""
+    member = F.struct("weight", "node", "n")
+    ends = lists.groupBy("key").agg(F.count("*").alias("c"), F.min_by(member, "node").alias("low"), F.max(member).alias("high")).filter("c > 1")
+    j = lists.join(ends, "key").select("node", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("end")).filter(F.col("node") != F.col("end.node"))
     fit = j.filter(_compatible(F.col("n"), F.col("end.n"), percent))
     times = fit.groupBy("node", F.col("end.node").alias("end")).count()
     best = times.groupBy("node").agg(F.max(F.struct("count", (-F.col("end")).alias("end"))).alias("best"))
@@ -234,16 +261,17 @@ def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _split_lists(lists: DataFrame) -> DataFrame:
-    """key, node, n, most, label, top, others: the rows of lists of several labels, with the label of most members and the number of all others."""
+    """key, node, n, most, bits, weight, label, top, others: the rows of lists of several labels, with the label of most members and the number of all others."""
     counts = lists.groupBy("key", "label").agg(F.count("*").alias("c"))
     tops = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("s")).filter("s > m.c")
     return lists.join(tops.select("key", F.col("m.label").alias("top"), (F.col("s") - F.col("m.c")).alias("others")), "key")
 
 
 def hub_pairs(split: DataFrame, percent: int, salt: int) -> DataFrame:
-    """a, b: for each node a that isn't of its lists' most frequent label, of the members of that label that a list draws by a salted hash the one with which it has most keys in common."""
-    drawn = split.filter("label = top").groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "node").alias("draw"), "node", "n", "most")).alias("hub"))
-    j = split.filter("label != top").join(drawn, "key").filter(_may_link(F.col("n"), F.col("most"), F.col("hub.n"), F.col("hub.most"), percent))
+    """a, b: for each node a that isn't of its lists' most frequent label, of the members of that label that a list draws, by weight (salt 0) or a salted hash, the one with which it has most keys in common."""
+    draw = F.xxhash64(F.lit(salt), "node").cast("double") if salt else F.col("weight")
+    drawn = split.filter("label = top").groupBy("key").agg(F.max(F.struct(draw.alias("draw"), "node", *_SET)).alias("hub"))
+    j = split.filter("label != top").join(drawn, "key").filter(_may_link(F.struct(*_SET), F.col("hub"), percent))
     times = j.groupBy("node", F.col("hub.node").alias("hub")).count()
     return times.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("count", "hub")).alias("best")).select("a", F.col("best.hub").alias("b"))
 
@@ -255,10 +283,10 @@ def cross_pairs(split: DataFrame, percent: int) -> DataFrame:
     lists; the partners of a member are united where its rows lie, so a pair's many common keys are never listed.
     """
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("others") / CHUNK)).alias("chunk")
-    chunks = split.filter("label != top").groupBy("key", chunk).agg(F.collect_list(F.struct("node", "n", "most", "label")).alias("rest"))
+    chunks = split.filter("label != top").groupBy("key", chunk).agg(F.collect_list(F.struct("node", "label", *_SET)).alias("rest"))
     own = F.col("label") != F.col("top")
     met = split.join(chunks, "key")
-    fits = lambda x: (x["label"] != F.col("label")) & _may_link(F.col("n"), F.col("most"), x["n"], x["most"], percent) & (~own | (F.col("node") < x["node"]))
+    fits = lambda x: (x["label"] != F.col("label")) & _may_link(F.struct(*_SET), x, percent) & (~own | (F.col("node") < x["node"]))
     rows = met.select("node", F.transform(F.filter("rest", fits), lambda x: x["node"]).alias("rest")).filter(F.size("rest") > 0)
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,6 +340,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     met = scratch.save(tokens.join(often, "v").select("node", "n", "v", (F.col("at") + 1).alias("at"), F.col("often").cast("int").alias("often")))
     scratch.drop(first, headed)
     grouped = met.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("at", "often", "v"))).alias("met"))  # a set's own head
+    grouped = grouped.select("node", "n", _weight("met", "often"), "met")
     lists = scratch.save(keys(grouped, index, every=False))
     labels = components(scratch, verified(scratch, star_pairs(lists, percent), nodes, docs, percent, width))
     scratch.drop(lists)
@@ -326,12 +355,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     if not left.isEmpty():
         texts = _texts_of(docs, nodes.join(left.select("node"), "node").select("node", "print", *[F.col(c).alias(f"first_{c}") for c in ["doc_id", *tagged]]))
         texts = texts.dropDuplicates(["node"]) if tagged else texts
-        whole = scratch.save(full_sets(texts, width).select("node", "items").join(left, "node"))
+        whole = scratch.save(_whole_sets(texts, width).join(left, "node"))
         tokens = whole.select("node", "n", "label", F.explode("items").alias("v"))
         often = tokens.groupBy("v").agg(F.count("*").alias("often"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("v", F.col("often").cast("int").alias("often"))
         own = tokens.join(often, "v").groupBy("node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("own"))
         free = (F.col("n") - F.size("own")).cast("int")
-        placed = own.select("node", "n", "label", F.size("own").cast("long").alias("most"), F.transform("own", lambda x, i: F.struct((free + i + 1).alias("at"), x["often"].alias("often"), x["v"].alias("v"))).alias("met"))
+        placed = own.join(whole.select("node", "bits"), "node").select("node", "n", "label", "bits", F.size("own").cast("long").alias("most"), _weight("own", "often"), F.transform("own", lambda x, i: F.struct((free + i + 1).alias("at"), x["often"].alias("often"), x["v"].alias("v"))).alias("met"))
         lists = scratch.save(keys(placed, index, every=True))
         found = []
         for salt in range(DRAWS):
