@@ -33,6 +33,62 @@ def clip(intervals: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     return j.select(key, "span", left.alias("start"), right.alias("stop"), (F.col("source_start") + left - F.col("start")).alias("source_start"), (F.col("source_start") + right - F.col("start")).alias("source_stop"))
 
 
+#: Characters of a bin of the finest level; each level's bins are four times as wide.
+BIN, LEVELS = 64, 15
+
+
+def _dealt(rows: DataFrame, start: str, stop: str, levels: list[int] | None, coarser: int = 0) -> DataFrame:
+    """Rows with level__ and bin__: at the level whose bins hold them in two at most, or at all of levels from `coarser` above it."""
+    at = F.explode(F.array(*map(F.lit, levels)).cast("array<int>")) if levels is not None else F.col("own__")
+    r = rows.withColumn("level__", at).filter(F.col("level__") >= F.col("own__") + (coarser if levels is not None else 0))
+    wide = F.expr(f"shiftleft({BIN}L, 2 * level__)")
+    return r.withColumn("bin__", F.explode(F.sequence(F.floor(F.col(start) / wide), F.floor((F.col(stop) - 1) / wide))))
+
+
+def overlaps(intervals: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """All columns of intervals (key, start, stop, ...) and requests (key, lo, hi, ...) for each pair of a key that overlaps, once.
+
+    Both are dealt to bins of a key's offsets, so a key with a million intervals is many small joins, not one. A long interval lies
+    in few wide bins of a coarser level; a pair meets at the level of its longer one, in the bin of its later
+    start. Short ones go up to the levels that the other side really has (16 at most), and never meet each other there. Empty intervals and rows
+    with a null key or bound overlap nothing. Other columns may not have the same name on both sides.
+    """
+
+    def ready(rows: DataFrame, start: str, stop: str) -> DataFrame:
+        length = F.col(stop) - F.col(start)
+        own = sum((F.when(length > BIN * 4**k, 1).otherwise(0) for k in range(LEVELS)), F.lit(0))
+        return rows.filter(F.col(key).isNotNull() & (length > 0)).withColumn("own__", own)
+
+    a, b = ready(intervals, "start", "stop"), ready(requests, "lo", "hi")
+    of_a, of_b = (sorted(t.agg(F.collect_set("own__")).first()[0]) for t in (a, b))  # 16 numbers at most
+    later = F.floor(F.greatest("start", "lo") / F.expr(f"shiftleft({BIN}L, 2 * level__)"))
+    meet = (F.greatest("start", "lo") < F.least("stop", "hi")) & (F.col("bin__") == later)
+    on = [key, "level__", "bin__"]
+    longer = _dealt(a, "start", "stop", None).drop("own__").join(_dealt(b, "lo", "hi", of_a).drop("own__"), on).filter(meet)
+    shorter = _dealt(a, "start", "stop", of_b, 1).drop("own__").join(_dealt(b, "lo", "hi", None).drop("own__"), on).filter(meet)
+    return longer.unionByName(shorter).drop("level__", "bin__")
+
+
+def clip_binned(intervals: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """`clip` for keys with very many intervals and requests."""
+    left, right = F.greatest("start", "lo"), F.least("stop", "hi")
+    source = F.col("source_start") - F.col("start")
+    return overlaps(intervals, requests, key).select(key, "span", left.alias("start"), right.alias("stop"), (source + left).alias("source_start"), (source + right).alias("source_stop"))
+
+
+def mapping_defects(mappings: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """key, mapping, defect of mappings (key, mapping, kind, start, stop, source_start, source_stop) that break: `outside` without a span (key, lo, hi) of the source that holds all of it, `length` for an identity of two lengths.
+
+    A mapping of an empty source lies in a span that it touches. Null bounds are outside. (key, mapping) tells mappings apart.
+    """
+    a, b = F.col("source_start"), F.col("source_stop")
+    touched = mappings.select(key, "mapping", a.alias("a__"), b.alias("b__"), F.when(a == b, a - 1).otherwise(a).alias("start"), F.when(a == b, b + 1).otherwise(b).alias("stop"))
+    held = overlaps(touched, spans.select(key, "lo", "hi"), key).filter((F.col("lo") <= F.col("a__")) & (F.col("b__") <= F.col("hi"))).select(key, "mapping")
+    out = mappings.join(held, [key, "mapping"], "left_anti").select(key, "mapping", F.lit("outside").alias("defect"))
+    uneven = mappings.filter((F.col("kind") == "identity") & (F.col("stop") - F.col("start") != b - a)).select(key, "mapping", F.lit("length").alias("defect"))
+    return out.union(uneven)
+
+
 def merge_adjacent(fragments: DataFrame, key: str) -> DataFrame:
     """Fragments (key, span, start, stop, source_start, source_stop): neighbours of one span that touch in the source become one."""
     order = Window.partitionBy(key).orderBy("start")
