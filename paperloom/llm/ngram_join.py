@@ -262,6 +262,7 @@ def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 def _split_lists(lists: DataFrame) -> DataFrame:
     """key, node, n, most, bits, weight, label, top, others: the rows of lists of several labels, with the label of most members and the number of all others."""
+    lists = lists.drop("top", "others")
     counts = lists.groupBy("key", "label").agg(F.count("*").alias("c"))
     tops = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("s")).filter("s > m.c")
     return lists.join(tops.select("key", F.col("m.label").alias("top"), (F.col("s") - F.col("m.c")).alias("others")), "key")
@@ -364,7 +365,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
         lists = scratch.save(keys(placed, index, every=True))
         found = []
         for salt in range(DRAWS):
-            links = verified(scratch, hub_pairs(_split_lists(lists), percent, salt), nodes, docs, percent, width)
+            before, lists = lists, scratch.save(_split_lists(lists))  # labels only merge, so a list of one label is done
+            scratch.drop(before)
+            links = verified(scratch, hub_pairs(lists, percent, salt), nodes, docs, percent, width)
             if links.isEmpty():
                 break
             found.append(links)
