@@ -97,10 +97,12 @@ def unsafe_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", T.has_unsafe_unicode(F.concat("text", end)).alias("unsafe"))
 
 
-@query("""SELECT conv_id, turn, sha256(concat('event: ', role, chr(10), 'data: ', replace(text, chr(10), concat(chr(10), 'data: ')), chr(10), chr(10))) AS wire, len(string_split(text, chr(10))) AS lines FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL AND NOT contains(text, chr(13))""")
+@query("""WITH c AS (SELECT conv_id, turn, role, regexp_replace(text, '\\r\\n|\\r', chr(10), 'g') AS text FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL),
+w AS (SELECT conv_id, turn, text, concat('event: ', role, chr(10), 'data: ', replace(text, chr(10), concat(chr(10), 'data: ')), chr(10), chr(10)) AS wire FROM c)
+SELECT conv_id, turn, sha256(wire) AS wire, len(string_split(text, chr(10))) AS lines FROM w WHERE octet_length(encode(wire)) <= 262144""")
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages in wire form; read back, each gives one event with the lines it had."""
-    c = table(spark, sf_dir, "conversations").filter("text IS NOT NULL AND role IS NOT NULL").filter(~F.contains("text", F.lit("\r")))
+    """Messages in wire form; read back, each gives one event with the lines it had, whatever ended them. A message above the limit has no wire form."""
+    c = table(spark, sf_dir, "conversations").filter("text IS NOT NULL AND role IS NOT NULL")
     c = c.withColumn("wire", records.event_text(F.col("role"), F.col("text"))).withColumn("back", records.parse_events(F.col("wire")))
     return c.filter((F.size("back") >= 1)).select("conv_id", "turn", sha256(F.col("wire")).alias("wire"), F.size(F.split(F.col("back")[0]["data"], "\n")).cast("long").alias("lines"))
 
@@ -108,33 +110,33 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Geometry and arrays
 
 
-def _box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items as boxes: x from quantity, y from the line number; every ninth is turned around."""
+def _box(spark: SparkSession, sf_dir: str, turn: bool = False) -> DataFrame:
+    """Items as boxes: x from quantity, y from the line number; with turn, those of every ninth order are turned around."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), F.col("l_linenumber").cast("double").alias("n"))
-    turned = F.when(F.col("l_orderkey") % 9 == 0, -1.0).otherwise(1.0)
+    turned = F.when((F.col("l_orderkey") % 9 == 0) & F.lit(turn), -1.0).otherwise(1.0)
     return li.select("l_orderkey", "l_linenumber", G.box(F.col("q"), F.col("n"), F.col("q") + turned * 10, F.col("n") + 1).alias("box"))
 
 
 @query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 9 = 0 OR l_quantity + 10 > 55.01 OR l_linenumber + 1 > 7.01 OR l_orderkey % 50 = 7""")
 def outside_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes that are turned around, reach beyond their page, or have none (every fiftieth order)."""
-    b = _box(spark, sf_dir).withColumn("doc", F.col("l_orderkey")).withColumn("page_index", F.lit(0))
+    b = _box(spark, sf_dir, turn=True).withColumn("doc", F.col("l_orderkey")).withColumn("page_index", F.lit(0))
     pages = b.filter("l_orderkey % 50 != 7").select("doc", "page_index").distinct().withColumn("page_box", G.box(*[F.lit(x) for x in (0.0, 0.0, 55.0, 7.0)]))
     out = checks.outside_page(b.filter(G.valid_box(F.col("box"))), pages)
     return out.unionByName(b.filter(~G.valid_box(F.col("box")))).select("l_orderkey", "l_linenumber")
 
 
-@query("""SELECT l_orderkey, CAST(min(least(l_quantity, l_quantity + 10)) AS DOUBLE) AS x0, CAST(min(l_linenumber) AS DOUBLE) AS y0, CAST(max(l_quantity + 10) AS DOUBLE) AS x1, CAST(max(l_linenumber) + 1 AS DOUBLE) AS y1 FROM lineitem WHERE l_orderkey % 9 <> 0 GROUP BY l_orderkey""")
+@query("""SELECT l_orderkey, CAST(min(l_quantity) AS DOUBLE) AS x0, CAST(min(l_linenumber) AS DOUBLE) AS y0, CAST(max(l_quantity + 10) AS DOUBLE) AS x1, CAST(max(l_linenumber) + 1 AS DOUBLE) AS y1 FROM lineitem GROUP BY l_orderkey""")
 def union_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _box(spark, sf_dir).filter("l_orderkey % 9 != 0").groupBy("l_orderkey").agg(F.collect_list("box").alias("boxes"))
+    b = _box(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list("box").alias("boxes"))
     return b.select("l_orderkey", G.union_boxes(F.col("boxes")).alias("u")).select("l_orderkey", "u.*")
 
 
-@query("""SELECT l_orderkey, l_linenumber, CAST(100 - 2 * (l_linenumber + 1) AS DOUBLE) AS x0, CAST(3 * l_quantity AS DOUBLE) AS y0, CAST(100 - 2 * l_linenumber AS DOUBLE) AS x1, CAST(3 * (l_quantity + 10) AS DOUBLE) AS y1 FROM lineitem WHERE l_orderkey % 9 <> 0""")
+@query("""SELECT l_orderkey, l_linenumber, CAST(100 - 2 * (l_linenumber + 1) AS DOUBLE) AS x0, CAST(3 * l_quantity AS DOUBLE) AS y0, CAST(100 - 2 * l_linenumber AS DOUBLE) AS x1, CAST(3 * (l_quantity + 10) AS DOUBLE) AS y1 FROM lineitem""")
 def mapped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter turn, stretched and moved."""
     m = F.array(*[F.lit(float(x)) for x in (0, 3, -2, 0, 100, 0)])
-    b = _box(spark, sf_dir).filter("l_orderkey % 9 != 0")
+    b = _box(spark, sf_dir)
     return b.select("l_orderkey", "l_linenumber", G.mapped_box(F.col("box"), m).alias("u")).select("l_orderkey", "l_linenumber", "u.*")
 
 
@@ -204,17 +206,18 @@ def sequence_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.sequence_violations(c, "conv_id", "s", first=0)
 
 
-@query(f"""WITH d AS (SELECT doc_id, left(text, 40) AS raw FROM documents WHERE length(text) >= 40),
-m AS (SELECT doc_id, raw, k, CASE k WHEN 0 THEN 'identity' WHEN 1 THEN 'separator' WHEN 2 THEN 'whitespace' ELSE 'identity' END AS kind, CASE k WHEN 3 THEN 1 ELSE 0 END AS shift FROM d, (SELECT unnest(range(4)) AS k))
-SELECT doc_id, CAST(k AS INTEGER) AS k, CASE kind WHEN 'identity' THEN substr(raw, 11, 10) = substr(raw, 11 + shift, 10) WHEN 'separator' THEN false ELSE regexp_full_match(substr(raw, 11, 1), '{_SPACE}+') AND substr(raw, 11, 1) = ' ' END AS ok FROM m""")
+@query(f"""WITH m AS (SELECT doc_id, text AS raw, length(text) AS n, k FROM documents, (SELECT unnest(range(4)) AS k) WHERE text IS NOT NULL)
+SELECT doc_id, CAST(k AS INTEGER) AS k, CASE k WHEN 0 THEN n > 0 WHEN 1 THEN false WHEN 2 THEN regexp_full_match(substr(raw, n // 2 + 1, 1), '{_SPACE}+') AND substr(raw, n // 2 + 1, 1) = ' ' ELSE n > 1 AND left(raw, n - 1) = substr(raw, 2) END AS ok FROM m""")
 def mapping_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four mappings of each text onto itself: the same place, a separator that has a source, a character as white space, a place that is off by one."""
-    d = table(spark, sf_dir, "documents").filter(F.char_length("text") >= 40).select("doc_id", F.left("text", F.lit(40)).alias("raw"))
+    """Four mappings of each whole text onto itself: the same place, a separator that has a source, the middle character as white space, a place that is off by one."""
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.col("text").alias("raw"), F.char_length("text").alias("n"))
     m = d.withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
     kind = _choice(F.col("k"), "identity", "separator", "whitespace", "identity")
-    stop = F.when(F.col("k") == 2, 11).otherwise(20)
+    middle = F.floor(F.col("n") / 2).cast("int")
+    start = F.when(F.col("k") == 2, middle).otherwise(0)
+    stop = F.when(F.col("k") == 2, middle + 1).when(F.col("k") == 3, F.col("n") - 1).otherwise(F.col("n"))
     shift = F.when(F.col("k") == 3, 1).otherwise(0)
-    return m.select("doc_id", "k", provenance.mapping_valid(kind, F.lit(10), stop, 10 + shift, stop + shift, F.col("raw"), F.col("raw")).alias("ok"))
+    return m.select("doc_id", "k", provenance.mapping_valid(kind, start, stop, start + shift, stop + shift, F.col("raw"), F.col("raw")).alias("ok"))
 
 
 @query("""WITH c AS (SELECT DISTINCT doc_id, sha256(coalesce(text, '')) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
@@ -258,15 +261,14 @@ def packed_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.group_recall(g, h)
 
 
-@query(f"""WITH r AS (SELECT doc_id AS id, left({_plain_sql('text')}, 80) AS quote, CASE doc_id % 4 WHEN 0 THEN left({_plain_sql('text')}, 80) WHEN 1 THEN {_plain_sql('text')} WHEN 2 THEN 'other' END AS observed FROM documents WHERE text IS NOT NULL)
+@query(f"""WITH r AS (SELECT doc_id AS id, {_plain_sql('text')} AS quote, CASE doc_id % 4 WHEN 0 THEN {_plain_sql('text')} WHEN 1 THEN concat('[', {_plain_sql('text')}, ']') WHEN 2 THEN 'other' END AS observed FROM documents WHERE text IS NOT NULL)
 SELECT count(*) AS regions, count(*) FILTER (observed = quote) AS exact, CAST(sum(length(quote)) AS BIGINT) AS characters, CAST(sum(CASE WHEN contains(observed, quote) THEN length(quote) ELSE 0 END) AS BIGINT) AS covered FROM r""")
 def parser_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The beginnings of texts as regions; a quarter observed exactly, a quarter within a whole text, a quarter otherwise, a quarter not at all."""
-    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), T.collapse(F.col("text")).alias("plain"))
-    regions = d.select("id", F.left("plain", F.lit(80)).alias("quote"))
+    """Whole texts as regions; a quarter observed exactly, a quarter within a longer text, a quarter otherwise, a quarter not at all."""
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), T.collapse(F.col("text")).alias("quote"))
     k = F.col("id") % 4
-    seen = d.filter(k != 3).select("id", F.when(k == 0, F.left("plain", F.lit(80))).when(k == 1, F.col("plain")).otherwise("other").alias("text"))
-    return evaluate.coverage(regions, seen)
+    seen = d.filter(k != 3).select("id", F.when(k == 0, F.col("quote")).when(k == 1, F.concat(F.lit("["), "quote", F.lit("]"))).otherwise("other").alias("text"))
+    return evaluate.coverage(d, seen)
 
 
 @query("""SELECT o_orderkey AS citation FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)""")
@@ -341,10 +343,10 @@ def related_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.select_candidates(e, a).select("source", "position", "id")
 
 
-@query(f"""SELECT doc_id, CASE WHEN t <> '' THEN t || ' methods and results' ELSE 'methods and results' END AS query FROM (SELECT doc_id, left(coalesce(nullif({_plain_sql("CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(text, 2000) END")}, ''), {_plain_sql("coalesce(source, '') || ' ' || coalesce(lang, '')")}), 1000) AS t FROM documents)""")
+@query(f"""SELECT doc_id, CASE WHEN t <> '' THEN t || ' methods and results' ELSE 'methods and results' END AS query FROM (SELECT doc_id, left(coalesce(nullif({_plain_sql("CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END")}, ''), {_plain_sql("coalesce(source, '') || ' ' || coalesce(lang, '')")}), 1000) AS t FROM documents)""")
 def source_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles where there are any, else source and language as headings."""
-    title = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.left("text", F.lit(2000)))
+    title = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", R.source_query(title, F.array(F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))), "methods and results").alias("query"))
 
 
