@@ -123,7 +123,22 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.chunk_sections(docs).withColumnRenamed("doc", "doc_id")
 
 
-@query()
+_LIGATURES = "".join(T.LIGATURES)
+
+
+@query(rf"""WITH {LINES_SQL}, a AS (SELECT doc_id, CAST(n AS INTEGER) AS n, n // 40 AS page, n // 5 AS grp, line, 800 - 20 * (n % 40) AS y, length(line) < 60 AND NOT regexp_matches(line, '[.!?,]') AS heading FROM lines WHERE line <> ''),
+k AS (SELECT *, CASE WHEN y - 10 >= {800 * (1 - D.MARGIN)} THEN 'top' WHEN y <= {800 * D.MARGIN} THEN 'bottom' END AS band, regexp_replace(regexp_replace({_ligatures_sql('line')}, '{SPACE}+', ' ', 'g'), '^ | $', '', 'g') AS plain FROM a),
+m AS (SELECT *, CASE WHEN band IS NOT NULL THEN concat(band, ':', CASE WHEN regexp_full_match(plain, '[0-9]+') THEN '#' ELSE plain END) END AS mark FROM k),
+p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM a GROUP BY doc_id),
+r AS (SELECT doc_id, mark FROM m JOIN p USING (doc_id) WHERE mark IS NOT NULL GROUP BY doc_id, mark, pages HAVING count(DISTINCT page) >= greatest(3, ceil(pages * {D.RUNNING}))),
+e AS (SELECT m.*, r.mark IS NOT NULL AS excluded FROM m LEFT JOIN r ON r.doc_id = m.doc_id AND r.mark = m.mark),
+h AS (SELECT *, sum(CASE WHEN heading AND NOT excluded THEN 1 ELSE 0 END) OVER w AS section,
+coalesce(NOT excluded AND page = lead(page) OVER w AND grp = lead(grp) OVER w AND NOT lead(heading) OVER w AND NOT lead(excluded) OVER w AND regexp_matches(line, '\p{{L}}-$') AND regexp_matches(lead(line) OVER w, '^\p{{Ll}}'), false) AS dropped_hyphen
+FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+b AS (SELECT *, last_value(CASE WHEN NOT excluded THEN {{'page': page, 'grp': grp, 'dropped': dropped_hyphen}} END IGNORE NULLS) OVER (PARTITION BY doc_id, section ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+CASE WHEN dropped_hyphen THEN left(line, length(line) - 1) ELSE line END AS body FROM h)
+SELECT doc_id, n AS ordinal, CAST(section AS BIGINT) AS section, excluded, dropped_hyphen, CASE WHEN before IS NULL THEN '' WHEN before.page = page AND before.grp = grp THEN CASE WHEN before.dropped THEN '' ELSE ' ' END ELSE concat(chr(10), chr(10)) END AS separator,
+CAST(len(regexp_extract_all(body, '{SPACE}+|[{_LIGATURES}]|[^{SPACE[1:-1]}{_LIGATURES}]+')) + CASE WHEN dropped_hyphen THEN 1 ELSE 0 END AS INTEGER) AS n_mappings, sha256({_ligatures_sql(f"regexp_replace(body, '{SPACE}+', ' ', 'g')")}) AS text_sha256 FROM b""")
 def normalised_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents laid out on pages of 40 lines, normalised with mappings; the tests check the mappings."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("ordinal", "raw_text")).filter("raw_text != ''")

@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports every module of queries."""
-    from paperloom.plans import documents, reconcile, relational, retrieval, rules, state  # noqa: F401
+    from paperloom.plans import citations, documents, reconcile, relational, retrieval, rules, state  # noqa: F401
