@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from paperloom.streaming.leases import ORDER
+
 
 def hourly_counts(events: DataFrame, key: str, ts: str, late: str = "10 minutes") -> DataFrame:
     """key, hour, n: counts by fixed hours of event time; events later than the watermark are dropped."""
@@ -28,6 +30,8 @@ def leases(events: DataFrame, seconds: int = 90) -> DataFrame:
 
     State is one short tuple for each running job. A claim starts a new generation, a heartbeat in
     time extends the lease, and a lease without one is `expired` once the watermark passes its end.
+    Events of one instant are taken in the order of leases.ORDER. One row for each batch of a job; for a
+    row of each event, with generations and expiry by timer, see `leases.leases`.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,7 +43,7 @@ def leases(events: DataFrame, seconds: int = 90) -> DataFrame:
             return
         generation, expires, status = (*state.get, "running") if state.exists else (0, 0, "idle")
         for f in frames:
-            for kind, ts in sorted(zip(f.kind, f.ts, strict=True), key=lambda x: x[1]):
+            for kind, ts in sorted(zip(f.kind, f.ts, strict=True), key=lambda x: (x[1], ORDER.get(x[0], len(ORDER)))):
                 at = int(ts.value // 1_000_000)
                 if kind == "claim" and at >= expires:
                     generation, expires, status = generation + 1, at + seconds * 1000, "running"
