@@ -12,7 +12,7 @@ from paperloom.io import table
 from paperloom.operators import checks, evaluate, provenance, relational, state
 from paperloom.operators import retrieval as R
 from paperloom.plans.registry import query
-from paperloom.sources import records
+from paperloom.sources import record_rules, records
 
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 _SPACE = T.SPACE_CLASS
@@ -247,6 +247,33 @@ def closed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "k", (F.array_sort(F.json_object_keys("props")) == F.array(F.lit("k"))).alias("closed"))
 
 
+@query("""WITH i AS (SELECT l_orderkey, CAST(l_quantity AS DOUBLE) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem),
+f AS (SELECT l_orderkey, 'keys' AS rule, 2 * k - 1 AS number FROM i WHERE q = 17 UNION ALL SELECT l_orderkey, 'version', 2 * k FROM i WHERE q = 23 UNION ALL SELECT l_orderkey, 'geometry', 2 * k - 1 FROM i WHERE 10 + q > 55 AND q <> 17
+UNION ALL SELECT l_orderkey, 'order', 2 * k FROM i WHERE (CASE WHEN q = 31 THEN k ELSE k - 1 END) <> k - 1 UNION ALL SELECT l_orderkey, 'summary', 2 * count(*) + 1 FROM i GROUP BY l_orderkey HAVING least(count(*), 5) <> count(*))
+SELECT l_orderkey, rule, count(*) AS n, CAST(min(number) AS BIGINT) AS first FROM f GROUP BY l_orderkey, rule""")
+def record_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as record streams of one page, a block and a span for each item, as wide as its quantity: some are wider than the page, some have a key too many, another version or a number that is off; a summary counts to five at most."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    i = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("double").alias("q"), F.row_number().over(w).alias("k"))
+    q, k = F.col("q"), F.col("k")
+
+    def line(kind: str, **fields: Column) -> Column:
+        return F.to_json(F.struct(F.lit(kind).alias("kind"), *[c.alias(name) for name, c in fields.items()]))
+
+    def box(*edges: float | Column) -> Column:
+        return F.array(*[(e if isinstance(e, Column) else F.lit(e)).cast("double") for e in edges])
+
+    one, zero = F.lit(1), F.lit(0)
+    block = line("block", schema_version=one, page_index=zero, ordinal=k - 1, box=box(10, 10, q + 10, 20), block_type=F.lit("text"), font_size=F.lit(9.5), bold=F.lit(False), source_group=k - 1, more=F.when(q == 17, 1))
+    span = line("span", schema_version=F.when(q == 23, 2).otherwise(1), page_index=zero, ordinal=k - F.when(q == 31, 0).otherwise(1), block_ordinal=k - 1, raw_text=F.lit("ab"), character_boxes=F.array(box(10, 10, q / 2 + 10, 20), box(q / 2 + 10, 10, q + 10, 20)))
+    items = i.select("l_orderkey", F.inline(F.array(F.struct((2 * k - 1).cast("long").alias("number"), block.alias("line")), F.struct((2 * k).cast("long").alias("number"), span.alias("line")))))
+    g = i.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    page = line("page", schema_version=one, page_index=zero, media_box=box(0, 0, 55, 100), crop_box=box(0, 0, 55, 100), rotation=zero, width=F.lit(55), height=F.lit(100), transform=box(1, 0, 0, -1, 0, 100))
+    summary = line("summary", schema_version=one, page_count=one, block_count=F.least("n", F.lit(5)), span_count=F.col("n"), character_count=2 * F.col("n"))
+    ends = g.select("l_orderkey", F.inline(F.array(F.struct(F.lit(0).cast("long").alias("number"), page.alias("line")), F.struct((2 * F.col("n") + 1).alias("number"), summary.alias("line")))))
+    return record_rules.record_defects(items.unionByName(ends), "l_orderkey")
+
+
 # Campaign scoring
 
 
