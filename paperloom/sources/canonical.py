@@ -93,7 +93,8 @@ def write_batch(incoming: DataFrame, path: str, batch: str, key: str, *, first_w
 def replay_outcomes(existing: DataFrame, batches: DataFrame, key: str, batch: str, *order: str) -> DataFrame:
     """batch, offered, written, same, divergent (rows) of batches (batch, key, columns) offered after the rows of existing, first writer first: batches by their number, rows of one batch by order.
 
-    order names the columns of arrival within a batch, which tell its rows apart; a batch is never null, and rows without a key are left out.
+    order names the columns of arrival within a batch; of rows that it doesn't tell apart the one of the least content is first, and of equal
+    rows one. A batch is never null, and rows without a key are left out.
     A row is written if its key is new, `same` if its content is that of the key's first row, else divergent. One grouping
     finds the first row of each key, a join by key brings it to the others; no state goes from batch to batch.
     """
@@ -104,6 +105,8 @@ def replay_outcomes(existing: DataFrame, batches: DataFrame, key: str, batch: st
     new = batches.select(key, body.alias("b"), F.struct(F.col(batch).alias("batch"), *at).alias("at"))
     both = old.union(new)  # null is the least batch, so stored rows come first
     first = both.groupBy(key).agg(F.min(F.struct("at", "b")).alias("f"))
-    j = new.join(first, key)
-    own = F.col("at").eqNullSafe(F.col("f.at"))
-    return j.groupBy(F.col("at.batch").alias("batch")).agg(F.count("*").alias("offered"), F.count_if(own).alias("written"), F.count_if(~own & F.col("b").eqNullSafe(F.col("f.b"))).alias("same"), F.count_if(~own & ~F.col("b").eqNullSafe(F.col("f.b"))).alias("divergent"))
+    # rows of equal arrival and content are one with a count: only one of them can be the first
+    j = new.groupBy(key, "at", "b").agg(F.count("*").alias("n")).join(first, key)
+    own = (F.col("at").eqNullSafe(F.col("f.at")) & F.col("b").eqNullSafe(F.col("f.b"))).cast("long")
+    alike = F.col("b").eqNullSafe(F.col("f.b"))
+    return j.groupBy(F.col("at.batch").alias("batch")).agg(F.sum("n").alias("offered"), F.sum(own).alias("written"), F.sum(F.when(alike, F.col("n") - own).otherwise(0)).alias("same"), F.sum(F.when(alike, 0).otherwise(F.col("n"))).alias("divergent"))

@@ -144,3 +144,11 @@ def test_mapping_defects(spark):
     rows = [(1, 1, "identity", 0, 10, 0, 10), (1, 2, "identity", 0, 4, 8, 12), (1, 3, "identity", 0, 3, 12, 14), (1, 4, "deletion", 3, 3, 10, 10), (1, 5, "deletion", 3, 3, 25, 25), (2, 6, "identity", 0, 1, 0, 1), (1, 7, "ligature", 0, 2, 5, 6), (1, 8, "identity", 0, 1, None, None)]
     m = spark.createDataFrame(rows, "doc long, mapping long, kind string, start long, stop long, source_start long, source_stop long")
     assert {(r.mapping, r.defect) for r in provenance.mapping_defects(m, spans, "doc").collect()} == {(2, "outside"), (3, "length"), (5, "outside"), (6, "outside"), (8, "outside")}
+
+
+def test_replay_outcomes_of_rows_of_equal_arrival(spark):
+    stored = spark.createDataFrame([(9, "x")], "k long, a string")
+    rows = [(1, 5, 1, "b"), (1, 5, 1, "a"), (1, 5, 1, "a"), (2, 6, 1, "b"), (1, 6, 9, "x"), (1, 6, 9, "x")]
+    b = spark.createDataFrame(rows, "batch int, at int, k long, a string")
+    out = canonical.replay_outcomes(stored, b, "k", "batch", "at")
+    assert sorted(map(tuple, out.collect())) == [(1, 5, 1, 3, 1), (2, 1, 0, 0, 1)]
