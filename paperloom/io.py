@@ -32,3 +32,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _local[0], True)
         root = f"file://{_local[0]}"
     return f"{root.rstrip('/')}/paperloom/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a new shared folder and read back: what is used several times is made once. The folder stays until the run's are cleaned."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

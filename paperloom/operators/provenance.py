@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from paperloom.functions.text import LIGATURES, SPACE_CLASS, collapse
+from paperloom.io import saved
 from paperloom.operators.documents import spread
 
 #: Characters of quotes that are looked for in one reading of the texts (some 100 bytes each while they are); more quotes take more readings.
@@ -130,7 +131,7 @@ def resolve_ranges(mappings: DataFrame, requests: DataFrame, spans: DataFrame |
 
     Identity may be cut; any other kind only whole, else the request is unresolved. A deletion counts
     only strictly inside. Touching fragments of a span are one, in order. A fragment is (span, a, b), and with
-    spans (span, page_index, raw_text, boxes) also its page_index, quote and boxes, one for each character; a
+    spans (span, page_index, raw_text, boxes) also its page_index, quote and boxes, one for each character (none if spans have none); a
     span that isn't there leaves the request unresolved. Requests are a set: repeated ones are answered once.
     """
     key = ["chunk", "lo", "hi"]
@@ -148,10 +149,12 @@ def resolve_ranges(mappings: DataFrame, requests: DataFrame, spans: DataFrame |
     f = j.groupBy(*key, "at", "span").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max("bad").alias("bad"))
     part = ["span", "a", "b"]
     if spans is not None:
-        f = f.join(spans.select("span", "page_index", "raw_text", "boxes"), "span", "left")
+        boxed = ["boxes"] * ("boxes" in spans.columns)
+        f = f.join(spans.select("span", "page_index", "raw_text", *boxed), "span", "left")
         n = F.col("b") - F.col("a")
-        f = f.withColumn("quote", F.substr("raw_text", F.col("a") + 1, n)).withColumn("boxes", F.slice("boxes", F.col("a") + 1, n)).withColumn("bad", F.col("bad") | F.col("raw_text").isNull())
-        part += ["page_index", "quote", "boxes"]
+        f = f.withColumn("quote", F.substr("raw_text", F.col("a") + 1, n)).withColumn("bad", F.col("bad") | F.col("raw_text").isNull())
+        f = f.withColumn("boxes", F.slice("boxes", F.col("a") + 1, n)) if boxed else f
+        part += ["page_index", "quote", *boxed]
     parts = F.sort_array(F.collect_list(F.struct("at", F.struct(*part).alias("f"))))
     g = f.groupBy(*key).agg(F.max("bad").alias("bad"), F.transform(parts, lambda x: x["f"]).alias("fragments"))
     out = asked.join(g, key, "left")
@@ -259,13 +262,18 @@ def resolve_citations(proposals: DataFrame, chunks: DataFrame, mappings: DataFra
     """
     asked = proposals.join(chunks.select("chunk", "length"), "chunk", "left")
     whole = asked.filter("length > 0").select("chunk", F.lit(0).alias("lo"), F.col("length").cast("int").alias("hi")).distinct()
-    source = resolve_ranges(mappings, whole, spans).select("chunk", "fragments").withColumn("raw", F.array_join(F.transform("fragments", lambda f: f["quote"]), ""))
-    placed = asked.join(source, "chunk", "left").withColumn("p", unique_place("raw", "quote")).select("citation", "chunk", F.col("p.start").alias("lo"), F.col("p.stop").alias("hi"), "fragments")
-    f = placed.filter("lo IS NOT NULL").select("citation", "chunk", "lo", "hi", F.posexplode("fragments").alias("at", "f"))
-    ahead = F.coalesce(F.sum(F.char_length("f.quote")).over(Window.partitionBy("citation").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    f = f.withColumn("x", F.greatest(F.lit(0), F.col("lo") - ahead).cast("int")).withColumn("y", F.least(F.char_length("f.quote"), F.col("hi") - ahead).cast("int")).filter("x < y")
-    n = F.col("y") - F.col("x")
-    f = f.select("citation", "chunk", "at", "f.span", "f.page_index", (F.col("f.a") + F.col("x")).alias("a"), (F.col("f.a") + F.col("y")).alias("b"), F.substr("f.quote", F.col("x") + 1, n).alias("quote"), F.slice("f.boxes", F.col("x") + 1, n).alias("boxes"))
+    source = resolve_ranges(mappings, whole, spans.select("span", "page_index", "raw_text"))
+    light = F.transform("fragments", lambda f: F.struct(f["span"].alias("span"), f["page_index"].alias("page_index"), f["a"].alias("a"), F.char_length(f["quote"]).alias("n")))
+    source = source.select("chunk", light.alias("fragments"), F.array_join(F.transform("fragments", lambda f: f["quote"]), "").alias("raw"))
+    placed = asked.join(source, "chunk", "left").withColumn("p", unique_place("raw", "quote")).filter("p.start IS NOT NULL")
+    # of the chunk's text only what is cited goes on
+    lo, hi = F.col("p.start"), F.col("p.stop")
+    f = placed.select("citation", "chunk", lo.alias("lo"), hi.alias("hi"), F.substr("raw", lo + 1, hi - lo).alias("cited"), F.posexplode("fragments").alias("at", "f"))
+    ahead = F.coalesce(F.sum("f.n").over(Window.partitionBy("chunk", "citation").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    f = f.withColumn("ahead", ahead).withColumn("x", F.greatest(F.lit(0), F.col("lo") - F.col("ahead"))).withColumn("y", F.least(F.col("f.n"), F.col("hi") - F.col("ahead"))).filter("x < y")
+    quote = F.substr("cited", F.greatest(F.lit(0), F.col("ahead") - F.col("lo")) + 1, F.col("y") - F.col("x"))
+    f = f.select("citation", "chunk", "at", "f.span", "f.page_index", (F.col("f.a") + F.col("x")).alias("a"), (F.col("f.a") + F.col("y")).alias("b"), quote.alias("quote"))
+    f = saved(f, "citations")
     # every character comes from a mapping, and a mapping that isn't the identity is taken whole
     m = mappings.filter("span IS NOT NULL").select("chunk", "span", "source_start", "source_stop", "kind")
     met = f.join(m, ["chunk", "span"]).filter(F.greatest("a", "source_start") < F.least("b", "source_stop"))
@@ -274,6 +282,9 @@ def resolve_citations(proposals: DataFrame, chunks: DataFrame, mappings: DataFra
     f = f.join(held, ["citation", "at"], "left").withColumn("good", F.coalesce((F.col("held") == F.col("b") - F.col("a")) & ~F.col("cut"), F.lit(False)))
     order = Window.partitionBy("citation").orderBy("at")
     f = f.withColumn("new", F.when(F.lag("page_index").over(order).eqNullSafe(F.col("page_index")), 0).otherwise(1)).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # boxes are many times their text: only cited spans bring theirs, and those of a citation are brought together once
+    boxes = spans.select("span", "boxes").join(f.select("span").distinct(), "span", "left_semi")
+    f = f.join(boxes, "span").withColumn("boxes", F.slice("boxes", F.col("a") + 1, F.col("b") - F.col("a"))).repartition("citation")
     rows = F.sort_array(F.collect_list(F.struct("at", "span", "a", "b", "quote", "boxes")))
     g = f.groupBy("citation", "part").agg((F.first("page_index") + 1).alias("page"), F.every("good").alias("good"), rows.alias("rows"))
     g = g.select("citation", "part", "page", "good", F.array_join(F.transform("rows", lambda x: x["quote"]), "").alias("quote"), F.flatten(F.transform("rows", lambda x: x["boxes"])).alias("boxes"), F.transform("rows", lambda x: F.struct(x["span"].alias("span"), x["a"].alias("a"), x["b"].alias("b"))).alias("fragments"))

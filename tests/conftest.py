@@ -18,3 +18,17 @@ def spark():
 @pytest.fixture(scope="session")
 def data():
     return DATA
+
+
+@pytest.fixture
+def shuffled(spark):
+    """shuffled(): bytes that shuffles have written since the test began."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    return lambda: total() - before

@@ -3,7 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.io import table
 from paperloom.operators import documents, provenance
+from paperloom.plans import registry
+
+registry.load()
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 
@@ -103,3 +107,9 @@ def test_normalised_lines_keep_their_document(spark):
     rows = [(d, p, 2 * p + i, "text", p, (50.0, 790.0 - 400 * i, 550.0, 799.0 - 400 * i), page, "Head" if i == 0 and d == "x" else f"{d}{p}{i}") for d in "xy" for p in range(3) for i in range(2)]
     got = documents.normalize_lines(spark.createDataFrame(rows, f"doc string, page_index int, ordinal int, block_type string, source_group int, box {BOX}, page_box {BOX}, raw_text string")).collect()
     assert sorted((r.doc, r.raw_text, r.excluded) for r in got) == sorted((r[0], r[7], r[7] == "Head") for r in rows)
+
+
+def test_citations_bring_the_boxes_of_cited_spans_only(spark, data, shuffled):
+    chars = table(spark, data, "documents").agg(F.sum(F.char_length("text")).alias("n")).first().n
+    registry.QUERIES["resolved_citations"](spark, data).collect()
+    assert shuffled() < 15 * chars
