@@ -39,9 +39,13 @@ def append_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 
 
 def set_difference(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:
-    """key, side: missing from observed, or unexpected in it."""
-    e, o = expected.select(key).distinct(), observed.select(key).distinct()
-    return e.join(o, key, "left_anti").withColumn("side", F.lit("missing")).union(o.join(e, key, "left_anti").withColumn("side", F.lit("unexpected")))
+    """key, side: missing from observed, or unexpected in it. One grouping over both tables, with two flags for each key."""
+    both = expected.select(key, F.lit(True).alias("e__")).union(observed.select(key, F.lit(False)))
+    g = both.groupBy(key).agg(F.max("e__").alias("in_e"), F.min("e__").alias("not_o"))
+    # a null key equals none, so it lacks on both sides
+    alone = F.col(key).isNull()
+    sides = F.array(F.when(F.col("in_e") & (F.col("not_o") | alone), F.lit("missing")), F.when(~F.col("not_o") & (~F.col("in_e") | alone), F.lit("unexpected")))
+    return g.select(key, F.explode(F.array_compact(sides)).alias("side"))
 
 
 def shared_elements(table: DataFrame, scope: str, array: str) -> DataFrame:

@@ -610,3 +610,10 @@ def test_readiness_gate_whole(spark, data):
     got = registry.QUERIES["readiness_gate"](spark, data).collect()
     assert sorted(r.doc for r in got) == sorted(i for (i,) in rows_of(data, "SELECT c_custkey FROM customer"))
     assert len({r.status for r in got}) > 2
+
+
+def test_set_difference_in_one_grouping(spark):
+    e, o = (spark.createDataFrame([(k,) for k in ks], "k int") for ks in ([1, 1, 2, None], [2, 3, 3, None]))
+    d = checks.set_difference(e, o, "k")
+    assert sorted(map(tuple, d.collect()), key=repr) == [(1, "missing"), (3, "unexpected"), (None, "missing"), (None, "unexpected")]
+    assert "Join" not in d._jdf.queryExecution().optimizedPlan().toString()
