@@ -635,3 +635,19 @@ def test_pages_over_the_ends_of_batches_are_ordered_by_several_tasks(spark):
     assert len(pages) == 21 and sum(map(len, pages.values())) == 500 and tasks > 1
     for (doc, page), p in pages.items():
         assert [s for _, s in sorted(p)] == sorted((s for s in range(500) if (s % 3 or None, s % 7) == (doc, page)), reverse=True)
+
+
+def test_index_is_built_with_one_shuffle_of_its_postings(spark, data, shuffled, tmp_path):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    chars = docs.agg(F.sum(F.char_length("text")).alias("n")).first().n
+    indexing.build_index(docs, f"file://{tmp_path}/index", scope="source")
+    assert shuffled() < 9 * chars
+
+
+def test_the_bound_of_a_search_is_a_full_score(spark, indexed):
+    _, index = indexed
+    questions = spark.createDataFrame([(0, "w0 w1 w2 w3 w25"), (1, "w0 w29")], "question int, text string")
+    bounds = {r.question: r.bound for r in indexing._bounds(index, indexing.question_terms(index, questions), 3).collect()}
+    third = {r.question: r.score for r in indexing.search(index, questions, 3).collect() if r["rank"] == 3}
+    assert bounds.keys() == third.keys() == {0, 1}
+    assert all(0.7 * third[q] <= bounds[q] <= third[q] + 1e-5 for q in third)
