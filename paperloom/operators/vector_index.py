@@ -15,15 +15,19 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom.io import saved
 from paperloom.operators.retrieval import dot, scored_vectors, valid_vectors
 
 MOST_CENTERS = 1024
 #: Cells nearest to a query that give the first bound.
 PROBES = 3
+#: Queries of one cell that are multiplied at once, about.
+QUERIES = 4096
 MARGIN = 1e-6
 LOG = "vec_id long, scope string, embedding array<float>, batch long, removed boolean, distance double, norm2 double, cell int"
 
@@ -120,17 +124,47 @@ def _reaches(queries: DataFrame, centers: np.ndarray) -> DataFrame:
     return queries.select("query_id", F.col("q").cast("array<float>").alias("q")).filter(F.size("q") == centers.shape[1]).mapInArrow(run, f"query_id {kind}, q array<float>, cell int, away double")
 
 
-def cells_to_read(rows: DataFrame, queries: DataFrame, centers: np.ndarray, k: int) -> DataFrame:
-    """query_id, q, cell, read: every cell that isn't empty for every query (query_id, q), and whether it may hold one of the k best."""
+def _best_of_cells(rows: DataFrame, asked: DataFrame, k: int, parts: int) -> DataFrame:
+    """query_id, vec_id, score: of each cell asked for (query_id, q, cell, kth) the vectors that may be among the k best of it and reach kth, if there is one.
+
+    Products of a cell's vectors and queries are one of matrices; what comes near gets the exact score.
+    """
+
+    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(vectors) and len(queries):
+            v = np.stack(vectors.embedding.to_numpy()).astype(float)
+            for at in range(0, len(queries), 256):
+                some = queries.iloc[at : at + 256]
+                q = np.stack(some.q.to_numpy()).astype(float)
+                score = q @ v.T
+                low = np.nan_to_num(some.kth.to_numpy(dtype=float, na_value=np.nan), nan=-np.inf)
+                if len(v) > k:
+                    low = np.fmax(low, np.partition(score, len(v) - k, axis=1)[:, len(v) - k])
+                i, j = np.nonzero(score >= (low - MARGIN * np.maximum(1, np.linalg.norm(q, axis=1)))[:, None])
+                found.append(pd.DataFrame({"query_id": some.query_id.to_numpy()[i], "q": some.q.to_numpy()[i], "vec_id": vectors.vec_id.to_numpy()[j], "embedding": vectors.embedding.to_numpy()[j]}))
+        found = [f for f in found if len(f)]
+        return pd.concat(found) if found else pd.DataFrame({c: pd.Series([], dtype=object) for c in ("query_id", "q", "vec_id", "embedding")})
+
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = rows.select("cell", "vec_id", "embedding", part.alias("part")).groupBy("cell", "part")
+    right = asked.select("cell", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), "query_id", "q", F.col("kth").cast("double").alias("kth")).groupBy("cell", "part")
+    kind = asked.schema["query_id"].dataType.simpleString()
+    near = left.cogroup(right).applyInPandas(run, f"query_id {kind}, q array<float>, vec_id long, embedding array<float>")
+    return scored_vectors(near, "query_id")
+
+
+def cells_to_read(rows: DataFrame, queries: DataFrame, centers: np.ndarray, k: int, parts: int = 1) -> DataFrame:
+    """query_id, q, cell, kth, read: every cell that isn't empty for every query (query_id, q), and whether it may hold one of the k best."""
     reach = _reaches(queries, centers).join(F.broadcast(cell_bounds(rows)), "cell")  # MOST_CENTERS rows at most
     near = F.row_number().over(Window.partitionBy("query_id").orderBy("away", "cell"))
-    probes = reach.withColumn("near", near).filter(F.col("near") <= PROBES).select("query_id", "q", "cell")
-    scored = scored_vectors(rows.join(probes, "cell"), "query_id")
+    probes = reach.withColumn("near", near).filter(F.col("near") <= PROBES).select("query_id", "q", "cell", F.lit(None).cast("double").alias("kth"))
+    scored = _best_of_cells(rows, probes, k, parts)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     kth = scored.withColumn("place", place).filter(F.col("place") == k).select("query_id", F.col("score").alias("kth"))
     apart: Column = F.greatest(F.lit(0.0), F.col("away") - F.col("radius") - MARGIN)
     best = (dot(F.col("q"), F.col("q")) + F.col("most") - apart * apart) / 2
-    return reach.join(kth, "query_id", "left").select("query_id", "q", "cell", (F.col("kth").isNull() | (best >= F.col("kth") - MARGIN)).alias("read"))
+    return reach.join(kth, "query_id", "left").select("query_id", "q", "cell", "kth", (F.col("kth").isNull() | (best >= F.col("kth") - MARGIN)).alias("read"))
 
 
 def search(spark: SparkSession, index: VectorIndex, queries: DataFrame, k: int) -> DataFrame:
@@ -138,10 +172,11 @@ def search(spark: SparkSession, index: VectorIndex, queries: DataFrame, k: int)
 
     A query without a vector of the index's dimension has no rows; vectors that aren't valid are never in the index.
     """
-    rows = current(spark, index)
-    cells = cells_to_read(rows, queries, index.centers, k)
+    rows = saved(current(spark, index), "current")
+    parts = -(-queries.count() // QUERIES) or 1
+    cells = saved(cells_to_read(rows, queries, index.centers, k, parts), "cells")
     counts = cells.groupBy("query_id").agg(F.count_if("read").alias("cells_read"), F.count("*").alias("cells"))
-    scored = scored_vectors(rows.join(cells.filter("read"), "cell"), "query_id")
+    scored = _best_of_cells(rows, cells.filter("read"), k, parts)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     top = scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id")
     return top.join(counts, "query_id")

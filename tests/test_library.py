@@ -651,3 +651,10 @@ def test_the_bound_of_a_search_is_a_full_score(spark, indexed):
     third = {r.question: r.score for r in indexing.search(index, questions, 3).collect() if r["rank"] == 3}
     assert bounds.keys() == third.keys() == {0, 1}
     assert all(0.7 * third[q] <= bounds[q] <= third[q] + 1e-5 for q in third)
+
+
+def test_cells_are_scored_at_once(spark):
+    rows = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, [0.0, 1.0]), (1, 3, [0.6, 0.8])], "cell int, vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0], 0, None), (7, [1.0, 0.0], 1, 0.9), (8, [0.0, 1.0], 1, 0.5)], "query_id int, q array<float>, cell int, kth double")
+    got = sorted((r.query_id, r.vec_id, round(r.score, 6)) for r in vector_index._best_of_cells(rows, asked, 1, 2).collect())
+    assert got == [(7, 1, 1.0), (8, 3, 0.8)]
