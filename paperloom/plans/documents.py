@@ -120,7 +120,7 @@ def ligature_whitespace_normalise(spark: SparkSession, sf_dir: str) -> DataFrame
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one section; no SQL twin, the tests rebuild the texts from the chunks."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("section"), "text", F.array().cast("array<struct<a:int,b:int>>").alias("atoms"))
-    return D.chunk_sections(docs).withColumnRenamed("doc", "doc_id")
+    return D.chunk_sections(D.spread(docs)).withColumnRenamed("doc", "doc_id")
 
 
 _LIGATURES = "".join(T.LIGATURES)

@@ -113,3 +113,8 @@ def test_citations_bring_the_boxes_of_cited_spans_only(spark, data, shuffled):
     chars = table(spark, data, "documents").agg(F.sum(F.char_length("text")).alias("n")).first().n
     registry.QUERIES["resolved_citations"](spark, data).collect()
     assert shuffled() < 15 * chars
+
+
+def test_chunking_does_not_execute_its_input_beforehand(spark, data, shuffled):
+    registry.QUERIES["chunk_mappings"](spark, data)
+    assert shuffled() == 0
