@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -273,20 +273,36 @@ def _entries(wide: DataFrame, percent: int) -> DataFrame:
     return e.select("m.v", "node", "label", "n", "size", place.alias("place"), (place < F.col("as_small")).alias("small"))
 
 
-def crosswise(wide: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of nodes of different labels that may be links, of rows (node, label, n, items); none that is one is left out (larger than WIDE: but for DOUBT)."""
-    e = _entries(wide, percent)
-    overlap, n, place = least_common(percent, WIDE), F.col("n"), F.col("place")
+def _met(e: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Entries as the smaller (.._a) and the larger (.._b) of pairs: those that may be links share v, band, side and above.
+
+    The label with the most entries under a value is its main one: its entries meet only those of other labels. So
+    a large component costs rows in proportion, not with the square of its size. Entries of at least the main label's
+    mean size (`above`) meet only those whose place leaves room for a smaller partner of that size.
+    """
+    n, place = F.col("n"), F.col("place")
     band = lambda x: F.floor(F.log(x) / BAND).cast("int")
     room = F.when(n <= WIDE, F.floor((n - place) * (100 + percent) / percent) - n).otherwise(0)  # what is left must do for the largest partner
-    most = F.least(F.greatest(room, F.when(100 * n > percent * WIDE, F.lit(2**62)).otherwise(0)), F.floor(100 * n / percent))
+    room = F.greatest(room, F.when(100 * n > percent * WIDE, F.lit(2**62)).otherwise(0))
+    main = e.groupBy("v", "label").agg(F.count("*").alias("f"), F.ceil(F.avg("n")).alias("mean"))
+    main = main.groupBy("v").agg(F.max_by(F.struct("label", "mean"), F.struct("f", "label")).alias("main")).select("v", F.col("main.label").alias("main"), "main.mean")
+    e = e.withColumn("room", room).join(main, "v").withColumn("side", (F.col("label") != F.col("main")).cast("int"))
     cols = ["node", "label", "n", "size", "place"]
-    x = e.filter("small").withColumn("most", most).filter("most >= n").select("v", F.explode(F.sequence(band(n), band(F.col("most")))).alias("band"), *[F.col(c).alias(f"{c}_a") for c in cols])
-    y = e.select("v", band(n).alias("band"), *[F.col(c).alias(f"{c}_b") for c in cols])
+    x = e.filter("small").withColumn("most", F.least("room", F.floor(100 * n / percent))).filter("most >= n").withColumn("above", (n >= F.col("mean")).cast("int"))
+    x = x.withColumn("side", F.explode(F.when(F.col("side") == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    x = x.select("v", "side", "above", F.explode(F.sequence(band(n), band(F.col("most")))).alias("band"), *[F.col(c).alias(f"{c}_a") for c in cols])
+    y = e.withColumn("above", F.explode(F.when(F.least("room", "n") >= F.col("mean"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return x, y.select("v", "side", "above", band(n).alias("band"), *[F.col(c).alias(f"{c}_b") for c in cols])
+
+
+def crosswise(wide: DataFrame, percent: int, save: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """a, b: pairs of nodes of different labels that may be links, of rows (node, label, n, items); none that is one is left out (larger than WIDE: but for DOUBT)."""
+    x, y = _met(save(_entries(wide, percent)), percent)
+    overlap = least_common(percent, WIDE)
     left = lambda c: F.least(F.col(f"{c}_a") - F.col("place_a"), F.col(f"{c}_b") - F.col("place_b"))
     enough = F.when((F.col("n_a") <= WIDE) & (F.col("n_b") <= WIDE), (100 + percent) * left("n") >= percent * (F.col("n_a") + F.col("n_b"))).otherwise(left("size") >= overlap)
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
-    j = x.join(y, ["v", "band"]).filter((F.col("label_a") != F.col("label_b")) & smaller & (100 * F.col("n_a") >= percent * F.col("n_b")) & enough)
+    j = x.join(y, ["v", "band", "side", "above"]).filter((F.col("label_a") != F.col("label_b")) & smaller & (100 * F.col("n_a") >= percent * F.col("n_b")) & enough)
     return _ordered(j.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
 
@@ -354,7 +370,7 @@ def _verdicts(docs: DataFrame, percent: int, width: int) -> DataFrame:
         left = scratch.save(apart.select("node", "label").distinct())
         items = _of_nodes(scratch, wide_sketches, left.select("node"), nodes, docs, width).select("node", "items")
         wide = scratch.save(items.join(left, "node").join(nodes.select("node", "n"), "node"))
-        labels = _joined(scratch, labels, verified(scratch, crosswise(wide, percent), nodes, docs, percent, width))
+        labels = _joined(scratch, labels, verified(scratch, crosswise(wide, percent, scratch.save), nodes, docs, percent, width))
     found = nodes.select("print", "n", "node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     known = found.join(least, "label").select("print", "n", "component_id", "label")

@@ -220,6 +220,20 @@ def test_crosswise(spark, percent, width):
     assert neardup.crosswise(same, percent).count() == 0
 
 
+@pytest.mark.parametrize("size", [40, 80])
+def test_a_large_component_does_not_meet_itself(spark, size):
+    """Entries of one label meet those of the few others only: rows in proportion to the component, not with its square."""
+    items = list(range(100))
+    rows = [(i, 0, 100, items) for i in range(size)] + [(size + i, size + i, 100, items) for i in range(3)]
+    wide = spark.createDataFrame(rows, "node long, label long, n long, items array<long>")
+    x, y = neardup._met(neardup._entries(wide, 85), 85)
+    met = x.join(y, [c for c in x.columns if c in y.columns])
+    per_value = met.groupBy("v").count().agg({"count": "max"}).first()[0]
+    assert per_value <= 2 * 3 * size + 3 * 3
+    pairs = {tuple(r) for r in neardup.crosswise(wide, 85).collect()}
+    assert pairs == {(a, b) for b in range(size, size + 3) for a in range(b)}
+
+
 @SETTINGS
 def test_neardup_chain_and_crowd(spark, percent, width):
     """A chain of small edits, many copies of one text each edited in its own way, and texts that share a passage."""
