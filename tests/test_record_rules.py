@@ -86,3 +86,14 @@ def test_counts(found):
 def test_nothing(spark):
     assert record_defects(spark.createDataFrame([], "doc string, number int, line string")).collect() == []
     assert set(KEYS) == {"page", "block", "span", "summary"}
+
+
+def test_the_query_looks_at_lines_in_all_tasks(spark, data):
+    """Lines are many times as large as the rows they are made of: tasks that adaptive execution leaves for the rows are too few."""
+    from paperloom.plans import rules
+
+    out = rules.record_defects(spark, data)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    made = [x for x in plan.split("Generate inline")[1:] if "Exchange" in x]
+    assert made and all(x[x.index("Exchange") :].partition("\n")[0].count("REPARTITION_BY_NUM") for x in made)
