@@ -300,16 +300,31 @@ def spans_on_pages(spans: DataFrame, blocks: DataFrame, pages: DataFrame) -> Dat
     return spans.join(b, ["doc", "block"]).join(pages.select("doc", "page", "page_index", "page_box"), ["doc", "page"]).select("doc", "span", "raw_text", "boxes", "page_index", "block_box", "page_box")
 
 
+#: So many rows at most, on average, are sorted or grouped by one task.
+TASK_ROWS = 500_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks for a shuffle of rows: one for each core, more if they would get more than TASK_ROWS. Counts the rows, which files know."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+
 def stored_citations(citations: DataFrame, runs: DataFrame, ideas: DataFrame, sources: DataFrame, pages: DataFrame, publications: DataFrame) -> DataFrame:
     """The citations whose whole origin holds: a completed run, an idea and a source of that run, the very page, and a publication under the source's profile.
 
     citations (owner, citation, run, idea, doc, page_id, page), runs (owner, run, state), ideas (owner, run, idea), sources (owner, run, doc,
-    profile), pages (owner, doc, page_id, page_index), publications (owner, doc, profile). Equi-joins that Catalyst orders.
+    profile), pages (owner, doc, page_id, page_index), publications (owner, doc, profile). Each join is dealt to as many tasks as the
+    citations need (`tasks_for`), the other side follows; so what a task holds doesn't grow with the tables.
     """
+    tasks = tasks_for(citations)
+    held = lambda j, other, *keys: j.repartition(tasks, *keys).join(other, [*keys])
     done = runs.filter("state = 'completed'").select("owner", "run")
     at = pages.select("owner", "doc", "page_id", (F.col("page_index") + 1).alias("page"))
-    j = citations.join(done, ["owner", "run"]).join(ideas.select("owner", "run", "idea"), ["owner", "run", "idea"]).join(sources.select("owner", "run", "doc", "profile"), ["owner", "run", "doc"])
-    return j.join(at, ["owner", "doc", "page_id", "page"]).join(publications.select("owner", "doc", "profile"), ["owner", "doc", "profile"]).select(*citations.columns, "profile")
+    j = held(citations, done, "owner", "run")
+    j = held(j, ideas.select("owner", "run", "idea"), "owner", "run", "idea")
+    j = held(j, sources.select("owner", "run", "doc", "profile"), "owner", "run", "doc")
+    j = held(j, at, "owner", "doc", "page_id", "page")
+    return held(j, publications.select("owner", "doc", "profile"), "owner", "doc", "profile").select(*citations.columns, "profile")
 
 
 def citations_by_page(fragments: DataFrame, limit: int = 2000) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.functions.identity import sha256
-from paperloom.io import table
+from paperloom.io import saved, table
 from paperloom.operators import documents as D
 from paperloom.operators import provenance
 from paperloom.plans.documents import LINES_SQL, _lines
@@ -144,13 +144,15 @@ JOIN publications p ON p.owner = i.owner AND p.l_suppkey = i.l_suppkey AND p.pro
 def stored_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items as citations of suppliers' pages in an order's run: some ideas, sources and publications are missing, the fifth page is another than the one cited."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("run"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("state"))
-    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("idea"), F.col("l_suppkey").cast("long").alias("doc")).join(o, "run")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("idea"), F.col("l_suppkey").cast("long").alias("doc"))
+    i = saved(items.repartition(tasks := provenance.tasks_for(items), "run").join(o.select("owner", "run"), "run"), "items")
     page_id = F.concat_ws("/", F.col("doc").cast("string"), F.col("page").cast("string"))
     citations = i.select("owner", F.col("page").alias("citation"), "run", "idea", "doc", page_id.alias("page_id"), "page")
-    ideas = i.filter("idea % 7 != 0").select("owner", "run", "idea").distinct()
-    sources = i.filter("doc % 11 != 0").select("owner", "run", "doc", (F.col("doc") % 3).alias("profile")).distinct()
-    pages = i.select("owner", "doc", page_id.alias("page_id"), (F.col("page") - F.when(F.col("page") == 5, 0).otherwise(1)).alias("page_index")).distinct()
-    publications = i.select("owner", "doc", F.when(F.col("doc") % 13 == 0, 9).otherwise(F.col("doc") % 3).alias("profile")).distinct()
+    distinct = lambda rows, *keys: rows.repartition(tasks, *keys).distinct()
+    ideas = distinct(i.filter("idea % 7 != 0").select("owner", "run", "idea"), "owner", "run", "idea")
+    sources = distinct(i.filter("doc % 11 != 0").select("owner", "run", "doc", (F.col("doc") % 3).alias("profile")), "owner", "run", "doc")
+    pages = distinct(i.select("owner", "doc", page_id.alias("page_id"), (F.col("page") - F.when(F.col("page") == 5, 0).otherwise(1)).alias("page_index")), "owner", "doc", "page_id")
+    publications = distinct(i.select("owner", "doc", F.when(F.col("doc") % 13 == 0, 9).otherwise(F.col("doc") % 3).alias("profile")), "owner", "doc", "profile")
     out = provenance.stored_citations(citations, o.select("owner", "run", "state"), ideas, sources, pages, publications)
     return out.select("owner", "run", "citation", "profile")
 

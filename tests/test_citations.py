@@ -118,3 +118,15 @@ def test_citations_bring_the_boxes_of_cited_spans_only(spark, data, shuffled):
 def test_chunking_does_not_execute_its_input_beforehand(spark, data, shuffled):
     registry.QUERIES["chunk_mappings"](spark, data)
     assert shuffled() == 0
+
+
+def test_stored_citations_by_rows(spark, monkeypatch):
+    """More citations take more tasks, so that none sorts a share that grows with the table."""
+    monkeypatch.setattr(provenance, "TASK_ROWS", 100)
+    n = spark.range(3000)
+    citations = n.selectExpr("id % 7 owner", "id citation", "id % 500 run", "id % 11 idea", "id % 13 doc", "concat('p', id % 13) page_id", "1L page")
+    runs = citations.selectExpr("owner", "run", "'completed' state").distinct()
+    pages = citations.selectExpr("owner", "doc", "page_id", "0L page_index").distinct()
+    published = citations.selectExpr("owner", "doc", "doc % 2 profile").distinct()
+    out = provenance.stored_citations(citations, runs, citations.select("owner", "run", "idea").distinct(), citations.selectExpr("owner", "run", "doc", "doc % 2 profile").distinct(), pages, published)
+    assert out.rdd.getNumPartitions() >= 30 and out.count() == out.distinct().count() == 3000
