@@ -21,7 +21,10 @@ its sketch. Equal sets are one node from the start. Then:
    one's share one whose places leave room for the overlap that is needed. So texts that share a
    passage don't meet on the passage, however many they are, but on what is rare among them. For sets
    of up to WIDE values nothing is lost; larger ones are represented by their WIDE least values, and
-   fail with a chance of at most DOUBT. What meets is verified as in 2.
+   fail with a chance of at most DOUBT. Sets meet in blocks, by array operations: a bitmap of each, in which
+   every value flips a bit, shows most pairs to differ in too many values, and a pair is a candidate under the
+   first of its common values only. Candidates are verified as in 2. Copies of one text that are all
+   just short of a link are still compared with each other; that is a few words a pair, and no row of it.
 
 Nothing is capped: lists of any length are treated alike, and links within a component need no
 others. Full sets are made again from the text for the nodes of candidates only.
@@ -50,6 +53,8 @@ MISS, DOUBT = 2e-8, 1e-6
 BLOCK = 400
 #: Sets meet within bands of their size's logarithm.
 BAND = 0.05
+#: Bits of the map of a set's values. Entries of a value that are compared with SMALL others at most, and pairs at a time.
+BITS, LARGE, SMALL, PAIRS = 1024, 2048, 16384, 1 << 15
 #: So many ids at most (some 40 bytes each) are sent to the texts; beyond, texts and ids are joined by a shuffle.
 FEW_IDS = 100_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -294,11 +299,12 @@ def medoids(dealt: DataFrame) -> DataFrame:
 
 
 def _entries(wide: DataFrame, percent: int) -> DataFrame:
-    """v, node, label, n, size, place, small: rows (node, label, n, items) under their first values, from rare to frequent.
+    """v, node, label, n, size, place, small: rows (node, label, n, items) under their first values, from rare to frequent; with bits if wide has them, and the values before.
 
     Values that nodes of one label alone have come before all others and need no entry. `small`: the
     place is early enough for the smaller set of a pair.
     """
+    bits = ["bits"] if "bits" in wide.columns else []
     values = wide.select("node", "label", F.explode("items").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("v", "f")
     met = values.join(often, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("met"))  # at most WIDE values
@@ -306,45 +312,114 @@ def _entries(wide: DataFrame, percent: int) -> DataFrame:
     # a set of n values that has to share a * n / b of them shares one of the first ones
     first = lambda a, b: F.when(n <= WIDE, n - F.floor((a * n + (b - 1)) / b) + 1).otherwise(0)
     sampled = F.when(100 * n > percent * WIDE, size - (least_common(percent, WIDE) - 1)).otherwise(0)  # for pairs with a set larger than WIDE
-    e = wide.select("node", "label", "n", F.size("items").alias("size")).join(met, "node").withColumn("free", size - F.size("met"))
+    e = wide.select("node", "label", "n", F.size("items").alias("size"), *bits).join(met, "node").withColumn("free", size - F.size("met"))
     e = e.withColumn("as_small", F.greatest(first(2 * percent, 100 + percent), sampled)).withColumn("as_large", F.greatest(first(percent, 100), sampled))
     part = F.slice("met", F.lit(1), F.greatest(F.lit(0), F.col("as_large") - F.col("free")).cast("int"))
-    e = e.select("node", "label", "n", "size", "free", "as_small", F.posexplode(part).alias("at", "m"))
+    e = e.select("node", "label", "n", "size", "free", "as_small", *bits, part["v"].alias("part")).select("*", F.posexplode("part").alias("at", "v"))
     place = F.col("free") + F.col("at")
-    return e.select("m.v", "node", "label", "n", "size", place.alias("place"), (place < F.col("as_small")).alias("small"))
+    before = [F.slice("part", F.lit(1), F.col("at")).alias("before")] if bits else []
+    return e.select("v", "node", "label", "n", "size", place.alias("place"), (place < F.col("as_small")).alias("small"), *bits, *before)
+
+
+def _bitmaps(wide: DataFrame) -> DataFrame:
+    """wide with bits: a map of BITS bits in which each value flips the one that its hash names. Bits that differ are values that only one of two sets has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                items = b.column(3)
+                row = np.repeat(np.arange(b.num_rows), items.value_lengths().to_numpy())
+                bit = (_mix(items.flatten().to_numpy().view(np.uint64) * _C1) & np.uint64(BITS - 1)).astype(np.int64)
+                odd = np.bincount(row * BITS + bit, minlength=b.num_rows * BITS) & 1
+                words = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns, _lists(list(words.reshape(b.num_rows, -1)))], names=["node", "label", "n", "items", "bits"])
+
+    return map_batches(wide.select("node", "label", "n", "items"), run, "node long, label long, n long, items array<long>, bits array<long>")
 
 
 def _met(e: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Entries as the smaller (.._a) and the larger (.._b) of pairs: those that may be links share v, band, side and above.
+    """Entries as the smaller (.._a) and the larger (.._b) of pairs: those that may be links share v, band, side, above and cell.
 
     The label with the most entries under a value is its main one: its entries meet only those of other labels. So
     a large component costs rows in proportion, not with the square of its size. Entries of at least the main label's
-    mean size (`above`) meet only those whose place leaves room for a smaller partner of that size.
+    mean size (`above`) meet only those whose place leaves room for a smaller partner of that size. Cells hold some
+    SMALL of the smaller and LARGE of the larger ones.
     """
     n, place = F.col("n"), F.col("place")
     band = lambda x: F.floor(F.log(x) / BAND).cast("int")
     room = F.when(n <= WIDE, F.floor((n - place) * (100 + percent) / percent) - n).otherwise(0)  # what is left must do for the largest partner
     room = F.greatest(room, F.when(100 * n > percent * WIDE, F.lit(2**62)).otherwise(0))
     main = e.groupBy("v", "label").agg(F.count("*").alias("f"), F.ceil(F.avg("n")).alias("mean"))
-    main = main.groupBy("v").agg(F.max_by(F.struct("label", "mean"), F.struct("f", "label")).alias("main")).select("v", F.col("main.label").alias("main"), "main.mean")
+    main = main.groupBy("v").agg(F.max_by(F.struct("label", "mean", "f"), F.struct("f", "label")).alias("main"), F.sum("f").alias("total"))
+    main = main.select("v", F.col("main.label").alias("main"), "main.mean", F.col("main.f").alias("own"), (F.col("total") - F.col("main.f")).alias("others"))
     e = e.withColumn("room", room).join(main, "v").withColumn("side", (F.col("label") != F.col("main")).cast("int"))
-    cols = ["node", "label", "n", "size", "place"]
+    large = F.greatest(F.lit(1), F.ceil(F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("others")) / LARGE)).cast("int")
+    small = F.greatest(F.lit(1), F.ceil((F.when(F.col("side") == 0, 0).otherwise(F.col("own")) + F.col("others")) / SMALL)).cast("int")
+    drawn = lambda cells: F.pmod(F.xxhash64("node"), cells).cast("int")
+    cols = [c for c in ("node", "label", "n", "size", "place", "bits", "before") if c in e.columns]
     x = e.filter("small").withColumn("most", F.least("room", F.floor(100 * n / percent))).filter("most >= n").withColumn("above", (n >= F.col("mean")).cast("int"))
     x = x.withColumn("side", F.explode(F.when(F.col("side") == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))))
-    x = x.select("v", "side", "above", F.explode(F.sequence(band(n), band(F.col("most")))).alias("band"), *[F.col(c).alias(f"{c}_a") for c in cols])
+    x = x.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), large - 1), lambda i: drawn(small) * large + i)))
+    x = x.select("v", "side", "above", "cell", F.explode(F.sequence(band(n), band(F.col("most")))).alias("band"), *[F.col(c).alias(f"{c}_a") for c in cols])
     y = e.withColumn("above", F.explode(F.when(F.least("room", "n") >= F.col("mean"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    return x, y.select("v", "side", "above", band(n).alias("band"), *[F.col(c).alias(f"{c}_b") for c in cols])
+    y = y.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), small - 1), lambda i: i * large + drawn(large))))
+    return x, y.select("v", "side", "above", "cell", band(n).alias("band"), *[F.col(c).alias(f"{c}_b") for c in cols])
 
 
 def crosswise(wide: DataFrame, percent: int, save: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """a, b: pairs of nodes of different labels that may be links, of rows (node, label, n, items); none that is one is left out (larger than WIDE: but for DOUBT)."""
-    x, y = _met(save(_entries(wide, percent)), percent)
+    x, y = _met(save(_entries(_bitmaps(wide), percent)), percent)
+    group = F.xxhash64("v", "side", "above", "cell", "band").alias("group")
+    cols = ["node", "label", "n", "size", "place", "bits", "before"]
+    rows = y.select(group, F.lit(0).alias("role"), *[F.col(f"{c}_b").alias(c) for c in cols]).union(x.select(group, F.lit(1), *[f"{c}_a" for c in cols]))
+    return _ordered(_candidates(rows.repartition("group").sortWithinPartitions("group", "role"), percent))
+
+
+def _candidates(dealt: DataFrame, percent: int) -> DataFrame:
+    """a, b: which of a group's smaller sets, role 1, may be linked with which of its larger ones, role 0; a pair under the first of its common values only."""
     overlap = least_common(percent, WIDE)
-    left = lambda c: F.least(F.col(f"{c}_a") - F.col("place_a"), F.col(f"{c}_b") - F.col("place_b"))
-    enough = F.when((F.col("n_a") <= WIDE) & (F.col("n_b") <= WIDE), (100 + percent) * left("n") >= percent * (F.col("n_a") + F.col("n_b"))).otherwise(left("size") >= overlap)
-    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
-    j = x.join(y, ["v", "band", "side", "above"]).filter((F.col("label_a") != F.col("label_b")) & smaller & (100 * F.col("n_a") >= percent * F.col("n_b")) & enough)
-    return _ordered(j.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+
+    def chosen(t: pa.RecordBatch, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        node, label, n, size, place = (t.column(k).to_numpy() for k in range(2, 7))
+        words = t.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)  # of signed ones, the bits of absolute values are counted
+
+        def enough(a: np.ndarray, b: np.ndarray, common: np.ndarray) -> np.ndarray:
+            return np.where((n[a] <= WIDE) & (n[b] <= WIDE), (100 + percent) * common >= percent * (n[a] + n[b]), common >= overlap)
+
+        fit = (label[a] != label[b]) & ((n[a] < n[b]) | ((n[a] == n[b]) & (node[a] < node[b]))) & (100 * n[a] >= percent * n[b])
+        fit &= enough(a, b, np.minimum(size[a] - place[a], size[b] - place[b]))
+        a, b = a[fit], b[fit]
+        apart = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+        fit = enough(a, b, (size[a] + size[b] - apart) // 2)
+        a, b = a[fit], b[fit]
+        before = {i: frozenset(t.column(8)[i].as_py()) for i in np.unique(np.concatenate([a, b])).tolist()}
+        first = np.array([before[i].isdisjoint(before[k]) for i, k in zip(a.tolist(), b.tolist())], bool)
+        return node[a[first]], node[b[first]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None  # the larger sets of the last group
+        for t in batches:
+            t = t if rest is None else pa.concat_batches([rest, t])
+            if not t.num_rows:
+                continue
+            group, role = t.column(0).to_numpy(), t.column(1).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            larger = np.add.reduceat((role == 0).astype(np.int64), starts)
+            of = np.repeat(np.arange(len(starts)), np.diff([*starts, len(group)]))
+            small = np.flatnonzero((role == 1) & (larger[of] > 0))
+            meets = larger[of[small]]
+            ends = np.cumsum(meets)
+            cuts = np.searchsorted(ends, np.arange(PAIRS, (ends[-1] if len(ends) else 0) + PAIRS, PAIRS), "left") + 1
+            at = 0
+            for stop in np.unique(np.minimum(cuts, len(small))).tolist():
+                part, many = small[at:stop], meets[at:stop]
+                a = np.repeat(part, many)
+                b = np.repeat(starts[of[part]] - (np.cumsum(many) - many), many) + np.arange(len(a))
+                at = stop
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in chosen(t, a, b)], names=["a", "b"])
+            rest = t.slice(starts[-1], larger[-1])
+
+    return map_batches(dealt, run, "a long, b long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -234,6 +234,47 @@ def test_a_large_component_does_not_meet_itself(spark, size):
     assert pairs == {(a, b) for b in range(size, size + 3) for a in range(b)}
 
 
+@pytest.mark.parametrize("size", [60, 120])
+def test_copies_short_of_a_link_are_no_candidates(spark, size):
+    """Copies of one text, each with changes of its own, that share most values: their pairs grow with the square, the candidates don't. Links are among them, once each."""
+    import random
+
+    rnd = random.Random(size)
+    template = [rnd.getrandbits(62) for _ in range(398)]
+    # two copies differ in some 96 values, links in 64 at most
+    sets = [set(rnd.sample(template, 374)) | {rnd.getrandbits(62) for _ in range(24)} for _ in range(size)]
+    sets += [set(list(sets[i])[:-2]) | {rnd.getrandbits(62)} for i in range(5)]
+    wide = spark.createDataFrame([(i, i, len(s), sorted(s)) for i, s in enumerate(sets)], "node long, label long, n long, items array<long>").repartition(4)
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    got = [tuple(r) for r in neardup.crosswise(wide, 85).collect()]
+    assert len(links) == 5 and links <= set(got)
+    assert len(got) <= size // 4
+
+
+def test_crosswise_in_cells(spark, monkeypatch):
+    """Every two entries that may be links meet in one cell, however small cells, batches and pieces are."""
+    import random
+
+    rnd = random.Random(5)
+    template = [rnd.getrandbits(62) for _ in range(200)]
+    sets = [set(rnd.sample(template, 200 - k)) | {rnd.getrandbits(62) for _ in range(k)} for k in (rnd.randrange(1, 14) for _ in range(90))]
+    wide = spark.createDataFrame([(i, min(i, 30) if i % 3 else i, len(s), sorted(s)) for i, s in enumerate(sets)], "node long, label long, n long, items array<long>")
+    whole = sorted(map(tuple, neardup.crosswise(wide, 85).collect()))
+    label = {r.node: r.label for r in wide.collect()}
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert links and links <= set(whole)
+    for name, value in {"LARGE": 7, "SMALL": 16, "PAIRS": 50}.items():
+        monkeypatch.setattr(neardup, name, value)
+    x, y = neardup._met(neardup._entries(neardup._bitmaps(wide), 85), 85)
+    assert x.agg({"cell": "max"}).first()[0] > 20
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+        assert sorted(map(tuple, neardup.crosswise(wide, 85).collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 @SETTINGS
 def test_neardup_chain_and_crowd(spark, percent, width):
     """A chain of small edits, many copies of one text each edited in its own way, and texts that share a passage."""
