@@ -368,7 +368,7 @@ def _met(e: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 def crosswise(wide: DataFrame, percent: int, save: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """a, b: pairs of nodes of different labels that may be links, of rows (node, label, n, items); none that is one is left out (larger than WIDE: but for DOUBT)."""
-    x, y = _met(save(_entries(_bitmaps(wide), percent)), percent)
+    x, y = _met(save(_entries(save(_bitmaps(wide)), percent)), percent)
     group = F.xxhash64("v", "side", "above", "cell", "band").alias("group")
     cols = ["node", "label", "n", "size", "place", "bits", "before"]
     rows = y.select(group, F.lit(0).alias("role"), *[F.col(f"{c}_b").alias(c) for c in cols]).union(x.select(group, F.lit(1), *[f"{c}_a" for c in cols]))
