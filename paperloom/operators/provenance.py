@@ -126,16 +126,9 @@ def mapping_valid(kind: Column, start: Column, stop: Column, source_start: Colum
     return F.coalesce((start >= 0) & (start <= stop) & (stop <= F.char_length(text)) & law, F.lit(False))
 
 
-def resolve_ranges(mappings: DataFrame, requests: DataFrame, spans: DataFrame | None = None) -> DataFrame:
-    """chunk, lo, hi, status, fragments for requests (chunk, lo, hi) over mappings (chunk, ordinal, start, stop, span, source_start, source_stop, kind).
-
-    Identity may be cut; any other kind only whole, else the request is unresolved. A deletion counts
-    only strictly inside. Touching fragments of a span are one, in order. A fragment is (span, a, b), and with
-    spans (span, page_index, raw_text, boxes) also its page_index, quote and boxes, one for each character (none if spans have none); a
-    span that isn't there leaves the request unresolved. Requests are a set: repeated ones are answered once.
-    """
+def _fragments(asked: DataFrame, mappings: DataFrame) -> DataFrame:
+    """chunk, lo, hi, at, span, a, b, bad of what requests (chunk, lo, hi) take of the mappings: touching pieces of a span are one, `at` is their order; bad if it cuts what isn't the identity."""
     key = ["chunk", "lo", "hi"]
-    asked = requests.select(*key).distinct()
     hit = ((F.col("start") == F.col("stop")) & (F.col("lo") < F.col("start")) & (F.col("start") < F.col("hi"))) | (F.greatest("start", "lo") < F.least("stop", "hi"))
     j = asked.join(mappings.filter("kind != 'separator'"), "chunk").filter(hit)
     same, empty = F.col("kind") == "identity", F.col("start") == F.col("stop")
@@ -146,7 +139,20 @@ def resolve_ranges(mappings: DataFrame, requests: DataFrame, spans: DataFrame |
     order = Window.partitionBy(*key).orderBy("ordinal")
     touches = (F.lag("span").over(order) == F.col("span")) & (F.lag("b").over(order) == F.col("a"))
     j = j.withColumn("new", F.when(F.coalesce(touches, F.lit(False)), 0).otherwise(1)).withColumn("at", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    f = j.groupBy(*key, "at", "span").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max("bad").alias("bad"))
+    return j.groupBy(*key, "at", "span").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max("bad").alias("bad"))
+
+
+def resolve_ranges(mappings: DataFrame, requests: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """chunk, lo, hi, status, fragments for requests (chunk, lo, hi) over mappings (chunk, ordinal, start, stop, span, source_start, source_stop, kind).
+
+    Identity may be cut; any other kind only whole, else the request is unresolved. A deletion counts
+    only strictly inside. Touching fragments of a span are one, in order. A fragment is (span, a, b), and with
+    spans (span, page_index, raw_text, boxes) also its page_index, quote and boxes, one for each character (none if spans have none); a
+    span that isn't there leaves the request unresolved. Requests are a set: repeated ones are answered once.
+    """
+    key = ["chunk", "lo", "hi"]
+    asked = requests.select(*key).distinct()
+    f = _fragments(asked, mappings)
     part = ["span", "a", "b"]
     if spans is not None:
         boxed = ["boxes"] * ("boxes" in spans.columns)
@@ -232,10 +238,15 @@ def _found(rows: DataFrame, quotes: dict[str, list], schema: str) -> DataFrame:
 def unique_place(raw: pd.Series, quote: pd.Series) -> pd.DataFrame:
     """Where a quote stands in a raw text if it does exactly once, white space runs being equal; else nulls. For single excerpts, not for scans."""
 
+    last: tuple[str | None, tuple[str, list[int], list[int]]] = None, ("", [], [])
+
     def place(r: str | None, q: str | None) -> tuple[int | None, int | None]:
+        nonlocal last
         if not r or not q:
             return None, None
-        (plain, at, more), wanted = collapsed(r), _SPACES.sub(" ", q)
+        if last[0] != r:  # quotes of one text stand next to each other
+            last = r, collapsed(r)
+        (plain, at, more), wanted = last[1], _SPACES.sub(" ", q)
         first = plain.find(wanted)
         if first < 0 or plain.find(wanted, first + 1) >= 0:
             return None, None
@@ -251,47 +262,61 @@ def evidence_labels(hits: DataFrame, key: str, at_most: int = 5, budget: int = 1
     return hits.select(key, F.concat(F.lit("S"), F.row_number().over(w.orderBy("rank")).cast("string")).alias("ref"), "chunk", ok.alias("ok"))
 
 
-def resolve_citations(proposals: DataFrame, chunks: DataFrame, mappings: DataFrame, spans: DataFrame, limit: int = 2000) -> DataFrame:
+def resolve_citations(proposals: DataFrame, chunks: DataFrame, mappings: DataFrame, spans: DataFrame, limit: int = 2000, boxes: Column | None = None) -> DataFrame:
     """citation, status, part, page, quote, boxes, fragments: proposals (citation, chunk, quote) traced to their pages.
 
     The chunk (chunk, length) is resolved as a whole to its sources' raw text; the quote must stand in that
     exactly once. Its characters lead back to fragments of spans, which must not cut through a ligature or a
     white space run of the mappings. There is one part for each run of fragments on a page, with page
     number, quote and a box for each character; a part above the limit leaves the citation unresolved.
-    Unresolved ones have one row without a part, unknown chunks too.
+    Unresolved ones have one row without a part, unknown chunks too. `boxes` makes a span's boxes of its other columns (but page_index
+    and raw_text); they are then made where the citation is, not shuffled. Without it, spans have a column of that name.
     """
-    asked = proposals.join(chunks.select("chunk", "length"), "chunk", "left")
-    whole = asked.filter("length > 0").select("chunk", F.lit(0).alias("lo"), F.col("length").cast("int").alias("hi")).distinct()
-    source = resolve_ranges(mappings, whole, spans.select("span", "page_index", "raw_text"))
-    light = F.transform("fragments", lambda f: F.struct(f["span"].alias("span"), f["page_index"].alias("page_index"), f["a"].alias("a"), F.char_length(f["quote"]).alias("n")))
-    source = source.select("chunk", light.alias("fragments"), F.array_join(F.transform("fragments", lambda f: f["quote"]), "").alias("raw"))
-    placed = asked.join(source, "chunk", "left").withColumn("p", unique_place("raw", "quote")).filter("p.start IS NOT NULL")
+    boxes = F.col("boxes") if boxes is None else boxes
+    whole = chunks.join(proposals.select("chunk"), "chunk", "left_semi").groupBy("chunk").agg(F.max("length").cast("int").alias("hi")).filter("hi > 0")
+    f = _fragments(whole.select("chunk", F.lit(0).alias("lo"), "hi"), mappings).join(spans.select("span", "page_index", "raw_text"), "span", "left")
+    f = f.select("chunk", "at", "span", "page_index", "a", F.substr("raw_text", F.col("a") + 1, F.col("b") - F.col("a")).alias("quote"), (F.col("bad") | F.col("raw_text").isNull()).alias("bad")).withColumn("n", F.char_length("quote"))
+    # texts come to their chunk once: what follows, up to the place of each quote, goes by chunk alone
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    rows = F.sort_array(F.collect_list(F.struct("at", "span", "page_index", "a", "n", "ahead", "quote")))
+    source = f.withColumn("ahead", ahead).groupBy("chunk").agg(F.max("bad").alias("bad"), rows.alias("rows")).filter("NOT bad")
+    source = source.select("chunk", F.transform("rows", lambda r: r.dropFields("quote")).alias("fragments"), F.array_join(F.transform("rows", lambda r: r["quote"]), "").alias("raw"))
+    placed = proposals.join(source, "chunk", "left").withColumn("p", unique_place("raw", "quote"))
     # of the chunk's text only what is cited goes on
     lo, hi = F.col("p.start"), F.col("p.stop")
-    f = placed.select("citation", "chunk", lo.alias("lo"), hi.alias("hi"), F.substr("raw", lo + 1, hi - lo).alias("cited"), F.posexplode("fragments").alias("at", "f"))
-    ahead = F.coalesce(F.sum("f.n").over(Window.partitionBy("chunk", "citation").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    f = f.withColumn("ahead", ahead).withColumn("x", F.greatest(F.lit(0), F.col("lo") - F.col("ahead"))).withColumn("y", F.least(F.col("f.n"), F.col("hi") - F.col("ahead"))).filter("x < y")
-    quote = F.substr("cited", F.greatest(F.lit(0), F.col("ahead") - F.col("lo")) + 1, F.col("y") - F.col("x"))
-    f = f.select("citation", "chunk", "at", "f.span", "f.page_index", (F.col("f.a") + F.col("x")).alias("a"), (F.col("f.a") + F.col("y")).alias("b"), quote.alias("quote"))
-    f = saved(f, "citations")
-    # every character comes from a mapping, and a mapping that isn't the identity is taken whole
+    x, y = (lambda r: F.greatest(F.lit(0), lo - r["ahead"])), (lambda r: F.least(r["n"], hi - r["ahead"]))
+    within = F.filter("fragments", lambda r: x(r) < y(r))
+    cited = F.transform(within, lambda r: F.struct(r["at"].alias("at"), r["span"].alias("span"), r["page_index"].alias("page_index"), (r["a"] + x(r)).alias("a"), (r["a"] + y(r)).alias("b"), F.substr("raw", r["ahead"] + x(r) + 1, y(r) - x(r)).alias("quote")))
+    f = saved(placed.select("citation", "chunk", F.explode_outer(F.when(lo.isNotNull(), cited)).alias("f")).select("citation", "chunk", "f.*"), "citations")
+    # every character comes from a mapping, and a mapping that isn't the identity is taken whole; texts and boxes stay behind until that is known
+    light = f.drop("quote").filter("at IS NOT NULL")
     m = mappings.filter("span IS NOT NULL").select("chunk", "span", "source_start", "source_stop", "kind")
-    met = f.join(m, ["chunk", "span"]).filter(F.greatest("a", "source_start") < F.least("b", "source_stop"))
+    met = light.join(m, ["chunk", "span"]).filter(F.greatest("a", "source_start") < F.least("b", "source_stop"))
     cut = (F.col("kind") != "identity") & ((F.col("source_start") < F.col("a")) | (F.col("source_stop") > F.col("b")))
     held = met.groupBy("citation", "at").agg(F.sum(F.least("b", "source_stop") - F.greatest("a", "source_start")).alias("held"), F.max(cut).alias("cut"))
-    f = f.join(held, ["citation", "at"], "left").withColumn("good", F.coalesce((F.col("held") == F.col("b") - F.col("a")) & ~F.col("cut"), F.lit(False)))
-    order = Window.partitionBy("citation").orderBy("at")
-    f = f.withColumn("new", F.when(F.lag("page_index").over(order).eqNullSafe(F.col("page_index")), 0).otherwise(1)).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # boxes are many times their text: only cited spans bring theirs, and those of a citation are brought together once
-    boxes = spans.select("span", "boxes").join(f.select("span").distinct(), "span", "left_semi")
-    f = f.join(boxes, "span").withColumn("boxes", F.slice("boxes", F.col("a") + 1, F.col("b") - F.col("a"))).repartition("citation")
-    rows = F.sort_array(F.collect_list(F.struct("at", "span", "a", "b", "quote", "boxes")))
-    g = f.groupBy("citation", "part").agg((F.first("page_index") + 1).alias("page"), F.every("good").alias("good"), rows.alias("rows"))
-    g = g.select("citation", "part", "page", "good", F.array_join(F.transform("rows", lambda x: x["quote"]), "").alias("quote"), F.flatten(F.transform("rows", lambda x: x["boxes"])).alias("boxes"), F.transform("rows", lambda x: F.struct(x["span"].alias("span"), x["a"].alias("a"), x["b"].alias("b"))).alias("fragments"))
-    fits = F.every(F.col("good") & F.col("quote").isNotNull() & (F.char_length("quote") <= limit) & (F.size("boxes") == F.char_length("quote"))).over(Window.partitionBy("citation"))
-    good = g.withColumn("fits", fits).filter("fits").drop("fits", "good")
-    out = proposals.select("citation").join(good, "citation", "left")
-    return out.select("citation", F.when(F.col("part").isNull(), "unresolved").otherwise("resolved").alias("status"), "part", "page", "quote", "boxes", "fragments")
+    light = light.join(spans.select("span", F.size(boxes).alias("n_boxes")), "span").join(held, ["citation", "at"], "left")
+    good = F.coalesce((F.col("held") == F.col("b") - F.col("a")) & ~F.col("cut") & (F.col("n_boxes") >= F.col("b")), F.lit(False))
+    order, part = Window.partitionBy("citation").orderBy("at"), Window.partitionBy("citation", "part")
+    light = light.withColumn("new", F.when(F.lag("page_index").over(order).eqNullSafe(F.col("page_index")), 0).otherwise(1)).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    light = light.withColumn("fits", good & (F.sum(F.col("b") - F.col("a")).over(part) <= limit)).withColumn("alone", F.count("*").over(part) == 1)
+    light = light.withColumn("fits", F.every("fits").over(Window.partitionBy("citation"))).filter("fits")
+    light = saved(light.select("citation", "at", "span", "part", (F.col("page_index") + 1).alias("page"), "alone"), "parts")
+
+    def boxed(of: Column) -> DataFrame:
+        """The cited fragments of such parts with their boxes. Boxes are many times their text: only cited spans bring theirs."""
+        r = f.filter("at IS NOT NULL").drop("chunk", "page_index").join(light.filter(of).drop("span"), ["citation", "at"])
+        held = spans.drop("page_index", "raw_text").join(light.filter(of).select("span").distinct(), "span", "left_semi")
+        return r.join(held, "span").withColumn("boxes", F.slice(boxes, F.col("a") + 1, F.col("b") - F.col("a")))
+
+    # a part of one fragment has its boxes where they join it; only the others' are brought together
+    resolved, piece = F.lit("resolved").alias("status"), ["span", "a", "b"]
+    one = boxed(F.col("alone")).select("citation", resolved, "part", "page", "quote", "boxes", F.array(F.struct(*piece)).alias("fragments"))
+    many = boxed(~F.col("alone")).groupBy("citation", "part", "page").agg(F.sort_array(F.collect_list(F.struct("at", *piece, "quote", "boxes"))).alias("rows"))
+    many = many.select("citation", resolved, "part", "page", F.array_join(F.transform("rows", lambda r: r["quote"]), "").alias("quote"), F.flatten(F.transform("rows", lambda r: r["boxes"])).alias("boxes"), F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in piece])).alias("fragments"))
+    not_placed = f.filter("at IS NULL").select("citation")
+    left = not_placed.union(f.filter("at IS NOT NULL").select("citation").distinct().join(light.select("citation"), "citation", "left_anti"))
+    none = [F.lit(None).cast(one.schema[c].dataType).alias(c) for c in ("part", "page", "quote", "boxes", "fragments")]
+    return one.unionByName(many).unionByName(left.select("citation", F.lit("unresolved").alias("status"), *none))
 
 
 def spans_on_pages(spans: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:

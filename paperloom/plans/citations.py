@@ -16,10 +16,20 @@ from paperloom.plans.registry import query
 PER_CHUNK, PER_PAGE = 10, 5  # lines of a chunk and of a page of the queries below
 
 
+#: Finds what `collapse` changes; looking for it costs a part of replacing every single space.
+_UNEVEN = " {2}|^ | $|" + T.SPACE_CLASS.replace(r"\x1c-\x20", r"\x1c-\x1f")
+
+
 def _plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, m (number among lines with text), line: each line with white space collapsed."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    rows = rows.withColumn("line", T.collapse(F.col("line"))).filter("line != ''")
+    """doc_id, m (number among lines with text), line: each line with white space collapsed.
+
+    Lines are numbered within their text, without a shuffle; only if an id is repeated, by a window over all lines of the id.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    plain = F.transform(F.split("text", "\n"), lambda x: F.when(x.rlike(_UNEVEN), T.collapse(x)).otherwise(x))
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs.select("doc_id", F.posexplode(F.filter(plain, lambda x: x != "")).alias("m", "line"))
+    rows = docs.select("doc_id", F.posexplode(plain).alias("n", "line")).filter("line != ''")
     return rows.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) - 1).alias("m"), "line")
 
 
@@ -94,18 +104,18 @@ UNION ALL SELECT chunk, kind, 'resolved', 2, CAST(next_page AS INTEGER), sha256(
 UNION ALL SELECT chunk, kind, 'unresolved', NULL, NULL, NULL, NULL FROM r WHERE NOT good""")
 def resolved_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten lines to a chunk, five to a page. Each chunk's quotes: its first line, the two lines at the page's end, which are two parts, and one that isn't there."""
-    l = _plain_lines(spark, sf_dir).withColumn("chunk", _number(F.col("doc_id"), F.floor(F.col("m") / PER_CHUNK))).withColumn("k", (F.col("m") % PER_CHUNK).cast("int"))  # noqa: E741
-    n = F.char_length("line")
+    l = _plain_lines(spark, sf_dir).withColumn("chunk", _number(F.col("doc_id"), F.floor(F.col("m") / PER_CHUNK))).withColumn("k", (F.col("m") % PER_CHUNK).cast("int")).withColumn("n", F.char_length("line"))  # noqa: E741
+    n = F.col("n")
     stop = F.sum(n).over(Window.partitionBy("chunk").orderBy("k")).cast("int")
     m = l.select("chunk", F.col("k").alias("ordinal"), (stop - n).alias("start"), stop.alias("stop"), _number(F.col("doc_id"), F.col("m")).alias("span"), F.lit(0).alias("source_start"), n.alias("source_stop"), F.lit("identity").alias("kind"))
     x = lambda i: i.cast("double")
     boxes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(x(i).alias("x0"), F.lit(0.0).alias("y0"), x(i + 1).alias("x1"), F.lit(1.0).alias("y1")))
-    spans = l.select(_number(F.col("doc_id"), F.col("m")).alias("span"), F.floor(F.col("m") / PER_PAGE).cast("int").alias("page_index"), F.col("line").alias("raw_text"), boxes.alias("boxes"))
+    spans = l.select(_number(F.col("doc_id"), F.col("m")).alias("span"), F.floor(F.col("m") / PER_PAGE).cast("int").alias("page_index"), F.col("line").alias("raw_text"), "n")
     at = lambda k: F.max(F.when(F.col("k") == k, F.col("line")))
     g = l.groupBy("chunk").agg(at(0).alias("first"), F.concat(at(PER_PAGE - 1), at(PER_PAGE)).alias("across"), F.sum(n).alias("length"))
     quotes = F.array(F.col("first"), F.col("across"), F.concat(F.lit("<"), F.reverse("first"), F.lit(">")))
     proposals = g.select("chunk", F.posexplode(quotes).alias("kind", "quote")).filter("quote IS NOT NULL").select((F.col("chunk") * 3 + F.col("kind")).alias("citation"), "chunk", "quote")
-    out = provenance.resolve_citations(proposals, g.select("chunk", "length"), m, spans)
+    out = provenance.resolve_citations(proposals, g.select("chunk", "length"), m, spans, boxes=boxes)
     return out.select(F.floor(F.col("citation") / 3).alias("chunk"), (F.col("citation") % 3).cast("int").alias("kind"), "status", F.col("part").cast("int").alias("part"), "page", sha256(F.col("quote")).alias("quote_sha256"), F.when(F.col("part").isNotNull(), F.size("boxes")).alias("n_boxes"))
 
 

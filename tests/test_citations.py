@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paperloom.io import table
 from paperloom.operators import documents, provenance
-from paperloom.plans import registry
+from paperloom.plans import citations, registry
 
 registry.load()
 
@@ -130,3 +130,33 @@ def test_stored_citations_by_rows(spark, monkeypatch):
     published = citations.selectExpr("owner", "doc", "doc % 2 profile").distinct()
     out = provenance.stored_citations(citations, runs, citations.select("owner", "run", "idea").distinct(), citations.selectExpr("owner", "run", "doc", "doc % 2 profile").distinct(), pages, published)
     assert out.rdd.getNumPartitions() >= 30 and out.count() == out.distinct().count() == 3000
+
+
+def test_citations_bring_texts_to_their_chunk_once(spark, data, shuffled):
+    """Boxes that are made of other columns are not shuffled at all, nor do lines go by document first."""
+    chars = table(spark, data, "documents").agg(F.sum(F.char_length("text")).alias("n")).first().n
+    registry.QUERIES["resolved_citations"](spark, data).collect()
+    assert shuffled() < 4 * chars
+
+
+def test_citation_over_several_spans_of_a_page_keeps_its_boxes(spark, traced):
+    chunks, m, spans, _ = traced
+    asked = spark.createDataFrame([(1, 0, "find ex-plicit"), (2, 0, "nowhere"), (3, 0, "end.Then")], "citation int, chunk int, quote string")
+    got = provenance.resolve_citations(asked, chunks, m, spans).orderBy("citation", "part").collect()
+    assert [(r.citation, r.status, r.part, r.page, r.quote, r.boxes and [b.x0 for b in r.boxes], r.fragments and [tuple(x) for x in r.fragments]) for r in got] == [
+        (1, "resolved", 1, 1, "find ex-plicit", [*map(float, range(3, 11)), *map(float, range(6))], [(0, 3, 11), (1, 0, 6)]),
+        (2, "unresolved", None, None, None, None, None),
+        (3, "resolved", 1, 1, "end.", [9.0, 10.0, 11.0, 12.0], [(2, 9, 13)]),
+        (3, "resolved", 2, 2, "Then", [0.0, 1.0, 2.0, 3.0], [(3, 0, 4)]),
+    ]
+    short = spans.withColumn("boxes", F.when(F.col("span") == 3, F.slice("boxes", 1, 3)).otherwise(F.col("boxes")))  # a box is missing: no part of it holds
+    assert [r.status for r in provenance.resolve_citations(asked.filter("citation = 3"), chunks, m, short).collect()] == ["unresolved"]
+
+
+def test_plain_lines_of_repeated_ids(spark, tmp_path):
+    """Lines of one id are numbered through, as in SQL; those of others within their text."""
+    rows = [(1, "a  b\n\n c\t"), (1, "a  b\n\n c\t"), (2, " \nd"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, citations._plain_lines(spark, str(tmp_path)).collect())) == [(1, 0, "a b"), (1, 1, "a b"), (1, 2, "c"), (1, 3, "c"), (2, 0, "d")]
+    spark.createDataFrame(rows[1:], "doc_id long, text string").write.parquet(f"{tmp_path}/one/documents.parquet")
+    assert sorted(map(tuple, citations._plain_lines(spark, f"{tmp_path}/one").collect())) == [(1, 0, "a b"), (1, 1, "c"), (2, 0, "d")]
