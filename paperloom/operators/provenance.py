@@ -11,8 +11,10 @@ from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -20,7 +22,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from paperloom.functions.text import LIGATURES, SPACE_CLASS, collapse
 from paperloom.io import saved
-from paperloom.operators.documents import spread
+from paperloom.operators.documents import _CLASS, KINDS, spread
 
 #: Characters of quotes that are looked for in one reading of the texts (some 100 bytes each while they are); more quotes take more readings.
 QUOTE_CHARS = 1_000_000
@@ -126,6 +128,110 @@ def mapping_valid(kind: Column, start: Column, stop: Column, source_start: Colum
     return F.coalesce((start >= 0) & (start <= stop) & (stop <= F.char_length(text)) & law, F.lit(False))
 
 
+#: Pieces of a span in a chunk: their text, and for each mapping how far it begins behind the one before and how long it is, there and in the source.
+PIECES = "piece string, gap array<int>, size array<int>, source_gap array<int>, source_size array<int>, kind array<tinyint>"
+
+
+def span_pieces(chunks: DataFrame) -> DataFrame:
+    """doc, span and PIECES, of chunks (doc, text, mappings): one row for each stretch of a chunk's mappings that lead to one span, in numbers that are small or alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                m = b.column(2).flatten()
+                span = m.field("span")
+                sourced = span.is_valid()
+                chunk = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().fill_null(0).to_numpy())[sourced.to_numpy(zero_copy_only=False)]
+                m, span = m.filter(sourced), span.filter(sourced).to_numpy()
+                start, stop, source_start, source_stop = (m.field(c).fill_null(-1).to_numpy().astype(np.int64) for c in ("start", "stop", "source_start", "source_stop"))
+                kind = pc.index_in(m.field("kind"), pa.array(KINDS)).fill_null(-1).to_numpy().astype(np.int8)
+                fresh = np.ones(len(span), bool)
+                fresh[1:] = (chunk[1:] != chunk[:-1]) | (span[1:] != span[:-1])
+                first = np.flatnonzero(fresh)
+                if not len(first):
+                    continue
+                low, high = np.minimum.reduceat(start, first), np.maximum.reduceat(stop, first)
+                texts, chunk_of = b.column(1).to_pylist(), chunk[first].tolist()
+                piece = [texts[c][max(x, 0) : y] for c, x, y in zip(chunk_of, low.tolist(), high.tolist(), strict=True)]
+                gap, source_gap = start.copy(), source_start.copy()
+                gap[1:] -= stop[:-1]
+                gap[first] = start[first] - np.maximum(low, 0)
+                source_gap[1:] -= source_stop[:-1]
+                source_gap[first] = source_start[first]
+                offsets = pa.array(np.append(first, len(span)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, t in ((gap, pa.int32()), (stop - start, pa.int32()), (source_gap, pa.int32()), (source_stop - source_start, pa.int32()), (kind, pa.int8()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(chunk_of)), pa.array(span[first]), pa.array(piece, pa.string()), *lists], names=["doc", "span", "piece", "gap", "size", "source_gap", "source_size", "kind"])
+
+    kind = chunks.schema["doc"].dataType.simpleString()
+    return chunks.select("doc", "text", "mappings").mapInArrow(run, f"doc {kind}, span long, {PIECES}")
+
+
+def _along(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... of each of so many lengths, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _behind(steps: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Running sums of the steps, from 0 in each group; groups are numbered and stand together."""
+    total = np.cumsum(steps)
+    first = np.searchsorted(of, of)
+    return total - (total - steps)[first]
+
+
+def judged(spans: DataFrame) -> DataFrame:
+    """doc, span, raw, wrong of spans (doc, span, raw_text, pieces: array of PIECES): what the mappings lead to, read from the raw text in its order, each place once, and how many of them break the law of their kind (as `mapping_valid` has it)."""
+
+    def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                raws, parts = b.column(2).to_pylist(), b.column(3).flatten()
+                pieces = parts.field("piece").to_pylist()
+                (raw, raw_at), (text, text_at) = codes(raws), codes(pieces)
+                row_of_part = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy())
+                part = np.repeat(np.arange(len(pieces)), parts.field("gap").value_lengths().to_numpy())
+                gap, size, source_gap, source_size, kind = (parts.field(c).flatten().to_numpy().astype(np.int64) for c in ("gap", "size", "source_gap", "source_size", "kind"))
+                row = row_of_part[part]
+                stop, source_stop = _behind(gap + size, part), _behind(source_gap + source_size, part)
+                start, source_start = stop - size, source_stop - source_size
+                n_raw, n_text = np.diff(raw_at)[row], np.diff(text_at)[part]
+                sound = (source_start >= 0) & (source_size > 0) & (source_stop <= n_raw) & (start >= 0) & (size >= 0) & (stop <= n_text)
+                at, source_at = text_at[part] + start, raw_at[row] + source_start
+                good = np.zeros(len(part), bool)
+                # identity: every character is the source's
+                i = np.flatnonzero(sound & (kind == KINDS.index("identity")) & (size == source_size))
+                other = np.concatenate([[0], np.cumsum(text[_along(size[i], at[i])] != raw[_along(size[i], source_at[i])])])
+                ends = np.cumsum(size[i])
+                good[i] = other[ends] == other[ends - size[i]]
+                # white space: one space of nothing but white space
+                i = np.flatnonzero(sound & (kind == KINDS.index("whitespace")) & (size == 1))
+                blank = np.concatenate([[0], np.cumsum(_CLASS[np.minimum(raw, 0xFFFF)] == 1)])
+                good[i] = (text[at[i]] == 32) & (blank[source_at[i] + source_size[i]] - blank[source_at[i]] == source_size[i])
+                for k in np.flatnonzero(sound & (kind == KINDS.index("ligature")) & (source_size == 1)):
+                    good[k] = pieces[part[k]][start[k] : stop[k]] == LIGATURES.get(chr(raw[source_at[k]]))
+                i = np.flatnonzero(sound & (kind == KINDS.index("dehyphenation")) & (source_size == 1) & (size == 0))
+                good[i] = raw[source_at[i]] == ord("-")
+                # what is read of each text
+                low, high = np.clip(source_start, 0, n_raw), np.clip(source_stop, 0, n_raw)
+                read = np.flatnonzero(low < high)
+                depth = np.bincount(raw_at[row[read]] + low[read], minlength=len(raw) + 1) - np.bincount(raw_at[row[read]] + high[read], minlength=len(raw) + 1)
+                held = np.cumsum(depth[:-1]) > 0
+                count = np.concatenate([[0], np.cumsum(held)])[raw_at]
+                if held.all():
+                    out = raws
+                else:
+                    kept = raw[held].tobytes()
+                    out = [kept[4 * x : 4 * y].decode("utf-32-le") for x, y in zip(count[:-1].tolist(), count[1:].tolist(), strict=True)]
+                wrong = np.bincount(row[~good], minlength=b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(wrong, pa.int32())], names=["doc", "span", "raw", "wrong"])
+
+    kind = spans.schema["doc"].dataType.simpleString()
+    return spans.select("doc", "span", "raw_text", "pieces").mapInArrow(run, f"doc {kind}, span long, raw string, wrong int")
+
+
 def _fragments(asked: DataFrame, mappings: DataFrame) -> DataFrame:
     """chunk, lo, hi, at, span, a, b, bad of what requests (chunk, lo, hi) take of the mappings: touching pieces of a span are one, `at` is their order; bad if it cuts what isn't the identity."""
     key = ["chunk", "lo", "hi"]

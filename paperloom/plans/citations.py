@@ -56,18 +56,10 @@ def chunk_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(600.0).alias("x1"), F.lit(800.0).alias("y1"))
     kind = F.when((F.char_length("raw_text") < 60) & ~F.col("raw_text").rlike(r"[.!?,]"), "heading").otherwise("text")
     lines = rows.select("doc", F.floor(F.col("ordinal") / 40).cast("int").alias("page_index"), "ordinal", kind.alias("block_type"), F.floor(F.col("ordinal") / 5).cast("int").alias("source_group"), box.alias("box"), page.alias("page_box"), "raw_text")
-    chunks = D.chunk_sections(D.sections(D.normalize_lines(lines)))
-    # a mapping is judged by its own piece of the chunk
-    m = chunks.select("doc", "ordinal", "text", F.explode("mappings").alias("m")).filter("m.span IS NOT NULL")
-    m = m.select("doc", "m.*", F.substr("text", F.col("m.start") + 1, F.col("m.stop") - F.col("m.start")).alias("piece"))
-    # chunks share sentences: of each place only what lies beyond the ones before counts
-    before = F.max("source_stop").over(Window.partitionBy("doc", "span").orderBy("source_start", "source_stop").rowsBetween(Window.unboundedPreceding, -1))
-    m = m.withColumn("a", F.least(F.greatest("source_start", F.coalesce(before, F.lit(0))), "source_stop"))
-    m = m.groupBy("doc", "span").agg(F.array_sort(F.collect_list(F.struct("a", "source_stop", "source_start", "kind", (F.col("stop") - F.col("start")).alias("size"), "piece"))).alias("m"))
-    j = m.join(rows.select("doc", F.col("ordinal").cast("long").alias("span"), "raw_text"), ["doc", "span"])
-    holds = lambda x: provenance.mapping_valid(x["kind"], F.lit(0), x["size"], x["source_start"], x["source_stop"], x["piece"], F.col("raw_text"))
-    fresh = F.transform("m", lambda x: F.substr(F.col("raw_text"), x["a"] + 1, x["source_stop"] - x["a"]))
-    g = j.select("doc", "span", F.array_join(fresh, "").alias("raw"), F.size(F.filter("m", lambda x: ~holds(x))).alias("wrong"))
+    # a chunk's mappings meet their lines as one row for each line, with the text they are judged by
+    pieces = provenance.span_pieces(D.chunk_lines(lines))
+    m = pieces.groupBy("doc", "span").agg(F.collect_list(F.struct(*pieces.columns[2:])).alias("pieces"))
+    g = provenance.judged(m.join(rows.select("doc", F.col("ordinal").cast("long").alias("span"), "raw_text"), ["doc", "span"]))
     d = g.groupBy("doc").agg(F.count("*").alias("n_lines"), F.sum("wrong").alias("n_wrong"), F.sum(F.char_length("raw")).cast("long").alias("n_chars"), F.array_sort(F.collect_list(F.struct("span", "raw"))).alias("s"))
     return d.select(F.col("doc").alias("doc_id"), "n_lines", "n_wrong", "n_chars", sha256(F.array_join(F.transform("s", lambda x: x["raw"]), "")).alias("raw_sha256"))
 
