@@ -83,6 +83,27 @@ def test_counts(found):
     assert found["malformed"]["malformed"] == (1, 3) and found["no summary"]["summary"] == (1, 6) and found["after summary"]["summary"][1] == 8
 
 
+def test_the_rest_of_a_document_is_not_lost_behind_odd_lines(spark):
+    """Lines between a block and its span that are no block, page or span, a malformed line behind the summary, fields that are read in another kind only, a number above 64 bits, two documents with equal numbers."""
+    rows = [*GOOD[:2], "nope", {"kind": "other"}, *GOOD[2:], "nope"]
+    big = swap(7, character_count=2**70)
+    foreign = [r | {"box": "x", "page_count": -1, "media_box": 1} if r is SPAN else r for r in GOOD]
+    table = [(d, i, r if isinstance(r, str) else json.dumps(r)) for d, rs in (("a", rows), ("b", big), ("c", foreign), ("d", [SPAN, *GOOD])) for i, r in enumerate(rs)]
+    got = {}
+    for r in record_defects(spark.createDataFrame(table, "doc string, number int, line string").repartition(3)).collect():
+        got.setdefault(r.doc, {})[r.rule] = (r.n, r.first)
+    assert got["a"] == {"malformed": (3, 2), "summary": (1, 10)} and got["b"] == {"types": (1, 7)} and got["c"] == {"keys": (1, 2)}
+    assert got["d"] == {"order": (3, 0), "summary": (1, 8)}
+
+
+def test_all_windows_have_one_order(spark, data):
+    """Lines are sorted once: a sort for each window was most of the time."""
+    from paperloom.plans import rules
+
+    plan = rules.record_defects(spark, data)._jdf.queryExecution().sparkPlan().toString().split("Generate explode")[1].split("Generate inline")[0]
+    assert plan.count("Window [") == 1
+
+
 def test_nothing(spark):
     assert record_defects(spark.createDataFrame([], "doc string, number int, line string")).collect() == []
     assert set(KEYS) == {"page", "block", "span", "summary"}
